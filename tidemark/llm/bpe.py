@@ -87,10 +87,20 @@ class Encoder:
         self.led = Memo(lambda keys: self._values([f" {k}" for k in keys]), limit)
 
     def _merged(self, word: str) -> list[int]:
+        if word[1:].isalnum() and word[0] == " " and word.isascii():
+            return [t.id for t in self.merge(self.chars[32] + word[1:])]  # only the space has another character
         return [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.chars))]
 
+    def _matches(self, chunk: str) -> list[str]:
+        if chunk[:1] == " ":
+            if chunk[1:].isalpha():
+                return [chunk]
+            if chunk[-1] in ",.!?;:" and chunk[1:-1].isalpha():
+                return [chunk[:-1], chunk[-1]]
+        return self.find(chunk)
+
     def _values(self, many: list[str]) -> list:
-        cut = [[x] if x[1:].isalpha() and x[0] == " " else self.find(x) for x in many]
+        cut = list(map(self._matches, many))
         ids = self.words.table(cut)
         return [self.value(ids[x[0]] if len(x) == 1 else [i for w in x for i in ids[w]]) for x in cut]
 
