@@ -111,7 +111,7 @@ class _Block:
         self.ids: list[int] = []
         self.members: list[int] = []
         self.sets: list[np.ndarray] = []
-        self.right: list[bool] = []
+        self.right: list[bool | None] = []  # None where a block meets itself
 
     def compare(self) -> Iterator[tuple[int, int, int]]:
         """class, texts that it links to here, smallest class that it is linked with here."""
@@ -125,10 +125,10 @@ class _Block:
                 i = root[i]
             return i
 
-        two = any(self.right) and not all(self.right)
-        against = np.array([i for i in range(n) if self.right[i] or not two])
+        two = self.right[0] is not None
+        against = np.array([i for i in range(n) if self.right[i] or not two], np.int64)
         owner = np.repeat(against, sizes[against])
-        grams = np.concatenate([self.sets[i] for i in against])
+        grams = np.concatenate([np.zeros(0, np.uint64), *(self.sets[i] for i in against)])
         order = np.argsort(grams, kind="stable")
         grams, owner = grams[order], owner[order]
         for i in range(n):
@@ -156,7 +156,7 @@ class _Block:
 
 
 def _compared(rows: DataFrame, similarity: float, words: int) -> DataFrame:
-    """rows: task, is_right, cls, members, text, sorted by task. Returns cls, links, root."""
+    """rows: task, is_right (null where a block meets itself), cls, members, text, sorted by task. Returns cls, links, root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, task, block = Grams(words), None, None
@@ -204,7 +204,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     totals = sized.groupBy("component").agg(F.ceil(F.sum("n_grams") / F.lit(block)).alias("blocks"))
     placed = sized.join(totals, "component").select(F.col("node").alias("cls"), "component", "members", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"))
     tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = tasks.select("cls", "members", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("task"), (F.col("own") > F.col("other")).alias("is_right"), (F.col("blocks") > 1).alias("split"))
+    tasks = tasks.select("cls", "members", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("task"), F.when(F.col("own") != F.col("other"), F.col("own") > F.col("other")).alias("is_right"), (F.col("blocks") > 1).alias("split"))
     reps = named.where("id is not null").join(placed.select(F.col("cls").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     together = tasks.join(reps, tasks["cls"] == reps["id"]).repartition("task").sortWithinPartitions("task", "cls")
     found = written(_compared(together, similarity, words), "links")

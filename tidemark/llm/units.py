@@ -16,19 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: A space after something that is not white space: no match of the usual pre-tokeniser patterns spans it.
-_CUT = re.compile(r"(?<=\S) ")
+_CUT, _RUN = re.compile(r"(?<=\S) "), re.compile(r"\s ")
 #: Chunks longer than this are worked out but not kept.
 _LONG = 160
 
 
 def chunks(text: str) -> list[str]:
-    """The text cut at single spaces; every chunk but the first had a space before it.
+    """The text cut at spaces that follow something else; every chunk but the first had a space before it.
 
-    Runs of spaces stay inside one chunk, so that patterns that look at white space as a run see it whole.
+    Runs of white space stay inside one chunk, so that patterns that look at them see them whole.
     """
-    if "  " in text or text[-1:] == " ":
-        return _CUT.split(text)
-    return text.split(" ")
+    return _CUT.split(text) if _RUN.search(text) else text.split(" ")
 
 
 class Memo:
