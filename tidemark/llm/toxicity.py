@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.units import Scores, pieces_of, small_batches, texts
 
 #: Bound of the fit: rows of each label, those with the smallest hashes of their id, and their longest text.
-FIT_ROWS, FIT_CHARS = 3000, 20_000
+FIT_ROWS, FIT_CHARS = 2000, 20_000
 #: Landmarks; clean spans that the machine starts from; rounds of adding the clean spans that it gets wrong.
 LANDMARKS, CLEAN_SPANS, ROUNDS = 160, 6000, 4
 #: Association with the label (log-likelihood ratio) from which a span counts as positive wherever it stands.
@@ -90,24 +90,20 @@ def subsequences(spans: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return i, code, w / np.maximum(length, 1e-12)[i]
 
 
-def kernel(spans: list[str], landmarks: list[str]) -> np.ndarray:
+def kernel(spans: list[str], landmarks: list[str], rows: int = 256) -> np.ndarray:
+    """Kernel values, over the landmarks' subsequences only and so many spans at a time."""
     out = np.zeros((len(spans), len(landmarks)))
     li, lc, lw = subsequences(landmarks)
-    dense = np.zeros((len(landmarks), 1 << TABLE_BITS), np.float32)
-    np.add.at(dense, (li, lc), lw)
-    used = np.unique(lc)
-    at = np.full(1 << TABLE_BITS, -1, np.int64)
-    at[used] = np.arange(len(used))
-    columns = dense[:, used].T.copy()
-    del dense
-    for start in range(0, len(spans), 2000):
-        part = spans[start : start + 2000]
+    used, column = np.unique(lc, return_inverse=True)
+    of = np.zeros((len(used), len(landmarks)), np.float32)
+    np.add.at(of, (column, li), lw)
+    for start in range(0, len(spans), rows):
+        part = spans[start : start + rows]
         i, code, w = subsequences(part)
-        on = at[code] >= 0
-        i, k, w = i[on], at[code[on]], w[on]
-        both = np.zeros((len(part), len(used)), np.float32)
-        np.add.at(both, (i, k), w)
-        out[start : start + len(part)] = both @ columns
+        k = np.minimum(np.searchsorted(used, code), len(used) - 1)
+        on = used[k] == code
+        both = np.bincount(i[on] * len(used) + k[on], w[on], len(part) * len(used)).reshape(len(part), -1)
+        out[start : start + len(part)] = both.astype(np.float32) @ of
     return out
 
 
@@ -175,7 +171,7 @@ def train(rows: list[tuple[str, int]]) -> Model | None:
     Every sentence of a clean text is clean. In a toxic text the witness, the span that most speaks for toxicity, is
     the positive one; first by how often texts of either label hold it, then by the machine's own margins.
     """
-    held = []
+    held, one = [], {}
     for text, label in rows:
         spans = set()
         for sentence in _SENTENCE.split(text):
@@ -183,7 +179,7 @@ def train(rows: list[tuple[str, int]]) -> Model | None:
             for part in parts:
                 spans.update(spans_of(part))
             spans.update(_spelled(parts))
-        held.append((spans, label))
+        held.append((frozenset(one.setdefault(s, s) for s in spans), label))
     texts_of = [sum(1 for _, y in held if y == k) for k in (0, 1)]
     if not all(texts_of):
         return None
