@@ -10,9 +10,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from typing import Any
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -23,6 +25,9 @@ from tidemark.llm.units import Memo, chunks, pieces_of, small_batches, texts
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+#: Marks that are a match of their own behind letters, where the chunk ends.
+_MARKS = frozenset(",.!?;:")
+
 
 def byte_characters() -> list[str]:
     """The character that stands for each byte: itself where it prints, else one from U+0100 on, in order."""
@@ -68,52 +73,80 @@ class ByteTable:
         for token, i in vocab.items():
             self.bytes[i] = bytes(map(byte.__getitem__, token)) if all(c in byte for c in token) else token.encode()
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
 class Encoder:
     """Texts to ids, chunk by chunk (`units.chunks`), through `value`, which turns a chunk's ids into what is kept.
 
-    A chunk is cut into the pattern's matches, and each distinct match goes through the byte-to-character table and
-    the library's merges once. Both steps are kept in bounded memos.
+    Ids are little-endian unsigned 32-bit numbers, in bytes. A chunk is cut into the pattern's matches, and each
+    distinct match goes through the byte-to-character table and the library's merges once, many matches to a call.
+    Both steps are kept in bounded memos.
     """
 
-    def __init__(self, tokenizer, pattern: str, value: Callable[[list[int]], Any], limit: int = 150_000):
-        self.merge, self.value = tokenizer.model.tokenize, value
+    def __init__(self, tokenizer, pattern: str, value: Callable[[bytes], Any] | None = None, limit: int = 300_000):
+        from tokenizers import Tokenizer
+
+        self.merges, self.value, self.limit = Tokenizer(tokenizer.model), value or bytes, limit
         self.find = regex.compile(pattern).findall
         self.chars = dict(enumerate(byte_characters()))
-        self.words = Memo(lambda keys: map(self._merged, keys), limit)
-        self.led = Memo(lambda keys: self._values([f" {k}" for k in keys]), limit)
-
-    def _merged(self, word: str) -> list[int]:
-        if word[1:].isalnum() and word[0] == " " and word.isascii():
-            return [t.id for t in self.merge(self.chars[32] + word[1:])]  # only the space has another character
-        return [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.chars))]
-
-    def _matches(self, chunk: str) -> list[str]:
-        if chunk[:1] == " ":
-            if chunk[1:].isalpha():
-                return [chunk]
-            if chunk[-1] in ",.!?;:" and chunk[1:-1].isalpha():
-                return [chunk[:-1], chunk[-1]]
-        return self.find(chunk)
-
-    def _values(self, many: list[str]) -> list:
-        cut = list(map(self._matches, many))
-        ids = self.words.table(cut)
-        return [self.value(ids[x[0]] if len(x) == 1 else [i for w in x for i in ids[w]]) for x in cut]
+        self.words: dict[str, bytes] = {}
+        self.led = Memo(lambda keys: self._values(list(map(self._matches, keys))), limit)
+
+    def _merge(self, words: list[str], at_once: int = 2048) -> None:
+        """Puts the ids of these matches into the memo."""
+        for i in range(0, len(words), at_once):
+            part = words[i : i + at_once]
+            spelled = [w.encode().decode("latin-1").translate(self.chars) for w in part]
+            made = self.merges.encode(spelled, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(made.ids, "<u4").tobytes()
+            ends = (np.searchsorted(np.array(made.word_ids), np.arange(len(part) + 1)) * 4).tolist()
+            self.words.update(zip(part, map(ids.__getitem__, map(slice, ends[:-1], ends[1:])), strict=True))
+
+    def _matches(self, key: str) -> list[str]:
+        """Of a chunk that had a space before it. Letters, with at most one mark behind them, need no pattern."""
+        if key.isalpha():
+            return [" " + key]
+        if key[-1:] in _MARKS and key[:-1].isalpha():
+            return [" " + key[:-1], key[-1]]
+        return self.find(" " + key)
+
+    def _values(self, cut: list[list[str]]) -> list[Any]:
+        """Values of chunks, given as their matches. The memo of matches starts anew when it is full; long ones are not kept."""
+        if len(self.words) > self.limit:
+            self.words.clear()
+        words, value = self.words, self.value
+        self._merge(list({w for x in cut for w in x}.difference(words)))
+        out = [value(words[x[0]] if len(x) == 1 else b"".join(map(words.__getitem__, x))) for x in cut]
+        for w in {w for x in cut for w in x if len(w) > 160}:
+            del words[w]
+        return out
 
     def encode(self, many: list[str]) -> Iterator[list]:
         """For each text the values of its chunks; the empty text has none."""
         cut = [chunks(x) for x in many]
-        heads = self._values([x[0] for x in cut])
+        heads = self._values([self.find(x[0]) for x in cut])
         rests = [x[1:] for x in cut]
         of = self.led.table(rests).__getitem__
         for x, head, rest in zip(cut, heads, rests, strict=True):
             yield [head, *map(of, rest)] if x[0] else list(map(of, rest))
 
 
+@lru_cache(maxsize=1)
+def _rank_encoder(path: str, pattern: str) -> Encoder:
+    """An encoder by a rank file whose values are ids in decimal, decoded bytes and their number; kept for a worker's next task."""
+    tokenizer = from_ranks(path, pattern)
+    table = ByteTable(tokenizer.get_vocab())
+    decimal = list(map(str, range(len(table.bytes))))
+
+    def value(raw: bytes) -> tuple[str, bytes, int]:
+        ids = memoryview(raw).cast("I")
+        return " ".join([decimal[i] for i in ids]), table.decode(ids), len(ids)
+
+    return Encoder(tokenizer, pattern, value)
+
+
 def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Every whole text encoded by the rank file at `path`, each match of `pattern` separately, and decoded again.
 
@@ -125,10 +158,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = from_ranks(path, pattern)
-        table = ByteTable(tokenizer.get_vocab())
-        decimal = list(map(str, range(len(table.bytes))))
-        encoder = Encoder(tokenizer, pattern, lambda ids: (" ".join(map(decimal.__getitem__, ids)), table.decode(ids), len(ids)))
+        encoder = _rank_encoder(path, pattern)
         for whole in batches:
             for batch in pieces_of(whole):
                 out: list[list] = [[], [], [], [], []]

@@ -9,8 +9,8 @@ it is cut into sequences whose lengths are powers of two, which need none.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -128,6 +128,14 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str, pattern: str) -> Encoder:
+    """Kept for a worker's next task, with its memo."""
+    from tokenizers import Tokenizer
+
+    return Encoder(Tokenizer.from_file(path), pattern)
+
+
 def pack(docs: DataFrame, path: str, pattern: str, size: int = 2048, end_id: int = 1, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents' ids, each followed by `end_id`, cut into sequences of `size` ids, neighbours on the curve together.
 
@@ -148,10 +156,7 @@ def pack(docs: DataFrame, path: str, pattern: str, size: int = 2048, end_id: int
                 yield pa.RecordBatch.from_arrays([key, batch.column(0), batch.column(1)], ["key", "id", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        encoder = Encoder(tokenizer, pattern, lambda ids: array("I", ids).tobytes())
+        encoder = _encoder(path, pattern)
         packer = Packer(size, TaskContext.get().partitionId() << 36)
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
