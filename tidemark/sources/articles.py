@@ -13,12 +13,12 @@ ENGAGEMENT = ["upvotes", "hn_points", "hn_comments", "reddit_score", "reddit_com
 
 
 def articles_from_documents(docs: DataFrame) -> DataFrame:
-    """A deterministic feed made of `documents`, on which every analytical operator can run."""
+    """A deterministic feed made of `documents`, on which every analytical operator can run; `desc` is the whole text."""
     number = F.col("doc_id")
     return docs.select(
         number.alias("id"),
         F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80).alias("title"),
-        F.substring("text", 1, 320).alias("desc"),
+        F.col("text").alias("desc"),
         F.element_at(F.array(F.lit("paper"), F.lit("repo"), F.lit("news")), (number % 3 + 1).cast("int")).alias("type"),
         F.date_add(F.lit("2024-01-01").cast("date"), (number % 31).cast("int")).alias("event_date"),
         F.col("source").alias("venue"),
