@@ -40,3 +40,26 @@ LINKS = ["upsert_merge", "existing_links", "unseen_links", "paper_backfill"]
 def test_whole_text_query(spark, name):
     """The registered SQL, but with whole texts as desc."""
     assert in_spark(spark, name) == in_duckdb(catalog.SQL[name].replace(CUT, "text"))
+
+
+@has_tables
+def test_links_cover_every_row(spark):
+    stored, incoming = catalog._two(spark, DATA)
+    ids = {r[0] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect()}
+    assert {r[0] for r in stored.select("id").collect()} == {r[0] for r in incoming.select("id").collect()} == ids
+    merged = catalog.QUERIES["upsert_merge"](spark, DATA)
+    cases = {(r["fetch_count"], r["heat_changed"]): r["count"] for r in merged.groupBy("fetch_count", "heat_changed").count().collect()}
+    assert cases[2, True] and cases[2, False] and cases[1, False]
+    known = sum(i % 5 < 2 for i in ids)
+    assert [catalog.QUERIES[n](spark, DATA).count() for n in LINKS[:3]] == [2 * len(ids) - known, known, len(ids) - known]
+
+
+@has_tables
+@pytest.mark.parametrize("name", LINKS)
+def test_link_query_on_every_row(spark, name):
+    """The registered SQL, but with all rows on both sides."""
+    changed = "(SELECT * REPLACE (CASE WHEN id % 5 < 2 THEN link_hash ELSE md5('https://x.example/new/' || id) END AS link_hash) FROM h)"
+    sql = catalog.SQL[name].replace(CUT, "text").replace("FROM h WHERE id % 2 = 0", "FROM h").replace("FROM h WHERE id % 3 = 0", f"FROM {changed}")
+    got = in_spark(spark, name)
+    assert got == in_duckdb(sql)
+    assert name != "paper_backfill" or len(got[1]) > 200

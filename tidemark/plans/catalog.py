@@ -288,9 +288,11 @@ _HASHED = _ART + ", h AS (SELECT *, md5('https://x.example/' || id) AS link_hash
 
 
 def _two(spark, sf_dir):
-    rows = articles(spark, sf_dir).withColumn("link_hash", F.md5(F.concat(F.lit("https://x.example/"), F.col("id").cast("string"))))
-    stored = rows.where("id % 2 = 0").withColumn("fetch_count", F.lit(1))
-    incoming = rows.where("id % 3 = 0").withColumn("heat", (F.col("heat") + F.col("id") % 2 + F.floor(F.col("id") % 4 / 2)).cast("int"))
+    """All documents as stored, and all as incoming: two fifths of them under their stored link, the rest under a new one."""
+    key = lambda at: F.md5(F.concat(F.lit(f"https://x.example/{at}"), F.col("id").cast("string")))
+    rows = articles(spark, sf_dir).withColumn("link_hash", key(""))
+    stored = rows.withColumn("fetch_count", F.lit(1))
+    incoming = rows.withColumn("link_hash", F.when(F.col("id") % 5 < 2, F.col("link_hash")).otherwise(key("new/"))).withColumn("heat", (F.col("heat") + F.col("id") % 2 + F.floor(F.col("id") % 4 / 2)).cast("int"))
     return stored, incoming
 
 
