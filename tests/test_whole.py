@@ -63,3 +63,10 @@ def test_link_query_on_every_row(spark, name):
     got = in_spark(spark, name)
     assert got == in_duckdb(sql)
     assert name != "paper_backfill" or len(got[1]) > 200
+
+
+def test_windows_open_at_the_end_are_counted(spark, tmp_path):
+    values = ", ".join(f"({i}, TIMESTAMP '2024-01-01 {hour:02}:00:00', 1, 'view', 0.0::DOUBLE, '{{}}')" for i, hour in enumerate((1, 2, 23)))
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES {values}) t(event_id, ts, user_id, event_type, value, props)) TO '{tmp_path}/events.parquet'")
+    got = catalog.QUERIES["stream_window_counts"](spark, str(tmp_path)).collect()
+    assert [(r["event_type"], r["n"]) for r in got] == [("view", 3)]
