@@ -87,7 +87,7 @@ class MinHash:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> DataFrame:
-    """id, digest of the n-gram set (null if it is empty), n_grams, keys of the bands."""
+    """id, raw, digest of the n-gram set (null if it is empty), n_grams, keys of the bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, hashed = Grams(words), MinHash(bands, rows)
@@ -98,9 +98,9 @@ def signatures(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> Da
                     digests.append(xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None)
                     sizes.append(len(g))
                     keys.append(hashed.keys(g) if len(g) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "n_grams", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "raw", "digest", "n_grams", "keys"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, digest binary, n_grams long, keys array<long>")
+    return docs.select("id", "raw", "text").mapInArrow(run, "id long, raw long, digest binary, n_grams long, keys array<long>")
 
 
 class _Block:
@@ -191,12 +191,22 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     nothing, not even its copies. Rows with a null id are not compared: 0 links, no class, kept. Rows that repeat an
     id count as texts of their own. Other columns are not read.
     """
+    out = _joined(docs, words, similarity, recall, block, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), "class_id", "n_links", "component_id", "kept")
+
+
+def _joined(docs: DataFrame, words: int, similarity: float, recall: float, block: int, id_col: str, text_col: str) -> DataFrame:
+    """As jaccard_join, with raw (a hash of the text) and root (the group's key, null for a text without words).
+
+    A class goes by the hash of its n-gram digest, and its representative by id and raw: an id alone may stand for
+    different texts.
+    """
     bands, rows = bands_for(similarity, recall)
     small_batches(docs)
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("raw"), F.col(text_col).alias("text"))
     signed = written(signatures(named, bands, rows, words), "signatures")
     has = F.col("id").isNotNull() & F.col("digest").isNotNull()
-    classes = written(signed.where(has).groupBy("digest").agg(F.min("id").alias("cls"), F.count("*").alias("members"), F.first("n_grams").alias("n_grams"), F.first("keys").alias("keys")), "classes")
+    classes = written(signed.where(has).groupBy("digest").agg(F.xxhash64("digest").alias("cls"), F.min(F.struct("id", "raw")).alias("rep"), F.count("*").alias("members"), F.first("n_grams").alias("n_grams"), F.first("keys").alias("keys")), "classes")
     keyed = classes.select(F.explode("keys").alias("key"), "cls")
     shared = keyed.groupBy("key").agg(F.min("cls").alias("v"), F.max("cls").alias("x")).where("v <> x").select("key", "v")
     near = components(keyed.join(shared, "key").select(F.col("cls").alias("u"), "v"))
@@ -205,19 +215,25 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     placed = sized.join(totals, "component").select(F.col("node").alias("cls"), "component", "members", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"))
     tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = tasks.select("cls", "members", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("task"), F.when(F.col("own") != F.col("other"), F.col("own") > F.col("other")).alias("is_right"), (F.col("blocks") > 1).alias("split"))
-    reps = named.where("id is not null").join(placed.select(F.col("cls").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    together = tasks.join(reps, tasks["cls"] == reps["id"]).repartition("task").sortWithinPartitions("task", "cls")
+    wanted = placed.select("cls").join(classes.select("cls", "rep.id", "rep.raw"), "cls").withColumnRenamed("cls", "of")
+    reps = named.where("id is not null").join(wanted, ["id", "raw"]).dropDuplicates(["of"]).select("of", "text")
+    together = tasks.join(reps, tasks["cls"] == reps["of"]).repartition("task").sortWithinPartitions("task", "cls")
     found = written(_compared(together, similarity, words), "links")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     met = placed.where("blocks > 1").select("cls", "blocks")
     edges = found.join(met, "cls", "left_semi").select(F.col("cls").alias("u"), F.col("root").alias("v"))
     whole = components(edges)
     links = links.join(whole, links["cls"] == whole["node"], "left").select(F.col("cls").alias("of"), "links", F.coalesce("component", "root").alias("root"))
-    known = classes.select("digest", F.col("cls").alias("class_id"), "members").join(links, F.col("class_id") == F.col("of"), "left")
-    out = signed.select("id", F.when(has, F.col("digest")).alias("digest")).join(known, "digest", "left")
-    component = F.coalesce("root", "class_id", "id")
+    linked = written(classes.select("cls", "rep.id").join(links, F.col("cls") == F.col("of")).select("of", "id", "links", "root"), "linked")
+    least = written(linked.groupBy("root").agg(F.min("id").alias("least")), "least")
+    links = linked.join(least, "root").select("of", "links", "root", "least")
+    known = classes.select("digest", "cls", F.col("rep.id").alias("class_id"), "members").join(links, F.col("cls") == F.col("of"), "left")
+    out = signed.select("id", "raw", F.when(has, F.col("digest")).alias("digest")).join(known, "digest", "left")
+    component = F.coalesce("least", "class_id", "id")
     return out.select(
-        F.col("id").alias(id_col),
+        "id",
+        "raw",
+        F.coalesce("root", "cls").alias("root"),
         F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"),
         (F.coalesce("members", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         component.alias("component_id"),
@@ -226,11 +242,13 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, all columns, of one document for each connected group; rows that repeat an id are one document."""
-    id_col = options.get("id_col", "doc_id")
-    kept = jaccard_join(docs, **options).where("kept and " + f"{id_col} is not null").select(F.col(id_col).alias("_kept_id")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of `docs`, all columns, of one document for each connected group; rows that repeat an id and its text are one document."""
+    options = {"words": WORDS, "similarity": SIMILARITY, "recall": RECALL, "block": BLOCK, "id_col": "doc_id", "text_col": "text"} | options
+    id_col, raw = F.col(options["id_col"]), F.xxhash64(options["text_col"])
+    kept = _joined(docs, **options).where("kept and id is not null")
+    kept = kept.groupBy("id", "root", F.when(F.col("root").isNull(), F.col("raw")).alias("alone")).agg(F.min("raw").alias("_kept_raw")).select(F.col("id").alias("_kept_id"), "_kept_raw")
+    named = docs.where(id_col.isNotNull()).withColumn("_raw", raw).join(kept, (id_col == F.col("_kept_id")) & (F.col("_raw") == F.col("_kept_raw")), "left_semi")
+    return named.dropDuplicates([options["id_col"], "_raw"]).drop("_raw").unionByName(docs.where(id_col.isNull()))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
