@@ -63,8 +63,8 @@ def test_pack_places_each_id_once(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     many = odd_texts(120, 3)
+    assert any("<|endoftext|>" in x for x in many)
     rows = [(i, x) for i, x in enumerate(many)] + [(9000, None)]
     got = packing.pack(docs(spark, rows), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, size=64, partitions=3).collect()
     want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in rows}
@@ -85,6 +85,18 @@ def test_pack_places_each_id_once(spark):
     assert packing.pack(docs(spark, []), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).count() == 0
 
 
+def test_packing_ids_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, e = Tokenizer.from_file(path), packing.Encoder(path, public_tokenizers.PATTERN)
+    assert e.fast and e.ids("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+    many = [*odd_texts(2000, 11), " " * 300_000, "a" * 200_000, "\n " * 100_000, "日本" * 50_000, *t.get_vocab()]
+    many += [f"a{chr(c)}1{chr(c)} {chr(c)}!" for c in range(0, 0x30000, 37) if not 0xD800 <= c < 0xE000]
+    for x, made in zip(many, t.encode_batch(many, add_special_tokens=False), strict=True):
+        assert e.ids(x).tolist() == made.ids, x[:60]
+
+
 def test_hilbert_is_a_curve():
     import numpy as np
 
