@@ -21,22 +21,83 @@ def docs(spark, rows):
     return spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, keys string")
 
 
+def cuts(word, names, p, unknown):
+    """Every segmentation of the word: its pieces and its probability."""
+    if not word:
+        yield [], 1.0
+    for k in range(1, len(word) + 1):
+        piece = word[:k] if word[:k] in names else None
+        if piece or k == 1:
+            for rest, q in cuts(word[k:], names, p, unknown):
+                yield [piece, *rest], q * (p if piece else unknown)
+
+
 def test_forward_sums_all_segmentations():
     pieces = langid.Pieces(VOCABULARY)
-    model = langid.Model(["x"], np.full((len(pieces), 1), 1e-3), VOCABULARY)
+    scorer = langid.Scorer(langid.Model(["x"], np.full((len(pieces), 1), 1e-3), VOCABULARY))
     names = set(pieces.names)
-
-    def total(word):
-        if not word:
-            return 1.0
-        out = 0.0
-        for k in range(1, min(len(word), langid.PIECE) + 1):
-            p = 1e-3 if word[:k] in names else model.unknown if k == 1 else 0.0
-            out += p * total(word[k:]) if p else 0.0
+    assert max(map(len, names)) > 12 and pieces.reach > 12
+    for word in ("the", "reading", "ñandú", "ж", "internationale"):
+        want = np.log(sum(q for _, q in cuts(langid.MARK + word, names, 1e-3, langid.UNKNOWN)))
+        assert scorer.score([word])[0][0, 0] == pytest.approx(want, rel=1e-9)
+    for word in ("verification" * 9, "ж" * 300, "a" * langid.SHORT, "a" * (langid.SHORT + 1)):
+        marked, sums = langid.MARK + word, [1.0] + [0.0] * (len(word) + 1)
+        logs = np.full(len(marked) + 1, -np.inf)
+        logs[0] = 0.0
+        for i in range(len(marked)):
+            for k in range(1, len(marked) - i + 1):
+                if k == 1 or marked[i : i + k] in names:
+                    logs[i + k] = np.logaddexp(logs[i + k], logs[i] + np.log(1e-3 if marked[i : i + k] in names else langid.UNKNOWN))
+        assert scorer.score([f"{word}! {word.upper()}"])[0][0, 0] == pytest.approx(2 * logs[-1], rel=1e-9)
+
+
+def test_expected_counts_by_enumeration(monkeypatch):
+    pieces = langid.Pieces(VOCABULARY)
+    names, p = set(pieces.names), 1 / len(pieces)
+    text = "the reading ñandú жx"
+    for short in (langid.SHORT, 3):
+        monkeypatch.setattr(langid, "SHORT", short)
+        words = langid.Words([(0, text)])
+        got = langid.expected_counts(pieces, words, np.arange(4), np.array([[1.0, 0], [2, 0], [0, 1], [0.5, 0.25]]))
+        want = np.zeros((len(pieces), 2))
+        for word, w in zip(text.split(), ([1.0, 0], [2, 0], [0, 1], [0.5, 0.25]), strict=True):
+            every = list(cuts(langid.MARK + word, names, p, langid.UNKNOWN))
+            whole = sum(q for _, q in every)
+            for found, q in every:
+                for piece in found:
+                    if piece:
+                        want[pieces.names.index(piece)] += np.array(w) * q / whole
+        assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_words_of_texts(monkeypatch):
+    import unicodedata
+
+    many = ["", "Ab c'd\n½² Ⅷ①", "हिन्दी x́y", "1 a1b", "\u0301 \u0301\u0301", "ÄÖ" * 50, "a b " * 9]
+
+    def by_hand(text):
+        run, out = "", []
+        for c in text.lower() + " ":
+            if unicodedata.category(c)[0] in "LM":
+                run += c
+            else:
+                if any(unicodedata.category(x)[0] == "L" for x in run):
+                    out.append(run)
+                run = ""
         return out
 
-    for word in ("the", "reading", "ñandú", "ж"):
-        assert model.scorer()([word])[0, 0] == pytest.approx(np.log(total(langid.MARK + word)), rel=1e-9)
+    for read in (langid.READ, 5):
+        monkeypatch.setattr(langid, "READ", read)
+        got: dict = {}
+        keys: dict = {}
+        for parts in langid._reads(many):
+            words = langid.Words(parts)
+            for i, at, n, h in zip(words.text, words.start, words.size, words.hash):
+                spelled = "".join(map(chr, words.points[at : at + n]))
+                got.setdefault(i, []).append(spelled)
+                assert keys.setdefault(spelled, h) == h
+        assert [got.get(i, []) for i in range(len(many))] == list(map(by_hand, many))
+        assert len(set(keys.values())) == len(keys)
 
 
 @needs_data
@@ -45,11 +106,21 @@ def test_language_id(spark):
     model = langid.fit(table.where(~langid.held_out()), VOCABULARY)
     got = langid.predict(table, model).join(table.select("doc_id", "lang"), "doc_id").where(langid.held_out())
     assert got.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
-    odd = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs(spark, [(1, None), (2, ""), (3, "12 !?"), (4, "x " * 50_000)]), model).collect()}
-    assert [odd[i] for i in (1, 2, 3)] == ["und"] * 3 and odd[4] in model.languages
+    odd = [(1, None), (2, ""), (3, "12 !?"), (4, "½ ² ①Ⅷ \u0301"), (5, "x " * 50_000), (6, "x" * 20_000), (None, "the"), (7, "the"), (7, "the")]
+    got = sorted((r["doc_id"] or 0, r["lang_pred"], round(r["score"], 6)) for r in langid.predict(docs(spark, odd), model).collect())
+    assert len(got) == len(odd) and [x[1:] for x in got[1:5]] == [("und", 0.0)] * 4 and got[5][1] in model.languages
+    assert got[0][1:] == got[7][1:] == got[8][1:] and langid.predict(docs(spark, odd).limit(0), model).count() == 0
+    even = langid.Model(["b", "c"], np.full((len(langid.Pieces(VOCABULARY)), 2), 1e-3), VOCABULARY)
+    assert [tuple(r) for r in langid.predict(docs(spark, [(1, "tie")]), even).collect()] == [(1, "b", 0.5)]
     assert langid.fit(table.withColumn("lang", F.lit(None).cast("string")), VOCABULARY) is None
     assert langid.predict(table, None).where("lang_pred = 'und'").count() == table.count()
-    assert langid.keep_languages(docs(spark, [(1, None), (2, "the and that")]), model).columns == ["doc_id", "text", "keys"]
+    floored = langid.fit(table, VOCABULARY, floors=True)
+    strange = [(1, None), (2, "the and that"), (3, "жук лёг под ёлку и спит там"), (4, "xqzj vkwq zzxq qqjx wvkz"), (5, "12")]
+    kept = langid.keep_languages(docs(spark, strange), floored)
+    assert kept.columns == ["doc_id", "text", "keys"] and [r["doc_id"] for r in kept.collect()] == [2]
+    assert {r["doc_id"] for r in langid.keep_languages(docs(spark, strange), model, ["en", "und"]).collect()} >= {1, 2, 5}
+    labelled = table.where("lang is not null and text rlike '[a-z]'")
+    assert langid.keep_languages(labelled, floored).count() >= 0.99 * labelled.count()
 
 
 def test_toxicity_sees_through_disguise(spark):

@@ -1,273 +1,417 @@
 """Operator 10: language identification with segmentation-marginalised unigrams.
 
 Each language has a probability for every piece of one fixed public vocabulary. A word's probability is the sum over
-all ways to cut it into pieces, by the forward algorithm; a text's is the product over its words.
+all ways to cut it into pieces, by the forward algorithm; a text's is the product over its words. Words are lower-case
+runs of letters and the marks that go with them; what else a text holds says nothing about its language here.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.tokencount import MARK, read_vocabulary
-from tidemark.llm.units import Scores, pieces_of, small_batches, texts
+from tidemark.llm.units import pieces_of, small_batches, texts
 
-#: Rows of each language that the model is fitted on, those with the smallest hashes of their id.
+#: Rows of each language that the model is fitted on, about: those with the smallest hashes.
 FIT_ROWS = 3000
-#: Languages that can be learned: those with most rows.
-MOST_LANGUAGES = 256
-#: Added to each piece's expected count.
-SMOOTHING = 0.05
-#: Code points of a piece at most; runs of letters longer than LONGEST are scored in parts of that length.
-PIECE, LONGEST = 12, 120
+#: Added to each piece's expected count; probability of a character that is no piece.
+SMOOTHING, UNKNOWN = 0.05, 1e-7
+#: Words of up to SHORT characters go through the forward algorithm many at a time, longer ones singly in logarithms.
+SHORT = 40
 #: Each piece's probability is multiplied by this to the power of its length, to stay within a double's range.
 SCALE = 24.0
+#: Characters that are read at once, but for a longer text without white space; bytes of a worker's memo of words.
+READ, MEMO_BYTES = 1 << 20, 64 << 20
+#: A text is in a language if its log-probability per letter is not this far below the language's lowest fitted row.
+FLOOR_SLACK = 0.5
+
+_STEP, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Of each code point: 1 for a letter (Unicode category L), 2 for a mark (M), else 0."""
+    kind = {"L": 1, "M": 2}
+    return np.frombuffer(bytes(kind.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), np.uint8)
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
+    base = 0x5851F42D4C957F2D
+    made = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        p = np.full(n, b, np.uint64)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p))
+    return made[0], made[1]
+
+
+def _reads(many: list[str]) -> Iterator[list[tuple[int, str]]]:
+    """Numbers of texts with their lower-case parts, about READ characters together; cuts fall behind white space only."""
+    some, size = [], 0
+    for i, text in enumerate(many):
+        low, at = text.lower(), 0
+        while at < len(low):
+            end = len(low)
+            if end - at > READ:
+                end = at + READ
+                while end < len(low) and not low[end - 1].isspace():
+                    end += 1
+            some.append((i, low[at:end]))
+            size, at = size + end - at, end
+            if size >= READ:
+                yield some
+                some, size = [], 0
+    if some:
+        yield some
+
+
+class Words:
+    """The words of some parts of texts, in order: text, start, length, letters, hash."""
+
+    def __init__(self, parts: list[tuple[int, str]]):
+        self.points = np.frombuffer("\n".join([p for _, p in parts]).encode("utf-32-le"), "<u4")
+        kind = _kinds()[self.points]
+        inside = np.zeros(len(kind) + 2, np.int8)
+        inside[1:-1] = kind > 0
+        edges = np.flatnonzero(np.diff(inside))
+        start, end = edges[::2], edges[1::2]
+        letters = np.concatenate([[0], np.cumsum(kind == 1)])
+        letters = letters[end] - letters[start]
+        on = letters > 0
+        self.start, self.size, self.letters = start[on], (end - start)[on], letters[on]
+        ends = np.cumsum([len(p) + 1 for _, p in parts])
+        self.text = np.array([i for i, _ in parts])[np.searchsorted(ends, self.start, "right")]
+        up, down = _powers(1 << max(READ, len(self.points)).bit_length())
+        mixed = (self.points.astype(np.uint64) + np.uint64(1)) * _MIX
+        mixed ^= mixed >> np.uint64(29)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * up[: len(mixed)], dtype=np.uint64)])
+        self.hash = (sums[self.start + self.size] - sums[self.start]) * down[self.start] + self.size.astype(np.uint64) * _MIX
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+    def __len__(self) -> int:
+        return len(self.start)
 
+    def spelled(self, which: np.ndarray, size: int) -> np.ndarray:
+        """Code points of these words, all of that size, behind MARK."""
+        out = np.empty((len(which), size + 1), np.uint64)
+        out[:, 0] = ord(MARK)
+        out[:, 1:] = self.points[self.start[which, None] + np.arange(size)]
+        return out
 
-def words_of(chunk: str) -> list[str]:
-    """Lower-case runs of letters, each behind MARK, in parts of LONGEST."""
-    found = []
-    for w in _LETTERS.findall(chunk.lower()):
-        w = MARK + w
-        found += [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
-    return found
+    def by_size(self, which: np.ndarray, most: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in `which` and code points of words of one size at a time; long words singly."""
+        size = self.size[which]
+        order = np.argsort(size, kind="stable")
+        cuts = np.flatnonzero(np.diff(size[order])) + 1
+        for group in np.split(order, cuts) if len(order) else []:
+            n = int(size[group[0]])
+            for at in range(0, len(group), most if n <= SHORT else 1):
+                part = group[at : at + (most if n <= SHORT else 1)]
+                yield part, self.spelled(which[part], n)
 
 
 class Pieces:
-    """The vocabulary's letter pieces as hashes of code points, looked up for all substrings of many words at once."""
-
-    def __init__(self, path: str):
-        own = {p.lower() for p, _ in read_vocabulary(path)}
-        self.names = sorted(p for p in own if len(p) <= PIECE and p.strip(MARK).isalpha() and MARK not in p[1:])
-        codes = self._hash([[p] for p in self.names])
-        order = np.argsort(codes)
-        self.codes, self.ids = codes[order], order
+    """The vocabulary's pieces, lower-cased, found for all substrings of many words at once through a hash table."""
+
+    def __init__(self, path: str, slots: int = 19):
+        self.names = sorted({p.lower() for p, _ in read_vocabulary(path)} - {""})
         self.lengths = np.array([len(p) for p in self.names])
+        kinds = _kinds()
+        #: Length of the longest piece that a word can hold.
+        self.reach = max((len(p) for p in self.names if all(kinds[ord(c)] for c in p.removeprefix(MARK))), default=1)
+        self.shift = np.uint64(64 - slots)
+        self.keys, self.ids = np.zeros(1 << slots, np.uint64), np.full(1 << slots, -1, np.int32)
+        for i, p in enumerate(self.names):
+            h = 7
+            for c in p:
+                h = (h * int(_STEP) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+            at = (h * int(_MIX) & 0xFFFFFFFFFFFFFFFF) >> int(self.shift)
+            while self.ids[at] >= 0:
+                at = (at + 1) % len(self.ids)
+            self.keys[at], self.ids[at] = h, i
 
     def __len__(self) -> int:
         return len(self.names)
 
-    @staticmethod
-    def _hash(rows: list[list[str]]) -> np.ndarray:
-        out = np.zeros(len(rows), np.uint64)
-        for i, (p,) in enumerate(rows):
-            h = 7
-            for c in p:
-                h = (h * 0x100000001B3 + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-            out[i] = h
-        return out
-
-    def substrings(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each word, length k and start i the id of the piece there, or -1; and the words' lengths."""
-        n = np.array([len(w) for w in words])
-        wide = int(n.max())
-        flat = np.frombuffer("".join(w.ljust(wide, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), wide).astype(np.uint64)
-        found = np.full((len(words), PIECE, wide), -1, np.int32)
-        h = np.full((len(words), wide), 7, np.uint64)
-        for k in range(min(PIECE, wide)):
-            h = h[:, : wide - k] * np.uint64(0x100000001B3) + flat[:, k:] + np.uint64(1)
-            at = np.searchsorted(self.codes, h)
-            at[at == len(self.codes)] = 0
-            hit = (self.codes[at] == h) & (np.arange(wide - k)[None, :] + k < n[:, None])
-            found[:, k, : wide - k] = np.where(hit, self.ids[at], -1)
-        return found, n
-
-
-def _by_length(words: list[str], most: int = 4096) -> Iterator[list[int]]:
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    start = 0
-    while start < len(order):
-        end = start + 1
-        while end < len(order) and end - start < most and len(words[order[end]]) <= 4 + 1.25 * len(words[order[start]]):
-            end += 1
-        yield order[start:end]
-        start = end
-
-
-def _forward(found: np.ndarray, table: np.ndarray, unknown: np.ndarray) -> np.ndarray:
-    """Sums over segmentations up to each position; table: scaled probabilities, pieces by models; unknown: of a character that is no piece."""
-    words, most, wide = found.shape
-    alpha = np.zeros((wide + 1, words, table.shape[1]))
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        at = ((h * _MIX) >> self.shift).astype(np.int64)
+        ids = self.ids[at]
+        wrong = np.flatnonzero((ids >= 0) & (self.keys[at] != h))
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) % len(self.ids)
+            ids[wrong] = self.ids[at[wrong]]
+            wrong = wrong[(ids[wrong] >= 0) & (self.keys[at[wrong]] != h[wrong])]
+        return ids
+
+    def substrings(self, points: np.ndarray) -> list[np.ndarray]:
+        """For each length from 1 on: starts by words, the id of the piece there, or -1."""
+        size = points.shape[1]
+        h = np.full(points.shape, 7, np.uint64)
+        found = []
+        for k in range(min(self.reach, size)):
+            h = h[:, : size - k] * _STEP + points[:, k:] + np.uint64(1)
+            found.append(np.ascontiguousarray(self._find(h.ravel()).reshape(h.shape).T))
+        return found
+
+
+def _hits(found: list[np.ndarray]) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """For each start the pieces there: length, words, ids. A character that is no piece has id -1."""
+    size = len(found[0])
+    out: list[list[tuple[int, np.ndarray, np.ndarray]]] = []
+    for start in range(size):
+        here = [(1, slice(None), found[0][start])]
+        for k in range(1, min(len(found), size - start)):
+            on = np.flatnonzero(found[k][start] >= 0)
+            if len(on):
+                here.append((k + 1, on, found[k][start][on]))
+        out.append(here)
+    return out
+
+
+def _forward(hits: list, words: int, table: np.ndarray) -> np.ndarray:
+    """Sums over segmentations up to each position; table: scaled probabilities, pieces by models, last that of an unknown character."""
+    alpha = np.zeros((len(hits) + 1, words, table.shape[1]))
     alpha[0] = 1.0
-    for end in range(1, wide + 1):
-        for k in range(min(most, end)):
-            ids = found[:, k, end - 1 - k]
-            p = np.where((ids >= 0)[:, None], table[ids], unknown if k == 0 else 0.0)
-            alpha[end] += alpha[end - 1 - k] * p
+    for start, here in enumerate(hits):
+        for k, on, ids in here:
+            alpha[start + k, on] += alpha[start, on] * table[ids]
+    return alpha
+
+
+def _forward_logs(hits: list, logs: np.ndarray) -> np.ndarray:
+    """As `_forward` for one word, in logarithms."""
+    alpha = np.full((len(hits) + 1, logs.shape[1]), -np.inf)
+    alpha[0] = 0.0
+    for start, here in enumerate(hits):
+        for k, _, ids in here:
+            alpha[start + k] = np.logaddexp(alpha[start + k], alpha[start] + logs[ids[0]])
     return alpha
 
 
 class Model:
-    """languages; log-probability table, pieces by languages; that of an unknown character."""
-
-    def __init__(self, languages: list[str], probabilities: np.ndarray, path: str):
-        self.languages, self.path = languages, path
-        self.probabilities, self.unknown = probabilities, 1e-7
-
-    def scorer(self):
-        """A function from distinct chunks to rows: log-probability under each language, letters."""
-        pieces = Pieces(self.path)
-        table = self.probabilities * SCALE ** pieces.lengths[:, None]
-        unknown = np.full(len(self.languages), self.unknown * SCALE)
-
-        def score(keys: list[str]) -> np.ndarray:
-            of = [words_of(k) for k in keys]
-            flat = sorted({w for ws in of for w in ws})
-            at = {w: i for i, w in enumerate(flat)}
-            logs = np.zeros((len(flat), len(self.languages)))
-            for group in _by_length(flat):
-                found, n = pieces.substrings([flat[i] for i in group])
-                alpha = _forward(found, table, unknown)
-                logs[group] = np.log(np.maximum(alpha[n, np.arange(len(group))], 1e-300)) - n[:, None] * np.log(SCALE)
-            out = np.zeros((len(keys), len(self.languages) + 1))
-            for i, ws in enumerate(of):
-                for w in ws:
-                    out[i, :-1] += logs[at[w]]
-                    out[i, -1] += len(w) - 1
-            return out
-
-        return score
-
-
-def expected_counts(pieces: Pieces, words: list[str], weights: np.ndarray) -> np.ndarray:
+    """languages; probabilities, pieces by languages; the least log-probability per letter of a text in each language."""
+
+    def __init__(self, languages: list[str], probabilities: np.ndarray, path: str, floors: np.ndarray | None = None):
+        self.languages, self.probabilities, self.path, self.floors = languages, probabilities, path, floors
+
+
+class Scorer:
+    """On a worker: texts to their log-probability under each language, and their letters."""
+
+    def __init__(self, model: Model):
+        self.pieces, n = Pieces(model.path), len(model.languages)
+        self.logs = np.log(np.vstack([model.probabilities, np.full((1, n), UNKNOWN)]))
+        self.table = np.vstack([model.probabilities * SCALE ** self.pieces.lengths[:, None], np.full((1, n), UNKNOWN * SCALE)])
+        self.limit = max(1000, MEMO_BYTES // (8 * n + 120))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at: dict[int, int] = {}
+        self.rows = np.zeros((1024, self.table.shape[1]))
+
+    def _of(self, words: Words, which: np.ndarray) -> np.ndarray:
+        out = np.empty((len(which), self.table.shape[1]))
+        for part, points in words.by_size(which):
+            n, size = points.shape
+            hits = _hits(self.pieces.substrings(points))
+            if size - 1 > SHORT:
+                out[part] = _forward_logs(hits, self.logs)[-1]
+            else:
+                out[part] = np.log(_forward(hits, n, self.table)[-1]) - size * np.log(SCALE)
+        return out
+
+    def _remembered(self, words: Words) -> np.ndarray:
+        """Row numbers of short words; those not known yet are worked out. The memo starts anew when it is full."""
+        keys, first, back = np.unique(words.hash[words.size <= SHORT], return_index=True, return_inverse=True)
+        listed = keys.tolist()
+        if len(self.at) + len(set(listed).difference(self.at)) > self.limit and self.at:
+            self._clear()
+        at = np.fromiter(map(lambda k: self.at.get(k, -1), listed), np.int64, len(listed))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            n = len(self.at)
+            if n + len(new) > len(self.rows):
+                more = np.zeros((max(2 * len(self.rows), n + len(new)), self.rows.shape[1]))
+                more[:n] = self.rows[:n]
+                self.rows = more
+            at[new] = np.arange(n, n + len(new))
+            self.rows[at[new]] = self._of(words, np.flatnonzero(words.size <= SHORT)[first[new]])
+            self.at.update(zip(keys[new].tolist(), at[new].tolist(), strict=True))
+        return at[back]
+
+    def score(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        total, letters = np.zeros((len(many), self.table.shape[1])), np.zeros(len(many), np.int64)
+        for parts in _reads(many):
+            words = Words(parts)
+            if not len(words):
+                continue
+            rows = np.empty((len(words), total.shape[1]))
+            short = words.size <= SHORT
+            if short.any():
+                at = self._remembered(words)
+                rows[short] = self.rows[at]
+            if not short.all():
+                rows[~short] = self._of(words, np.flatnonzero(~short))
+            first = np.flatnonzero(np.diff(words.text, prepend=-1))
+            total[words.text[first]] += np.add.reduceat(rows, first)
+            letters[words.text[first]] += np.add.reduceat(words.letters, first)
+        return total, letters
+
+
+def expected_counts(pieces: Pieces, words: Words, which: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Pieces by columns of weights: each word's expected number of each piece, all pieces equally likely, times its weights."""
     total = np.zeros((len(pieces), weights.shape[1]))
-    table = (1.0 / len(pieces)) * SCALE ** pieces.lengths[:, None]
-    unknown = np.array([1e-7 * SCALE])
-    for group in _by_length(words):
-        found, n = pieces.substrings([words[i] for i in group])
-        wide = found.shape[2]
-        alpha = _forward(found, table, unknown)[:, :, 0]
-        beta = np.zeros((wide + 1, len(group)))
-        beta[n, np.arange(len(group))] = 1.0
-        for start in range(wide - 1, -1, -1):
-            for k in range(min(PIECE, wide - start)):
-                ids = found[:, k, start]
-                beta[start] += beta[start + k + 1] * np.where(ids >= 0, table[ids, 0], unknown[0] if k == 0 else 0.0)
-        whole = np.maximum(beta[0], 1e-300)
-        w = weights[group] / whole[:, None]
-        for start in range(wide):
-            for k in range(min(PIECE, wide - start)):
-                ids = found[:, k, start]
-                on = ids >= 0
-                if on.any():
-                    e = alpha[start, on] * table[ids[on], 0] * beta[start + k + 1, on]
-                    np.add.at(total, ids[on], e[:, None] * w[on])
+    table = np.append((1.0 / len(pieces)) * SCALE**pieces.lengths, UNKNOWN * SCALE)[:, None]
+    logs = np.append(np.full(len(pieces), -np.log(len(pieces))), np.log(UNKNOWN))[:, None]
+    for part, points in words.by_size(which):
+        hits, n = _hits(pieces.substrings(points)), len(points)
+        size = len(hits)
+        long = size - 1 > SHORT
+        alpha = _forward_logs(hits, logs) if long else _forward(hits, n, table)[:, :, 0]
+        beta = np.full((size + 1, 1), -np.inf) if long else np.zeros((size + 1, n))
+        beta[size] = 0.0 if long else 1.0
+        for start in range(size - 1, -1, -1):
+            for k, on, ids in hits[start]:
+                if long:
+                    beta[start] = np.logaddexp(beta[start], logs[ids[0]] + beta[start + k])
+                else:
+                    beta[start, on] += table[ids, 0] * beta[start + k, on]
+        for start in range(size):
+            for k, on, ids in hits[start]:
+                if long:
+                    share = np.exp(alpha[start] + logs[ids[0]] + beta[start + k] - beta[0])
+                else:
+                    share = alpha[start, on] * table[ids, 0] * beta[start + k, on] / beta[0, on]
+                known = ids >= 0
+                np.add.at(total, ids[known], share[known, None] * weights[part][on][known])
     return total
 
 
-def fit(docs: DataFrame, path: str, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """One step of expectation-maximisation from equal piece probabilities, over at most `fit_rows` rows a language.
+def _sample(docs: DataFrame, fit_rows: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], DataFrame]:
+    """Languages, and about `fit_rows` rows (lang, text) of each: those with the smallest hashes of id and text.
+
+    The hash that a language's rows stay below comes from an approximate count of its distinct hashes, so no task sees
+    all rows of a language; rows with one hash are one row.
+    """
+    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
+    counted = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
+    taken = F.lit(False)
+    for r in counted:
+        limit = min((1 << 63) - 1, int((1 << 64) * fit_rows / max(1, r["n"])) - (1 << 63))
+        taken = taken | ((F.col("lang") == r["lang"]) & (F.col("h") <= limit))
+    return sorted(r["lang"] for r in counted), rows.where(taken).dropDuplicates(["lang", "h"]).select("lang", "text")
+
+
+def fit(docs: DataFrame, path: str, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", floors: bool = False) -> Model | None:
+    """One step of expectation-maximisation from equal piece probabilities, over about `fit_rows` rows a language.
 
-    The driver gets only piece counts, at most the vocabulary's size for each language. None if nothing is labelled.
+    All languages of the column are learned. The driver gets only piece counts, at most the vocabulary's size for each
+    language. With `floors`, each language's lowest log-probability per letter among its fitted rows is kept as well,
+    which takes a second reading of them. None if nothing is labelled.
     """
-    ids = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    known = [r[0] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang").collect()]
+    small_batches(docs)
+    known, rows = _sample(docs, fit_rows, id_col, text_col, lang_col)
     if not known:
         return None
-    known.sort()
-    ranked = ids.withColumn("h", F.xxhash64("id"))
-    limits = ranked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") == fit_rows).select("lang", "h").collect()
-    limit = {r[0]: r[1] for r in limits}
-    takes = F.lit(False)
-    for lang in known:
-        takes = takes | ((F.col("lang") == lang) & (F.col("h") <= limit.get(lang, (1 << 63) - 1)))
-    rows = docs.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text")).where(takes).select("lang", "text")
+    column = {lang: i for i, lang in enumerate(known)}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, column = Pieces(path), {lang: i for i, lang in enumerate(known)}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(path)
         total = np.zeros((len(pieces), len(known)))
-        seen: dict[str, np.ndarray] = {}
-
-        def flush() -> None:
-            nonlocal total
-            if seen:
-                total += expected_counts(pieces, list(seen), np.array(list(seen.values())))
-                seen.clear()
-
         for whole in batches:
             for batch in pieces_of(whole):
-                for lang, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-                    at = column[lang]
-                    for w in words_of(text):
-                        row = seen.get(w)
-                        if row is None:
-                            row = seen[w] = np.zeros(len(known))
-                        row[at] += 1
-                if len(seen) > 100_000:
-                    flush()
-        flush()
+                lang = np.array([column[x] for x in batch.column(0).to_pylist()])
+                for parts in _reads(texts(batch)):
+                    words = Words(parts)
+                    keys, first, back = np.unique(words.hash, return_index=True, return_inverse=True)
+                    weights = np.zeros((len(keys), len(known)))
+                    np.add.at(weights, (back, lang[words.text]), 1.0)
+                    total += expected_counts(pieces, words, first, weights)
         p, at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(at, pa.int32()), pa.array(total[p, at], pa.float64())], ["piece", "lang", "n"])
 
-    small_batches(docs)
-    counts = rows.mapInArrow(run, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
-    size = len(Pieces(path))
-    table = np.full((size, len(known)), SMOOTHING)
+    counts = rows.mapInArrow(count, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+    table = np.full((len(Pieces(path)), len(known)), SMOOTHING)
     np.add.at(table, (counts["piece"].to_numpy(), counts["lang"].to_numpy()), counts["n"].to_numpy().round(6))
-    return Model(known, table / table.sum(0), path)
-
-
-def _judged(many: list[str], memo: Scores, languages: list[str]) -> tuple[list[str], list[float]]:
-    cut = [x.split(" ") for x in many]
-    memo.ready(cut)
-    best, sure = [], []
-    for parts in cut:
-        got = memo.rows[memo.index(parts)].sum(0)
-        if not got[-1]:
-            best.append("und")
-            sure.append(0.0)
-            continue
-        p = np.exp(got[:-1] - got[:-1].max())
-        i = int(p.argmax())
-        best.append(languages[i])
-        sure.append(float(p[i] / p.sum()))
-    return best, sure
+    model = Model(known, table / table.sum(0), path)
+    if floors:
+
+        def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer, least = Scorer(model), np.full(len(known), np.inf)
+            for whole in batches:
+                for batch in pieces_of(whole):
+                    lang = np.array([column[x] for x in batch.column(0).to_pylist()])
+                    total, letters = scorer.score(texts(batch))
+                    on = letters > 0
+                    np.minimum.at(least, lang[on], total[on, lang[on]] / letters[on])
+            on = np.flatnonzero(np.isfinite(least))
+            yield pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), pa.array(least[on], pa.float64())], ["lang", "least"])
+
+        model.floors = np.full(len(known), -np.inf)
+        for r in rows.mapInArrow(lowest, "lang int, least double").groupBy("lang").agg(F.min("least").alias("least")).collect():
+            model.floors[r["lang"]] = r["least"] - FLOOR_SLACK
+    return model
+
+
+def _judged(scorer: Scorer, many: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the best language, its posterior with equal priors, its log-probability per letter, letters."""
+    total, letters = scorer.score(many)
+    best = total.argmax(1)
+    top = total[np.arange(len(many)), best]
+    sure = 1.0 / np.exp(total - top[:, None]).sum(1)
+    return best, np.where(letters > 0, sure, 0.0), top / np.maximum(letters, 1), letters
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col`, lang_pred and score, the posterior of that language with equal priors, for every whole text.
 
-    `und` with score 0 if the text is null or has no letter, or if nothing could be learned. Ties go to the language
-    first in alphabetical order. One row for each row; other columns are not read.
+    `und` with score 0 if the text is null or has no letter (Unicode category L), or if nothing could be learned. Ties
+    go to the language first in alphabetical order. Null and repeated ids and repeated rows come out as they came in,
+    one row for each; ids must be integers; other columns are not read.
     """
-    score, languages = (model.scorer, model.languages) if model else (None, [])
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if model is None:
+        return rows.select(F.col("id").alias(id_col), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Scores(score(), len(languages) + 1, 150_000) if score else Scores(lambda keys: np.zeros((len(keys), 1)), 1)
+        scorer, names = Scorer(model), np.array([*model.languages, "und"], object)
         for whole in batches:
             for batch in pieces_of(whole):
-                best, sure = _judged(texts(batch), memo, languages)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(sure, pa.float64())], ["id", "lang_pred", "score"])
+                best, sure, _, letters = _judged(scorer, texts(batch))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[np.where(letters > 0, best, -1)], pa.string()), pa.array(sure, pa.float64())], ["id", "lang_pred", "score"])
 
     small_batches(docs)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def keep_languages(docs: DataFrame, model: Model | None, wanted: list[str] | None = None, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose language is one of `wanted` (None: any learned one) with that score.
 
-    Texts without a letter are `und`, which is kept only if `wanted` names it.
+    Where the model has floors, the text's log-probability per letter must reach its language's too: the posterior
+    alone only tells learned languages from each other. Texts without a letter are `und`, kept only if `wanted` names it.
     """
+    und = wanted is not None and "und" in wanted
     if model is None:
-        return docs.where(F.lit(wanted is not None and "und" in wanted))
-    scorer, languages, at = model.scorer, model.languages, docs.columns.index(text_col)
+        return docs.where(F.lit(und))
+    at = docs.columns.index(text_col)
+    allowed = np.array([wanted is None or x in wanted for x in model.languages])
+    floors = np.full(len(allowed), -np.inf) if model.floors is None else model.floors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Scores(scorer(), len(languages) + 1, 150_000)
+        scorer = Scorer(model)
         for whole in batches:
             for batch in pieces_of(whole):
-                best, sure = _judged([x or "" for x in batch.column(at).to_pylist()], memo, languages)
-                keep = [b == "und" and wanted is not None and b in wanted or b != "und" and (wanted is None or b in wanted) and s >= least for b, s in zip(best, sure, strict=True)]
+                best, sure, each, letters = _judged(scorer, [x or "" for x in batch.column(at).to_pylist()])
+                keep = np.where(letters > 0, allowed[best] & (sure >= least) & (each >= floors[best]), und)
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
     small_batches(docs)
