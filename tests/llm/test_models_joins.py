@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import graph, jaccard, langid, search, toxicity, vectors
+from tidemark.llm import graph, jaccard, langid, search, toxicity, units, vectors
 
 DATA = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -57,7 +57,7 @@ def test_expected_counts_by_enumeration(monkeypatch):
     text = "the reading ñandú жx"
     for short in (langid.SHORT, 3):
         monkeypatch.setattr(langid, "SHORT", short)
-        words = langid.Words([(0, text)])
+        words = langid.words_of([(0, text)])
         got = langid.expected_counts(pieces, words, np.arange(4), np.array([[1.0, 0], [2, 0], [0, 1], [0.5, 0.25]]))
         want = np.zeros((len(pieces), 2))
         for word, w in zip(text.split(), ([1.0, 0], [2, 0], [0, 1], [0.5, 0.25]), strict=True):
@@ -86,14 +86,13 @@ def test_words_of_texts(monkeypatch):
                 run = ""
         return out
 
-    for read in (langid.READ, 5):
-        monkeypatch.setattr(langid, "READ", read)
+    for read in (units.READ, 5):
+        monkeypatch.setattr(units, "READ", read)
         got: dict = {}
         keys: dict = {}
-        for parts in langid._reads(many):
-            words = langid.Words(parts)
-            for i, at, n, h in zip(words.text, words.start, words.size, words.hash):
-                spelled = "".join(map(chr, words.points[at : at + n]))
+        for parts in units.reads(many):
+            words = langid.words_of(parts)
+            for i, spelled, h in zip(words.text, words.spelled(np.arange(len(words))), words.hash):
                 got.setdefault(i, []).append(spelled)
                 assert keys.setdefault(spelled, h) == h
         assert [got.get(i, []) for i in range(len(many))] == list(map(by_hand, many))
@@ -145,11 +144,77 @@ def test_toxicity_sees_through_disguise(spark):
     assert toxicity.score(docs(spark, [(1, "a")]), None).first()["score"] == 0.0
 
 
+def kernel_by_hand(a, b):
+    """Over all ordered choices of 3 or 4 characters within the window, by the characters themselves."""
+    from itertools import combinations
+
+    def held(s):
+        s, out = "^" + s, Counter()
+        for n in (3, 4):
+            for c in combinations(range(len(s)), n):
+                if c[-1] - c[0] < toxicity.WINDOW:
+                    out["".join(s[i] for i in c)] += toxicity.DECAY ** (c[-1] - c[0] - n + 1)
+        return out
+
+    x, y = held(a), held(b)
+    dot = lambda p, q: sum(v * q[k] for k, v in p.items())
+    return dot(x, y) / np.sqrt(dot(x, x) * dot(y, y))
+
+
+def test_kernel_by_enumeration(monkeypatch):
+    monkeypatch.setattr(toxicity, "TABLE_BITS", 28)
+    for a, b in (("aaaaaa", "aaaa"), ("banana", "ananas"), ("idiot", "idxiot"), ("idiot", "idiot"), ("blockhead", "bl0ckhead"), ("ab", "abc"), ("thth", "htht")):
+        assert toxicity.kernel([a], [b])[0, 0] == pytest.approx(kernel_by_hand(a, b), rel=1e-5), (a, b)
+
+
 def test_margins_are_the_nystroem_machine():
     weights = np.random.default_rng(1).standard_normal(1 << toxicity.TABLE_BITS).astype(np.float32)
-    spans = ["a", "insult", "ungeheuerlich"]
+    model = toxicity.Model(weights, 0.25, 1, 0)
+    spans = ["a", "insult", "banana", "ungeheuerlich", "aaaaaaaa"]
     i, code, w = toxicity.subsequences(spans)
-    assert toxicity.Model(weights, 0.25, 1, 0).margins(spans) == pytest.approx(np.bincount(i, w * weights[code], 3) + 0.25, rel=1e-5)
+    assert np.bincount(i, w * w, 5) == pytest.approx([0, 1, 1, 1, 1])
+    assert model.margins(spans) == pytest.approx(np.bincount(i, w * weights[code], 5) + 0.25, rel=1e-5)
+    text = "An insult,ba-nana x\nu n g e\n" + "ungeheuerlich" * 9 + " i d i o t!"
+    want = max(model.margins(list(toxicity.spans_of([text])[0])))
+    assert toxicity.Judge(model).judge([text, ""]) == pytest.approx([model.probability(want), model.probability(model.offset - 1)])
+    assert toxicity.spans_of(["Ab-c d\ne i d i o t.", "", "x" * 30]) == [{"abc", "d", "e", "i", "o", "t", "idiot"}, set(), {"x" * 24, "x" * 18}]
+
+
+def test_one_mislabelled_text_does_not_hide_an_insult():
+    r = random.Random(9)
+    words = ["".join(r.choice("aeioustrnlmd") for _ in range(r.randint(3, 8))) for _ in range(200)]
+    say = lambda *more: " ".join([r.choice(words) for _ in range(20)] + list(more))
+    rows = [(say("grobnik"), 1) for _ in range(60)] + [(say(), 0) for _ in range(150)] + [(say("grobnik"), 0)]
+    judge = toxicity.Judge(toxicity.train(rows))
+    assert judge.judge([say("grobnik")])[0] >= 0.5 and max(judge.judge([say() for _ in range(30)])) < 0.5
+
+
+def test_toxicity_edges(spark):
+    r = random.Random(3)
+    words = ["".join(r.choice("aeioustrnlmd") for _ in range(r.randint(3, 8))) for _ in range(100)]
+    rows = [(" ".join([r.choice(words) for _ in range(12)] + ["zwumpus"] * y), y) for y in (0, 1) for _ in range(40)]
+    table = docs(spark, [(i, t) for i, (t, _) in enumerate(rows)])
+    labels = spark.createDataFrame([*((i, y, 5) for i, (_, y) in enumerate(rows)), (0, 1, 5), (None, 1, 5), (3, None, 5), (7, 9, 5)], "doc_id long, toxic int, text int")
+    model = toxicity.fit(table, labels)
+    odd = docs(spark, [(None, "zwumpus"), (1, None), (2, ""), (3, "x " * 60_000 + "zwumpus"), (4, "a" * 100_000), (4, words[0])])
+    got = sorted((x["doc_id"] or 0, x["predicted"]) for x in toxicity.score(odd, model).collect())
+    assert got == [(0, 1), (1, 0), (2, 0), (3, 1), (4, 0), (4, 0)]
+    kept = toxicity.keep_clean(odd, model)
+    assert kept.columns == odd.columns and sorted(x["doc_id"] for x in kept.collect()) == [1, 2, 4, 4]
+    assert toxicity.score(odd.limit(0), model).count() == 0 and toxicity.keep_clean(odd.limit(0), model).count() == 0
+    assert toxicity.fit(table, labels.limit(0)) is None and toxicity.fit(table.limit(0), labels) is None
+
+
+@needs_data
+def test_toxicity_held_out(spark):
+    at = DATA.replace("0.01", "0.1")
+    table = spark.read.parquet(f"{at}/documents.parquet")
+    truth = spark.read.parquet(f"{at}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    scored = graph.written(toxicity.op8_toxicity(spark, at), "scored")
+    got = scored.where("held_out").join(truth, "doc_id").groupBy("toxic", "predicted").count().collect()
+    right = {y: sum(r["count"] for r in got if r["toxic"] == y == r["predicted"]) / sum(r["count"] for r in got if r["toxic"] == y) for y in (0, 1)}
+    assert right[0] >= 0.95 and right[1] >= 0.8, right  # about a tenth of these tables' labels fit no text
+    assert scored.count() == table.count()
 
 
 def groups(n, links):

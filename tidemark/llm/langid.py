@@ -7,9 +7,7 @@ runs of letters and the marks that go with them; what else a text holds says not
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -18,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.tokencount import MARK, read_vocabulary
-from tidemark.llm.units import pieces_of, small_batches, texts
+from tidemark.llm.units import Rows, Runs, code_points, per_text, pieces_of, reads, small_batches, texts
 
 #: Rows of each language that the model is fitted on, about: those with the smallest hashes.
 FIT_ROWS = 3000
@@ -28,95 +26,21 @@ SMOOTHING, UNKNOWN = 0.05, 1e-7
 SHORT = 40
 #: Each piece's probability is multiplied by this to the power of its length, to stay within a double's range.
 SCALE = 24.0
-#: Characters that are read at once, but for a longer text without white space; bytes of a worker's memo of words.
-READ, MEMO_BYTES = 1 << 20, 64 << 20
 #: A text is in a language if its log-probability per letter is not this far below the language's lowest fitted row.
 FLOOR_SLACK = 0.5
 
 _STEP, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(maxsize=1)
-def _kinds() -> np.ndarray:
-    """Of each code point: 1 for a letter (Unicode category L), 2 for a mark (M), else 0."""
-    kind = {"L": 1, "M": 2}
-    return np.frombuffer(bytes(kind.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), np.uint8)
-
-
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
-    base = 0x5851F42D4C957F2D
-    made = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(n, b, np.uint64)
-        p[0] = 1
-        made.append(np.multiply.accumulate(p))
-    return made[0], made[1]
-
-
-def _reads(many: list[str]) -> Iterator[list[tuple[int, str]]]:
-    """Numbers of texts with their lower-case parts, about READ characters together; cuts fall behind white space only."""
-    some, size = [], 0
-    for i, text in enumerate(many):
-        low, at = text.lower(), 0
-        while at < len(low):
-            end = len(low)
-            if end - at > READ:
-                end = at + READ
-                while end < len(low) and not low[end - 1].isspace():
-                    end += 1
-            some.append((i, low[at:end]))
-            size, at = size + end - at, end
-            if size >= READ:
-                yield some
-                some, size = [], 0
-    if some:
-        yield some
-
-
-class Words:
-    """The words of some parts of texts, in order: text, start, length, letters, hash."""
-
-    def __init__(self, parts: list[tuple[int, str]]):
-        self.points = np.frombuffer("\n".join([p for _, p in parts]).encode("utf-32-le"), "<u4")
-        kind = _kinds()[self.points]
-        inside = np.zeros(len(kind) + 2, np.int8)
-        inside[1:-1] = kind > 0
-        edges = np.flatnonzero(np.diff(inside))
-        start, end = edges[::2], edges[1::2]
-        letters = np.concatenate([[0], np.cumsum(kind == 1)])
-        letters = letters[end] - letters[start]
-        on = letters > 0
-        self.start, self.size, self.letters = start[on], (end - start)[on], letters[on]
-        ends = np.cumsum([len(p) + 1 for _, p in parts])
-        self.text = np.array([i for i, _ in parts])[np.searchsorted(ends, self.start, "right")]
-        up, down = _powers(1 << max(READ, len(self.points)).bit_length())
-        mixed = (self.points.astype(np.uint64) + np.uint64(1)) * _MIX
-        mixed ^= mixed >> np.uint64(29)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * up[: len(mixed)], dtype=np.uint64)])
-        self.hash = (sums[self.start + self.size] - sums[self.start]) * down[self.start] + self.size.astype(np.uint64) * _MIX
+def words_of(parts: list[tuple[int, str]]) -> Runs:
+    """Lower-case runs of letters and marks (Unicode categories L and M) with one letter at least."""
+    runs = Runs([(i, part.lower()) for i, part in parts], "letter or mark")
+    return runs.only(runs.count("letter") > 0)
 
-    def __len__(self) -> int:
-        return len(self.start)
-
-    def spelled(self, which: np.ndarray, size: int) -> np.ndarray:
-        """Code points of these words, all of that size, behind MARK."""
-        out = np.empty((len(which), size + 1), np.uint64)
-        out[:, 0] = ord(MARK)
-        out[:, 1:] = self.points[self.start[which, None] + np.arange(size)]
-        return out
 
-    def by_size(self, which: np.ndarray, most: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places in `which` and code points of words of one size at a time; long words singly."""
-        size = self.size[which]
-        order = np.argsort(size, kind="stable")
-        cuts = np.flatnonzero(np.diff(size[order])) + 1
-        for group in np.split(order, cuts) if len(order) else []:
-            n = int(size[group[0]])
-            for at in range(0, len(group), most if n <= SHORT else 1):
-                part = group[at : at + (most if n <= SHORT else 1)]
-                yield part, self.spelled(which[part], n)
+def _marked(points: np.ndarray) -> np.ndarray:
+    """Words' code points behind MARK."""
+    return np.insert(points.astype(np.uint64), 0, ord(MARK), 1)
 
 
 class Pieces:
@@ -125,9 +49,9 @@ class Pieces:
     def __init__(self, path: str, slots: int = 19):
         self.names = sorted({p.lower() for p, _ in read_vocabulary(path)} - {""})
         self.lengths = np.array([len(p) for p in self.names])
-        kinds = _kinds()
+        inner = code_points("letter or mark")
         #: Length of the longest piece that a word can hold.
-        self.reach = max((len(p) for p in self.names if all(kinds[ord(c)] for c in p.removeprefix(MARK))), default=1)
+        self.reach = max((len(p) for p in self.names if all(inner[ord(c)] for c in p.removeprefix(MARK))), default=1)
         self.shift = np.uint64(64 - slots)
         self.keys, self.ids = np.zeros(1 << slots, np.uint64), np.full(1 << slots, -1, np.int32)
         for i, p in enumerate(self.names):
@@ -211,69 +135,35 @@ class Scorer:
         self.pieces, n = Pieces(model.path), len(model.languages)
         self.logs = np.log(np.vstack([model.probabilities, np.full((1, n), UNKNOWN)]))
         self.table = np.vstack([model.probabilities * SCALE ** self.pieces.lengths[:, None], np.full((1, n), UNKNOWN * SCALE)])
-        self.limit = max(1000, MEMO_BYTES // (8 * n + 120))
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.rows = np.zeros((1024, self.table.shape[1]))
+        self.memo = Rows(self._of, n, SHORT)
 
-    def _of(self, words: Words, which: np.ndarray) -> np.ndarray:
+    def _of(self, words: Runs, which: np.ndarray) -> np.ndarray:
         out = np.empty((len(which), self.table.shape[1]))
-        for part, points in words.by_size(which):
+        for part, points in words.by_size(which, SHORT):
             n, size = points.shape
-            hits = _hits(self.pieces.substrings(points))
-            if size - 1 > SHORT:
+            hits = _hits(self.pieces.substrings(_marked(points)))
+            if size > SHORT:
                 out[part] = _forward_logs(hits, self.logs)[-1]
             else:
-                out[part] = np.log(_forward(hits, n, self.table)[-1]) - size * np.log(SCALE)
+                out[part] = np.log(_forward(hits, n, self.table)[-1]) - (size + 1) * np.log(SCALE)
         return out
 
-    def _remembered(self, words: Words) -> np.ndarray:
-        """Row numbers of short words; those not known yet are worked out. The memo starts anew when it is full."""
-        keys, first, back = np.unique(words.hash[words.size <= SHORT], return_index=True, return_inverse=True)
-        listed = keys.tolist()
-        if len(self.at) + len(set(listed).difference(self.at)) > self.limit and self.at:
-            self._clear()
-        at = np.fromiter(map(lambda k: self.at.get(k, -1), listed), np.int64, len(listed))
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            n = len(self.at)
-            if n + len(new) > len(self.rows):
-                more = np.zeros((max(2 * len(self.rows), n + len(new)), self.rows.shape[1]))
-                more[:n] = self.rows[:n]
-                self.rows = more
-            at[new] = np.arange(n, n + len(new))
-            self.rows[at[new]] = self._of(words, np.flatnonzero(words.size <= SHORT)[first[new]])
-            self.at.update(zip(keys[new].tolist(), at[new].tolist(), strict=True))
-        return at[back]
-
     def score(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        total, letters = np.zeros((len(many), self.table.shape[1])), np.zeros(len(many), np.int64)
-        for parts in _reads(many):
-            words = Words(parts)
-            if not len(words):
-                continue
-            rows = np.empty((len(words), total.shape[1]))
-            short = words.size <= SHORT
-            if short.any():
-                at = self._remembered(words)
-                rows[short] = self.rows[at]
-            if not short.all():
-                rows[~short] = self._of(words, np.flatnonzero(~short))
-            first = np.flatnonzero(np.diff(words.text, prepend=-1))
-            total[words.text[first]] += np.add.reduceat(rows, first)
-            letters[words.text[first]] += np.add.reduceat(words.letters, first)
-        return total, letters
-
-
-def expected_counts(pieces: Pieces, words: Words, which: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        total, letters = np.zeros((len(many), self.table.shape[1])), np.zeros((len(many), 1), np.int64)
+        for parts in reads(many):
+            words = words_of(parts)
+            total += per_text(words, self.memo.of(words), len(many))
+            letters += per_text(words, words.count("letter")[:, None], len(many)).astype(np.int64)
+        return total, letters[:, 0]
+
+
+def expected_counts(pieces: Pieces, words: Runs, which: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Pieces by columns of weights: each word's expected number of each piece, all pieces equally likely, times its weights."""
     total = np.zeros((len(pieces), weights.shape[1]))
     table = np.append((1.0 / len(pieces)) * SCALE**pieces.lengths, UNKNOWN * SCALE)[:, None]
     logs = np.append(np.full(len(pieces), -np.log(len(pieces))), np.log(UNKNOWN))[:, None]
-    for part, points in words.by_size(which):
-        hits, n = _hits(pieces.substrings(points)), len(points)
+    for part, points in words.by_size(which, SHORT):
+        hits, n = _hits(pieces.substrings(_marked(points))), len(points)
         size = len(hits)
         long = size - 1 > SHORT
         alpha = _forward_logs(hits, logs) if long else _forward(hits, n, table)[:, :, 0]
@@ -330,8 +220,8 @@ def fit(docs: DataFrame, path: str, fit_rows: int = FIT_ROWS, id_col: str = "doc
         for whole in batches:
             for batch in pieces_of(whole):
                 lang = np.array([column[x] for x in batch.column(0).to_pylist()])
-                for parts in _reads(texts(batch)):
-                    words = Words(parts)
+                for parts in reads(texts(batch)):
+                    words = words_of(parts)
                     keys, first, back = np.unique(words.hash, return_index=True, return_inverse=True)
                     weights = np.zeros((len(keys), len(known)))
                     np.add.at(weights, (back, lang[words.text]), 1.0)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.units import Scores, pieces_of, small_batches, texts
+from tidemark.llm.units import Rows, Runs, per_text, pieces_of, reads, small_batches, texts
 
 #: Stands for a space, and before each word.
 MARK = "▁"
@@ -69,25 +69,39 @@ class Counter:
         return pieces[n]
 
 
+class Texts:
+    """On a worker: texts to their numbers of tokens."""
+
+    def __init__(self, counter: Counter):
+        self.memo = Rows(lambda runs, which: np.array([[counter.count(MARK + w)] for w in runs.spelled(which)], float).reshape(-1, 1), 1)
+        self.bare = counter.count(MARK)
+
+    def count(self, many: list[str]) -> np.ndarray:
+        """Chunks between spaces count once each when new; those that hold nothing, between two spaces, count as MARK alone."""
+        many = [x.replace(MARK, " ") for x in many]
+        chunks = np.array([x.count(" ") + (x[:1] not in ("", " ")) for x in many], np.int64)
+        total, held = np.zeros(len(many), np.int64), np.zeros(len(many), np.int64)
+        for parts in reads(many):
+            runs = Runs(parts, "not space")
+            total += per_text(runs, self.memo.of(runs), len(many))[:, 0].astype(np.int64)
+            held += np.bincount(runs.text, minlength=len(many))
+        return total + (chunks - held) * self.bare
+
+
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every text's number of tokens, as `tokenizers.models.Unigram` over the pieces and scores of `path` gives it.
 
     Spaces become `MARK`, one is put before the text, and words are cut before each mark. Returns `id_col`, n_tokens
-    and n_chars (code points). Null counts as the empty text: 0 and 0. One row for each row, repeated ones too; other
-    columns are not read.
+    and n_chars (code points). Null counts as the empty text: 0 and 0. Null and repeated ids and repeated rows come out
+    as they came in, one row for each; ids must be integers; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(read_vocabulary(path))
-        memo = Scores(lambda keys: np.array([[counter.count(MARK + k)] for k in keys], float), 1)
+        counter = Texts(Counter(read_vocabulary(path)))
         for whole in batches:
             for batch in pieces_of(whole):
                 many = texts(batch)
-                cut = [x.replace(MARK, " ").split(" ") for x in many]
-                cut = [x if x[0] else x[1:] for x in cut]
-                memo.ready(cut)
-                counts = [int(memo.rows[memo.index(x), 0].sum()) for x in cut]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array([len(x) for x in many], pa.int64())], ["id", "n_tokens", "n_chars"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counter.count(many), pa.int64()), pa.array([len(x) for x in many], pa.int64())], ["id", "n_tokens", "n_chars"])
 
     small_batches(docs)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_tokens long, n_chars long").withColumnRenamed("id", id_col)

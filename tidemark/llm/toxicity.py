@@ -2,10 +2,9 @@
 
 The kernel of two spans sums, over all ordered choices of 3 or 4 characters that both hold within WINDOW, DECAY to the
 power of the characters that each choice skips; so an insult keeps most of its weight when characters are inserted or
-dropped. Landmarks are spans of labelled sentences; a span's Nystroem features are its kernel values with them, times
+dropped. Landmarks are spans of labelled texts; a span's Nystroem features are its kernel values with them, times
 the inverse root of their own kernel matrix. The machine is linear in these features, so after training landmarks,
-root and weights fold into one weight for each subsequence. A sentence scores as its worst span, a text as its worst
-sentence, and a logistic curve turns that margin into a probability.
+root and weights fold into one weight for each subsequence. A text scores as its worst span, and a logistic curve turns that margin into a probability.
 
 A span is a chunk between spaces without its punctuation; four or more single characters in a row ("i d i o t") are
 one span.
@@ -23,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.units import Scores, pieces_of, small_batches, texts
+from tidemark.llm.units import Rows, Runs, per_text, pieces_of, reads, small_batches, texts
 
 #: Bound of the fit: rows of each label, those with the smallest hashes of their id, and their longest text.
 FIT_ROWS, FIT_CHARS = 3000, 20_000
 #: Landmarks; clean spans that the machine starts from; rounds of adding the clean spans that it gets wrong.
 LANDMARKS, CLEAN_SPANS, ROUNDS = 160, 6000, 4
-#: Association with the label (log-likelihood ratio) from which a span counts as positive wherever it stands.
-SURE = 20.0
+#: Association with the label (log-likelihood ratio) from which a span counts as positive wherever it stands, and the
+#: share of toxic texts among those that hold it, were both labels as frequent, from which clean ones count as mislabelled.
+SURE, SHARE = 20.0, 0.9
 #: Characters that a subsequence may stretch over; weight lost for each character that it skips.
 WINDOW, DECAY = 7, 0.45
 #: Subsequences are hashed to this many bits.
@@ -38,26 +38,40 @@ TABLE_BITS = 20
 #: Longer spans are cut into overlapping parts of that length.
 LONGEST = 24
 
-_WORD = re.compile(r"[^\W_]+")
-_SENTENCE = re.compile(r"[.!?\n]+")
+#: Four or more single letters or digits between single spaces.
+_SPELLED = re.compile(r"(?<![^ ])[^\W_](?: [^\W_]){3,}(?![^\W_])")
 
 
-def spans_of(chunk: str) -> list[str]:
-    """Lower-case spans of a chunk: each line's letters and digits, punctuation between them dropped."""
-    out = []
-    for line in chunk.lower().split("\n"):
-        w = "".join(_WORD.findall(line))
-        if w:
-            out += [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2)]
+def _parts(span: str) -> list[str]:
+    """A long span in overlapping parts of LONGEST."""
+    return [span] if len(span) <= LONGEST else [span[i : i + LONGEST] for i in range(0, len(span) - LONGEST // 2, LONGEST // 2)]
+
+
+def spans_of(many: list[str]) -> list[set[str]]:
+    """Each text's lower-case spans: the letters and digits between spaces and line ends, what else stands there dropped; and spelled ones."""
+    out = [{p for s in spelled(text) for p in _parts(s)} for text in many]
+    for parts in reads([text.lower() for text in many]):
+        runs = Runs(parts, "alphanumeric", "space or line")
+        _, first, place = np.unique(runs.hash, return_index=True, return_inverse=True)
+        names = [_parts(s) for s in runs.spelled(first)]
+        for i, k in set(zip(runs.text.tolist(), place.tolist(), strict=True)):
+            out[i].update(names[k])
     return out
 
 
-def _choices() -> list[tuple[tuple[int, ...], float]]:
-    """Places of the chosen characters after the first, and the weight of the gaps."""
-    return [((0, *c), DECAY ** (c[-1] - n + 1)) for n in (3, 4) for c in combinations(range(1, WINDOW), n - 1)]
+def spelled(text: str) -> list[str]:
+    """Runs of four or more single characters, each run as one span."""
+    return [m.replace(" ", "").lower() for m in _SPELLED.findall(text)]
+
+
+def _choices() -> list[tuple[tuple[int, ...], int]]:
+    """Places of the chosen characters after the first, and how many characters are skipped."""
+    return [((0, *c), c[-1] - n + 1) for n in (3, 4) for c in combinations(range(1, WINDOW), n - 1)]
 
 
 CHOICES = _choices()
+#: Weight by the number of skipped characters; bits that hold that number.
+WEIGHTS, GAP_BITS = DECAY ** np.arange(WINDOW), 3
 
 
 def _hashed(h: np.ndarray, places: tuple[int, ...], reach: int) -> np.ndarray:
@@ -70,24 +84,42 @@ def _hashed(h: np.ndarray, places: tuple[int, ...], reach: int) -> np.ndarray:
     return code >> np.uint32(32 - TABLE_BITS)
 
 
-def subsequences(spans: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All spans' subsequences: span number, hashed subsequence, weight; a span's weights have length 1 together."""
-    marked = [f"^{s}" for s in spans]
-    n = np.array([len(s) for s in marked])
-    wide = int(n.max(initial=1)) + WINDOW
-    c = np.frombuffer("".join(s.ljust(wide, "\0") for s in marked).encode("utf-32-le"), np.uint32).reshape(len(spans), wide)
+def _codes(points: np.ndarray) -> np.ndarray:
+    """For each span, given as a row of code points, its chosen subsequences' codes above their numbers of gaps, sorted."""
+    c = np.empty((len(points), points.shape[1] + 1), np.uint32)
+    c[:, 0], c[:, 1:] = ord("^"), points
     h = (c * np.uint32(0x9E3779B1)) ^ (c >> np.uint32(3))
-    rows, codes, weights = [], [], []
-    for places, weight in CHOICES:
-        last = places[-1]
-        reach = wide - last
-        i, j = np.nonzero(np.arange(reach)[None, :] + last < n[:, None])
-        rows.append(i)
-        codes.append(_hashed(h, places, reach)[i, j])
-        weights.append(np.full(len(i), weight))
-    i, code, w = np.concatenate(rows), np.concatenate(codes).astype(np.int64), np.concatenate(weights)
-    length = np.sqrt(np.bincount(i, w * w, len(spans)))
-    return i, code, w / np.maximum(length, 1e-12)[i]
+    found = [(_hashed(h, places, c.shape[1] - places[-1]) << np.uint32(GAP_BITS)) | np.uint32(gaps) for places, gaps in CHOICES if places[-1] < c.shape[1]]
+    return np.sort(np.concatenate(found, 1), axis=1) if found else np.zeros((len(c), 0), np.uint32)
+
+
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted codes: span, subsequence and its weight, summed over its occurrences; a span's weights have length 1 together."""
+    n, wide = codes.shape
+    if not wide:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    flat = codes.ravel()
+    code = flat >> np.uint32(GAP_BITS)
+    fresh = np.ones(len(flat), bool)
+    fresh[1:] = code[1:] != code[:-1]
+    fresh[::wide] = True
+    first = np.flatnonzero(fresh)
+    weight = np.add.reduceat(WEIGHTS[flat & np.uint32((1 << GAP_BITS) - 1)], first)
+    span = first // wide
+    return span, code[first].astype(np.int64), weight / np.sqrt(np.bincount(span, weight * weight, n))[span]
+
+
+def subsequences(spans: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All spans' distinct subsequences: span number, hashed subsequence, weight; a span's weights have length 1 together."""
+    by_length: dict[int, list[int]] = {}
+    for k, s in enumerate(spans):
+        by_length.setdefault(len(s), []).append(k)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for n, part in by_length.items():
+        points = np.frombuffer("".join(spans[k] for k in part).encode("utf-32-le"), "<u4").reshape(len(part), n)
+        span, code, weight = _distinct(_codes(points))
+        found.append((np.array(part)[span], code, weight))
+    return tuple(np.concatenate([f[x] for f in found]) for x in range(3))
 
 
 def kernel(spans: list[str], landmarks: list[str], rows: int = 256) -> np.ndarray:
@@ -113,22 +145,21 @@ class Model:
     def __init__(self, weights: np.ndarray, offset: float, slope: float, shift: float):
         self.weights, self.offset, self.slope, self.shift = weights, offset, slope, shift
 
+    def of_points(self, points: np.ndarray) -> np.ndarray:
+        """Margins of spans of one length, given as rows of code points."""
+        span, code, weight = _distinct(_codes(points))
+        return self.offset + np.bincount(span, weight * self.weights[code], len(points))
+
     def margins(self, spans: list[str]) -> np.ndarray:
-        """As the sum over `subsequences`, spans of one length at a time."""
+        """The sum over a span's distinct subsequences of their weight in it times that of the machine."""
         out = np.full(len(spans), self.offset)
         by_length: dict[int, list[int]] = {}
         for k, s in enumerate(spans):
-            by_length.setdefault(len(s) + 1, []).append(k)
+            by_length.setdefault(len(s), []).append(k)
         for n, part in by_length.items():
-            c = np.frombuffer("".join(f"^{spans[k]}" for k in part).encode("utf-32-le"), np.uint32).reshape(len(part), n)
-            h = (c * np.uint32(0x9E3779B1)) ^ (c >> np.uint32(3))
-            total, square = np.zeros(len(part)), 0.0
-            for places, weight in CHOICES:
-                reach = n - places[-1]
-                if reach > 0:
-                    total += weight * self.weights[_hashed(h, places, reach)].sum(1)
-                    square += weight * weight * reach
-            out[part] += total / max(np.sqrt(square), 1e-12)
+            for at in range(0, len(part), 4096):
+                some = part[at : at + 4096]
+                out[some] = self.of_points(np.frombuffer("".join(spans[k] for k in some).encode("utf-32-le"), "<u4").reshape(len(some), n))
         return out
 
     def probability(self, margin: float) -> float:
@@ -168,17 +199,11 @@ def _association(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
 def train(rows: list[tuple[str, int]]) -> Model | None:
     """A model of labelled texts, or None if either label is missing.
 
-    Every sentence of a clean text is clean. In a toxic text the witness, the span that most speaks for toxicity, is
+    Every span of a clean text is clean. In a toxic text the witness, the span that most speaks for toxicity, is
     the positive one; first by how often texts of either label hold it, then by the machine's own margins.
     """
     held, one = [], {}
-    for text, label in rows:
-        spans = set()
-        for sentence in _SENTENCE.split(text):
-            parts = sentence.split(" ")
-            for part in parts:
-                spans.update(spans_of(part))
-            spans.update(_spelled(parts))
+    for spans, (_, label) in zip(spans_of([text for text, _ in rows]), rows, strict=True):
         held.append((frozenset(one.setdefault(s, s) for s in spans), label))
     texts_of = [sum(1 for _, y in held if y == k) for k in (0, 1)]
     if not all(texts_of):
@@ -192,11 +217,17 @@ def train(rows: list[tuple[str, int]]) -> Model | None:
     clean = sorted(df[0])
     if not witness or not clean:
         return None
+    frequent = [s for s, _ in df[0].most_common(400)]
     rng = np.random.default_rng(5)
     start = [clean[i] for i in rng.permutation(len(clean))[:CLEAN_SPANS]]
-    frequent = [s for s, _ in df[0].most_common(400)]
     sure = {s: g for s, n in df[1].items() if (g := _association(n, df[0][s], texts_of[1], texts_of[0])) >= SURE}
     known = sorted(sure, key=lambda s: (-sure[s], s))[:1500]
+    # A span that toxic texts hold far more often stays positive, by its share, though a clean text or two hold it.
+    share = {s: df[1][s] / (df[1][s] + df[0][s] * texts_of[1] / texts_of[0]) for s in known}
+    trusted = {s for s in known if share[s] >= SHARE}
+    trust = {s: share[s] * sure[s] / (sure[s] + 5 * SURE) for s in known}
+    clean = [s for s in clean if s not in trusted]
+    frequent, start = [s for s in frequent if s not in trusted], [s for s in start if s not in trusted]
     positive = list(dict.fromkeys(known + [s for s, _ in sorted(witness.items(), key=lambda x: (-x[1], x[0]))]))[:2000]
     landmarks = positive[: LANDMARKS // 2]
     negative = list(dict.fromkeys(frequent + start))
@@ -207,7 +238,7 @@ def train(rows: list[tuple[str, int]]) -> Model | None:
         values, vectors = np.linalg.eigh(own + 1e-6 * np.eye(len(landmarks)))
         root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
         seen = [(s, 1.0) for s in positive] + [(d, 0.5) for k, s in enumerate(known[:60]) if len(s) > 3 for d in _disguised(s, k + turn)]
-        seen = [(s, w) for s, w in seen if df[0][s] == 0]
+        seen = [(s, w * trust.get(s, 0.5)) for s, w in seen if s in trusted or df[0][s] == 0]
         x = kernel([s for s, _ in seen] + negative, landmarks) @ root
         y = np.array([1.0] * len(seen) + [-1.0] * len(negative))
         weight = np.array([w for _, w in seen] + [1.0] * len(negative))
@@ -222,7 +253,7 @@ def train(rows: list[tuple[str, int]]) -> Model | None:
         worst = sorted((s for s in clean if margins[s] > -0.5), key=lambda s: (-margins[s], s))[:1500]
         negative = list(dict.fromkeys(negative + worst))
         landmarks = list(dict.fromkeys(landmarks + worst[:20]))
-        toxic = [s for s in df[1] if df[0][s] == 0]
+        toxic = [s for s in df[1] if s not in margins]
         margins |= dict(zip(toxic, model.margins(toxic), strict=True))
         again = Counter(max(spans, key=lambda s: (margins[s] + 0.05 * min(odds[s], 5.0), s)) for spans, y in held if y and spans)
         positive = list(dict.fromkeys(known + [s for s, n in sorted(again.items(), key=lambda x: (-x[1], x[0])) if odds[s] > 0 and (df[1][s] > 1 or margins[s] > 0)]))[:2500]
@@ -243,31 +274,32 @@ def _curve(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def _spelled(parts: list[str]) -> list[str]:
-    """Runs of four or more single characters, each run as one span."""
-    out, run = [], []
-    for p in [*parts, "--"]:
-        if len(p) == 1 and p.isalnum():
-            run.append(p.lower())
-            continue
-        if len(run) > 3:
-            joined = "".join(run)
-            out += [joined[i : i + LONGEST] for i in range(0, max(1, len(joined) - LONGEST // 2), LONGEST // 2)]
-        run = []
-    return out
+def _smallest(known: DataFrame, label: int, rows: int) -> int:
+    """The hash that the label's `rows` rows with the smallest hashes do not pass.
+
+    The search is narrowed by the label's count first, so that no task sends many hashes to the driver.
+    """
+    hashes = known.where(F.col("toxic") == label).select("h")
+    share = 1.25 * rows / max(1, hashes.count())
+    near = hashes.where(F.col("h") <= min((1 << 63) - 1, int((1 << 64) * share) - (1 << 63)))
+    for some in (near, hashes):
+        found = [r[0] for r in some.orderBy("h").limit(rows).collect()]
+        if len(found) == rows:
+            break
+    return found[-1] if found else -(1 << 63)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> Model | None:
-    """Trains on the driver on at most `fit_rows` rows of each label whose texts have at most `fit_chars` characters."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    limits = {}
-    for y in (0, 1):
-        hashes = [r[0] for r in known.where(F.col("toxic") == y).select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(fit_rows).collect()]
-        limits[y] = hashes[-1] if hashes else -(1 << 63)
-    h = F.xxhash64("doc_id")
-    chosen = known.where(((F.col("toxic") == 0) & (h <= limits[0])) | ((F.col("toxic") == 1) & (h <= limits[1])))
-    rows = docs.select("doc_id", "text").where(F.length("text") <= fit_chars).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
+    """Trains on the driver on at most `fit_rows` rows of each label whose texts have at most `fit_chars` characters.
+
+    Rows with a null id or another label than 0 and 1 are left out; an id that is labelled both ways is toxic; of
+    texts that repeat an id the first in alphabetical order counts. None if either label is missing.
+    """
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic")).withColumn("h", F.xxhash64("id"))
+    limits = [_smallest(known, y, fit_rows) for y in (0, 1)]
+    chosen = known.where(F.col("h") <= F.when(F.col("toxic") == 1, limits[1]).otherwise(limits[0])).select("id", "toxic")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= fit_chars)
+    rows = rows.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values("id")
     return train(list(zip(rows["text"], map(int, rows["toxic"]), strict=True)))
 
 
@@ -276,28 +308,29 @@ class Judge:
 
     def __init__(self, model: Model | None):
         self.model = model
-        self.memo = Scores(self._chunk_rows, 2, 200_000)
-
-    def _chunk_rows(self, keys: list[str]) -> np.ndarray:
-        """Margin of a chunk's worst span, and whether the chunk is a single letter or digit."""
-        of = [spans_of(k) for k in keys]
-        flat = sorted({s for x in of for s in x})
-        at = dict(zip(flat, self.model.margins(flat), strict=True))
-        return np.array([[max((at[s] for s in x), default=-np.inf), len(k) == 1 and k.isalnum()] for x, k in zip(of, keys, strict=True)])
+        self.memo = Rows(self._worst, 1)
+
+    def _worst(self, runs: Runs, which: np.ndarray) -> np.ndarray:
+        """Margin of a run, or of its worst part."""
+        out = np.empty((len(which), 1))
+        whole = runs.size[which] <= LONGEST
+        for part, points in runs.by_size(which[whole], LONGEST, 4096):
+            out[np.flatnonzero(whole)[part], 0] = self.model.of_points(points)
+        for k, span in zip(np.flatnonzero(~whole).tolist(), runs.spelled(which[~whole]), strict=True):
+            out[k, 0] = self.model.margins(_parts(span)).max()
+        return out
 
     def judge(self, many: list[str]) -> list[float]:
         if self.model is None:
             return [0.0] * len(many)
-        cut = [t.split(" ") for t in many]
-        self.memo.ready(cut)
-        out = []
-        for parts in cut:
-            rows = self.memo.rows[self.memo.index(parts)]
-            top, single = rows[:, 0].max(), rows[:, 1]
-            if single.sum() > 3 and (single[3:] * single[2:-1] * single[1:-2] * single[:-3]).any():
-                top = max(top, self.model.margins(_spelled(parts)).max(initial=-np.inf))
-            out.append(self.model.probability(max(top, self.model.offset - 1)))
-        return out
+        top = np.full((len(many), 1), self.model.offset - 1)
+        for parts in reads([x.lower() for x in many]):
+            runs = Runs(parts, "alphanumeric", "space or line")
+            top = np.maximum(top, per_text(runs, self.memo.of(runs), len(many), np.maximum, -np.inf))
+        for i, text in enumerate(many):
+            for span in spelled(text):
+                top[i, 0] = max(top[i, 0], self.model.margins(_parts(span)).max())
+        return [self.model.probability(x) for x in top[:, 0].tolist()]
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,14 +1,16 @@
-"""Whole texts as space-led chunks, each distinct chunk worked out once per worker.
+"""Whole texts as runs of characters, each distinct run worked out once per worker.
 
-Most per-text work here (tokenising, scoring, hashing) is a sum or a concatenation over the chunks that lie between
-single spaces. A worker therefore keeps a bounded memo from chunk to result; a text costs one dictionary look-up for
-each of its chunks, and only chunks not seen lately are worked out.
+Most per-text work here (scoring, counting, hashing) is a sum or a concatenation over a text's words or chunks. `Runs`
+finds and hashes those of many texts at once, and a worker keeps a bounded memo from a run's hash to its result, so
+that only runs not seen lately are worked out. `chunks` and `Memo` do the same for work that needs strings.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -17,8 +19,171 @@ from pyspark.sql import DataFrame
 
 #: A space after something that is not white space: no match of the usual pre-tokeniser patterns spans it.
 _CUT, _RUN = re.compile(r"(?<=\S) "), re.compile(r"\s ")
-#: Chunks longer than this are worked out but not kept.
+#: Chunks and runs longer than this are worked out but not kept.
 _LONG = 160
+#: Characters that are read at once, but for a longer text without spaces.
+READ = 1 << 20
+
+_TESTS: dict[str, Callable[[str], bool]] = {
+    "letter": lambda c: unicodedata.category(c)[0] == "L",
+    "letter or mark": lambda c: unicodedata.category(c)[0] in "LM",
+    "alphanumeric": str.isalnum,
+    "word": lambda c: c.isalnum() or c == "_",  # \w
+    "space": lambda c: c == " ",
+    "not space": lambda c: c != " ",
+    "space or line": lambda c: c in " \n",
+}
+
+
+@lru_cache(maxsize=None)
+def code_points(kind: str) -> np.ndarray:
+    """For each code point whether it is of that kind."""
+    test = _TESTS[kind]
+    return np.fromiter((test(chr(c)) for c in range(0x110000)), bool, 0x110000)
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
+    base = 0x5851F42D4C957F2D
+    made = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        p = np.full(n, b, np.uint64)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p))
+    return made[0], made[1]
+
+
+def reads(many: list[str]) -> Iterator[list[tuple[int, str]]]:
+    """Numbers of texts with their parts, about READ characters together; a text is cut behind spaces only."""
+    some, size = [], 0
+    for i, text in enumerate(many):
+        at = 0
+        while at < len(text):
+            end = len(text)
+            if end - at > READ:
+                space = text.find(" ", at + READ)
+                end = space + 1 if space >= 0 else end
+            some.append((i, text[at:end]))
+            size, at = size + end - at, end
+            if size >= READ:
+                yield some
+                some, size = [], 0
+    if some:
+        yield some
+
+
+class Runs:
+    """The runs of some parts of texts, in order.
+
+    A run holds the characters of one kind that stand between two breaks, at least one; where `breaks` is None, any
+    other character is a break. Spaces must be breaks.
+    """
+
+    def __init__(self, parts: list[tuple[int, str]], keep: str, breaks: str | None = None):
+        points = np.frombuffer(" ".join([p for _, p in parts]).encode("utf-32-le"), "<u4")
+        kept = code_points(keep)[points]
+        at = np.flatnonzero(kept)
+        group = np.cumsum(code_points(breaks)[points] if breaks else ~kept)[at]
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        #: Code points of all runs, and where each of them begins in that and in the parts.
+        self.points, self.start = points[at], first
+        self.size = np.diff(first, append=len(at))
+        self.group = group[first]
+        ends = np.cumsum([len(p) + 1 for _, p in parts])
+        #: The number of each run's text.
+        self.text = np.array([i for i, _ in parts], np.int64)[np.searchsorted(ends, at[first], "right")]
+        up, down = _powers(1 << max(READ, len(at)).bit_length())
+        mixed = (self.points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * up[: len(mixed)], dtype=np.uint64)])
+        hashed = (sums[first + self.size] - sums[first]) * down[first] + self.size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        hashed = (hashed ^ (hashed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        self.hash = hashed ^ (hashed >> np.uint64(29))
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def count(self, kind: str) -> np.ndarray:
+        """How many characters of that kind each run holds."""
+        sums = np.concatenate([[0], np.cumsum(code_points(kind)[self.points])])
+        return sums[self.start + self.size] - sums[self.start]
+
+    def only(self, on: np.ndarray) -> Runs:
+        """These runs alone."""
+        self.start, self.size, self.group, self.text, self.hash = (x[on] for x in (self.start, self.size, self.group, self.text, self.hash))
+        return self
+
+    def spelled(self, which: np.ndarray) -> list[str]:
+        return [self.points[a : a + n].tobytes().decode("utf-32-le") for a, n in zip(self.start[which].tolist(), self.size[which].tolist(), strict=True)]
+
+    def by_size(self, which: np.ndarray, short: int, most: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in `which` and code points of runs of one size at a time; those longer than `short` singly."""
+        size = self.size[which]
+        order = np.argsort(size, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(order) else []:
+            n = int(size[group[0]])
+            step = most if n <= short else 1
+            for at in range(0, len(group), step):
+                part = group[at : at + step]
+                yield part, self.points[self.start[which[part], None] + np.arange(n)]
+
+
+class Rows:
+    """A memo from a run's hash to a row of numbers, which `compute` gives for some runs.
+
+    It starts anew when it is full, so memory is bounded by `most_bytes` and the runs of one reading; runs longer than
+    `longest` are worked out each time.
+    """
+
+    def __init__(self, compute: Callable[[Runs, np.ndarray], np.ndarray], width: int, longest: int = _LONG, most_bytes: int = 64 << 20):
+        self.compute, self.width, self.longest = compute, width, longest
+        self.limit = max(1000, most_bytes // (8 * width + 120))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at: dict[int, int] = {}
+        self.rows = np.zeros((1024, self.width))
+
+    def _places(self, runs: Runs, short: np.ndarray) -> np.ndarray:
+        keys, first, back = np.unique(runs.hash[short], return_index=True, return_inverse=True)
+        listed = keys.tolist()
+        if self.at and len(self.at) + len(set(listed).difference(self.at)) > self.limit:
+            self._clear()
+        find = self.at.get
+        at = np.fromiter((find(k, -1) for k in listed), np.int64, len(listed))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            n = len(self.at)
+            if n + len(new) > len(self.rows):
+                more = np.zeros((max(2 * len(self.rows), n + len(new)), self.width))
+                more[:n] = self.rows[:n]
+                self.rows = more
+            at[new] = np.arange(n, n + len(new))
+            self.rows[at[new]] = self.compute(runs, short[first[new]])
+            self.at.update(zip(keys[new].tolist(), at[new].tolist(), strict=True))
+        return at[back]
+
+    def of(self, runs: Runs) -> np.ndarray:
+        """A row for each run."""
+        out = np.empty((len(runs), self.width))
+        short = np.flatnonzero(runs.size <= self.longest)
+        if len(short):
+            at = self._places(runs, short)
+            out[short] = self.rows[at]
+        if len(short) < len(runs):
+            long = np.flatnonzero(runs.size > self.longest)
+            out[long] = self.compute(runs, long)
+        return out
+
+
+def per_text(runs: Runs, rows: np.ndarray, texts: int, by: np.ufunc = np.add, empty: float = 0.0) -> np.ndarray:
+    """The rows of each text's runs put together."""
+    out = np.full((texts, rows.shape[1]), empty)
+    if len(runs):
+        first = np.flatnonzero(np.diff(runs.text, prepend=-1))
+        out[runs.text[first]] = by(out[runs.text[first]], by.reduceat(rows, first))
+    return out
 
 
 def chunks(text: str) -> list[str]:
@@ -63,43 +228,8 @@ class Memo:
         return self.young
 
 
-class Scores:
-    """A memo from chunk to a row of numbers: a dictionary from chunk to row number, and the rows.
-
-    Both start anew when they are full, so memory is bounded by `limit` and the chunks of one batch.
-    """
-
-    def __init__(self, compute: Callable[[list[str]], np.ndarray], width: int, limit: int = 300_000):
-        self.compute, self.width, self.limit = compute, width, limit
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.rows = np.zeros((1024, self.width))
-
-    def ready(self, lists: Iterable[list[str]]) -> None:
-        need: set[str] = set()
-        for x in lists:
-            need.update(x)
-        new = list(need - self.at.keys())
-        if len(self.at) + len(new) > self.limit and self.at:
-            self._clear()
-            new = list(need)
-        if new:
-            n = len(self.at)
-            if n + len(new) > len(self.rows):
-                more = np.zeros((max(2 * len(self.rows), n + len(new)), self.width))
-                more[:n] = self.rows[:n]
-                self.rows = more
-            self.rows[n : n + len(new)] = self.compute(new)
-            self.at.update(zip(new, range(n, n + len(new)), strict=True))
-
-    def index(self, parts: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.at.__getitem__, parts), np.int64, len(parts))
-
-
 def small_batches(frame: DataFrame, rows: int = 256) -> None:
-    """Python gets at most so many rows, and about 32 MB, at a time."""
+    """Python gets at most so many rows, and about 32 MB, at a time, from all plans that the session makes from now on."""
     conf = frame.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
