@@ -157,8 +157,8 @@ class Model:
         for k, s in enumerate(spans):
             by_length.setdefault(len(s), []).append(k)
         for n, part in by_length.items():
-            for at in range(0, len(part), 4096):
-                some = part[at : at + 4096]
+            for at in range(0, len(part), 1024):
+                some = part[at : at + 1024]
                 out[some] = self.of_points(np.frombuffer("".join(spans[k] for k in some).encode("utf-32-le"), "<u4").reshape(len(some), n))
         return out
 
@@ -232,7 +232,7 @@ def train(rows: list[tuple[str, int]]) -> Model | None:
     landmarks = positive[: LANDMARKS // 2]
     negative = list(dict.fromkeys(frequent + start))
     landmarks = list(dict.fromkeys(landmarks + frequent[: LANDMARKS // 4] + start))[:LANDMARKS]
-    model = None
+    model, margins, plain = None, {}, set(clean)
     for turn in range(ROUNDS):
         own = kernel(landmarks, landmarks)
         values, vectors = np.linalg.eigh(own + 1e-6 * np.eye(len(landmarks)))
@@ -249,11 +249,13 @@ def train(rows: list[tuple[str, int]]) -> Model | None:
         li, lc, lw = subsequences(landmarks)
         np.add.at(table, lc, lw * beta[li])
         model = Model(table.astype(np.float32), offset, 1.0, 0.0)
-        margins = dict(zip(clean, model.margins(clean), strict=True))
+        # In between only spans that the machine was not sure of are looked at again.
+        watched = clean if turn in (0, ROUNDS - 1) else [s for s in clean if margins[s] > -0.9]
+        margins |= dict(zip(watched, model.margins(watched), strict=True))
         worst = sorted((s for s in clean if margins[s] > -0.5), key=lambda s: (-margins[s], s))[:1500]
         negative = list(dict.fromkeys(negative + worst))
         landmarks = list(dict.fromkeys(landmarks + worst[:20]))
-        toxic = [s for s in df[1] if s not in margins]
+        toxic = [s for s in df[1] if s not in plain]
         margins |= dict(zip(toxic, model.margins(toxic), strict=True))
         again = Counter(max(spans, key=lambda s: (margins[s] + 0.05 * min(odds[s], 5.0), s)) for spans, y in held if y and spans)
         positive = list(dict.fromkeys(known + [s for s, n in sorted(again.items(), key=lambda x: (-x[1], x[0])) if odds[s] > 0 and (df[1][s] > 1 or margins[s] > 0)]))[:2500]
@@ -314,7 +316,7 @@ class Judge:
         """Margin of a run, or of its worst part."""
         out = np.empty((len(which), 1))
         whole = runs.size[which] <= LONGEST
-        for part, points in runs.by_size(which[whole], LONGEST, 4096):
+        for part, points in runs.by_size(which[whole], LONGEST, 1024):
             out[np.flatnonzero(whole)[part], 0] = self.model.of_points(points)
         for k, span in zip(np.flatnonzero(~whole).tolist(), runs.spelled(which[~whole]), strict=True):
             out[k, 0] = self.model.margins(_parts(span)).max()
