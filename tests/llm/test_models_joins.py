@@ -253,24 +253,66 @@ def jaccard_by_hand(many):
     return [(i, j) for i in range(len(many)) for j in range(i) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
 
 
-@pytest.mark.parametrize("block", [jaccard.BLOCK, 300])
-def test_jaccard_join(spark, block):
+@pytest.mark.parametrize(("block", "most"), [(jaccard.BLOCK, jaccard.CLASSES), (300, 4096), (10**6, 3)])
+def test_jaccard_join(spark, block, most):
     many = near_texts()
     links = jaccard_by_hand(many)
     count = Counter(x for pair in links for x in pair)
     root = groups(len(many), links)
-    got = {r["doc_id"]: r for r in jaccard.jaccard_join(docs(spark, [*enumerate(many), (None, many[0])]), block=block).collect()}
+    got = {r["doc_id"]: r for r in jaccard.jaccard_join(docs(spark, [*enumerate(many), (None, many[0])]), block=block, most=most).collect()}
     assert {i: got[i]["n_links"] for i in range(len(many))} == {i: count[i] for i in range(len(many))}
     assert [got[i]["component_id"] for i in range(len(many))] == root
     assert all(got[i]["kept"] == (root[i] == i) for i in range(len(many))) and got[None]["kept"]
 
 
+@needs_data
+def test_jaccard_query_finds_all_pairs(spark):
+    """The registered query on whole texts: links, groups and the share of pairs that the bands find, against all pairs."""
+    table = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    ids, sets = [r["doc_id"] for r in table], list(jaccard.Grams().sets([r["text"] or "" for r in table]))
+    holders: dict = {}
+    for i, s in enumerate(sets):
+        for g in s.tolist():
+            holders.setdefault(g, []).append(i)
+    links = []
+    for i, s in enumerate(sets):
+        common = Counter(j for g in s.tolist() for j in holders[g] if j < i)
+        links += [(i, j) for j, n in common.items() if n >= 0.8 * (len(s) + len(sets[j]) - n) - 1e-9]
+    count, root = Counter(x for pair in links for x in pair), groups(len(ids), links)
+    got = {r["doc_id"]: r for r in jaccard.op5_ngram_jaccard(spark, DATA).collect()}
+    assert sum(r["n_links"] for r in got.values()) >= 0.999 * 2 * len(links) > 0
+    assert all(got[ids[i]]["n_links"] <= count[i] for i in range(len(ids)))
+    assert np.mean([got[ids[i]]["component_id"] == ids[root[i]] for i in range(len(ids))]) >= 0.999
+
+
+def test_dense_group_takes_bounded_time():
+    import time
+
+    rng = np.random.default_rng(1)
+    block, base = jaccard._Block(0.8, None), rng.integers(0, 1 << 63, 21).astype(np.uint64)
+    for i in range(3000):
+        grams = base.copy()
+        grams[rng.integers(21)] = rng.integers(1 << 63)
+        block.ids.append(i)
+        block.members.append(1)
+        block.sets.append(np.unique(grams))
+        block.keys.append([1, 2])
+        block.right.append(None)
+    began = time.process_time()
+    out = block.compare()
+    assert time.process_time() - began < 20 and out.num_rows == 3000
+    assert set(out["root"].to_pylist()) == {0} and min(out["links"].to_pylist()) > 1000
+
+
 def test_jaccard_edges(spark):
     assert jaccard.jaccard_join(docs(spark, []).limit(0)).count() == 0
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, "")]
     assert sorted((r["doc_id"], r["n_links"]) for r in jaccard.jaccard_join(docs(spark, rows)).collect()) == [(1, 1), (1, 1), (2, 0), (3, 0)]
     kept = jaccard.keep_one(docs(spark, [*rows, (None, "x")]))
     assert kept.columns == ["doc_id", "text", "keys"] and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "None"]
+    clash = docs(spark, [*rows, (9, "word " * 100_000)]).selectExpr("doc_id", "text", "1 as _kept_id", "2 as _copies0", "3 as id", "4 as raw", "5 as root")
+    kept = jaccard.keep_one(clash)
+    assert kept.columns == clash.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 9]
     assert jaccard.bands_for(0.8, 0.9999) == (24, 5)
 
 
@@ -293,6 +335,41 @@ def test_near_vectors(spark, chunk):
     assert vectors.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_no_link_below_the_cosine(spark):
+    """A pair whose cosine, in double precision, is the next number below 0.9, and one just above; repeated ids."""
+    rng, found = np.random.default_rng(4), {}
+    a = np.zeros(64)
+    a[0] = 1.0
+    while len(found) < 2:
+        b = rng.standard_normal(64)
+        b[0] = 0.0
+        b *= np.sqrt(1 - 0.81) / np.linalg.norm(b)
+        b[0] = 0.9
+        c = float((a * vectors._unit(b[None])[0]).sum())
+        if c != 0.9 and abs(c - 0.9) < 1e-15:
+            found[c > 0.9] = b
+    rows = [(1, a.tolist()), (2, found[False].tolist())]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [r["n_links"] for r in got] == [0, 0]
+    rows = [(1, a.tolist()), (2, found[True].tolist()), (2, a.tolist())]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 2, 1), (2, 2, 1), (2, 2, 1)]
+
+
+@needs_data
+def test_vector_query_equals_brute_force(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").collect()
+    ids = [r["vec_id"] for r in rows]
+    x = np.array([r["embedding"] for r in rows], np.float64)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.9
+    np.fill_diagonal(linked, False)
+    order = np.argsort(ids)
+    root = groups(len(ids), [(a, b) for a, b in zip(*np.nonzero(linked[order][:, order])) if a < b])
+    want = {ids[i]: (int(linked[i].sum()), ids[order[r]], r == k) for k, (i, r) in enumerate(zip(order, root))}
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.op1_pigeonhole_vectors(spark, DATA).collect()} == want
+
+
 def test_components(spark):
     r = random.Random(8)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]

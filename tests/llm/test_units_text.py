@@ -1,6 +1,7 @@
 """Tokenising, packing, token counts, page text and URL rules against libraries and brute force."""
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -149,6 +150,78 @@ BODY = "<main><article class='post-12'><h1>Head &amp; line</h1><p>First <b>bold<
 PAGE = "<html><head><title>t</title><style>x</style></head><body class='has-sidebar'><header>top</header><nav><a href=/>menu</a></nav>%s<div id=comments><p>A reader says something quite long, longer than the article itself, in fact much longer than all that it says, on and on.</p></div><form>f</form><aside>s</aside><div class='cookie-notice'>c</div><script>var a='</p>';</script><!-- <p>x</p> --><footer>end</footer></body></html>"
 
 
+def reference_text(page):
+    """What the generator below put into the article."""
+    return " ".join(" ".join(x.split()) for x in page)
+
+
+def generated_pages(n, seed=8):
+    """Pages of several layouts with their articles' blocks."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("aeilnorst") for _ in range(r.randint(2, 9)))
+    say = lambda a, b: " ".join(word() for _ in range(r.randint(a, b))).capitalize() + "."
+    for i in range(n):
+        layout, blocks, body = i % 4, [], ""
+        for _ in range(r.randint(2, 9)):
+            t = say(12, 50)
+            kind = r.choice(["p", "p", "p", "ul", "h2", "blockquote", "div"])
+            if kind == "ul":
+                items = [say(2, 5) for _ in range(3)]
+                body += "<ul>" + "".join(f"<li>{x}" + "</li>" * r.randint(0, 1) for x in items) + "</ul>"
+                blocks += items
+            else:
+                shown = t.replace(" ", r.choice([" ", "  ", "\n", " <b>", "&#32;"]), 1)
+                body += f"<{kind}>{shown}{'</b>' * ('<b>' in shown)}" + r.choice([f"</{kind}>", "" if kind == "p" else f"</{kind}>"])
+                blocks.append(t)
+            if r.random() < 0.3:
+                body += r.choice([f"<div class='share-bar'>{say(3, 9)}</div>", f"<script>var x = '<p>{word()}</p>';</script>", f"<!-- {word()} <p> -->", f"<aside>{say(5, 30)}</aside>", f"<form><p>{say(3, 5)}</p></form>", f"<div id=newsletter-box>{say(9, 30)}</div>"])
+        article = [f"<article>{body}</article>", f"<main class='layout has-sidebar'><div class='entry'>{body}</div></main>", f"<div class='post-content with-comments' data-n='{i}'>{body}</div>", f"<table><tr><td class=text>{body}</td></tr></table>"][layout]
+        menu = "".join(f"<li><a href=/{word()}>{word()}</a>" for _ in range(8))
+        comments = "".join(f"<article class='comment'><p>{say(20, 60)}</p></article>" for _ in range(r.randint(0, 6)))
+        page = f"<!DOCTYPE html><html><head><title>{word()}</title><style>p > a {{}}</style></head><body class='no-header'><header><p>{say(9, 30)}</p></header><nav><ul>{menu}</ul></nav><div class='ad-slot'>{say(5, 40)}</div>{article}<section id='comments'>{comments}</section><div class='sidebar'>{say(9, 60)}</div><footer>{say(5, 20)}</footer></body></html>"
+        yield i, f"https://host{layout}.example/{i}", page, reference_text(blocks)
+
+
+def test_main_text_of_generated_pages(spark):
+    pages = list(generated_pages(240))
+    got = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")).collect()}
+    wrong = [(i, got[i][:200], want[:200]) for i, _, _, want in pages if got[i] != want]
+    assert not wrong, (len(wrong), wrong[0])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_main_text_query(spark):
+    import html
+    import re
+
+    at = "/root/testdata/sf0.01"
+    got = {r["page_id"]: r for r in extract.op4_main_text(spark, at).collect()}
+    rows = spark.read.parquet(f"{at}/pages.parquet").collect()
+    assert len(got) == len(rows)
+    for row in rows:
+        inner = row["html"][row["html"].index("<article>") : row["html"].index("</article>")]
+        inner = re.sub(r"<(script|style)\b.*?</\1>|<!--.*?-->", "", inner, flags=re.S)
+        want = " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1|br|ul|li|article|div)\b[^>]*>", " ", inner))).split())
+        assert got[row["page_id"]]["text"] == want and got[row["page_id"]]["n_chars"] == len(want) and got[row["page_id"]]["url"] == row["url"]
+
+
+@pytest.mark.parametrize("name", ["main-content has-sidebar", "no-header", "with-comments", "social-article"])
+def test_a_states_name_does_not_hide_the_article(name):
+    for inner in ("<article><p>The text of it.</p></article>", "<p>The text of it.</p>", "<main>The text of it.</main>"):
+        page = f"<body><nav>menu</nav><div class='{name}'>{inner}</div><div class='comments'><article class=comment>A remark.</article></div><div class='related-article'>Other.</div></body>"
+        assert extract.Page(page).main_text([]) == "The text of it."
+
+
+@pytest.mark.parametrize("source", ["<script " * 100_000, "<a '" * 100_000, "<a '>'" * 80_000, "<a \"'>" * 80_000, "<div>" * 80_000 + "</section>" * 80_000, "<div class='a b'>" * 50_000 + "x" + "</b>" * 50_000, "<!--" * 100_000, "<" * 400_000, "<ul><li>x" * 40_000, "</script" * 100_000])
+def test_hostile_pages_take_linear_time(source):
+    import time
+
+    began = time.process_time()
+    page = extract.Page(source)
+    page.main_text([])
+    assert time.process_time() - began < 5 and sum(map(len, page.paths)) <= 32 * len(page.paths)
+
+
 def test_main_text(spark):
     text = "Head & line First bolder text that is long enough to count here. Second, line that also is long enough. one two"
     short = "<main><article class='post-7'><p>Tiny.</p></article></main>"
