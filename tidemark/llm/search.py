@@ -1,65 +1,50 @@
-"""Operator 9: exact top-k search by BM25 over an inverted index with block-max pruning.
-
-Queries go in blocks of bounded size. For each block the documents' terms that its queries hold are written as a
-table; global statistics (documents, mean length, document frequencies) come from that table and its lengths. Each
-task turns its documents into shards of an inverted index whose postings are grouped in blocks of neighbouring
-documents with their largest impact. A query first adds up block maxima; only blocks whose sum reaches its current
-k-th best score are scored, and that threshold carries over from shard to shard. Shards' best are merged exactly.
+"""Operator 9: exact top-k search by BM25 over an inverted index with block-max WAND.
+
+Every document's terms are written once as a table; global statistics (documents, mean length, document frequencies)
+come from it, and each query carries those of its terms. Queries go in blocks of bounded size. For a block each task
+turns its documents into shards of an inverted index whose postings are grouped in blocks of neighbouring documents
+with their largest impact. A query's cursor moves over the document blocks by falling sum of their terms' maxima; the
+next pivot is scored in full, which raises the threshold, and once a pivot's sum lies below the threshold nothing
+behind it can enter. The threshold carries over from shard to shard. Shards' best are merged exactly.
 """
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.graph import written
-from tidemark.llm.units import Memo, pieces_of, small_batches, texts
+from tidemark.llm.graph import shared_folder, written
+from tidemark.llm.jaccard import word_hashes
+from tidemark.llm.units import pieces_of, small_batches, texts
 
 K, K1, B = 10, 1.2, 0.75
-#: Queries of a block; documents of a shard and of a block of postings.
-QUERIES, SHARD, BLOCK = 4096, 8192, 32
-
-_WORD = re.compile(r"\w+")
-
-
-class Terms:
-    """A text's words as hashes: lower-case runs of letters, digits and underscores."""
-
-    def __init__(self):
-        self.memo = Memo(lambda keys: [b"".join(xxhash.xxh64_digest(w) for w in _WORD.findall(k.lower())) for k in keys])
+#: Queries of a block, and their terms; documents of a shard, and their terms; documents of a block of postings.
+QUERIES, QUERY_TERMS, SHARD, SHARD_TERMS, BLOCK = 4096, 2_000_000, 8192, 4_000_000, 32
 
-    def of(self, many: list[str]) -> Iterator[np.ndarray]:
-        cut = [x.split(" ") for x in many]
-        at = self.memo.table(cut).__getitem__
-        for parts in cut:
-            yield np.frombuffer(b"".join(map(at, parts)), ">u8").astype(np.uint64)
 
-
-def _postings(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """id, length, terms (places in the vocabulary, rising) and how often each occurs."""
+def _postings(docs: DataFrame) -> DataFrame:
+    """id, length, terms (hashes of distinct words, rising) and how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms()
         for whole in batches:
             for batch in pieces_of(whole):
-                lengths, held, counts = [], [], []
-                for words in terms.of(texts(batch)):
-                    own, n = np.unique(words, return_counts=True)
-                    at = np.searchsorted(vocabulary, own)
-                    at[at == len(vocabulary)] = 0
-                    on = vocabulary[at] == own if len(vocabulary) else np.zeros(len(own), bool)
-                    lengths.append(len(words))
-                    held.append(at[on].astype(np.int32))
-                    counts.append(n[on].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(held, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["id", "length", "terms", "counts"])
+                text, words = word_hashes(texts(batch))
+                words = words.view(np.int64)
+                lengths = np.bincount(text, minlength=batch.num_rows)
+                order = np.lexsort((words, text))
+                text, words = text[order], words[order]
+                first = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(words, prepend=0) != 0)) if len(words) else np.zeros(0, np.int64)
+                offsets = pa.array(np.searchsorted(text[first], np.arange(batch.num_rows + 1)), pa.int32())
+                held = pa.ListArray.from_arrays(offsets, pa.array(words[first]))
+                counts = pa.ListArray.from_arrays(offsets, pa.array(np.diff(first, append=len(words)), pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), held, counts], ["id", "length", "terms", "counts"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, length long, terms array<int>, counts array<int>")
+    return docs.select("id", "text").mapInArrow(run, "id long, length long, terms array<long>, counts array<int>")
 
 
 class Shard:
@@ -101,56 +86,76 @@ class Shard:
         groups = self._ranges(self.first[query], self.first[query + 1])
         if not len(groups):
             return self.ids[:0], np.zeros(0)
-        bound = np.bincount(self.block[groups], self.most[groups], self.blocks)
-        if threshold <= 0:
-            few = np.argpartition(-bound, min(k, self.blocks) - 1)[: max(1, min(k, self.blocks))]
-            scores = self._score(groups, np.isin(np.arange(self.blocks), few) & (bound > 0))
-            if (scores > 0).sum() >= k:
-                threshold = np.partition(scores, -k)[-k]
-        scores = self._score(groups, (bound > 0) & (bound >= threshold - 1e-9))
-        hit = np.flatnonzero((scores > 0) & (scores >= threshold - 1e-9))
-        if len(hit) > k:
-            least = np.partition(scores[hit], -k)[-k]
-            hit = hit[scores[hit] >= least]
-        return self.ids[hit], scores[hit]
-
-    def _score(self, groups: np.ndarray, live: np.ndarray) -> np.ndarray:
-        groups = groups[live[self.block[groups]]]
+        block = self.block[groups]
+        bound = np.bincount(block, self.most[groups], self.blocks)
+        pivots = np.argsort(-bound, kind="stable")
+        pivots = pivots[bound[pivots] > 0]
+        # Postings of each block together, in order of term, so that a document's score adds up in one order always.
+        by_block = np.argsort(block, kind="stable")
+        groups = groups[by_block]
+        first = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
+        ids, scores = self.ids[:0], np.zeros(0)
+        cursor, step = 0, max(1, -(-2 * k // BLOCK))
+        while cursor < len(pivots) and bound[pivots[cursor]] >= threshold - 1e-9:
+            live = pivots[cursor : cursor + step]
+            live = live[bound[live] >= threshold - 1e-9]
+            new_ids, new_scores = self._score(groups, first, live)
+            ids, scores = np.concatenate([ids, new_ids]), np.concatenate([scores, new_scores])
+            if len(ids) > k:
+                best = np.lexsort((ids, -scores))[:k]
+                ids, scores = ids[best], scores[best]
+            if len(ids) == k:
+                threshold = max(threshold, float(scores.min()))
+            cursor, step = cursor + step, 2 * step
+        return ids, scores
+
+    def _score(self, groups: np.ndarray, first: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the documents of these blocks that hold one of the terms."""
+        groups = groups[self._ranges(first[live], first[live + 1])]
         at = self._ranges(self.start[groups], self.end[groups])
-        return np.bincount(self.doc[at], self.impact[at], len(self.ids))
+        place = np.zeros(self.blocks, np.int64)
+        place[live] = np.arange(len(live))
+        doc = self.doc[at]
+        scores = np.bincount(place[doc // BLOCK] * BLOCK + doc % BLOCK, self.impact[at], len(live) * BLOCK)
+        hit = np.flatnonzero(scores > 0)
+        return self.ids[live[hit // BLOCK] * BLOCK + hit % BLOCK], scores[hit]
 
 
-def _best(postings: DataFrame, queries: list[tuple[int, np.ndarray]], idf: np.ndarray, mean: float, k: int) -> DataFrame:
-    """query_id, doc_id, score: every task's best k of each query."""
+def _best(postings: DataFrame, block, mean: float, k: int) -> DataFrame:
+    """query_id, doc_id, score: every task's best k of each query. `block` is broadcast: vocabulary, idf, and of each query id and terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, idf, queries = block.value
         kept = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
         waiting: list[pa.RecordBatch] = []
 
         def flush() -> None:
-            if not waiting:
-                return
             t = pa.Table.from_batches(waiting).combine_chunks()
             waiting.clear()
             held, counts = t["terms"].combine_chunks(), t["counts"].combine_chunks()
             sizes = np.diff(held.offsets.to_numpy())
-            shard = Shard(t["id"].to_numpy(), t["length"].to_numpy(), held.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy(), sizes, idf, mean)
-            for q, (_, terms) in enumerate(queries):
+            words = held.flatten().to_numpy()
+            terms = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+            on = vocabulary[terms] == words
+            doc = np.repeat(np.arange(len(sizes)), sizes)[on]
+            shard = Shard(t["id"].to_numpy(), t["length"].to_numpy(), terms[on], counts.flatten().to_numpy()[on], np.bincount(doc, minlength=len(sizes)), idf, mean)
+            for q, (_, asked) in enumerate(queries):
                 ids, scores = kept[q]
-                new = shard.search(terms, float(scores[-1]) if len(ids) >= k else 0.0, k)
+                new = shard.search(asked, float(scores[-1]) if len(ids) >= k else 0.0, k)
                 if len(new[0]):
                     ids, scores = np.concatenate([ids, new[0]]), np.concatenate([scores, new[1]])
                     order = np.lexsort((ids, -scores))[:k]
                     kept[q] = ids[order], scores[order]
 
-        rows = 0
+        rows = size = 0
         for batch in batches:
             waiting.append(batch)
-            rows += batch.num_rows
-            if rows >= SHARD:
+            rows, size = rows + batch.num_rows, size + len(batch.column(2).flatten())
+            if rows >= SHARD or size >= SHARD_TERMS:
                 flush()
-                rows = 0
-        flush()
+                rows = size = 0
+        if waiting:
+            flush()
         for start in range(0, len(queries), 1024):
             part = range(start, min(len(queries), start + 1024))
             yield pa.RecordBatch.from_arrays(
@@ -162,60 +167,48 @@ def _best(postings: DataFrame, queries: list[tuple[int, np.ndarray]], idf: np.nd
                 ["query_id", "doc_id", "score"],
             )
 
-    return postings.mapInArrow(run, "query_id long, doc_id long, score double")
+    return postings.select("id", "length", "terms", "counts").mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = K, block: int = QUERIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The best `k` documents of every query by BM25 over whole texts: query_id, doc_id, rank (from 1), score.
 
-    Both tables have `id_col` and `text_col`. A query's distinct terms count once each. Scores use the statistics of
-    all documents; equal scores are ordered by id, documents that share no term with a query are not returned, and a
-    query without words, or with null text, has no rows. Rows with a null id are left out on either side, and do not
-    count in the statistics. Documents that repeat an id are documents of their own; of queries that repeat an id the
-    terms are taken together. Other columns are not read.
+    Both tables have `id_col`, an integer, and `text_col`. A query's distinct terms count once each. Scores use the
+    statistics of all documents; equal scores are ordered by id, documents that share no term with a query are not
+    returned, and a query without words, or with null text, has no rows. Rows with a null id are left out on either
+    side, and do not count in the statistics. Documents that repeat an id are documents of their own; of queries that
+    repeat an id the terms are taken together. Other columns are not read. The driver holds one block of queries at a
+    time: `block` of them and QUERY_TERMS terms, about, or one query if it has more.
     """
-    small_batches(docs)
-    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    asked = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    number = -(-asked.count() // block)
-    done = None
-    for at in range(number):
-        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(number)) == at) if number > 1 else asked
-        found = _searched(docs, part, k)
-        done = found if done is None else done.unionByName(found)
-    if done is None:
-        return docs.sparkSession.createDataFrame([], "query_id long, doc_id long, rank int, score double")
-    return done
-
-
-def _query_terms(part: DataFrame) -> list[tuple[int, np.ndarray]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms()
-        for whole in batches:
-            for b in pieces_of(whole):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(w).astype(">u8").tobytes() for w in terms.of(texts(b))], pa.binary())], ["id", "terms"])
-
-    of: dict[int, list[np.ndarray]] = {}
-    for r in part.mapInArrow(run, "id long, terms binary").collect():
-        of.setdefault(r["id"], []).append(np.frombuffer(bytes(r["terms"]), ">u8").astype(np.uint64))
-    return [(q, np.unique(np.concatenate(t))) for q, t in sorted(of.items())]
-
-
-def _searched(docs: DataFrame, part: DataFrame, k: int) -> DataFrame:
     spark = docs.sparkSession
-    hashed = _query_terms(part)
-    vocabulary = np.unique(np.concatenate([t for _, t in hashed])) if hashed else np.zeros(0, np.uint64)
-    queries = [(q, np.searchsorted(vocabulary, t)) for q, t in hashed]
-    postings = written(_postings(docs, vocabulary), "postings")
+    small_batches(docs)
+    named = lambda rows: rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    postings = written(_postings(named(docs)), "postings")
     total = postings.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    df = np.zeros(len(vocabulary))
-    counted = postings.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).toPandas()
-    df[counted["term"].to_numpy()] = counted["df"].to_numpy()
-    idf = np.log1p((total["n"] - df + 0.5) / (df + 0.5))
-    tasks = 2 * spark.sparkContext.defaultParallelism
-    best = _best(postings.select("id", "length", "terms", "counts").coalesce(tasks), queries, idf, total["mean"] or 1.0, k)
+    frequency = postings.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    wanted = _postings(named(queries)).select("id", F.explode("terms").alias("term")).distinct().join(frequency, "term")
+    asked = written(wanted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "df"))).alias("held")), "queries")
+    sizes = asked.agg(F.count("*").alias("n"), F.sum(F.size("held")).alias("terms")).first()
+    number = max(-(-sizes["n"] // block), -(-(sizes["terms"] or 0) // QUERY_TERMS))
+    schema = "query_id long, doc_id long, rank int, score double"
+    if not number:
+        return spark.createDataFrame([], schema)
+    path = f"{shared_folder(spark)}/tidemark/best-{uuid.uuid4().hex}"
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")
+    for at in range(number):
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(number)) == at).select("id", F.col("held.term").alias("terms"), F.col("held.df").alias("df"))
+        held = part.toArrow().sort_by("id")
+        if not held.num_rows:
+            continue
+        flat, sides = (held[c].combine_chunks() for c in ("terms", "df"))
+        vocabulary, first = np.unique(flat.flatten().to_numpy(), return_index=True)
+        df = sides.flatten().to_numpy()[first]
+        places = np.split(np.searchsorted(vocabulary, flat.flatten().to_numpy()), flat.offsets.to_numpy()[1:-1] - flat.offsets.to_numpy()[0])
+        sent = spark.sparkContext.broadcast((vocabulary, np.log1p((total["n"] - df + 0.5) / (df + 0.5)), list(zip(held["id"].to_pylist(), places, strict=True))))
+        best = _best(postings, sent, total["mean"] or 1.0, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        best.select("query_id", "doc_id", "rank", "score").write.mode("append").parquet(path)
+        sent.unpersist()
+    return spark.read.schema(schema).parquet(path)
 
 
 def op9_bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
