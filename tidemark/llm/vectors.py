@@ -5,7 +5,7 @@ into blocks; each block gets a share of that squared distance in proportion to i
 lies within the share of one block at least. Each block's range join lays a grid of cells as wide as twice the
 block's radius over its first coordinates, and meets every vector with its own cell and, on one side, with the cells
 that its radius reaches. A pair is verified in double precision in the first block that admits it, in the task that
-finds it, so no candidate is ever a row.
+finds it, so no candidate is ever a row. Vectors travel in the column's own precision.
 """
 
 from __future__ import annotations
@@ -18,15 +18,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from tidemark.llm.graph import components, written
 from tidemark.llm.units import small_batches
 
 COSINE = 0.9
-#: Coordinates of a block, those of them that the grid uses.
-WIDTH, GRID = 8, 2
-#: Vectors of a cell that one task holds; those of a larger cell are dealt to several tasks.
-CHUNK = 4096
+#: Coordinates of a block: the wider, the fewer pairs pass its share by chance. Those of them that the grid uses.
+WIDTH, GRID = 16, 2
+#: Vectors of a cell that one task holds; those of a larger cell are dealt to several tasks. Rows compared with them at once.
+CHUNK, STRIP = 16_384, 512
 SLACK = 1e-6
 
 
@@ -63,82 +64,114 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(-1, keepdims=True))
 
 
-def _digests(vectors: DataFrame) -> DataFrame:
-    """id, digest, and the vector's doubles as bytes; both null if it links with nothing."""
+def _digests(vectors: DataFrame, kind: str) -> DataFrame:
+    """id, digest, and the vector's values as bytes, of the column's own width; both null if it links with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [None if v is None else (v + 0.0).tobytes() for v in _rows(b.column(1))]
+            raw = [None if v is None else (v + 0.0).astype(kind).tobytes() for v in _rows(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if r is None else xxhash.xxh3_128_digest(r) for r in raw], pa.binary()), pa.array(raw, pa.binary())], ["id", "digest", "raw"])
 
     return vectors.mapInArrow(run, "id long, digest binary, raw binary")
 
 
-def _placed(classes: DataFrame, cosine: float) -> DataFrame:
-    """cls, members, raw for every block and cell that the vector meets; is_home: the cell is its own."""
+def _cell(n: int, k: int, place: np.ndarray) -> np.ndarray:
+    """One number for a cell of block k of vectors of length n."""
+    key = np.full(len(place), n << 12 | k, np.int64)
+    for c in place.T:
+        if (np.abs(c) >= 1 << 12).any():
+            raise ValueError("the cosine is too high for the grid")
+        key = key << 13 | (c.astype(np.int64) + (1 << 12))
+    return key
+
+
+#: The own cell and half of its neighbours, so that two cells meet once.
+_STEPS = [s for s in product((-1, 0, 1), repeat=GRID) if s >= (0,) * GRID]
+
+
+def _placed(classes: DataFrame, cosine: float, kind: str, homes: bool = False) -> DataFrame:
+    """cls, members, raw for every block and cell that the vector meets; is_home: the cell is its own. With `homes` only the vectors' own cells."""
+    schema = "cell long" if homes else "cls long, members long, raw binary, block int, cell long, is_home boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turned: dict[int, np.ndarray] = {}
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for at, raw in enumerate(b.column(2).to_pylist()):
-                v = np.frombuffer(raw)
-                n = len(v)
+            raw = b.column(2).to_pylist()
+            by_length: dict[int, list[int]] = {}
+            for at, r in enumerate(raw):
+                by_length.setdefault(len(r), []).append(at)
+            for some in by_length.values():
+                at = np.array(some)
+                v = np.frombuffer(b"".join(raw[i] for i in some), kind).reshape(len(some), -1).astype(np.float64)
+                n = v.shape[1]
                 if n not in turned:
                     turned[n] = rotation(n)
                 x = _unit(v) @ turned[n]
                 for k, (block, share) in enumerate(zip(blocks_of(n), shares(n, cosine), strict=True)):
                     radius = np.sqrt(share) + SLACK
-                    place = x[block][:GRID] / (2 * radius)
-                    own = np.floor(place).astype(int)
-                    for step in product((-1, 0, 1), repeat=len(own)):
-                        away = np.where(np.array(step) > 0, own + 1 - place, np.where(np.array(step) < 0, place - own, 0.0)) * 2 * radius
-                        cell = tuple(own + step)
-                        if cell < tuple(own) or (away * away).sum() > radius * radius:
+                    place = x[:, block][:, :GRID] / (2 * radius)
+                    own = np.floor(place)
+                    for step in map(np.array, sorted({s[: place.shape[1]] for s in _STEPS})):
+                        away = np.where(step > 0, own + 1 - place, np.where(step < 0, place - own, 0.0)) * 2 * radius
+                        met = np.flatnonzero((away * away).sum(1) <= radius * radius)
+                        cells = pa.array(_cell(n, k, (own + step)[met]))
+                        if homes:
+                            if not step.any():
+                                yield pa.RecordBatch.from_arrays([cells], ["cell"])
                             continue
-                        for column, value in zip(out, (at, k, f"{n}:{k}:{','.join(map(str, cell))}", not any(step), n), strict=True):
-                            column.append(value)
-            take = pa.array(out[0], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string()), pa.array(out[3], pa.bool_())],
-                ["cls", "members", "raw", "block", "cell", "is_home"],
-            )
+                        take = pa.array(at[met])
+                        yield pa.RecordBatch.from_arrays(
+                            [b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(np.full(len(met), k, np.int32)), cells, pa.array(np.full(len(met), not step.any()))],
+                            ["cls", "members", "raw", "block", "cell", "is_home"],
+                        )
 
-    return classes.select("cls", "members", "raw").mapInArrow(run, "cls long, members long, raw binary, block int, cell string, is_home boolean")
+    return classes.select("cls", "members", "raw").mapInArrow(run, schema)
 
 
 class _Side:
     """Vectors of one task, as the filter of a block and the verification need them."""
 
-    def __init__(self, ids: list[int], members: list[int], raw: list[bytes], turn: np.ndarray, block: slice):
+    def __init__(self, ids: list[int], members: list[int], raw: list[bytes], kind: str, turn: np.ndarray, block: slice):
         self.ids, self.members = np.array(ids, np.int64), np.array(members, np.int64)
-        self.raw = np.frombuffer(b"".join(raw)).reshape(len(ids), -1)
-        self.unit = _unit(self.raw)
+        self.unit = _unit(np.frombuffer(b"".join(raw), kind).reshape(len(ids), -1).astype(np.float64))
         self.turned = self.unit @ turn
         x = self.turned[:, block].astype(np.float32)
         square, one = (x * x).sum(1, keepdims=True), np.ones((len(x), 1), np.float32)
         self.left, self.right = np.hstack([-2 * x, square, one]), np.hstack([x, one, square])
 
 
-def _pairs(a: _Side, b: _Side, k: int, limits: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs that block k is the first to admit."""
-    found = []
-    n = a.turned.shape[1]
-    for start in range(0, len(a.ids), 512):
-        i, j = np.nonzero(a.left[start : start + 512] @ b.right.T <= limits[k] + 1e-4)
+def _pairs(a: _Side, b: _Side, k: int, limits: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Verified pairs that block k is the first to admit, a strip of rows of `a` at a time."""
+    blocks = blocks_of(a.turned.shape[1])[: k + 1]
+    for start in range(0, len(a.ids), STRIP):
+        i, j = np.nonzero(a.left[start : start + STRIP] @ b.right.T <= limits[k] + 1e-4)
         i += start
         if a is b:
-            i, j = i[i < j], j[i < j]
-        for s in range(0, len(i), 100_000):
-            p, q = i[s : s + 100_000], j[s : s + 100_000]
-            for at, block in enumerate(blocks_of(n)[: k + 1]):
-                d = a.turned[p, block] - b.turned[q, block]
+            on = i < j
+            i, j = i[on], j[on]
+        found = []
+        for s in range(0, len(i), 50_000):
+            p, q = i[s : s + 50_000], j[s : s + 50_000]
+            for at in range(k, -1, -1):
+                d = a.turned[p, blocks[at]] - b.turned[q, blocks[at]]
                 within = (d * d).sum(1) <= limits[at] + 1e-12
                 on = within if at == k else ~within
                 p, q = p[on], q[on]
-            on = (a.unit[p] * b.unit[q]).sum(1) >= cosine - 1e-15
+            on = (a.unit[p] * b.unit[q]).sum(1) >= cosine
             found.append((p[on], q[on]))
-    return tuple(np.concatenate([f[x] for f in found]) if found else np.empty(0, np.int64) for x in (0, 1))
+        if found:
+            yield np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _least(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Each node's smallest label among all nodes that the links i-j connect it to."""
+    while True:
+        least = np.minimum(labels[i], labels[j])
+        before = labels.copy()
+        np.minimum.at(labels, i, least)
+        np.minimum.at(labels, j, least)
+        if (labels == before).all():
+            return labels
 
 
 class _Links:
@@ -156,11 +189,18 @@ class _Links:
         return x
 
     def add(self, a: _Side, b: _Side, i: np.ndarray, j: np.ndarray) -> None:
-        for ids, other, members in ((a.ids[i], j, b.members), (b.ids[j], i, a.members)):
-            own, at = np.unique(ids, return_inverse=True)
-            for x, n in zip(own.tolist(), np.bincount(at, members[other]).astype(np.int64).tolist(), strict=True):
-                self.count[x] = self.count.get(x, 0) + n
-        for x, y in zip(a.ids[i].tolist(), b.ids[j].tolist(), strict=True):
+        if not len(i):
+            return
+        for side, own, members in ((a, i, b.members[j]), (b, j, a.members[i])):
+            n = np.bincount(own, members, len(side.ids)).astype(np.int64)
+            for x in np.flatnonzero(n).tolist():
+                key = int(side.ids[x])
+                self.count[key] = self.count.get(key, 0) + int(n[x])
+        shift = 0 if a is b else len(a.ids)
+        ids = a.ids if a is b else np.concatenate([a.ids, b.ids])
+        met = np.unique(np.concatenate([i, j + shift]))
+        labels = _least(ids.copy(), i, j + shift)
+        for x, y in zip(ids[met].tolist(), labels[met].tolist(), strict=True):
             x, y = self._find(x), self._find(y)
             if x != y:
                 self.root[max(x, y)] = min(x, y)
@@ -170,7 +210,7 @@ class _Links:
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(self.count.values()), pa.int64()), pa.array([self._find(x) for x in ids], pa.int64())], ["cls", "links", "root"])
 
 
-def _joined(rows: DataFrame, cosine: float) -> DataFrame:
+def _joined(rows: DataFrame, cosine: float, kind: str) -> DataFrame:
     """rows: cell, part, is_left, block, cls, members, raw, sorted by task with the held side first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,10 +218,10 @@ def _joined(rows: DataFrame, cosine: float) -> DataFrame:
         task, held, links, waiting = None, None, _Links(), []
 
         def side(some: list[tuple]) -> _Side:
-            n = len(some[0][2]) // 8
+            n = len(some[0][2]) // np.dtype(kind).itemsize
             if n not in turned:
                 turned[n] = rotation(n)
-            return _Side([x[0] for x in some], [x[1] for x in some], [x[2] for x in some], turned[n], blocks_of(n)[task[2]])
+            return _Side([x[0] for x in some], [x[1] for x in some], [x[2] for x in some], kind, turned[n], blocks_of(n)[task[2]])
 
         def compare() -> None:
             nonlocal held, waiting
@@ -191,9 +231,8 @@ def _joined(rows: DataFrame, cosine: float) -> DataFrame:
             limits = shares(new.turned.shape[1], cosine)
             if held is None:
                 held = new
-                links.add(held, held, *_pairs(held, held, task[2], limits, cosine))
-            else:
-                links.add(new, held, *_pairs(new, held, task[2], limits, cosine))
+            for i, j in _pairs(new, held, task[2], limits, cosine):
+                links.add(new, held, i, j)
 
         left_before = False
         for b in batches:
@@ -224,30 +263,35 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, chunk: int = CHU
     Returns for each row `id_col`, n_links (other rows linked directly, copies included), component_id (the smallest
     id reachable by links, its own included) and kept (whether that is its own). Vectors that are null, empty, zero or
     hold a null or a value that is not finite link with nothing. Rows with a null id are not compared: 0 links, no
-    component, kept. Rows that repeat an id count as vectors of their own. Other columns are not read.
+    component, kept. Rows that repeat an id count as vectors of their own. Ids must be integers; other columns are not
+    read.
     """
     small_batches(vectors, 1024)
+    kind = "<f4" if isinstance(vectors.schema[vector_col].dataType.elementType, FloatType) else "<f8"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    signed = written(_digests(rows), "vectors")
+    signed = written(_digests(rows, kind), "vectors")
     has = F.col("id").isNotNull() & F.col("digest").isNotNull()
     classes = written(signed.where(has).groupBy("digest").agg(F.min("id").alias("cls"), F.count("*").alias("members"), F.first("raw").alias("raw")), "classes")
-    placed = _placed(classes, cosine)
+    placed = _placed(classes, cosine, kind)
     # One row for each cell that holds more than a chunk; a cell is of the fixed grid over the unit ball.
-    large = {r["cell"]: -(-r["n"] // chunk) for r in placed.where("is_home").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > chunk).collect()}
+    large = {r["cell"]: -(-r["n"] // chunk) for r in _placed(classes, cosine, kind, homes=True).groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > chunk).collect()}
     parts = F.lit(1).cast("long")
     if large:
-        pairs = vectors.sparkSession.createDataFrame(list(large.items()), "cell string, parts long")
+        pairs = vectors.sparkSession.createDataFrame(list(large.items()), "cell long, parts long")
         placed = placed.join(F.broadcast(pairs), "cell", "left")
         parts = F.coalesce("parts", F.lit(1).cast("long"))
     placed = placed.withColumn("n", parts).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("n")))
     seats = F.when(F.col("is_home"), F.sequence("own", F.col("n") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
     dealt = placed.withColumn("part", F.explode(seats)).withColumn("is_left", ~F.col("is_home") | (F.col("part") > F.col("own")))
     dealt = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part", "block", "is_left", "cls")
-    found = written(_joined(dealt, cosine), "links")
+    found = written(_joined(dealt, cosine, kind), "links")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     whole = components(found.select(F.col("cls").alias("u"), F.col("root").alias("v")))
     known = classes.select("digest", F.col("cls").alias("class_id"), "members").join(links, F.col("class_id") == F.col("cls"), "left").join(whole, F.col("class_id") == F.col("node"), "left")
-    out = signed.select("id", F.when(has, F.col("digest")).alias("digest")).join(known.select("digest", "class_id", "members", "links", "component"), "digest", "left")
+    # Rows without a class match nothing, each under a key of its own, longer than a digest, rather than all under null.
+    alone = F.encode(F.concat(F.lit("-" * 17), F.coalesce("id", F.lit(0)).cast("string")), "utf-8")
+    known = known.select(F.col("digest").alias("match"), "class_id", "members", "links", "component")
+    out = signed.select("id", F.when(has, F.col("digest")).otherwise(alone).alias("match")).join(known, "match", "left")
     component = F.coalesce("component", "class_id", "id")
     return out.select(
         F.col("id").alias(id_col),
