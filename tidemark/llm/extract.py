@@ -9,26 +9,30 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.graph import written
 from tidemark.llm.units import small_batches
 from tidemark.llm.urls import host_of
 
 #: Paths of a host that are tried, in order of their votes.
 PATHS = 5
-#: Winning paths are broadcast up to so many rows; beyond that they join by host and salt.
+#: Winning paths are broadcast for up to so many hosts, in rows of fixed size: a host's hash and PATHS hashes of paths.
+#: Beyond that they join by host and salt.
 BROADCAST_ROWS, SALTS = 100_000, 64
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title|select|button)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-z][a-z0-9:-]*)([^>]*)>",
-    re.S | re.I,
-)
-_CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_ONE_CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_TAG = re.compile(r"/?([a-z][a-z0-9:-]*)", re.I)
+_STOP = re.compile("[>\"']")
+#: Elements whose content is no markup, or not the page's.
+RAW = frozenset("script style noscript template textarea svg iframe title select button".split())
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+_ATTRIBUTE = {name: re.compile(rf"""(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I) for name in ("class", "id", "role")}
 _NAME = re.compile(r"[^a-z]+")
 #: Elements that hold other blocks.
 CONTAINERS = frozenset("html body main article section div td th tr tbody thead table ul ol li dl dd dt center blockquote figure details".split())
@@ -43,28 +47,121 @@ MARKS = frozenset(
     "foot sidebar aside rail widget widgets notice notices cookie cookies consent gdpr alert popup modal newsletter subscribe subscription signup login form search share sharing social related "
     "recommended comment comments commentlist disqus replies reply respond pagination pager toolbar".split()
 )
+#: A name that begins so tells of the page's state, not of the element ("has-sidebar", "no-header").
+STATES = frozenset("has have no not with without is hide hides show shows".split())
+#: A name that ends so is the article's ("social-article"), unless one of these says that it only points to one.
+HEADS, POINTERS = frozenset("article main story entry".split()), frozenset("related recommended sponsored sponsor promo promotion comment comments reply ad ads".split())
 #: These are never set aside for their class alone.
 KEPT = frozenset("html body main article".split())
 #: What a container's name adds to its score.
 LIKELY = {"article": 1.5, "main": 1.3}
 
 
-def _names(attributes: str, pattern: re.Pattern) -> set[str]:
-    return {n for m in pattern.finditer(attributes) for n in _NAME.split((m[1] or m[2] or m[3] or "").lower()) if n}
+def _values(attributes: str, name: str) -> list[str]:
+    return [m[1] or m[2] or m[3] or "" for m in _ATTRIBUTE[name].finditer(attributes)]
+
+
+def _marks(attributes: str) -> bool:
+    """Whether a class, id or role says that the element is no part of the article."""
+    for kind in _ATTRIBUTE:
+        for value in _values(attributes, kind):
+            for name in value.lower().split():
+                parts = [x for x in _NAME.split(name) if x]
+                if parts and not MARKS.isdisjoint(parts) and parts[0] not in STATES and (parts[-1] not in HEADS or not POINTERS.isdisjoint(parts)):
+                    return True
+    return False
+
+
+def tags(source: str) -> Iterator[tuple[int, int, str, str]]:
+    """Start, end, name and attributes of every tag; name is "/x" for an end tag, empty for a comment, declaration or raw element.
+
+    One pass: a quoted value may hold ">", and a tag with an unclosed quote ends at its first ">". Quotes from which
+    no end was found are remembered, so that no part of the source is searched again and again. What no ">" follows
+    is text.
+    """
+    last, dead, at = source.rfind(">"), set(), 0
+    while True:
+        at = source.find("<", at)
+        if at < 0 or at > last and not source.startswith("<!--", at):
+            return
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            end = len(source) if end < 0 else end + 3
+            yield at, end, "", ""
+        elif source.startswith(("<!", "<?"), at):
+            end = source.find(">", at) + 1
+            yield at, end, "", ""
+        elif m := _TAG.match(source, at + 1):
+            end, opened, i = -1, [], m.end()
+            while i <= last and (found := _STOP.search(source, i)):
+                i = found.start()
+                if source[i] == ">":
+                    end = i + 1
+                    break
+                if i in dead:
+                    break
+                opened.append(i)
+                close = source.find(source[i], i + 1)
+                if close < 0:
+                    break
+                i = close + 1
+            if end < 0:
+                dead.update(opened)
+                end = source.find(">", m.end()) + 1
+                if not end:
+                    return
+            name = m[1].lower()
+            if source[at + 1] == "/":
+                yield at, end, "/" + name, ""
+            elif name in RAW:
+                closing = _RAW_END[name].search(source, end)
+                end = closing.end() if closing else len(source)
+                yield at, end, "", ""
+            else:
+                yield at, end, name, source[m.end() : end - 1]
+        else:
+            end = at + 1
+        at = end
 
 
 class Page:
-    """One reading of a page: its blocks of text with the containers that they lie in."""
+    """One reading of a page: its blocks of text with the containers that they lie in.
+
+    A container's path is a hash of its parent's path and of its own tag and generalised classes: their letters, in
+    order. A container set aside for its class stays in if it holds main, or an article that is not itself set aside,
+    and does not hold comments.
+    """
 
     def __init__(self, source: str):
         self.paths: list[str] = []  # of the containers, in page order
+        self.tags: list[str] = []
         self.parents: list[int] = []
+        self.away: list[bool] = []
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
         self._read(source)
+        for i, parent in enumerate(self.parents):
+            self.away[i] |= parent >= 0 and self.away[parent]
+        self.blocks = [b for b in self.blocks if b[0] < 0 or not self.away[b[0]]]
+
+    def _open(self, tag: str, attributes: str, parent: int, comments: bool) -> int:
+        names = sorted({n for value in _values(attributes, "class") for n in _NAME.split(value.lower()) if n}) if "=" in attributes else []
+        above = self.paths[parent] if parent >= 0 else ""
+        self.paths.append(xxhash.xxh3_128_hexdigest(f"{above}>{'.'.join([tag, *names])}"))
+        self.tags.append(tag)
+        self.parents.append(parent)
+        marked = "=" in attributes and _marks(attributes)
+        self.away.append(marked and tag not in KEPT)
+        if (tag == "main" or tag == "article" and not marked) and not comments:
+            at = parent
+            while at >= 0 and self.away[at]:
+                self.away[at] = False
+                at = self.parents[at]
+        return len(self.paths) - 1
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int, bool]] = []  # tag, container, whether it is outside the article
-        current, outside, links, linked = -1, 0, 0, 0
+        stack: list[tuple[str, int, bool, bool]] = []  # tag, container, whether it is outside the article, whether it holds comments
+        held: Counter[str] = Counter()
+        current, outside, comments, links, linked = -1, 0, 0, 0, 0
         text: list[str] = []
 
         def flush() -> None:
@@ -77,38 +174,44 @@ class Page:
             linked = 0
 
         def leave(to: int) -> None:
-            nonlocal current, outside
+            nonlocal current, outside, comments
             flush()
             while len(stack) > to:
-                outside -= stack.pop()[2]
+                tag, _, was_outside, had_comments = stack.pop()
+                held[tag] -= 1
+                outside -= was_outside
+                comments -= had_comments
             current = stack[-1][1] if stack else -1
 
+        def enter(tag: str, is_outside: bool, has_comments: bool = False) -> None:
+            nonlocal outside, comments
+            stack.append((tag, current, is_outside, has_comments))
+            held[tag] += 1
+            outside += is_outside
+            comments += has_comments
+
         at = 0
-        for m in _TOKEN.finditer(source):
-            if not outside and m.start() > at:
-                piece = source[at : m.start()]
+        for start, end, tag, attributes in tags(source):
+            if not outside and start > at:
+                piece = source[at:start]
                 text.append(piece)
                 if links:
                     linked += len(piece)
-            at = m.end()
-            tag = m[3] or m[6]
+            at = end
             if not tag:
                 continue
-            tag = tag.lower()
-            if m[2] or m[5]:
+            if tag[0] == "/":
+                tag = tag[1:]
                 if tag == "a":
                     links = max(0, links - 1)
-                elif tag in CONTAINERS or tag in OUTSIDE or any(x[0] == tag for x in stack):
+                elif held[tag] > 0:
                     for i in range(len(stack) - 1, -1, -1):
                         if stack[i][0] == tag:
                             leave(i)
                             break
-                    else:
-                        flush()
-                elif tag in BREAKS:
+                elif tag in CONTAINERS or tag in OUTSIDE or tag in BREAKS:
                     flush()
                 continue
-            attributes = m[4] or m[7] or ""
             block = tag in CONTAINERS or tag in OUTSIDE or tag in BREAKS
             if block:
                 if stack and stack[-1][0] in BREAKS:
@@ -121,21 +224,16 @@ class Page:
                 links += 1
             if tag in VOID or attributes.endswith("/") and tag not in CONTAINERS:
                 continue
-            away = tag in OUTSIDE or tag not in KEPT and "=" in attributes and not MARKS.isdisjoint(_names(attributes, _CLASS))
-            if away:
+            if outside:
+                if block and tag not in BREAKS:
+                    enter(tag, tag in OUTSIDE)
+            elif tag in CONTAINERS:
+                current = self._open(tag, attributes, current, comments > 0)
+                enter(tag, False, self.away[current] and "comment" in attributes.lower())
+            elif tag in OUTSIDE or "=" in attributes and _marks(attributes):
                 if not block:
                     text.append(" ")
-                stack.append((tag, current, True))
-                outside += 1
-            elif tag in CONTAINERS:
-                if outside:
-                    stack.append((tag, current, False))
-                    continue
-                name = ".".join([tag, *sorted(_names(attributes, _ONE_CLASS))]) if "=" in attributes else tag
-                self.paths.append(f"{self.paths[current]}>{name}" if current >= 0 else name)
-                self.parents.append(current)
-                current = len(self.paths) - 1
-                stack.append((tag, current, False))
+                enter(tag, True)
         if not outside:
             text.append(source[at:])
         flush()
@@ -150,8 +248,8 @@ class Page:
                     break
                 score[at] += worth
                 at, worth = self.parents[at], worth / 2
-        for i, path in enumerate(self.paths):
-            score[i] *= LIKELY.get(path.rpartition(">")[2].partition(".")[0], 1.0)
+        for i, tag in enumerate(self.tags):
+            score[i] *= LIKELY.get(tag, 1.0)
         return max(range(len(score)), key=lambda i: (score[i], -i)) if score and max(score) > 0 else -1
 
     def under(self, wanted: set[int]) -> str:
@@ -170,7 +268,7 @@ class Page:
 
 
 def votes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path, votes."""
+    """host (a hash of it), path (a hash, see `Page`) and votes: rows of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,10 +278,10 @@ def votes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
                 if (i := page.best()) >= 0:
                     hosts.append(host)
                     paths.append(page.paths[i])
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], ["host", "path"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(paths, pa.string())], ["host", "path"])
 
-    rows = pages.where(F.length(html_col) > 0).select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(run, "host string, path string").groupBy("host", "path").agg(F.count("*").alias("votes"))
+    rows = pages.where(F.length(html_col) > 0).select(F.xxhash64(host_of(F.col(url_col))).alias("host"), F.col(html_col).alias("html"))
+    return rows.mapInArrow(run, "host long, path string").groupBy("host", "path").agg(F.count("*").alias("votes"))
 
 
 def winners(counted: DataFrame, most: int = PATHS) -> DataFrame:
@@ -201,8 +299,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     come out as they came in; other columns are not read.
     """
     small_batches(pages)
-    won = winners(votes(pages, url_col, html_col)).persist()
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
+    won = written(winners(votes(pages, url_col, html_col)), "winners")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.xxhash64(host_of(F.col(url_col))).alias("host"))
     if won.limit(broadcast_rows + 1).count() <= broadcast_rows:
         rows = rows.join(F.broadcast(won), "host", "left")
     else:
