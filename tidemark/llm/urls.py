@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 #: Ends each label of a key; sorts before all that hosts hold.
 LOW = "\x01"
-#: Rows from which the partitions' bounds are drawn: those with the smallest hashes, so a uniform sample.
-SAMPLE = 4096
+#: Random rows for each partition that the bounds of ranges are drawn from, and of all together; rows of a partition.
+BOUND_ROWS, MOST_BOUND_ROWS, PARTITION_ROWS = 100, 100_000, 1_000_000
+#: Characters of a key that a bound holds: it only says which task gets a row.
+LONGEST_BOUND = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The contract's rules: host, path, verdict.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -85,8 +87,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     rows = rows.select("id", "host", "path", host_key(F.col("host")).alias("key"), F.xxhash64("id", "host", "path").alias("salt"))
     rules = rules.dropna(subset=["host", "path", "verdict"]).select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict").withColumn("key", host_key(F.col("host")))
 
-    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    drawn = sorted((r["key"], r["salt"]) for r in rows.select("key", "salt", F.xxhash64(F.lit(1), "salt").alias("h")).orderBy("h").limit(SAMPLE).select("key", "salt").collect())
+    total = pages.count()
+    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_ROWS))
+    fraction = min(BOUND_ROWS * partitions, MOST_BOUND_ROWS) / max(1, total)
+    some = rows.select(F.substring("key", 1, LONGEST_BOUND).alias("key"), "salt")
+    drawn = sorted((r["key"], r["salt"]) for r in (some.sample(fraction, 17) if fraction < 1 else some).collect()) if partitions > 1 else []
     bounds = sorted({drawn[len(drawn) * i // partitions] for i in range(1, partitions)}) if drawn else []
     lowest, highest = -(1 << 63), (1 << 63) - 1
 
@@ -107,7 +112,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
 
     urls = rows.mapInArrow(placed, "part int, id long, host string, path string, key string").withColumn("verdict", F.lit(None).cast("string")).withColumn("is_url", F.lit(True))
     owned = rules.select("host", "path", "verdict", "key").mapInArrow(spread, "part int, host string, path string, key string, verdict string").withColumn("id", F.lit(None).cast("long")).withColumn("is_url", F.lit(False))
-    both = urls.unionByName(owned).repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "key", "is_url", "host")
+    both = urls.unionByName(owned).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "key", "is_url", "host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sweep, part, last, seen = Sweep(), None, None, None
