@@ -2,10 +2,11 @@
 
 Every document's terms are written once as a table; global statistics (documents, mean length, document frequencies)
 come from it, and each query carries those of its terms. Queries go in blocks of bounded size. For a block each task
-turns its documents into shards of an inverted index whose postings are grouped in blocks of neighbouring documents
-with their largest impact. A query's cursor moves over the document blocks by falling sum of their terms' maxima; the
-next pivot is scored in full, which raises the threshold, and once a pivot's sum lies below the threshold nothing
-behind it can enter. The threshold carries over from shard to shard. Shards' best are merged exactly.
+turns its documents into shards of an inverted index over blocks of neighbouring documents. Frequent terms whose
+maxima together lie below a query's threshold are set aside: what it seeks holds one of the others. A document's bound
+is what it gets from those and its block's maxima of the terms set aside; a block's is its best document's. The cursor moves over the blocks by falling bound; the next pivots are scored in full, which raises the
+threshold, and once a pivot's bound lies below it nothing behind can enter. The threshold carries over from shard to
+shard. Shards' best are merged exactly.
 """
 
 from __future__ import annotations
@@ -23,8 +24,12 @@ from tidemark.llm.jaccard import word_hashes
 from tidemark.llm.units import pieces_of, small_batches, texts
 
 K, K1, B = 10, 1.2, 0.75
+#: Blocks of documents that a query looks at first; then eight times as many, and so on.
+FIRST_PIVOTS = 4
+#: Bytes of a shard's table of frequent terms; what sums in another order may differ by.
+DENSE_BYTES, SLACK = 32 << 20, 1e-7
 #: Queries of a block, and their terms; documents of a shard, and their terms; documents of a block of postings.
-QUERIES, QUERY_TERMS, SHARD, SHARD_TERMS, BLOCK = 4096, 2_000_000, 8192, 4_000_000, 32
+QUERIES, QUERY_TERMS, SHARD, SHARD_TERMS, BLOCK = 4096, 2_000_000, 8192, 2_500_000, 32
 
 
 def _postings(docs: DataFrame) -> DataFrame:
@@ -48,25 +53,42 @@ def _postings(docs: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """An inverted index of some documents: postings by term, then document; block maxima over them."""
+    """An inverted index of some documents: postings by term, then document, with block maxima.
+
+    Postings of frequent terms also stand as rows of a table over all documents, within DENSE_BYTES.
+    """
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, sizes: np.ndarray, idf: np.ndarray, mean: float):
+        n = len(ids)
         order = self._alike(terms, sizes, len(idf))
         self.ids = ids[order]
-        rank = np.empty(len(ids), np.int64)
-        rank[order] = np.arange(len(ids))
-        doc = rank[np.repeat(np.arange(len(ids)), sizes)]
+        # By document: its terms, rising, and their impacts.
+        starts = np.concatenate([[0], np.cumsum(sizes)])
         norm = K1 * (1 - B + B * np.repeat(lengths, sizes) / mean)
         impact = counts * (K1 + 1) / (counts + norm) * idf[terms]
-        by = np.lexsort((doc, terms))
-        term, self.doc, self.impact = terms[by], doc[by], impact[by]
-        fresh = np.concatenate([[True], (term[1:] != term[:-1]) | (self.doc[1:] // BLOCK != self.doc[:-1] // BLOCK)]) if len(by) else np.zeros(0, bool)
-        self.start = np.flatnonzero(fresh)
-        self.end = np.append(self.start[1:], len(by))
-        self.block = self.doc[self.start] // BLOCK
-        self.most = np.maximum.reduceat(self.impact, self.start) if len(by) else np.zeros(0)
-        self.first = np.searchsorted(term[self.start], np.arange(len(idf) + 1))
-        self.blocks = -(-len(ids) // BLOCK)
+        at = self._ranges(starts[order], starts[order + 1])
+        self.held, self.given = terms[at], impact[at]
+        self.stop = np.concatenate([[0], np.cumsum(sizes[order])])
+        # By term.
+        doc = np.repeat(np.arange(n, dtype=np.int32), sizes[order])
+        by = np.argsort(self.held, kind="stable")
+        term, self.doc, self.impact = self.held[by], doc[by], self.given[by]
+        self.first = np.searchsorted(term, np.arange(len(idf) + 1))
+        frequency = np.diff(self.first)
+        self.top = np.zeros(len(idf))
+        some = np.flatnonzero(frequency)
+        if len(some):
+            self.top[some] = np.maximum.reduceat(self.impact, self.first[some])
+        self.blocks = -(-n // BLOCK)
+        frequent = np.flatnonzero(frequency >= max(1, n // 8))
+        frequent = frequent[np.argsort(-frequency[frequent], kind="stable")][: max(1, DENSE_BYTES // (8 * max(1, n)))]
+        self.row = np.full(len(idf), -1, np.int32)
+        self.row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), self.blocks * BLOCK))
+        for i, t in enumerate(frequent.tolist()):
+            part = slice(self.first[t], self.first[t + 1])
+            self.dense[i, self.doc[part]] = self.impact[part]
+        self.most = self.dense.reshape(len(frequent), self.blocks, BLOCK).max(2, initial=0.0)
 
     @staticmethod
     def _alike(terms: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
@@ -83,42 +105,51 @@ class Shard:
 
     def search(self, query: np.ndarray, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of all documents that can be among the best k, given that k others score `threshold` or more."""
-        groups = self._ranges(self.first[query], self.first[query + 1])
-        if not len(groups):
+        if not len(self.ids):
+            return self.ids[:0], np.zeros(0)
+        # Frequent terms whose maxima together stay below the threshold cannot bring a document in: it holds one of the others.
+        rising = query[np.argsort(self.top[query], kind="stable")]
+        weak = (np.cumsum(self.top[rising]) < threshold - SLACK) & (self.row[rising] >= 0)
+        strong, rows = rising[~weak], self.row[rising[weak]]
+        cuts = list(zip(self.first[strong].tolist(), self.first[strong + 1].tolist(), strict=True))
+        if not cuts:
             return self.ids[:0], np.zeros(0)
-        block = self.block[groups]
-        bound = np.bincount(block, self.most[groups], self.blocks)
-        pivots = np.argsort(-bound, kind="stable")
-        pivots = pivots[bound[pivots] > 0]
-        # Postings of each block together, in order of term, so that a document's score adds up in one order always.
-        by_block = np.argsort(block, kind="stable")
-        groups = groups[by_block]
-        first = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
-        ids, scores = self.ids[:0], np.zeros(0)
-        cursor, step = 0, max(1, -(-2 * k // BLOCK))
-        while cursor < len(pivots) and bound[pivots[cursor]] >= threshold - 1e-9:
+        part = np.bincount(np.concatenate([self.doc[i:j] for i, j in cuts]), np.concatenate([self.impact[i:j] for i, j in cuts]), self.blocks * BLOCK)
+        # The most that a document of each block can score, and the blocks that this leaves, best first.
+        bound = np.where(part > 0, part, -np.inf).reshape(self.blocks, BLOCK) + self.most[rows].sum(0)[:, None]
+        best = bound.max(1)
+        pivots = np.flatnonzero(best >= max(threshold - SLACK, 0.0))
+        pivots = pivots[np.argsort(-best[pivots], kind="stable")]
+        wanted = np.zeros(len(self.top), bool)
+        wanted[query] = True
+        ids, scores, cursor, step = self.ids[:0], np.zeros(0), 0, FIRST_PIVOTS
+        while cursor < len(pivots) and best[pivots[cursor]] >= threshold - SLACK:
             live = pivots[cursor : cursor + step]
-            live = live[bound[live] >= threshold - 1e-9]
-            new_ids, new_scores = self._score(groups, first, live)
-            ids, scores = np.concatenate([ids, new_ids]), np.concatenate([scores, new_scores])
-            if len(ids) > k:
-                best = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[best], scores[best]
+            i, j = np.nonzero(bound[live] >= max(threshold - SLACK, 0.0))
+            docs = live[i] * BLOCK + j
+            near = part[docs] + self.dense[rows[:, None], docs].sum(0)
+            if len(near) > k:
+                threshold = max(threshold, float(np.partition(near, -k)[-k]) - SLACK)
+            docs = docs[near >= threshold - SLACK]
+            ids, scores = self._kept(np.concatenate([ids, self.ids[docs]]), np.concatenate([scores, self._scores(docs, wanted)]), k)
             if len(ids) == k:
                 threshold = max(threshold, float(scores.min()))
-            cursor, step = cursor + step, 2 * step
+            cursor, step = cursor + step, 8 * step
         return ids, scores
 
-    def _score(self, groups: np.ndarray, first: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the documents of these blocks that hold one of the terms."""
-        groups = groups[self._ranges(first[live], first[live + 1])]
-        at = self._ranges(self.start[groups], self.end[groups])
-        place = np.zeros(self.blocks, np.int64)
-        place[live] = np.arange(len(live))
-        doc = self.doc[at]
-        scores = np.bincount(place[doc // BLOCK] * BLOCK + doc % BLOCK, self.impact[at], len(live) * BLOCK)
-        hit = np.flatnonzero(scores > 0)
-        return self.ids[live[hit // BLOCK] * BLOCK + hit % BLOCK], scores[hit]
+    def _scores(self, docs: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Scores in full, added up in order of term: equal documents have equal scores."""
+        return np.array([self.given[i:j][wanted[self.held[i:j]]].sum() for i, j in zip(self.stop[docs].tolist(), self.stop[docs + 1].tolist(), strict=True)])
+
+    @staticmethod
+    def _kept(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best k, the smaller id first of equals."""
+        if len(ids) > k:
+            on = scores >= np.partition(scores, -k)[-k]
+            ids, scores = ids[on], scores[on]
+            best = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[best], scores[best]
+        return ids, scores
 
 
 def _best(postings: DataFrame, block, mean: float, k: int) -> DataFrame:
