@@ -395,21 +395,123 @@ def test_search(spark, block):
     table = docs(spark, rows)
     got = search.search(table, table.where("doc_id % 30 = 0"), k=5, block=block).collect()
     assert {(x["query_id"], x["rank"]): x["doc_id"] for x in got} == want
+    again = [*rows, (None, "w1 w2"), (0, many[1]), (301, "w1 w2")]
+    odd = spark.createDataFrame([(*r, 1, 2, 3) for r in again], "doc_id long, text string, length int, terms int, score int")
+    asked = spark.createDataFrame([(9, "w1 w2"), (9, "w3"), (None, "w1"), (10, None), (11, "none such")], "doc_id long, text string")
+    found = search.search(odd, asked, k=400).collect()
+    assert {x["query_id"] for x in found} == {9} and [x["rank"] for x in sorted(found, key=lambda x: x["rank"])] == list(range(1, len(found) + 1))
+    assert Counter(x["doc_id"] for x in found)[301] == 2 and not any(x["doc_id"] is None for x in found)
     assert search.search(table, table.limit(0)).count() == 0 and search.search(table.limit(0), table.where("doc_id = 0")).count() == 0
 
 
 @needs_data
-def test_pipeline_stages(spark):
+def test_search_query_equals_brute_force(spark):
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())
+    ids, tf = [i for i, _ in rows], [Counter(re.findall(r"\w+", t.lower())) for _, t in rows]
+    df, size = Counter(k for c in tf for k in c), [sum(c.values()) for c in tf]
+    mean, n = np.mean(size), len(rows)
+    got: dict = {}
+    for x in search.op9_bm25_top10(spark, DATA).collect():
+        got.setdefault(x["query_id"], {})[x["rank"]] = (x["doc_id"], x["score"])
+    for q, i in enumerate(ids):
+        if i % 100:
+            continue
+        scores = [sum(np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * size[d] / mean)) for t in tf[q] if t in c) for d, c in enumerate(tf)]
+        best = sorted((-round(s, 7), ids[d]) for d, s in enumerate(scores) if s > 0)[:10]
+        assert [got[i][k + 1][0] for k in range(len(best))] == [d for _, d in best] and len(got.get(i, {})) == len(best)
+        assert [got[i][k + 1][1] for k in range(len(best))] == pytest.approx([-s for s, _ in best], abs=1e-5)
+
+
+def toxic_by_hand(model, text):
+    """The worst span's probability, span by span and subsequence by subsequence."""
+    spans = [("".join(c for c in chunk if c.isalnum())).lower() for line in text.split("\n") for chunk in line.split(" ")]
+    spans += [m.replace(" ", "").lower() for m in re.findall(r"(?<![^ ])[^\W_](?: [^\W_]){3,}(?![^\W_])", text)]
+    parts = {p for s in spans if s for p in ([s] if len(s) <= 24 else [s[i : i + 24] for i in range(0, len(s) - 12, 12)])}
+    margins = [model.offset - 1]
+    for p in parts:
+        _, code, w = toxicity.subsequences([p])
+        margins.append(model.offset + float((w * model.weights[code]).sum()))
+    return model.probability(max(margins))
+
+
+def language_by_hand(model, text, seen):
+    """Best language, posterior, log-probability per letter; None without a letter."""
+    import unicodedata
+
+    names = seen.setdefault("names", {p: i for i, p in enumerate(langid.Pieces(VOCABULARY).names)})
+    words, run = [], ""
+    for c in text.lower() + " ":
+        if unicodedata.category(c)[0] in "LM":
+            run += c
+        elif run:
+            words += [run] if any(unicodedata.category(x)[0] == "L" for x in run) else []
+            run = ""
+    if not words:
+        return None
+    total = np.zeros(len(model.languages))
+    for w in words:
+        if w not in seen:
+            marked = langid.MARK + w
+            a = [np.zeros(len(total)) for _ in range(len(marked) + 1)]
+            a[0] += 1.0
+            for i in range(len(marked)):
+                for k in range(1, min(17, len(marked) - i + 1)):
+                    at = names.get(marked[i : i + k])
+                    if at is not None or k == 1:
+                        a[i + k] = a[i + k] + a[i] * (model.probabilities[at] if at is not None else langid.UNKNOWN)
+            seen[w] = np.log(a[-1])
+        total += seen[w]
+    best = int(total.argmax())
+    letters = sum(unicodedata.category(c)[0] == "L" for w in words for c in w)
+    return best, 1 / np.exp(total - total[best]).sum(), total[best] / letters
+
+
+@needs_data
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Every stage on all rows that the stage before kept, each against a plain version of its own."""
+    import sys
+
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
-    rows = spark.read.parquet(f"{DATA}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES:
-        before, rows = rows, graph.written(stage(spark, rows, DATA), name)
-        if name != "packing":
-            assert rows.columns == before.columns and 0 < rows.count() <= before.count()
-            assert rows.join(before, rows.columns, "left_anti").count() == 0
-        if name == "near_duplicates":
-            many = [r["text"] for r in rows.collect()]
-            assert not jaccard_by_hand(many[:300])
-            kept = rows.count()
-    assert rows.select("doc_id").distinct().count() == kept and rows.agg(F.max(F.col("offset") + F.col("length"))).first()[0] == 2048
+    sys.path.insert(0, os.path.dirname(__file__))
+    from test_units_text import check_pieces
+
+    at = DATA.replace("0.01", "0.001")
+    table = spark.read.parquet(f"{at}/documents.parquet")
+    more = [(10**6, None, "en", "x", 0), (10**6 + 1, "", "en", "x", 0), (10**6 + 2, "жук лёг под ёлку и спит", None, "x", 0), (10**6 + 3, "12 34", "en", "x", 0)]
+    spark.createDataFrame([*map(tuple, table.collect()), *more], table.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{at}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "language", "near_duplicates", "packing"]
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    def step(name, kept):
+        nonlocal rows
+        before = {r["doc_id"]: tuple(r) for r in rows.collect()}
+        rows, columns = graph.written(stages[name](spark, rows, str(tmp_path)), name), rows.columns
+        assert rows.columns == columns
+        after = {r["doc_id"]: tuple(r) for r in rows.collect()}
+        assert after == {i: r for i, r in before.items() if i in kept(before)}
+        return after
+
+    model = toxicity.fitted(spark, rows, str(tmp_path))
+    step("toxicity", lambda old: {i for i, r in old.items() if toxic_by_hand(model, r[1] or "") < 0.5})
+    lang, seen = langid.fit(rows.where(~langid.held_out()), VOCABULARY, floors=True), {}
+
+    def spoken(old):
+        judged = {i: language_by_hand(lang, r[1] or "", seen) for i, r in old.items()}
+        return {i for i, x in judged.items() if x and x[1] >= 0.5 and x[2] >= lang.floors[x[0]]}
+
+    kept = step("language", spoken)
+    assert not kept.keys() & {10**6, 10**6 + 1, 10**6 + 2, 10**6 + 3} and len(kept) > 150
+
+    def alone(old):
+        ids = sorted(old)
+        root = groups(len(ids), jaccard_by_hand([old[i][1] or "" for i in ids]))
+        return {ids[i] for i in range(len(ids)) if root[i] == i}
+
+    kept = step("near_duplicates", alone)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    check_pieces(stages["packing"](spark, rows, str(tmp_path)).collect(), {i: [*t.encode(r[1] or "", add_special_tokens=False).ids, 1] for i, r in kept.items()}, 2048)
+    assert len({r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}) == len(kept)

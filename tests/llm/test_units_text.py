@@ -44,6 +44,32 @@ def test_encode_decode(spark, exact):
         assert by_id[i]["ids"] == ids and by_id[i]["n_tokens"] == len(ids)
         assert by_id[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert by_id[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() and bytes(by_id[i]["decoded"]) == (t or "").encode()
+    library = bpe.from_ranks(path, public_tokenizers.PATTERN)
+    for i, t in rows:
+        assert list(zip(by_id[i]["starts"], by_id[i]["ends"])) == library.encode(t or "", add_special_tokens=False).offsets, t
+
+
+def test_decode_ids(spark, exact):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    many = [exact.encode_ordinary(t) for t in odd_texts(100, 5)] + [exact.encode_ordinary("🙂")[:1], exact.encode_ordinary("日本")[1:], None, []]
+    table = spark.createDataFrame([(i, x, "z") for i, x in enumerate(many)] + [(0, many[0], "z"), (None, [64], "z")], "doc_id long, ids array<int>, text string")
+    got = bpe.decode(table, path, public_tokenizers.PATTERN).collect()
+    assert len(got) == len(many) + 2
+    for r in got:
+        want = None if r["doc_id"] is None else many[r["doc_id"]]
+        raw = b"a" if r["doc_id"] is None else None if want is None else exact.decode_bytes(want)
+        assert (None if r["decoded"] is None else bytes(r["decoded"])) == raw and r["text"] == (None if raw is None else raw.decode("utf-8", "replace"))
+    with pytest.raises(Exception, match="vocabulary"):
+        bpe.decode(spark.createDataFrame([(1, [60000])], "doc_id long, ids array<int>"), path, public_tokenizers.PATTERN).collect()
+
+
+def test_encoding_edges(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    library = bpe.from_ranks(path, public_tokenizers.PATTERN)
+    long = ["a" * 300_000, " " * 100_000 + "x", "ab" * 1000 + "\n" * 50_000]
+    got = bpe.encode_decode(docs(spark, list(enumerate(long))), path, public_tokenizers.PATTERN).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(long)}
+    assert bpe.encode_decode(docs(spark, []), path, public_tokenizers.PATTERN).count() == 0
 
 
 @settings(max_examples=300, deadline=None)
@@ -60,29 +86,39 @@ def _find(text):
     return regex.findall(public_tokenizers.PATTERN, text)
 
 
-def test_pack_places_each_id_once(spark):
-    from tokenizers import Tokenizer
+def check_pieces(got, want, size):
+    """Each id of each document lies in one piece; sequences have no gaps and are full, or a power of two."""
+    import numpy as np
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    many = odd_texts(120, 3)
-    assert any("<|endoftext|>" in x for x in many)
-    rows = [(i, x) for i, x in enumerate(many)] + [(9000, None)]
-    got = packing.pack(docs(spark, rows), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, size=64, partitions=3).collect()
-    want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in rows}
     ends: dict = {}
     for r in sorted(got, key=lambda r: (r["doc_id"], r["start"])):
         ids = want[r["doc_id"]]
         assert r["start"] == ends.get(r["doc_id"], 0) and r["doc_tokens"] == len(ids) and r["length"] > 0
         ends[r["doc_id"]] = r["start"] + r["length"]
-        import numpy as np
-
         assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : ends[r["doc_id"]]], "<u4").tobytes())
     assert ends == {i: len(x) for i, x in want.items()}
     sequences: dict = {}
     for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
         assert r["offset"] == sequences.get(r["sequence_id"], 0)
         sequences[r["sequence_id"]] = r["offset"] + r["length"]
-    assert all(n <= 64 and n & (n - 1) == 0 for n in sequences.values())
+    assert all(n <= size and n & (n - 1) == 0 for n in sequences.values())
+
+
+def test_pack_places_each_id_once(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    many = odd_texts(120, 3)
+    assert any("<|endoftext|>" in x for x in many)
+    rows = [(i, x) for i, x in enumerate(many)] + [(9000, None)]
+    got = packing.pack(docs(spark, rows), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, size=64, partitions=3).collect()
+    want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in rows}
+    check_pieces(got, want, 64)
+    odd = spark.createDataFrame([(None, "x y", 1, "z"), (3, "a b", 1, "z"), (3, "a b", 1, "z"), (4, None, 1, "z"), (5, "w" * 9000, 1, "z")], "doc_id long, text string, key int, length string")
+    pieces = packing.pack(odd, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, size=64, partitions=2).collect()
+    lengths = {x: len(t.encode(x, add_special_tokens=False).ids) + 1 for x in ("x y", "a b", "", "w" * 9000)}
+    assert sum(r["length"] for r in pieces) == sum(lengths.values()) + lengths["a b"]
+    assert [sum(r["length"] for r in pieces if r["doc_id"] == i) for i in (None, 3, 4, 5)] == [lengths["x y"], 2 * lengths["a b"], 1, lengths["w" * 9000]]
     assert packing.pack(docs(spark, []), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).count() == 0
 
 
@@ -115,8 +151,36 @@ def test_token_counts(spark):
     t = Tokenizer(models.Unigram([("<unk>", min(s for _, s in v)), *v], unk_id=0))
     t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
     rows = [(i, x) for i, x in enumerate(odd_texts(400, 7))] + [(None, None)]
+    rows += [(9001, "a" * 20_000), (9002, "🙂 " * 3000), (9003, "  a  b  ")]
     got = {r["doc_id"]: r["n_tokens"] for r in tokencount.token_counts(docs(spark, rows), path).collect()}
     assert got == {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in rows}
+    clash = spark.createDataFrame([(1, "a b", 7, 8), (1, "a b", 7, 8)], "doc_id long, text string, id int, n_tokens int")
+    assert len({tuple(r) for r in tokencount.token_counts(clash, path).collect()}) == 1 and tokencount.token_counts(clash, path).count() == 2
+    assert tokencount.token_counts(docs(spark, []), path).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_token_count_queries(spark):
+    """The registered encoding, packing and counting queries on whole tables, against the libraries."""
+    import tiktoken
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    at = "/root/testdata/sf0.01"
+    rows = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    exact = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoded = {r["doc_id"]: r for r in bpe.op2_byte_bpe(spark, at).collect()}
+    for i, x in rows.items():
+        ids = exact.encode_ordinary(x)
+        assert encoded[i]["n_tokens"] == len(ids) and encoded[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and encoded[i]["decoded_sha256"] == hashlib.sha256(x.encode()).hexdigest()
+    v = tokencount.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    t = Tokenizer(models.Unigram([("<unk>", min(s for _, s in v)), *v], unk_id=0))
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    counted = {r["doc_id"]: r["n_tokens"] for r in tokencount.op7_token_counts(spark, at).collect()}
+    assert counted == dict(zip(rows, (len(e.ids) for e in t.encode_batch(list(rows.values()), add_special_tokens=False))))
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: [*e.ids, 1] for i, e in zip(rows, library.encode_batch(list(rows.values()), add_special_tokens=False))}
+    check_pieces(packing.op3_curve_packing(spark, at).collect(), want, 2048)
 
 
 RULES = [("com", "/", "block"), ("a.com", "/x", "allow"), ("a.com", "/x", "block"), ("b.a.com", "", "block"), ("com", "/x/y", "block"), ("", "/q", "block"), ("net", "/de/", "allow")]
