@@ -10,23 +10,47 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; only where that is unset, as in tests, one of its own."""
+    """The folder that the session names in spark.checkpoint.dir; in local mode, where that is unset, one of its own."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         named = tempfile.mkdtemp(prefix="tidemark-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named
 
 
+#: Tables written by this process, in order.
+_WRITTEN: list[str] = []
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: read again at will, and safe from lost executors."""
+    """The rows as a Parquet table in the shared folder: read again at will, and safe from lost executors.
+
+    Results may read it later, so it stays until `discard` removes it.
+    """
     path = f"{shared_folder(frame.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def mark() -> int:
+    """How many tables were written so far, for `discard`."""
+    return len(_WRITTEN)
+
+
+def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Removes the tables written since a mark, but for the last `keep` of them; nothing may read them any more."""
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    del _WRITTEN[since : len(_WRITTEN) - keep]
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
 
