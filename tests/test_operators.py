@@ -6,8 +6,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import links, scores, text
-from tidemark.operators import entities, feed, runs, terms
+from tidemark.functions import lexicons, links, scores, text
+from tidemark.operators import digest, enrich, entities, feed, insights, runs, scoring, taxonomy, terms
+from tidemark.plans.engine import Engine, bounded
 from tidemark.sources import articles as src
 
 
@@ -24,6 +25,7 @@ def one(spark, column, value, kind="string"):
         ("https://gist.github.com/a/b/", "https://gist.github.com/a/b"),
         ("https://github.com/settings/x", "https://github.com/settings/x"),
         ("HTTP://X.com/a/?utm_source=f&b=1&ref=z#top", "http://x.com/a?b=1"),
+        ("http://x.com/?b=%20c&c&d=%zz*~&REF=1", "http://x.com/?b=+c&c=&d=%25zz%2A~"),
         ("no host", "no host"),
         ("ftp://X.com/a/", "ftp://X.com/a/"),
         (None, ""),
@@ -125,3 +127,95 @@ def test_landed_files(spark, tmp_path):
     (tmp_path / "feed.xml").write_text("<rss><channel><item><title>T</title><link>http://x.y/z?ref=1</link><description>a &lt;b&gt;c&lt;/b&gt;</description><pubDate>Sun, 31 Mar 2024 10:00:00 GMT</pubDate></item></channel></rss>")
     r = src.read_rss(spark, str(tmp_path / "feed.xml")).first()
     assert (r["link"], r["desc"], str(r["event_date"]), r["venue"]) == ("http://x.y/z", "a c", "2024-03-31", "feed")
+
+
+def test_references_as_the_standard_library_has_them(spark):
+    import html
+
+    many = ["a &amp; b", "&copy; &copy &notin; &notit;", "&#65;&#x42;&#67", "&#0;&#x110000;&#xD800;", "&#128;&#129;&#x9f;", "&bogus; & &; &#; &#x;", "&ampersand &lt;b&gt;", "&NotEqualTilde;&Aacute;", "no reference", "&&amp;&", "&#128512;"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in many], "x string").select(text.unescaped(F.col("x"))).collect()]
+    assert got == [html.unescape(x) for x in many]
+    assert one(spark, text.strip_html, "<p>a&nbsp;&#8364;\n b</p>") == "a € b"
+
+
+def test_upsert_in_order(spark):
+    schema = "link_hash string, type string, title string, desc string, event_date date, venue string, heat int, tags array<string>, raw_data string"
+    row = lambda key, title, heat, raw, *more: (key, "news", title, "", None, "v", heat, ["t"], raw, *more)
+    stored = spark.createDataFrame([row("a", "old", 5, '{"x": {"y": 1}, "z": 1}', 2), row("b", "kept", 7, "bad", 1)], f"{schema}, fetch_count int")
+    incoming = spark.createDataFrame([row("a", "late", 5, '{"z": "n\\"q"}', 9), row("a", "first", 8, '{"z": 2, "w": [1]}', 3), row("c", "new", 1, None, 4), row(None, "x", 1, None, 5)], f"{schema}, arrival long")
+    got = {r["link_hash"]: r for r in feed.upsert(stored, incoming).collect()}
+    assert set(got) == {"a", "b", "c"}
+    assert (got["a"]["title"], got["a"]["fetch_count"], got["a"]["is_new"], got["a"]["heat_changed"]) == ("late", 4, False, False)
+    assert json.loads(got["a"]["raw_data"]) == {"x": {"y": 1}, "z": 'n"q', "w": [1]}
+    assert (got["b"]["title"], got["b"]["fetch_count"], got["b"]["raw_data"]) == ("kept", 1, None)
+    assert (got["c"]["fetch_count"], got["c"]["is_new"]) == (1, True)
+
+
+def test_atom_and_topic_files(spark, tmp_path):
+    atom = "<feed xmlns='http://www.w3.org/2005/Atom'>%s</feed>"
+    entry = "<entry><title>%s</title>%s<summary>s &lt;i&gt;x&lt;/i&gt;</summary><updated>2024-02-0%dT00:00:00Z</updated></entry>"
+    body = entry % ("A", "<link rel='self' href='http://s/'/><link href='http://x.y/a?ref=1'/>", 1) + entry % ("B", "<link rel='self' href='http://s/b'/>", 2) + entry % ("", "<link href='http://x.y/c'/>", 3)
+    (tmp_path / "blog.xml").write_text(atom % body)
+    got = {r["title"]: (r["link"], r["desc"], str(r["event_date"]), r["venue"]) for r in src.read_rss(spark, str(tmp_path / "blog.xml")).collect()}
+    assert got == {"A": ("http://x.y/a", "s x", "2024-02-01", "blog"), "B": ("http://s/b", "s x", "2024-02-02", "blog")}
+    paper = "<entry><id>http://arxiv.org/abs/2401.0000%dv1</id><title>T\n%d</title><summary>%s</summary><published>2024-01-0%dT10:00:00Z</published><arxiv:primary_category xmlns:arxiv='http://arxiv.org/schemas/atom' term='cs.AI'/></entry>"
+    folder = tmp_path / "papers"
+    folder.mkdir()
+    (folder / "agents.xml").write_text(atom % "".join(paper % (i, i, "x" * 400, i) for i in (1, 2, 3)))
+    (folder / "rag.xml").write_text(atom % "".join(paper % (i, i, "short", i) for i in (3, 4)))
+    rows = src.read_arxiv(spark, str(folder), each={"agents": 2, "rag": 1}).collect()
+    assert [r["link"][-5:] for r in rows] == ["00004", "00003", "00002"] and rows[0]["title"] == "T 4" and rows[0]["venue"] == "cs.AI" and len(rows[2]["desc"]) == 321
+    assert src.read_arxiv(spark, str(folder), most=1).count() == 1
+
+
+def test_engine_bounds(spark):
+    engine = Engine(items(spark, [item(1, day=30), item(2, day=1)]), "2024-01-31")
+    assert engine.recent(5).count() == 1 and engine.recent(30, " ").count() == 2
+    assert [x.count() for x in engine.windows(7, 3)] == [1, 0] and [x.count() for x in engine.windows(7, 30)] == [1, 1]
+    for wrong in (lambda: engine.recent(366), lambda: engine.word_freq(type="blog"), lambda: engine.word_freq(top_k=201), lambda: engine.windows(91, 100), lambda: engine.entities(category="x"), lambda: engine.trending(top_k=0)):
+        with pytest.raises(ValueError):
+            wrong()
+    assert [bounded(x, 5, 1, 9) for x in (None, "x", "0", "7", "99")] == [5, 5, 1, 7, 9]
+    assert engine.feed(1).count() == 1
+
+
+def test_shipped_words(spark):
+    say = lambda x: one(spark, lambda c: text.tokens(c, (), lexicons.CONCEPTS, lexicons.COMPOUNDS), x)
+    assert say("Retrieval-Augmented Generation for LLMs with a KV cache") == ["rag", "for", "llm", "with", "kv_cache"]
+    assert one(spark, lambda c: terms.high_value(F.split(c, " "), lexicons.ANCHORS), "my_llm_tool x") and not one(spark, lambda c: terms.high_value(F.split(c, " "), lexicons.ANCHORS), "exploration dragon")
+
+
+def test_digest_and_writer(spark):
+    rows = spark.createDataFrame([(*item(i, link=f" l{i} ", heat=i)[:],) for i in (1, 2)], items(spark, []).schema)
+    kept = spark.createDataFrame([], "fingerprint string, text string, written boolean")
+    for writer, text_is, written in ((None, "Items: 2. No writer is configured.", False), (lambda m: "short", "Items: 2. No writer is configured.", False), (lambda m: m * 3, None, True)):
+        r = digest.digest(rows, kept, "2024-01-31", writer).first()
+        assert r["written"] == written and not r["cached"] and (text_is is None or r["text"] == text_is) and r["fingerprint"].startswith("2024-W05:")
+    assert digest.digest(rows.limit(0), kept, "2024-01-31").count() == 0
+    assert insights.headline(insights.insights(rows, terms.tokenized(rows, "2024-01-31"), F.array(F.lit("x")))).count() >= 2
+
+
+def test_answers(spark):
+    rows = spark.createDataFrame([(1, "good", "d"), (2, "bad", None)], "id long, title string, desc string")
+
+    def ask(title, body):
+        if title == "bad":
+            raise RuntimeError("no answer")
+        return f'```json\n{{"score": 12, "title": "{title}"}}\n```'
+
+    got = enrich.with_answers(rows, ask).select("id", scoring.answered_score(F.col("answer")).alias("s")).collect()
+    assert {r["id"]: r["s"] for r in got} == {1: 10.0, 2: None}
+    read = lambda x: one(spark, scoring.paper_struct, x)
+    assert read("[1]") is None and read("no") is None and read(None) is None
+    assert read('{"novelty": 9, "method": "m"}')["novelty"] == 5 and read('{"novelty": "x"}')["novelty"] == 3 and read("```\n{}\n```")["problem"] == ""
+    scored = scoring.score_missing(items(spark, [item(1), item(2)]), spark.createDataFrame([(1,)], "id long"), [taxonomy.Domain("d", 1.0, ("t",))])
+    assert [(r["id"], r["method"]) for r in scored.collect()] == [(2, "rule")]
+
+
+def test_kept_validators(spark, tmp_path):
+    lines = [{"url": "a", "etag": "1", "cached_at": "2024-01-30T00:00:00"}, {"url": "b", "etag": "2", "cached_at": "2023-01-30T00:00:00"}, {"url": "c", "last_modified": "m"}]
+    (tmp_path / "etags.json").write_text("\n".join(map(json.dumps, lines)))
+    kept = src.read_etags(spark, str(tmp_path), "2024-01-31 00:00:00")
+    assert {r["url"] for r in kept.collect()} == {"a", "c"}
+    seen = spark.createDataFrame([("a", "1", None), ("b", "2", None), ("c", None, "m"), ("d", None, None)], "url string, etag string, last_modified string")
+    assert {r["url"] for r in src.changed(seen, kept).collect()} == {"b", "d"}

@@ -12,6 +12,22 @@ NOT_OWNERS = ["settings", "marketplace", "sponsors"]
 _URL = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
+def _plain(x: Column) -> Column:
+    """A part of a query decoded; as it stands, but for +, where its percent signs are malformed."""
+    return F.coalesce(F.try_url_decode(x), F.replace(x, F.lit("+"), F.lit(" ")))
+
+
+def _pair(part: Column) -> Column:
+    """Key and value; a key alone has the empty value."""
+    key = F.split_part(part, F.lit("="), F.lit(1))
+    return F.struct(_plain(key).alias("k"), _plain(F.substr(part, F.length(key) + 2)).alias("v"))
+
+
+def _quoted(x: Column) -> Column:
+    """Encoded for a query: letters, digits and _.-~ stand, a space becomes +."""
+    return F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_link(url: Column) -> Column:
     raw = F.trim(F.coalesce(url, F.lit("")))
     part = lambda i: F.regexp_extract(raw, _URL, i)
@@ -27,7 +43,7 @@ def canonical_link(url: Column) -> Column:
     number = F.regexp_replace(F.trim(F.when(paper != "", paper).otherwise(pdf), F.lit("/")), r"v\d+$", "")
     trimmed = F.when(path == "", "/").when((path != "/") & path.endswith("/"), F.regexp_replace(path, "/+$", "")).otherwise(path)
     trimmed = F.regexp_replace(trimmed, r";[^/]*$", "")
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda x: (x != "") & ~F.lower(F.split_part(x, F.lit("="), F.lit(1))).isin(TRACKING)), "&")
+    kept = F.array_join(F.transform(F.filter(F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), _pair), lambda p: ~F.lower(p["k"]).isin(TRACKING)), lambda p: F.concat(_quoted(p["k"]), F.lit("="), _quoted(p["v"]))), "&")
     plain = F.concat(scheme, F.lit("://"), host, trimmed, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
     return (
         F.when(host == "", raw)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import matches
+
 # Groups of topic patterns with weights, over lower-cased text; a group counts its best match, or where
 # marked the sum of the distinct weights that it matches; most points.
 TOPIC_GROUPS = [
@@ -41,17 +43,17 @@ def item_weight(heat: Column, day: Column, kind: Column, as_of: str) -> Column:
     return hot * F.exp(-age(day, as_of, UNDATED_WEIGHT) / F.lit(WEIGHT_DAYS)) * of_kind
 
 
-def topic_score(text: Column, fix_case: bool = False) -> Column:
+def topic_score(text: Column, fix_case: bool = False, groups=TOPIC_GROUPS) -> Column:
     """Points for topic words. Patterns with capitals never match lower-cased text unless `fix_case`."""
     low, flag = F.lower(F.coalesce(text, F.lit(""))), "(?i)" if fix_case else ""
     total = F.lit(0)
-    for sums, patterns in TOPIC_GROUPS:
-        hits = [F.when(low.rlike(flag + p), n).otherwise(0) for p, n in patterns]
-        total = total + (F.aggregate(F.array_distinct(F.array(*hits)), F.lit(0), lambda a, x: a + x) if sums else F.greatest(*hits))
+    for sums, patterns in groups:
+        hits = [F.when(low.rlike(flag + p) if flag else matches(low, p), n).otherwise(0) for p, n in patterns]
+        total = total + (F.aggregate(F.array_distinct(F.array(*hits)), F.lit(0), lambda a, x: a + x) if sums else F.greatest(*hits, F.lit(0)))
     return F.least(F.lit(TOPIC_MOST), total)
 
 
-def heat(as_of: str) -> Column:
+def heat(as_of: str, groups=TOPIC_GROUPS) -> Column:
     """Heat from 1 to 999 of rows with type, venue, link, title, desc, event_date and the engagement columns.
 
     Engagement columns: upvotes, hn_points, hn_comments, reddit_score, reddit_comments, lob_score, lob_comments,
@@ -59,7 +61,7 @@ def heat(as_of: str) -> Column:
     """
     n = lambda name: F.greatest(F.coalesce(F.col(name), F.lit(0)), F.lit(0)).cast("double")
     rec = recency(age(F.col("event_date"), as_of, UNDATED_HEAT))
-    topic = topic_score(F.concat_ws(" ", "title", "desc"))
+    topic = topic_score(F.concat_ws(" ", "title", "desc"), groups=groups)
     part = lambda x: x.cast("int")
     cap = lambda most, x: F.least(F.lit(float(most)), x)
     ln, floor_div = F.log1p, lambda k: F.floor(topic / k)

@@ -1,11 +1,16 @@
-"""Scalar functions over text, dates and side-car JSON, all as built-in column expressions."""
+"""Scalar functions over text, dates and side-car JSON, as built-in column expressions but for character references."""
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: A letter, digit or underscore in any script; Java's own \w is ASCII.
 W = r"[\p{L}\p{N}_]"
@@ -29,18 +34,17 @@ MORE_LINE = "^(read more|continue|下一页|更多)"
 # Words that do not identify a title.
 TITLE_STOP = ["the", "a", "an", "of", "for", "in", "on", "with", "to", "and", "or", "is", "are", "was", "were", "new", "how", "what", "from", "by", "at", "its", "that", "this", "llm", "llms", "model", "models", "ai", "using", "based", "large", "language"]
 
-# The references that markup uses most; numeric ones need a table and stay.
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
-
+@F.pandas_udf(StringType())
+def unescaped(c: pd.Series) -> pd.Series:
+    """Character references become characters, by the standard library's table of more than two thousand names.
 
-def unescaped(c: Column) -> Column:
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    As a chain of column expressions that table made plans that took longer to compile than to run.
+    """
+    return c.map(lambda x: html.unescape(x) if x and "&" in x else x)
 
 
 def squeezed(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def strip_html(c: Column) -> Column:
@@ -55,25 +59,36 @@ def strip_html_bodies(c: Column) -> Column:
     return squeezed(F.regexp_replace(c, "<[^>]+>", ""))
 
 
-def infer_tags(c: Column) -> Column:
+def matches(low: Column, pattern: str) -> Column:
+    """Whether the pattern is found; plain strings need no regular expression."""
+    return low.contains(pattern) if re.fullmatch(r"[\w\s-]+", pattern) else low.rlike(f"(?U){pattern}")
+
+
+def infer_tags(c: Column, rules: Sequence[tuple[str, Sequence[str]]] = TAG_RULES, default: str = DEFAULT_TAG, most: int = MOST_TAGS) -> Column:
+    """The first `most` tags of which a pattern is found in the lower-cased text, in order of the rules; else the default."""
     low = F.lower(c)
-    found = [F.when(F.greatest(*(low.rlike(p) for p in patterns)), F.lit(tag)) for tag, patterns in TAG_RULES]
-    kept = F.slice(F.array_compact(F.array(*found)), 1, MOST_TAGS)
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit(DEFAULT_TAG)))
+    found = []
+    for tag, patterns in rules:
+        hit = matches(low, patterns[0])
+        for p in patterns[1:]:
+            hit = hit | matches(low, p)
+        found.append(F.when(hit, F.lit(tag)))
+    kept = F.slice(F.array_compact(F.array(*found)), 1, most)
+    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit(default)))
 
 
-def clean_markdown(c: Column) -> Column:
+def clean_markdown(c: Column, parts: Sequence[str] = NOISE_PARTS, whole: Sequence[str] = NOISE_LINES, more: str = MORE_LINE) -> Column:
     """Without blank lines and lines of page furniture."""
     lines = F.transform(F.split(F.replace(F.coalesce(c, F.lit("")), F.lit("\r"), F.lit("\n")), "\n", -1), lambda x: F.trim(x))
 
     def stays(t: Column) -> Column:
         low = F.lower(t)
-        noisy = low.rlike("|".join(NOISE_PARTS))
+        noisy = low.rlike("|".join(parts))
         return (
             (F.length(t) > 0)
-            & ~((F.length(low) <= 32) & low.isin(NOISE_LINES))
+            & ~((F.length(low) <= 32) & low.isin(list(whole)))
             & ~((F.length(low) < 140) & noisy)
-            & ~((F.length(t) < 50) & low.rlike(MORE_LINE))
+            & ~((F.length(t) < 50) & low.rlike(more))
         )
 
     return F.array_join(F.filter(lines, stays), "\n")

@@ -74,3 +74,8 @@ def convergence_evidence(items: DataFrame, cards: DataFrame) -> DataFrame:
     rows = items.where(F.col("arxiv_id").isNotNull()).join(F.broadcast(cards.select("arxiv_id")), "arxiv_id", "left_semi")
     order = Window.partitionBy("arxiv_id", "type").orderBy(F.desc("heat"), "id")
     return rows.withColumn("n", F.row_number().over(order)).where("n = 1").select("arxiv_id", "type", "id", "heat")
+
+
+def described(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of entity ids with display and category from the lexicon's entities; ids that it lacks are dropped."""
+    return found.drop("category").join(F.broadcast(known.select("entity_id", "display", "category")), "entity_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import title_keywords
@@ -39,22 +39,53 @@ def paper_floor(items: DataFrame, size: int = FEED, papers: int = PAPERS) -> Dat
 def cross_source_bonus(items: DataFrame) -> DataFrame:
     """Adds bonus and new_heat: items of one paper id from two venues or more, else of one set of title words from three."""
     by_paper = items.where(F.col("arxiv_id").isNotNull()).groupBy("arxiv_id").agg(F.countDistinct("venue").alias("venues")).where("venues >= 2").select("arxiv_id", F.lit(True).alias("shared"))
-    rows = items.join(by_paper, "arxiv_id", "left").withColumn("words", title_keywords(F.col("title")))
+    # Items without a paper id need no join, which would send them all to one task.
+    named, unnamed = items.where(F.col("arxiv_id").isNotNull()), items.where(F.col("arxiv_id").isNull())
+    rows = named.join(by_paper, "arxiv_id", "left").unionByName(unnamed.withColumn("shared", F.lit(None).cast("boolean"))).withColumn("words", title_keywords(F.col("title")))
     title = rows.where(F.col("shared").isNull() & (F.size("words") >= 2)).groupBy("words").agg(F.count("*").alias("n"), F.countDistinct("venue").alias("venues"))
     title = title.where("n >= 3 and venues >= 3").select("words", F.lit(True).alias("alike"))
     bonus = F.when(F.col("shared"), PAPER_BONUS).when(F.col("alike"), TITLE_BONUS).otherwise(0)
     return rows.join(title, "words", "left").withColumn("bonus", bonus).withColumn("new_heat", F.least(F.lit(MOST_HEAT), F.col("heat") + F.col("bonus"))).drop("words", "shared", "alike")
 
 
+#: Values of an item that an incoming row replaces.
+REPLACED = ["type", "title", "desc", "event_date", "venue", "heat", "tags"]
+
+
+def _entries(rows: DataFrame, order: Column) -> DataFrame:
+    """link_hash, name, value as JSON text and order of every entry of the side-cars; malformed ones have none."""
+    held = rows.select("link_hash", order.alias("order"), F.try_parse_json("raw_data").alias("raw")).where(F.startswith(F.schema_of_variant("raw"), F.lit("OBJECT")))
+    split = held.lateralJoin(held.sparkSession.tvf.variant_explode(F.col("raw").outer()))
+    return split.select("link_hash", "order", F.col("key").alias("name"), F.to_json("value").alias("value"))
+
+
+def merged_sidecars(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """link_hash and raw_data: shallow merge of the side-car JSON, the latest arrival's entry last; names in order."""
+    every = _entries(stored, F.lit(None).cast("long")).unionByName(_entries(incoming, F.col("arrival").cast("long")))
+    last = every.groupBy("link_hash", "name").agg(F.max_by("value", F.struct(F.col("order").isNotNull(), F.col("order"))).alias("value"))
+    quoted = F.to_json(F.array("name"))
+    pair = F.concat(F.substr(quoted, F.lit(2), F.length(quoted) - 2), F.lit(":"), F.col("value"))
+    sorted_pairs = F.array_sort(F.collect_list(F.struct("name", pair.alias("pair"))))
+    return last.groupBy("link_hash").agg(F.concat(F.lit("{"), F.array_join(F.transform(sorted_pairs, lambda x: x["pair"]), ","), F.lit("}")).alias("raw_data"))
+
+
 def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The merged table: key, title, heat, fetch_count, heat_changed. Matched rows take the incoming values."""
-    s, i = stored.alias("s"), incoming.alias("i")
+    """The merged table: link_hash, REPLACED, raw_data, fetch_count, is_new, heat_changed.
+
+    Rows are merged one after another in order of `arrival`: the latest row of a link gives its values, every row adds
+    one to fetch_count, and side-cars merge entry by entry. is_new: not stored before; heat_changed: stored with
+    another heat. Rows of `incoming` without a link are left out.
+    """
+    incoming = incoming.where(F.col("link_hash").isNotNull())
+    latest = incoming.groupBy("link_hash").agg(F.max_by(F.struct(*REPLACED), "arrival").alias("new"), F.count("*").cast("int").alias("times"))
+    s, i = stored.alias("s"), latest.alias("i")
     joined = s.join(i, F.col("s.link_hash") == F.col("i.link_hash"), "full_outer")
-    new = F.col("i.link_hash").isNotNull()
-    old = F.col("s.link_hash").isNotNull()
-    pick = lambda name: F.when(new, F.col(f"i.{name}")).otherwise(F.col(f"s.{name}")).alias(name)
-    count = F.coalesce("s.fetch_count", F.lit(0)) + F.when(new, 1).otherwise(0)
-    return joined.select(pick("link_hash"), pick("title"), pick("heat"), count.alias("fetch_count"), (new & old & (F.col("s.heat") != F.col("i.heat"))).alias("heat_changed"))
+    new, old = F.col("i.times").isNotNull(), F.col("s.link_hash").isNotNull()
+    pick = lambda name: F.when(new, F.col(f"i.new.{name}")).otherwise(F.col(f"s.{name}")).alias(name)
+    count = F.coalesce("s.fetch_count", F.lit(0)) + F.coalesce("i.times", F.lit(0))
+    flags = [count.cast("int").alias("fetch_count"), (~old).alias("is_new"), F.coalesce(new & old & (F.col("s.heat") != F.col("i.new.heat")), F.lit(False)).alias("heat_changed")]
+    merged = joined.select(F.coalesce("i.link_hash", "s.link_hash").alias("link_hash"), *map(pick, REPLACED), *flags)
+    return merged.join(merged_sidecars(stored, incoming), "link_hash", "left").select("link_hash", *REPLACED, "raw_data", "fetch_count", "is_new", "heat_changed")
 
 
 def existing(incoming: DataFrame, stored: DataFrame) -> DataFrame:

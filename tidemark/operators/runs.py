@@ -43,3 +43,67 @@ def bloom_size(capacity: int = 100_000, error: float = 0.001) -> tuple[int, int]
     """Bits and hash functions of a filter, for reports: joins here are exact and need none."""
     bits = int(-capacity * math.log(error) / math.log(2) ** 2)
     return bits, max(1, int(bits / capacity * math.log(2)))
+
+
+def run_rows(outcomes: DataFrame) -> DataFrame:
+    """The log's row for each run of rows (run, source, seconds, items, error): items, new items, milliseconds, errors as JSON.
+
+    Every item counts as new, as in the log that this replaces. Append the rows to the log.
+    """
+    errors = F.to_json(F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("source", "error")))), lambda x: F.concat_ws(": ", x["source"], x["error"])))
+    per = outcomes.groupBy("run").agg(F.sum("items").alias("total_items"), F.sum(F.round(F.col("seconds") * 1000)).cast("long").alias("duration_ms"), errors.alias("errors"))
+    return per.select("run", "total_items", F.col("total_items").alias("new_items"), "duration_ms", "errors")
+
+
+def latest_run(log: DataFrame) -> DataFrame:
+    """The last row of the log."""
+    return log.orderBy(F.desc("run")).limit(1)
+
+
+def source_state(log: DataFrame) -> DataFrame:
+    """Of rows (source, seq, seconds, items, error): each source's cursor, fetches, errors, last count and error, and mean milliseconds."""
+    ok = F.col("error").isNull()
+    per = log.groupBy("source").agg(
+        F.max("seq").alias("cursor"), F.sum(ok.cast("int")).alias("fetches"), F.sum((~ok).cast("int")).alias("errors"), F.max_by("items", F.when(ok, F.col("seq"))).alias("last_count"),
+        F.max_by("error", F.when(~ok, F.col("seq"))).alias("last_error"), F.avg(F.when(ok, F.floor(F.col("seconds") * 1000))).alias("mean"),
+    )
+    return per.select("source", "cursor", "fetches", "errors", "last_count", "last_error", half_up(F.col("mean"), 1).alias("mean_ms"))
+
+
+def reused(fetches: DataFrame) -> DataFrame:
+    """Of rows (source, seq, changed, items): the items that each source shows after every fetch; one that has not changed shows the last ones again."""
+    order = Window.partitionBy("source").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("changed"), F.col("items")), ignorenulls=True).over(order)
+    return fetches.select("source", "seq", F.coalesce(last, F.lit(0)).alias("items"), (~F.col("changed") & last.isNotNull()).alias("used_cache"))
+
+
+def _metrics(log: DataFrame, now: float) -> DataFrame:
+    """Of rows (source, seq, at, seconds, ok, limited): mean of the last 5, success rate, failures in a row, rate limits and seconds since the last."""
+    order = Window.partitionBy("source").orderBy(F.desc("seq"))
+    rows = log.withColumn("n", F.row_number().over(order)).withColumn("good_after", F.sum(F.col("ok").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    per = rows.groupBy("source").agg(
+        F.avg(F.when(F.col("n") <= 5, F.col("seconds"))).alias("mean"), F.sum(F.col("ok").cast("int")).alias("good"), F.count("*").alias("tries"),
+        F.sum((F.col("good_after") == 0).cast("int")).alias("failures"), F.sum(F.col("limited").cast("int")).alias("limits"), F.max(F.when(F.col("limited"), F.col("at"))).alias("limited_at"),
+    )
+    rate = F.col("good") / F.least("tries", F.lit(10))
+    return per.select("source", "mean", rate.alias("rate"), "failures", "limits", (F.lit(now) - F.col("limited_at")).alias("since"))
+
+
+def delays(log: DataFrame, now: float) -> DataFrame:
+    """source and the seconds to wait before its next request: more after failures in a row, rate limits in the last minute and slow answers."""
+    m = _metrics(log, now)
+    wait = 0.3 + F.least(0.5 * F.col("failures"), F.lit(3.0)) + F.when(F.col("since") < 60, F.greatest(F.lit(0.0), 2 - F.col("since") / 30)).otherwise(0.0) + F.when(F.col("mean") > 5, 0.5).otherwise(0.0)
+    return m.select("source", half_up(wait, 4).alias("delay"))
+
+
+def advice(log: DataFrame, now: float) -> DataFrame:
+    """source, advice, value: one row for each thing that should change. The rate is of at most ten tries, so it can pass 1."""
+    m = _metrics(log, now)
+    found = F.array_compact(
+        F.array(
+            F.when(F.col("rate") < 0.5, F.struct(F.lit("often fails").alias("advice"), half_up(F.col("rate"), 3).alias("value"))),
+            F.when(F.col("limits") > 3, F.struct(F.lit("often limited").alias("advice"), F.col("limits").cast("double").alias("value"))),
+            F.when(F.col("mean") > 8, F.struct(F.lit("slow").alias("advice"), half_up(F.col("mean"), 1).alias("value"))),
+        )
+    )
+    return m.select("source", F.inline(found))

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scores import half_up, item_weight
-from tidemark.functions.text import infer_tags, tokens
+from tidemark.functions.text import DEFAULT_TAG, TAG_RULES, infer_tags, tokens
 
+# What a topic's token may also be, besides an anchor, to be worth a card.
+STEMS = r"^m?llm|llm$|_llm|llm_|^rag$|^rag_|_rag$|^agent|agent$|_agent|^vlm|vlm$|_vlm|^(kv|lora|dpo|rlhf)(_|$)|_(kv|lora|dpo|rlhf)$"
 # Times that a title counts, least bigram count, least PMI, least log-likelihood of a trend.
 TITLE_TIMES, LEAST_COUNT, LEAST_PMI, LEAST_G2 = 3, 3, 0.8, 3.84
 
@@ -38,9 +40,9 @@ def tfidf(tokened: DataFrame, top_k: int) -> DataFrame:
     total = tokened.agg(F.count("*").alias("items"))
     by_term = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.col("n") / F.greatest("n_tokens", F.lit(1)) * F.col("weight")).alias("mass"))
     scored = by_term.join(F.broadcast(total), how="cross").select("term", "df", (F.col("mass") * (F.log((F.col("items") + 1) / (F.col("df") + 1)) + 1)).alias("raw"))
-    best = scored.agg(F.max("raw").alias("most"))
-    top = scored.join(F.broadcast(best), how="cross").withColumn("score", half_up(F.col("raw") / F.col("most") * 100, 1))
-    return top.orderBy(F.desc(F.round("raw", 9)), "term").limit(top_k).select("term", "df", "score")
+    top = scored.orderBy(F.desc(F.round("raw", 9)), "term").limit(top_k)
+    # The best stands among the top, so the scale needs no second pass over all terms.
+    return top.withColumn("score", half_up(F.col("raw") / F.max("raw").over(Window.partitionBy()) * 100, 1)).orderBy(F.desc(F.round("raw", 9)), "term").select("term", "df", "score")
 
 
 def bigram_rows(tokened: DataFrame) -> DataFrame:
@@ -89,15 +91,25 @@ def keyword_counts(tokened: DataFrame, top_k: int) -> DataFrame:
     return rows.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(top_k)
 
 
-def tag_degree(items: DataFrame, top_k: int = 20) -> DataFrame:
+def tag_degree(items: DataFrame, rules=TAG_RULES, default: str = DEFAULT_TAG, top_k: int = 20) -> DataFrame:
     """tag, degree: how many other tags stand beside it, over all items with two tags or more."""
-    tags = items.select(F.array_distinct(F.transform(infer_tags(F.concat_ws(" ", "title", "desc")), F.lower)).alias("tags")).where(F.size("tags") >= 2)
+    tags = items.select(F.array_distinct(F.transform(infer_tags(F.concat_ws(" ", "title", "desc"), rules, default), F.lower)).alias("tags")).where(F.size("tags") >= 2)
     rows = tags.select(F.explode("tags").alias("tag"), (F.size("tags") - 1).alias("others"))
     return rows.groupBy("tag").agg(F.sum("others").alias("degree")).orderBy(F.desc("degree"), "tag").limit(top_k)
 
 
-def nominations(recent: DataFrame, past: DataFrame, anchors: list[str], kinds=("paper", "repo", "news"), top_g2: int = 30, top_words: int = 12, top_phrases: int = 10) -> DataFrame:
-    """term, kind (token or phrase), type, strength: what each type of item nominates, terms with an anchor only."""
+def high_value(words: Column, anchors: list[str], stems: str = STEMS) -> Column:
+    """Whether one of the tokens is an anchor or has the shape of a stem."""
+    return F.exists(words, lambda t: t.isin(list(anchors)) | t.rlike(stems))
+
+
+def term_tokens(term: Column, stop=(), concepts=None, lexicon=()) -> Column:
+    """A term's first two tokens, as evidence is looked up by them."""
+    return F.slice(tokens(term, stop, concepts, lexicon), 1, 2)
+
+
+def nominations(recent: DataFrame, past: DataFrame, anchors: list[str], stems: str = STEMS, kinds=("paper", "repo", "news"), top_g2: int = 30, top_words: int = 12, top_phrases: int = 10) -> DataFrame:
+    """term, kind (token or phrase), type, strength: what each type of item nominates, terms of high value only."""
     parts = []
     for kind in kinds:
         r, p = recent.where(F.col("type") == kind), past.where(F.col("type") == kind)
@@ -109,8 +121,7 @@ def nominations(recent: DataFrame, past: DataFrame, anchors: list[str], kinds=("
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    named = F.exists(F.split("term", " "), lambda t: t.isin(anchors))
-    return rows.where(named).groupBy("term", "type").agg(F.min("kind").alias("kind"), F.max("strength").alias("strength"))
+    return rows.where(high_value(F.split("term", " "), anchors, stems)).groupBy("term", "type").agg(F.min("kind").alias("kind"), F.max("strength").alias("strength"))
 
 
 def topic_rank(nominated: DataFrame, top_k: int) -> DataFrame:
@@ -130,3 +141,15 @@ def topic_evidence(ranked: DataFrame, tokened: DataFrame, each: int) -> DataFram
     held = tokened.select("id", "type", "heat", "event_date", F.explode(F.array_distinct(F.concat(seq, pairs))).alias("term"))
     order = Window.partitionBy("term", "type").orderBy(F.desc("heat"), F.desc("event_date"), "id")
     return held.join(F.broadcast(ranked.select("term")), "term").withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("term", "type", "id")
+
+
+def topic_cards(nominated: DataFrame, recent: DataFrame, top_k: int, each: int = 3) -> DataFrame:
+    """place, term, score, type, id: the best terms with evidence and each type's items that bear them out.
+
+    Only the first 3 x top_k terms are looked up; those that no item holds are dropped.
+    """
+    ranked = topic_rank(nominated, 3 * top_k)
+    found = topic_evidence(ranked, recent, each)
+    held = ranked.join(F.broadcast(found.select("term").distinct()), "term", "left_semi").orderBy(F.desc("score"), "term").limit(top_k)
+    placed = held.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.desc("score"), "term")))
+    return placed.join(found, "term").select("place", "term", "score", "type", "id")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import links, scores, text
 from tidemark.operators import entities, feed, runs, taxonomy, terms
+from tidemark.plans.registry import QUERIES, SQL, query
 from tidemark.sources.articles import AS_OF, articles
 from tidemark.streaming import feed as streams
 
@@ -24,19 +23,11 @@ TAXONOMY = [
     taxonomy.Domain("german", 1.2, ("der", "und", "nicht"), ("sch[aeiou]",)),
     taxonomy.Domain("spanish", 2.0, ("los", "del", "las"), ("ci[oó]n",)),
 ]
+LEXICON += [(w, "rare", w) for w in ("retien", "nterti", "ereran", "thathe", "aterth", "eding", "ndoure", "hentea", "reesnd", "insch")]
+TAGS = [("enen", ["enen"]), ("onon", ["onon", "ouou"]), ("number", [r"\d{4}"]), ("eau", ["eau"]), ("sch", ["sch"]), ("tion", ["tion"]), ("que", [r"\bque\b"])]
+TOPICS = [(False, [("enen", 22), (r"\bthe\b", 12)]), (True, [("ing", 16), ("tion", 14), ("onon|ouou", 16)]), (False, [("eau", 14), ("sch", 9)])]
+PARTS, LINES, MORE = ["thing", "the and"], ["and ornd.", "thing.", "le.", "ietzte.", "of."], "^(in |and )"
 RECENT, COMPARE = 7, 30
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +52,7 @@ def _tokened(spark: SparkSession, sf_dir: str) -> DataFrame:
 # SQL parts ---------------------------------------------------------------------------------------------------------
 
 _W, _NW = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
-_ART = """articles AS (SELECT doc_id AS id, substr(split_part(text, chr(10), 1), 1, 80) AS title, substr(text, 1, 320) AS "desc",
+_ART = """articles AS (SELECT doc_id AS id, substr(split_part(text, chr(10), 1), 1, 80) AS title, text AS "desc",
  CASE doc_id % 3 WHEN 0 THEN 'paper' WHEN 1 THEN 'repo' ELSE 'news' END AS type, CAST(DATE '2024-01-01' + CAST(doc_id % 31 AS INTEGER) AS DATE) AS event_date,
  source AS venue, CAST(1 + n_chars % 999 AS INTEGER) AS heat, CASE WHEN doc_id % 7 >= 3 THEN '2401.' || lpad(CAST(doc_id // 4 AS VARCHAR), 5, '0') END AS arxiv_id FROM documents)"""
 
@@ -149,15 +140,23 @@ def tokenize_rows(spark, sf_dir):
     return _tokened(spark, sf_dir).select("id", F.size("title_tokens").cast("long").alias("n_title"), F.size("desc_tokens").cast("long").alias("n_desc"), F.md5(F.concat_ws(" ", "title_tokens", "desc_tokens")).alias("tokens_md5"))
 
 
-def _tags_sql(x: str) -> str:
-    parts = ", ".join("CASE WHEN " + " OR ".join(f"regexp_matches(lower({x}), '{p}')" for p in ps) + f" THEN '{tag}' END" for tag, ps in text.TAG_RULES)
-    return f"list_filter([{parts}], lambda t: t IS NOT NULL)[1:4]"
+def _edges(p: str) -> str:
+    """The pattern with word edges that know letters of all scripts."""
+    if p.startswith(r"\b"):
+        p = f"(^|{_NW})" + p[2:]
+    return p[:-2] + f"({_NW}|$)" if p.endswith(r"\b") else p
+
 
+def _tags_sql(x: str, rules=None, default: str = "none") -> str:
+    parts = ", ".join("CASE WHEN " + " OR ".join(f"regexp_matches(lower({x}), '{_edges(p)}')" for p in ps) + f" THEN '{tag}' END" for tag, ps in (rules or TAGS))
+    tags = f"list_filter([{parts}], lambda t: t IS NOT NULL)[1:4]"
+    return f"(CASE WHEN len({tags}) > 0 THEN {tags} ELSE ['{default}'] END)"
 
-@query(f"""WITH {_ART}, t AS (SELECT {_tags_sql("title || ' ' || " + '"desc"')} AS tags FROM articles), u AS (SELECT CASE WHEN len(tags) > 0 THEN tags ELSE ['llm'] END AS tags FROM t)
+
+@query(f"""WITH {_ART}, u AS (SELECT {_tags_sql("title || ' ' || " + '"desc"')} AS tags FROM articles)
 SELECT tag, CAST(sum(others) AS BIGINT) AS degree FROM (SELECT unnest(tags) AS tag, len(tags) - 1 AS others FROM u WHERE len(tags) >= 2) GROUP BY tag ORDER BY degree DESC, tag LIMIT 20""")
 def tag_degree(spark, sf_dir):
-    return terms.tag_degree(articles(spark, sf_dir))
+    return terms.tag_degree(articles(spark, sf_dir), TAGS, "none")
 
 
 _NOMINATED = "nominated AS MATERIALIZED (SELECT term, type, min(kind) AS kind, max(strength) AS strength FROM (" + " UNION ALL ".join(
@@ -284,7 +283,7 @@ def cross_source_bonus(spark, sf_dir):
     return feed.cross_source_bonus(articles(spark, sf_dir)).select("id", "bonus", "new_heat")
 
 
-_HASHED = _ART + ", h AS (SELECT *, md5('https://x.example/' || id) AS link_hash FROM articles), s AS (SELECT link_hash, title, heat, 1 AS fetch_count, type, event_date, id FROM h WHERE id % 2 = 0), i AS (SELECT link_hash, title, CAST(heat + id % 2 + (id % 4) // 2 AS INTEGER) AS heat, type, event_date, id FROM h WHERE id % 3 = 0)"
+_HASHED = _ART + ", h AS (SELECT *, md5('https://x.example/' || id) AS link_hash FROM articles), s AS (SELECT *, 1 AS fetch_count FROM h), i AS (SELECT * REPLACE (CASE WHEN id % 5 < 2 THEN link_hash ELSE md5('https://x.example/new/' || id) END AS link_hash, CAST(heat + id % 2 + (id % 4) // 2 AS INTEGER) AS heat) FROM h)"
 
 
 def _two(spark, sf_dir):
@@ -296,9 +295,37 @@ def _two(spark, sf_dir):
     return stored, incoming
 
 
-@query(f"WITH {_HASHED} SELECT coalesce(i.link_hash, s.link_hash) AS link_hash, coalesce(i.title, s.title) AS title, coalesce(i.heat, s.heat) AS heat, CAST(coalesce(s.fetch_count, 0) + CASE WHEN i.link_hash IS NULL THEN 0 ELSE 1 END AS INTEGER) AS fetch_count, coalesce(s.heat <> i.heat, false) AS heat_changed FROM s FULL JOIN i ON s.link_hash = i.link_hash")
+_SIDECARS = [("stored", "CASE WHEN id % 11 = 0 THEN 'bad {{' WHEN id % 13 <> 0 THEN '{{\"b\":\"s\",\"a\":' || id % 5 || '}}' END"), ("first", "CASE WHEN id % 17 <> 0 THEN '{{\"c\":[' || id % 4 || '],\"b\":\"i\"}}' END"), ("again", "'{{\"d\":true,\"b\":false}}'")]
+_SIDECARS = {k: v.replace("{{", "{").replace("}}", "}") for k, v in _SIDECARS}
+
+
+def _upsert_parts(spark, sf_dir):
+    """Stored and incoming items with tags and side-cars; every seventh incoming item arrives again later, hotter."""
+    stored, incoming = _two(spark, sf_dir)
+    tags = text.infer_tags(F.concat_ws(" ", "title", "desc"), TAGS, "none")
+    full = lambda rows, kind: rows.withColumns({"tags": tags, "raw_data": F.expr(_SIDECARS[kind])})
+    again = full(incoming.where("id % 7 = 0"), "again").withColumns({"arrival": F.col("id") + 10**12, "heat": F.col("heat") + 5, "tags": F.array(F.lit("again"))})
+    return full(stored, "stored"), full(incoming, "first").withColumn("arrival", F.col("id")).unionByName(again)
+
+
+_AGAIN = "i.id % 7 = 0"
+
+
+@query(f"""WITH {_HASHED}, m AS (SELECT coalesce(i.link_hash, s.link_hash) AS link_hash, i.id IS NOT NULL AS new, s.id IS NOT NULL AS old, coalesce(i.id, s.id) AS id, i.heat + CASE WHEN {_AGAIN} THEN 5 ELSE 0 END AS ih, s.heat AS sh, coalesce(i.id % 7 = 0, false) AS again,
+ coalesce(i.type, s.type) AS type, coalesce(i.title, s.title) AS title, coalesce(i."desc", s."desc") AS "desc", coalesce(i.event_date, s.event_date) AS event_date, coalesce(i.venue, s.venue) AS venue FROM s FULL JOIN i ON s.link_hash = i.link_hash),
+ e AS (SELECT *, list_filter([CASE WHEN old AND id % 11 <> 0 AND id % 13 <> 0 THEN '"a":' || id % 5 END, CASE WHEN again THEN '"b":false' WHEN new AND id % 17 <> 0 THEN '"b":"i"' WHEN old AND id % 11 <> 0 AND id % 13 <> 0 THEN '"b":"s"' END,
+ CASE WHEN new AND id % 17 <> 0 THEN '"c":[' || id % 4 || ']' END, CASE WHEN again THEN '"d":true' END], lambda x: x IS NOT NULL) AS raw FROM m)
+SELECT link_hash, type, title, md5("desc") AS desc_md5, event_date, venue, CAST(coalesce(ih, sh) AS INTEGER) AS heat, CASE WHEN again THEN 'again' ELSE array_to_string({_tags_sql("title || ' ' || " + '"desc"')}, ',') END AS tags, CASE WHEN len(raw) > 0 THEN '{{' || array_to_string(raw, ',') || '}}' END AS raw_data,
+ CAST(CASE WHEN old THEN 1 ELSE 0 END + CASE WHEN new THEN 1 ELSE 0 END + CASE WHEN again THEN 1 ELSE 0 END AS INTEGER) AS fetch_count, NOT old AS is_new, coalesce(ih <> sh, false) AS heat_changed FROM e""")
 def upsert_merge(spark, sf_dir):
-    return feed.upsert(*_two(spark, sf_dir))
+    merged = feed.upsert(*_upsert_parts(spark, sf_dir))
+    return merged.withColumns({"desc_md5": F.md5("desc"), "tags": F.array_join("tags", ",")}).drop("desc")
+
+
+@query(f"WITH {_HASHED}, b AS (SELECT *, id AS arrival FROM i UNION ALL SELECT *, id + 1000000000000 FROM i WHERE id % 7 = 0) SELECT link_hash, min(arrival) AS arrival FROM b ANTI JOIN s USING (link_hash) GROUP BY 1")
+def batch_dedup(spark, sf_dir):
+    stored, incoming = _upsert_parts(spark, sf_dir)
+    return feed.unseen(incoming.withColumn("id", F.col("arrival")), stored).select("link_hash", "arrival")
 
 
 @query(f"WITH {_HASHED} SELECT id, link_hash FROM i SEMI JOIN s USING (link_hash)")
@@ -322,16 +349,13 @@ def paper_backfill(spark, sf_dir):
 # Text and scores ---------------------------------------------------------------------------------------------------
 
 
-def _unescape_sql(x: str) -> str:
-    for name, char in text.ENTITIES:
-        x = f"replace({x}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
-    return x
-
-
 _NO_TAGS = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
+#: What the references that these pages hold stand for, by code point, the ampersand last.
+for _name, _point in (("nbsp", 32), ("lt", 60), ("gt", 62), ("quot", 34), ("#39", 39), ("copy", 169), ("middot", 183), ("amp", 38)):
+    _NO_TAGS = f"replace({_NO_TAGS}, '&{_name};', chr({_point}))"
 
 
-@query(f"SELECT page_id, md5(trim(regexp_replace({_unescape_sql(_NO_TAGS)}, '\\s+', ' ', 'g'))) AS text_md5 FROM pages")
+@query(f"SELECT page_id, md5(trim(regexp_replace({_NO_TAGS}, '\\s+', ' ', 'g'))) AS text_md5 FROM pages")
 def strip_html(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", F.md5(text.strip_html(F.col("html"))).alias("text_md5"))
 
@@ -344,9 +368,16 @@ def strip_html_bodies(spark, sf_dir):
 _LINES = "list_filter(list_transform(string_split(replace(text, chr(13), chr(10)), chr(10)), lambda x: trim(x)), lambda x: length(x) > 0)"
 
 
-@query(f"SELECT doc_id, md5(array_to_string(list_filter({_LINES}, lambda t: NOT (length(t) <= 32 AND list_contains({_list(text.NOISE_LINES)}, lower(t))) AND NOT (length(t) < 140 AND regexp_matches(lower(t), '{'|'.join(text.NOISE_PARTS)}')) AND NOT (length(t) < 50 AND regexp_matches(lower(t), '{text.MORE_LINE}'))), chr(10))) AS text_md5 FROM documents")
+def _clean_sql(parts, lines, more) -> str:
+    keep = f"NOT (length(t) <= 32 AND list_contains({_list(lines)}, lower(t))) AND NOT (length(t) < 140 AND regexp_matches(lower(t), '{'|'.join(parts)}')) AND NOT (length(t) < 50 AND regexp_matches(lower(t), '{more}'))"
+    return f"array_to_string(list_filter({_LINES}, lambda t: {keep}), chr(10))"
+
+
+@query(f"SELECT doc_id, md5({_clean_sql(PARTS, LINES, MORE)}) AS text_md5, md5({_clean_sql(text.NOISE_PARTS, text.NOISE_LINES, text.MORE_LINE)}) AS default_md5, CAST(length({_clean_sql(PARTS, LINES, MORE)}) < length(trim(text)) AS BOOLEAN) AS shorter FROM documents")
 def clean_markdown(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_markdown(F.col("text"))).alias("text_md5"))
+    c = F.col("text")
+    clean = text.clean_markdown(c, PARTS, LINES, MORE)
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(clean).alias("text_md5"), F.md5(text.clean_markdown(c)).alias("default_md5"), (F.length(clean) < F.length(F.trim(c))).alias("shorter"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS t FROM documents), u AS (SELECT doc_id, t, length(t) AS n, length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS a, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: length(x) > 0) AS ls FROM t)
@@ -355,9 +386,10 @@ def text_quality(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", scores.half_up(text.text_quality(F.col("text")), 2).alias("quality"))
 
 
-@query(f"SELECT doc_id, array_to_string(CASE WHEN len(tags) > 0 THEN tags ELSE ['llm'] END, ',') AS tags FROM (SELECT doc_id, {_tags_sql('text')} AS tags FROM documents)")
+@query(f"SELECT doc_id, array_to_string({_tags_sql('text')}, ',') AS tags, array_to_string({_tags_sql('text', text.TAG_RULES, text.DEFAULT_TAG)}, ',') AS default_tags FROM documents")
 def infer_tags(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.infer_tags(F.col("text")), ",").alias("tags"))
+    tags = lambda *rules: F.array_join(text.infer_tags(F.col("text"), *rules), ",")
+    return _table(spark, sf_dir, "documents").select("doc_id", tags(TAGS, "none").alias("tags"), tags().alias("default_tags"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
@@ -367,8 +399,8 @@ def sidecar_json(spark, sf_dir):
 
 def _topic_sql(x: str) -> str:
     parts = []
-    for sums, patterns in scores.TOPIC_GROUPS:
-        hits = [f"CASE WHEN regexp_matches({x}, '{p}') THEN {n} ELSE 0 END" for p, n in patterns]
+    for sums, patterns in TOPICS:
+        hits = [f"CASE WHEN regexp_matches({x}, '{_edges(p)}') THEN {n} ELSE 0 END" for p, n in patterns]
         parts.append(f"list_sum(list_distinct([{', '.join(hits)}]))" if sums else f"greatest({', '.join(hits)})")
     return f"least(60, {' + '.join(parts)})"
 
@@ -385,7 +417,7 @@ def heat_score(spark, sf_dir):
         "hn_points": F.col("heat") % 300, "hn_comments": (number % 600).cast("int"), "reddit_score": F.col("heat"), "reddit_comments": (number % 400).cast("int"), "lob_score": none, "lob_comments": none, "upvotes": none,
         "gh_stars": F.col("heat") * 10, "gh_forks": F.col("heat"), "gh_open_issues": (number % 100).cast("int"), "gh_full_name": F.lit(None).cast("string"),
     })
-    return rows.select("id", scores.heat(AS_OF).alias("heat_score"))
+    return rows.select("id", scores.heat(AS_OF, TOPICS).alias("heat_score"))
 
 
 _DOMAINS = []
@@ -475,8 +507,14 @@ def stream_dedup(spark, sf_dir):
     return streams.drained(streams.deduplicated(streams.events_stream(spark, sf_dir)).select("event_id", "user_id", "event_type"), "dedup")
 
 
-@query("SELECT md5(CAST(user_id AS VARCHAR)) AS link_hash, CAST(1 AS INTEGER) AS fetch_count FROM events GROUP BY user_id")
+@query("""SELECT md5(CAST(user_id AS VARCHAR)) AS link_hash, arg_max(event_type, event_id) AS type, CAST(arg_max(event_id % 500, event_id) AS INTEGER) AS heat, CAST(count(*) AS INTEGER) AS fetch_count, max(json_extract_string(props, '$.k')) FILTER (event_id = last) AS k
+ FROM (SELECT *, max(event_id) OVER (PARTITION BY user_id) AS last FROM events) GROUP BY user_id""")
 def stream_upsert(spark, sf_dir):
-    rows = streams.events_stream(spark, sf_dir).select(F.md5(F.col("user_id").cast("string")).alias("link_hash"), F.col("event_type").alias("title"), F.lit(1).alias("heat"))
+    """All events, landed as several files and merged in as many micro-batches."""
+    landed = streams.landed(_table(spark, sf_dir, "events"), "event_id", 4)
+    rows = streams.files_stream(spark, landed).select(
+        F.md5(F.col("user_id").cast("string")).alias("link_hash"), F.col("event_type").alias("type"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("title"), F.lit("").alias("desc"), F.col("ts").cast("date").alias("event_date"),
+        F.lit("events").alias("venue"), (F.col("event_id") % 500).cast("int").alias("heat"), F.array(F.col("event_type")).alias("tags"), F.col("props").alias("raw_data"), F.col("event_id").alias("arrival"),
+    )
     at = streams.upsert_stream(rows, streams._folder(spark, "upsert"))
-    return spark.read.parquet(at).select("link_hash", "fetch_count")
+    return spark.read.parquet(at).select("link_hash", "type", "heat", "fetch_count", text.sidecar(F.col("raw_data"), "k").alias("k"))

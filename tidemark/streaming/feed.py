@@ -9,9 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, shared by all machines; in local mode, where it is unset, one of its own."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        named = tempfile.mkdtemp(prefix="tidemark-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named
+
+
 def _folder(spark: SparkSession, name: str) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{named}/tidemark/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +31,19 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def landed(rows: DataFrame, key: str, files: int) -> str:
+    """The rows written as so many files, in order of the key; returns their folder."""
+    spark = rows.sparkSession
+    at = _folder(spark, "landed")
+    rows.repartitionByRange(files, key).sortWithinPartitions(key).write.parquet(at)
+    return at
+
+
+def files_stream(spark: SparkSession, folder: str, each: int = 1) -> DataFrame:
+    """A stream over the files of a folder, `each` of them to a micro-batch."""
+    return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", each).parquet(folder)
+
+
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs the stream over all that is there now, and returns what it wrote."""
     spark = stream.sparkSession
@@ -48,19 +73,23 @@ def deduplicated(events: DataFrame, keep: str = "7 days") -> DataFrame:
 
 
 def upsert_stream(incoming: DataFrame, folder: str) -> str:
-    """Merges each micro-batch (link_hash, title, heat) into a versioned table; returns the path of the last version.
+    """Merges each micro-batch of items (those of `operators.feed.upsert`) into a versioned table; returns the path of the last version.
 
-    A version is written beside the one that is read, never over it.
+    A version is written beside the one that is read, never over it, so a batch that is run again gives the same.
     """
-    from tidemark.operators.feed import upsert
+    from tidemark.operators.feed import REPLACED, upsert
 
     spark = incoming.sparkSession
-    empty = "link_hash string, title string, heat int, fetch_count int, heat_changed boolean"
+    fields = {f.name: f.dataType for f in incoming.schema}
+    empty = ", ".join(["link_hash string", *(f"`{n}` {fields[n].simpleString()}" for n in REPLACED), "raw_data string, fetch_count int, is_new boolean, heat_changed boolean"])
 
     def merge(batch: DataFrame, number: int) -> None:
         stored = spark.createDataFrame([], empty) if number == 0 else spark.read.parquet(f"{folder}/v{number - 1}")
-        upsert(stored, batch.dropDuplicates(["link_hash"])).write.mode("overwrite").parquet(f"{folder}/v{number}")
+        upsert(stored, batch).write.mode("overwrite").parquet(f"{folder}/v{number}")
 
     query = incoming.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return f"{folder}/v{query.lastProgress['batchId'] if query.lastProgress else 0}"
+    done = [p["batchId"] for p in query.recentProgress if p["numInputRows"]]
+    if not done:
+        spark.createDataFrame([], empty).write.mode("overwrite").parquet(f"{folder}/v0")
+    return f"{folder}/v{max(done, default=0)}"
