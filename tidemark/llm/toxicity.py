@@ -12,6 +12,7 @@ one span.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -49,11 +50,12 @@ def _parts(span: str) -> list[str]:
 
 def spans_of(many: list[str]) -> list[set[str]]:
     """Each text's lower-case spans: the letters and digits between spaces and line ends, what else stands there dropped; and spelled ones."""
-    out = [{p for s in spelled(text) for p in _parts(s)} for text in many]
+    one: dict[str, str] = {}
+    out = [{one.setdefault(p, p) for s in spelled(text) for p in _parts(s)} for text in many]
     for parts in reads([text.lower() for text in many]):
         runs = Runs(parts, "alphanumeric", "space or line")
         _, first, place = np.unique(runs.hash, return_index=True, return_inverse=True)
-        names = [_parts(s) for s in runs.spelled(first)]
+        names = [[one.setdefault(p, p) for p in _parts(s)] for s in runs.spelled(first)]
         for i, k in set(zip(runs.text.tolist(), place.tolist(), strict=True)):
             out[i].update(names[k])
     return out
@@ -122,7 +124,7 @@ def subsequences(spans: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate([f[x] for f in found]) for x in range(3))
 
 
-def kernel(spans: list[str], landmarks: list[str], rows: int = 256) -> np.ndarray:
+def kernel(spans: list[str], landmarks: list[str], rows: int = 64) -> np.ndarray:
     """Kernel values, over the landmarks' subsequences only and so many spans at a time."""
     out = np.zeros((len(spans), len(landmarks)))
     li, lc, lw = subsequences(landmarks)
@@ -202,17 +204,15 @@ def train(rows: list[tuple[str, int]]) -> Model | None:
     Every span of a clean text is clean. In a toxic text the witness, the span that most speaks for toxicity, is
     the positive one; first by how often texts of either label hold it, then by the machine's own margins.
     """
-    held, one = [], {}
-    for spans, (_, label) in zip(spans_of([text for text, _ in rows]), rows, strict=True):
-        held.append((frozenset(one.setdefault(s, s) for s in spans), label))
+    held = list(zip(spans_of([text for text, _ in rows]), [label for _, label in rows], strict=True))
     texts_of = [sum(1 for _, y in held if y == k) for k in (0, 1)]
     if not all(texts_of):
         return None
     df = [Counter(), Counter()]
     for spans, y in held:
         df[y].update(spans)
-    odds = {s: np.log((n + 0.5) / (texts_of[1] + 1)) - np.log((df[0][s] + 0.5) / (texts_of[0] + 1)) for s, n in df[1].items()}
-    strength = {s: o * np.sqrt(df[1][s]) for s, o in odds.items()}
+    odds = {s: math.log((n + 0.5) / (texts_of[1] + 1)) - math.log((df[0][s] + 0.5) / (texts_of[0] + 1)) for s, n in df[1].items()}
+    strength = {s: o * math.sqrt(df[1][s]) for s, o in odds.items()}
     witness = Counter(max(spans, key=lambda s: (strength[s], s)) for spans, y in held if y and spans)
     clean = sorted(df[0])
     if not witness or not clean:
@@ -251,12 +251,12 @@ def train(rows: list[tuple[str, int]]) -> Model | None:
         model = Model(table.astype(np.float32), offset, 1.0, 0.0)
         # In between only spans that the machine was not sure of are looked at again.
         watched = clean if turn in (0, ROUNDS - 1) else [s for s in clean if margins[s] > -0.9]
-        margins |= dict(zip(watched, model.margins(watched), strict=True))
+        margins |= dict(zip(watched, model.margins(watched).tolist(), strict=True))
         worst = sorted((s for s in clean if margins[s] > -0.5), key=lambda s: (-margins[s], s))[:1500]
         negative = list(dict.fromkeys(negative + worst))
         landmarks = list(dict.fromkeys(landmarks + worst[:20]))
         toxic = [s for s in df[1] if s not in plain]
-        margins |= dict(zip(toxic, model.margins(toxic), strict=True))
+        margins |= dict(zip(toxic, model.margins(toxic).tolist(), strict=True))
         again = Counter(max(spans, key=lambda s: (margins[s] + 0.05 * min(odds[s], 5.0), s)) for spans, y in held if y and spans)
         positive = list(dict.fromkeys(known + [s for s, n in sorted(again.items(), key=lambda x: (-x[1], x[0])) if odds[s] > 0 and (df[1][s] > 1 or margins[s] > 0)]))[:2500]
     top = np.array([max((margins[s] for s in spans), default=offset - 1) for spans, _ in held])
@@ -301,8 +301,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_chars:
     limits = [_smallest(known, y, fit_rows) for y in (0, 1)]
     chosen = known.where(F.col("h") <= F.when(F.col("toxic") == 1, limits[1]).otherwise(limits[0])).select("id", "toxic")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= fit_chars)
-    rows = rows.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values("id")
-    return train(list(zip(rows["text"], map(int, rows["toxic"]), strict=True)))
+    rows = rows.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).collect()
+    return train([(r["text"], r["toxic"]) for r in sorted(rows)])
 
 
 class Judge:

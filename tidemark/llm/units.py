@@ -22,7 +22,7 @@ _CUT, _RUN = re.compile(r"(?<=\S) "), re.compile(r"\s ")
 #: Chunks and runs longer than this are worked out but not kept.
 _LONG = 160
 #: Characters that are read at once, but for a longer text without spaces.
-READ = 1 << 20
+READ = 1 << 19
 
 _TESTS: dict[str, Callable[[str], bool]] = {
     "letter": lambda c: unicodedata.category(c)[0] == "L",
@@ -132,45 +132,58 @@ class Runs:
 class Rows:
     """A memo from a run's hash to a row of numbers, which `compute` gives for some runs.
 
-    It starts anew when it is full, so memory is bounded by `most_bytes` and the runs of one reading; runs longer than
+    A hash table in arrays, within `most_bytes`; it starts anew when half its slots are taken. Runs longer than
     `longest` are worked out each time.
     """
 
-    def __init__(self, compute: Callable[[Runs, np.ndarray], np.ndarray], width: int, longest: int = _LONG, most_bytes: int = 64 << 20):
+    def __init__(self, compute: Callable[[Runs, np.ndarray], np.ndarray], width: int, longest: int = _LONG, most_bytes: int = 32 << 20):
         self.compute, self.width, self.longest = compute, width, longest
-        self.limit = max(1000, most_bytes // (8 * width + 120))
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.rows = np.zeros((1024, self.width))
+        bits = max(10, (most_bytes // (12 + 4 * width)).bit_length() - 1)
+        self.shift, self.mask, self.limit = np.uint64(64 - bits), (1 << bits) - 1, 1 << (bits - 1)
+        self.keys, self.place = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        self.rows, self.used = np.zeros((self.limit, width)), 0
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each key's row number, or -1, and the slot where it is or may be put."""
+        slot = (keys >> self.shift).astype(np.int64)
+        place = self.place[slot]
+        on = np.flatnonzero((place >= 0) & (self.keys[slot] != keys))
+        while len(on):
+            slot[on] = (slot[on] + 1) & self.mask
+            place[on] = self.place[slot[on]]
+            on = on[(place[on] >= 0) & (self.keys[slot[on]] != keys[on])]
+        return place, slot
+
+    def _add(self, keys: np.ndarray, slot: np.ndarray, number: np.ndarray) -> None:
+        """Puts distinct new keys into free slots; those that meet in one try the next."""
+        while len(keys):
+            self.keys[slot], self.place[slot] = keys, number
+            lost = self.place[slot] != number
+            keys, number = keys[lost], number[lost]
+            slot = self._find(keys)[1]
 
     def _places(self, runs: Runs, short: np.ndarray) -> np.ndarray:
         keys, first, back = np.unique(runs.hash[short], return_index=True, return_inverse=True)
-        listed = keys.tolist()
-        if self.at and len(self.at) + len(set(listed).difference(self.at)) > self.limit:
-            self._clear()
-        find = self.at.get
-        at = np.fromiter((find(k, -1) for k in listed), np.int64, len(listed))
+        at, slot = self._find(keys)
         new = np.flatnonzero(at < 0)
-        if len(new):
-            n = len(self.at)
-            if n + len(new) > len(self.rows):
-                more = np.zeros((max(2 * len(self.rows), n + len(new)), self.width))
-                more[:n] = self.rows[:n]
-                self.rows = more
-            at[new] = np.arange(n, n + len(new))
-            self.rows[at[new]] = self.compute(runs, short[first[new]])
-            self.at.update(zip(keys[new].tolist(), at[new].tolist(), strict=True))
+        if self.used + len(new) > self.limit:
+            self.place.fill(-1)
+            self.used, new = 0, np.arange(len(keys))
+            at, slot = self._find(keys)
+        at[new] = np.arange(self.used, self.used + len(new))
+        self.rows[at[new]] = self.compute(runs, short[first[new]])
+        self._add(keys[new], slot[new], at[new])
+        self.used += len(new)
         return at[back]
 
     def of(self, runs: Runs) -> np.ndarray:
         """A row for each run."""
         out = np.empty((len(runs), self.width))
         short = np.flatnonzero(runs.size <= self.longest)
-        if len(short):
-            at = self._places(runs, short)
-            out[short] = self.rows[at]
+        if 0 < len(short) <= self.limit:
+            out[short] = self.rows[self._places(runs, short)]
+        elif len(short):
+            out[short] = self.compute(runs, short)
         if len(short) < len(runs):
             long = np.flatnonzero(runs.size > self.longest)
             out[long] = self.compute(runs, long)
