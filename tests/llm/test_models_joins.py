@@ -492,7 +492,8 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
         rows, columns = graph.written(stages[name](spark, rows, str(tmp_path)), name), rows.columns
         assert rows.columns == columns
         after = {r["doc_id"]: tuple(r) for r in rows.collect()}
-        assert after == {i: r for i, r in before.items() if i in kept(before)}
+        wanted = kept(before)
+        assert after == {i: r for i, r in before.items() if i in wanted}
         return after
 
     model = toxicity.fitted(spark, rows, str(tmp_path))

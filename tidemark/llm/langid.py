@@ -135,7 +135,7 @@ class Scorer:
         self.pieces, n = Pieces(model.path), len(model.languages)
         self.logs = np.log(np.vstack([model.probabilities, np.full((1, n), UNKNOWN)]))
         self.table = np.vstack([model.probabilities * SCALE ** self.pieces.lengths[:, None], np.full((1, n), UNKNOWN * SCALE)])
-        self.memo = Rows(self._of, n, SHORT)
+        self.memo = Rows(n, SHORT)
 
     def _of(self, words: Runs, which: np.ndarray) -> np.ndarray:
         out = np.empty((len(which), self.table.shape[1]))
@@ -152,7 +152,7 @@ class Scorer:
         total, letters = np.zeros((len(many), self.table.shape[1])), np.zeros((len(many), 1), np.int64)
         for parts in reads(many):
             words = words_of(parts)
-            total += per_text(words, self.memo.of(words), len(many))
+            total += per_text(words, self.memo.of(words, self._of), len(many))
             letters += per_text(words, words.count("letter")[:, None], len(many)).astype(np.int64)
         return total, letters[:, 0]
 

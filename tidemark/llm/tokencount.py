@@ -73,9 +73,12 @@ class Texts:
     """On a worker: texts to their numbers of tokens."""
 
     def __init__(self, counter: Counter):
-        self.memo = Rows(lambda runs, which: np.array([[counter.count(MARK + w)] for w in runs.spelled(which)], float).reshape(-1, 1), 1)
+        self.memo, self.counter = Rows(1), counter
         self.bare = counter.count(MARK)
 
+    def _of(self, runs: Runs, which: np.ndarray) -> np.ndarray:
+        return np.array([self.counter.count(MARK + w) for w in runs.spelled(which)], float).reshape(-1, 1)
+
     def count(self, many: list[str]) -> np.ndarray:
         """Chunks between spaces count once each when new; those that hold nothing, between two spaces, count as MARK alone."""
         many = [x.replace(MARK, " ") for x in many]
@@ -83,7 +86,7 @@ class Texts:
         total, held = np.zeros(len(many), np.int64), np.zeros(len(many), np.int64)
         for parts in reads(many):
             runs = Runs(parts, "not space")
-            total += per_text(runs, self.memo.of(runs), len(many))[:, 0].astype(np.int64)
+            total += per_text(runs, self.memo.of(runs, self._of), len(many))[:, 0].astype(np.int64)
             held += np.bincount(runs.text, minlength=len(many))
         return total + (chunks - held) * self.bare
 

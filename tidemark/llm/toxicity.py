@@ -310,7 +310,7 @@ class Judge:
 
     def __init__(self, model: Model | None):
         self.model = model
-        self.memo = Rows(self._worst, 1)
+        self.memo = Rows(1)
 
     def _worst(self, runs: Runs, which: np.ndarray) -> np.ndarray:
         """Margin of a run, or of its worst part."""
@@ -328,7 +328,7 @@ class Judge:
         top = np.full((len(many), 1), self.model.offset - 1)
         for parts in reads([x.lower() for x in many]):
             runs = Runs(parts, "alphanumeric", "space or line")
-            top = np.maximum(top, per_text(runs, self.memo.of(runs), len(many), np.maximum, -np.inf))
+            top = np.maximum(top, per_text(runs, self.memo.of(runs, self._worst), len(many), np.maximum, -np.inf))
         for i, text in enumerate(many):
             for span in spelled(text):
                 top[i, 0] = max(top[i, 0], self.model.margins(_parts(span)).max())

@@ -130,14 +130,14 @@ class Runs:
 
 
 class Rows:
-    """A memo from a run's hash to a row of numbers, which `compute` gives for some runs.
+    """A memo from a run's hash to a row of numbers, which a function gives for some runs.
 
     A hash table in arrays, within `most_bytes`; it starts anew when half its slots are taken. Runs longer than
     `longest` are worked out each time.
     """
 
-    def __init__(self, compute: Callable[[Runs, np.ndarray], np.ndarray], width: int, longest: int = _LONG, most_bytes: int = 32 << 20):
-        self.compute, self.width, self.longest = compute, width, longest
+    def __init__(self, width: int, longest: int = _LONG, most_bytes: int = 32 << 20):
+        self.width, self.longest = width, longest
         bits = max(10, (most_bytes // (12 + 4 * width)).bit_length() - 1)
         self.shift, self.mask, self.limit = np.uint64(64 - bits), (1 << bits) - 1, 1 << (bits - 1)
         self.keys, self.place = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
@@ -162,7 +162,7 @@ class Rows:
             keys, number = keys[lost], number[lost]
             slot = self._find(keys)[1]
 
-    def _places(self, runs: Runs, short: np.ndarray) -> np.ndarray:
+    def _places(self, runs: Runs, short: np.ndarray, compute: Callable[[Runs, np.ndarray], np.ndarray]) -> np.ndarray:
         keys, first, back = np.unique(runs.hash[short], return_index=True, return_inverse=True)
         at, slot = self._find(keys)
         new = np.flatnonzero(at < 0)
@@ -171,22 +171,22 @@ class Rows:
             self.used, new = 0, np.arange(len(keys))
             at, slot = self._find(keys)
         at[new] = np.arange(self.used, self.used + len(new))
-        self.rows[at[new]] = self.compute(runs, short[first[new]])
+        self.rows[at[new]] = compute(runs, short[first[new]])
         self._add(keys[new], slot[new], at[new])
         self.used += len(new)
         return at[back]
 
-    def of(self, runs: Runs) -> np.ndarray:
-        """A row for each run."""
+    def of(self, runs: Runs, compute: Callable[[Runs, np.ndarray], np.ndarray]) -> np.ndarray:
+        """A row for each run. `compute` is not kept: an owner that its memo refers to would outlive its task."""
         out = np.empty((len(runs), self.width))
         short = np.flatnonzero(runs.size <= self.longest)
         if 0 < len(short) <= self.limit:
-            out[short] = self.rows[self._places(runs, short)]
+            out[short] = self.rows[self._places(runs, short, compute)]
         elif len(short):
-            out[short] = self.compute(runs, short)
+            out[short] = compute(runs, short)
         if len(short) < len(runs):
             long = np.flatnonzero(runs.size > self.longest)
-            out[long] = self.compute(runs, long)
+            out[long] = compute(runs, long)
         return out
 
 
