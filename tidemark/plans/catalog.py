@@ -510,11 +510,13 @@ def stream_dedup(spark, sf_dir):
 @query("""SELECT md5(CAST(user_id AS VARCHAR)) AS link_hash, arg_max(event_type, event_id) AS type, CAST(arg_max(event_id % 500, event_id) AS INTEGER) AS heat, CAST(count(*) AS INTEGER) AS fetch_count, max(json_extract_string(props, '$.k')) FILTER (event_id = last) AS k
  FROM (SELECT *, max(event_id) OVER (PARTITION BY user_id) AS last FROM events) GROUP BY user_id""")
 def stream_upsert(spark, sf_dir):
-    """All events, landed as several files and merged in as many micro-batches."""
-    landed = streams.landed(_table(spark, sf_dir, "events"), "event_id", 4)
-    rows = streams.files_stream(spark, landed).select(
-        F.md5(F.col("user_id").cast("string")).alias("link_hash"), F.col("event_type").alias("type"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("title"), F.lit("").alias("desc"), F.col("ts").cast("date").alias("event_date"),
-        F.lit("events").alias("venue"), (F.col("event_id") % 500).cast("int").alias("heat"), F.array(F.col("event_type")).alias("tags"), F.col("props").alias("raw_data"), F.col("event_id").alias("arrival"),
-    )
-    at = streams.upsert_stream(rows, streams._folder(spark, "upsert"))
+    """All events, landed in four goes; after each the stream runs on from its checkpoint and merges what is new."""
+    landed, table = streams._folder(spark, "landed"), streams._folder(spark, "upsert")
+    for part in streams.ranges(_table(spark, sf_dir, "events"), "event_id", 4):
+        part.write.mode("append").parquet(landed)
+        rows = streams.files_stream(spark, landed).select(
+            F.md5(F.col("user_id").cast("string")).alias("link_hash"), F.col("event_type").alias("type"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("title"), F.lit("").alias("desc"), F.col("ts").cast("date").alias("event_date"),
+            F.lit("events").alias("venue"), (F.col("event_id") % 500).cast("int").alias("heat"), F.array(F.col("event_type")).alias("tags"), F.col("props").alias("raw_data"), F.col("event_id").alias("arrival"),
+        )
+        at = streams.upsert_stream(rows, table)
     return spark.read.parquet(at).select("link_hash", "type", "heat", "fetch_count", text.sidecar(F.col("raw_data"), "k").alias("k"))

@@ -31,17 +31,17 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def landed(rows: DataFrame, key: str, files: int) -> str:
-    """The rows written as so many files, in order of the key; returns their folder."""
-    spark = rows.sparkSession
-    at = _folder(spark, "landed")
-    rows.repartitionByRange(files, key).sortWithinPartitions(key).write.parquet(at)
-    return at
+def ranges(rows: DataFrame, key: str, times: int) -> list[DataFrame]:
+    """The rows in so many ranges of an integer key, rising, as a service would land them one after another; null keys come first."""
+    ends = rows.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
+    first, width = ends["a"] or 0, -(-((ends["b"] or 0) - (ends["a"] or 0) + 1) // times)
+    number = F.coalesce(F.floor((F.col(key) - first) / width), F.lit(0))
+    return [rows.where(number == i) for i in range(times)]
 
 
-def files_stream(spark: SparkSession, folder: str, each: int = 1) -> DataFrame:
-    """A stream over the files of a folder, `each` of them to a micro-batch."""
-    return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", each).parquet(folder)
+def files_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream over the files of a folder."""
+    return spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -89,7 +89,14 @@ def upsert_stream(incoming: DataFrame, folder: str) -> str:
 
     query = incoming.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    done = [p["batchId"] for p in query.recentProgress if p["numInputRows"]]
-    if not done:
+    version = _last_version(spark, folder)
+    if version is None:
         spark.createDataFrame([], empty).write.mode("overwrite").parquet(f"{folder}/v0")
-    return f"{folder}/v{max(done, default=0)}"
+    return f"{folder}/v{version or 0}"
+
+
+def _last_version(spark: SparkSession, folder: str) -> int | None:
+    """The last version that was written in full. A query's progress may lag behind what it has done."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v*/_SUCCESS")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    return max((int(f.getPath().getParent().getName()[1:]) for f in found), default=None)
