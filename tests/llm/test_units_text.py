@@ -207,6 +207,9 @@ def test_url_rules(spark):
         assert (row["rule"], row["verdict"]) == by_hand(row["host"], row["path"]), row
     one = {x["page_id"]: x for x in got}
     assert (one[0]["host"], one[0]["path"]) == ("", "") and (one[5]["host"], one[5]["path"]) == ("com", "/x/y")
+    odd = spark.createDataFrame([(None, "http://com/", "p", "r"), (5, "http://com/", "p", "r"), (5, "http://com/", "p", "r"), (6, "http://" + "a." * 20_000 + "com/" + "x" * 100_000, "p", "r")], "page_id long, url string, path string, rule string")
+    got = urls.judge(odd, rules).collect()
+    assert sorted(str(r["page_id"]) for r in got) == ["5", "5", "6", "None"] and all((r["rule"], r["verdict"]) == by_hand(r["host"], r["path"]) for r in got)
     assert urls.judge(pages.limit(0), rules).count() == 0 and urls.judge(pages, rules.limit(0)).where("verdict = 'allow'").count() == len(many) * 2
 
 
