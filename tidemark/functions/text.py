@@ -128,13 +128,13 @@ def compounds(c: Column, lexicon: Sequence[tuple[str, str]]) -> Column:
 def tokens(c: Column, stop: Sequence[str] = (), concepts: Mapping[str, str] | None = None, lexicon: Sequence[tuple[str, str]] = ()) -> Column:
     """Lower-case ASCII tokens of 2 to 60 characters, hyphenated pairs joined, without stop words, concepts merged."""
     low = F.lower(compounds(F.coalesce(c, F.lit("")), lexicon))
-    joined = F.regexp_replace(low, f"({W}+)-({W}+)", "$1_$2")
+    joined = F.when(low.contains("-"), F.regexp_replace(low, f"({W}+)-({W}+)", "$1_$2")).otherwise(low)
     words = F.split(F.regexp_replace(joined, r"[^\p{L}\p{N}_\s]", " "), r"\s+", -1)
     shape = F.filter(words, lambda t: (F.length(t) >= 2) & (F.length(t) <= 60) & t.rlike("^[a-z][a-z0-9_-]*$"))
     shown = F.transform(shape, lambda t: F.translate(t, "_", "-"))
     if stop:
         listed = F.array(*map(F.lit, stop))
-        shown = F.filter(shown, lambda t: ~F.array_contains(listed, t) & ~F.array_contains(listed, F.regexp_replace(t, "s+$", "")))
+        shown = F.filter(shown, lambda t: ~F.array_contains(listed, t) & ~F.array_contains(listed, F.rtrim(t, F.lit("s"))))
     if concepts:
         table = F.create_map(*(F.lit(x) for kv in concepts.items() for x in kv))
         shown = F.transform(shown, lambda t: F.coalesce(F.try_element_at(table, t), t))
