@@ -2,9 +2,10 @@
 
 Unit vectors are turned by a fixed random rotation and cut into blocks of columns; each belongs to the list of its
 nearest centre. Of a list that a query probes, the first block's partial squared distances are worked out for all
-candidates at once. In a random direction a part of d of D coordinates holds about d / D of a squared distance, so a
-candidate whose scaled part lies significantly above the k-th best found so far is abandoned; the next block is only
-read for those that remain, and what is left at the end is scored in double precision on the vectors as given.
+candidates at once. In a random direction the share of a squared distance that d of D coordinates hold is Beta
+distributed with mean d / D, so a candidate whose part lies significantly above that share of the k-th best found so
+far is abandoned; the next block is only read for those that remain, and what is left at the end is scored in double
+precision on the vectors as given.
 
 Centres are fitted on a bounded sample; every row is indexed. How many lists a query probes is chosen so that a sample
 of queries finds `RECALL` of its true neighbours, which are worked out against all rows. Equal vectors are one
@@ -27,7 +28,7 @@ from tidemark.llm.graph import written
 from tidemark.llm.units import small_batches
 from tidemark.llm.vectors import _digests, _unit, rotation
 
-#: Neighbours of a query; columns of a block; how many deviations above its expectation a part may lie.
+#: Neighbours of a query; columns of a block; how many standard deviations above its mean a part may lie.
 NEAREST, BLOCK, DEVIATIONS = 5, 16, 3.0
 #: Rows that the centres are fitted on, most centres, rows of a list that is aimed at, rounds of fitting.
 SAMPLE, CENTRES, LIST, ROUNDS = 16_384, 1024, 512, 12
@@ -232,15 +233,16 @@ class _Held:
 def scan(held: _Held, turned: np.ndarray, limits: np.ndarray, deviations: float = DEVIATIONS) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Pairs (query, candidate) that no test of the blocks has abandoned, and how many were left after each block.
 
-    `limits` are squared distances of unit vectors; a part over d of D columns is abandoned where it is above
-    d / D * (1 + deviations / sqrt(d)) ** 2 of its query's limit.
+    `limits` are squared distances of unit vectors. Of a distance at its query's limit, d of D columns would hold more
+    than the mean share and `deviations` times its standard deviation only by chance; what does is abandoned.
     """
     n, d, left = turned.shape[1], 0, []
     i = j = part = None
     for number, block in enumerate(held.blocks):
         q = turned[:, d : d + BLOCK]
         d += block.shape[1]
-        allowed = limits * (1.0 if d == n else d / n * (1 + deviations / np.sqrt(d)) ** 2) + 1e-5
+        share = min(1.0, d / n + deviations * np.sqrt(2 * d * (n - d) / (n + 2)) / n)
+        allowed = limits * share + 1e-5
         if number == 0:
             sums = (q * q).sum(1)[:, None] + held.square[None, :] - 2 * (q @ block.T)
             i, j = np.nonzero(sums <= allowed[:, None])
