@@ -176,7 +176,7 @@ def test_engine_bounds(spark):
         with pytest.raises(ValueError):
             wrong()
     assert [bounded(x, 5, 1, 9) for x in (None, "x", "0", "7", "99")] == [5, 5, 1, 7, 9]
-    assert engine.feed(1).count() == 1
+    assert engine.feed(1).count() == 1 and engine.feed(2).count() == 2
 
 
 def test_shipped_words(spark):

@@ -59,6 +59,11 @@ def strip_html_bodies(c: Column) -> Column:
     return squeezed(F.regexp_replace(c, "<[^>]+>", ""))
 
 
+def literal(s: str) -> str:
+    """A pattern for the string itself."""
+    return re.sub(r"([^\w\s])", r"\\\1", s)
+
+
 def matches(low: Column, pattern: str) -> Column:
     """Whether the pattern is found; plain strings need no regular expression."""
     return low.contains(pattern) if re.fullmatch(r"[\w\s-]+", pattern) else low.rlike(f"(?U){pattern}")
@@ -83,7 +88,7 @@ def clean_markdown(c: Column, parts: Sequence[str] = NOISE_PARTS, whole: Sequenc
 
     def stays(t: Column) -> Column:
         low = F.lower(t)
-        noisy = low.rlike("|".join(parts))
+        noisy = low.rlike("|".join(map(literal, parts)))
         return (
             (F.length(t) > 0)
             & ~((F.length(low) <= 32) & low.isin(list(whole)))
@@ -126,19 +131,27 @@ def compounds(c: Column, lexicon: Sequence[tuple[str, str]]) -> Column:
 
 
 def tokens(c: Column, stop: Sequence[str] = (), concepts: Mapping[str, str] | None = None, lexicon: Sequence[tuple[str, str]] = ()) -> Column:
-    """Lower-case ASCII tokens of 2 to 60 characters, hyphenated pairs joined, without stop words, concepts merged."""
+    """Lower-case ASCII tokens of 2 to 60 characters, hyphenated pairs joined, without stop words, concepts merged.
+
+    One pattern finds them in place; what it finds has no hyphens, so that stop words and concepts are compared with
+    underscores for theirs.
+    """
     low = F.lower(compounds(F.coalesce(c, F.lit("")), lexicon))
     joined = F.when(low.contains("-"), F.regexp_replace(low, f"({W}+)-({W}+)", "$1_$2")).otherwise(low)
-    words = F.split(F.regexp_replace(joined, r"[^\p{L}\p{N}_\s]", " "), r"\s+", -1)
-    shape = F.filter(words, lambda t: (F.length(t) >= 2) & (F.length(t) <= 60) & t.rlike("^[a-z][a-z0-9_-]*$"))
-    shown = F.transform(shape, lambda t: F.translate(t, "_", "-"))
+    found = F.regexp_extract_all(joined, F.lit(f"(?<!{W})[a-z][a-z0-9_]{{1,59}}+(?!{W})"), F.lit(0))
     if stop:
-        listed = F.array(*map(F.lit, stop))
-        shown = F.filter(shown, lambda t: ~F.array_contains(listed, t) & ~F.array_contains(listed, F.rtrim(t, F.lit("s"))))
+        listed = sorted({x.replace("-", "_") for x in stop})
+        found = F.filter(found, lambda t: ~(t.isin(listed) | (t.endswith("s") & F.rtrim(t, F.lit("s")).isin(listed))))
     if concepts:
-        table = F.create_map(*(F.lit(x) for kv in concepts.items() for x in kv))
-        shown = F.transform(shown, lambda t: F.coalesce(F.try_element_at(table, t), t))
-    return F.transform(shown, lambda t: F.translate(t, "-", "_"))
+        merged = {k.replace("-", "_"): v.replace("-", "_") for k, v in concepts.items()}
+        table = F.create_map(*(F.lit(x) for kv in merged.items() for x in kv))
+        found = F.transform(found, lambda t: F.when(t.isin(list(merged)), F.try_element_at(table, t)).otherwise(t))
+    return found
+
+
+def shown(term: Column) -> Column:
+    """A token as results show it."""
+    return F.translate(term, "_", "-")
 
 
 def arxiv_id(link: Column, text: Column) -> Column:

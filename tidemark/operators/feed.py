@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.links import canonical_link
 from tidemark.functions.text import title_keywords
 
 # Items of a feed, papers that it keeps room for, bonuses and their cap.
@@ -27,7 +28,7 @@ def paper_floor(items: DataFrame, size: int = FEED, papers: int = PAPERS) -> Dat
     Candidates beyond the first `size` of either class cannot enter, so both classes are cut before they are ranked.
     """
     order = (F.desc("heat"), F.desc("event_date"), "id")
-    is_paper = F.col("type") == "paper"
+    is_paper = F.col("type").eqNullSafe("paper")
     rows = items.where(is_paper).orderBy(*order).limit(size).unionByName(items.where(~is_paper).orderBy(*order).limit(size))
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy(is_paper).orderBy(*order)))
     taken = F.sum(F.when(~is_paper & (F.col("n") <= size - papers), 1).otherwise(0)).over(Window.partitionBy())
@@ -61,8 +62,9 @@ def _entries(rows: DataFrame, order: Column) -> DataFrame:
 
 def merged_sidecars(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """link_hash and raw_data: shallow merge of the side-car JSON, the latest arrival's entry last; names in order."""
-    every = _entries(stored, F.lit(None).cast("long")).unionByName(_entries(incoming, F.col("arrival").cast("long")))
-    last = every.groupBy("link_hash", "name").agg(F.max_by("value", F.struct(F.col("order").isNotNull(), F.col("order"))).alias("value"))
+    key = lambda come: F.struct(F.lit(come).alias("come"), F.col("arrival").isNotNull().alias("has"), F.col("arrival").cast("long").alias("arrival")) if come else F.struct(F.lit(0).alias("come"), F.lit(False).alias("has"), F.lit(None).cast("long").alias("arrival"))
+    every = _entries(stored, key(0)).unionByName(_entries(incoming, key(1)))
+    last = every.groupBy("link_hash", "name").agg(F.max_by("value", F.struct("order", "value")).alias("value"))
     quoted = F.to_json(F.array("name"))
     pair = F.concat(F.substr(quoted, F.lit(2), F.length(quoted) - 2), F.lit(":"), F.col("value"))
     sorted_pairs = F.array_sort(F.collect_list(F.struct("name", pair.alias("pair"))))
@@ -73,19 +75,23 @@ def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """The merged table: link_hash, REPLACED, raw_data, fetch_count, is_new, heat_changed.
 
     Rows are merged one after another in order of `arrival`: the latest row of a link gives its values, every row adds
-    one to fetch_count, and side-cars merge entry by entry. is_new: not stored before; heat_changed: stored with
-    another heat. Rows of `incoming` without a link are left out.
+    one to fetch_count, and side-cars merge entry by entry; rows without an arrival come before all others. Stored rows
+    that no row comes for stay as they are. is_new: not stored before; heat_changed: stored with another heat. Rows of
+    `incoming` without a link are left out.
     """
     incoming = incoming.where(F.col("link_hash").isNotNull())
-    latest = incoming.groupBy("link_hash").agg(F.max_by(F.struct(*REPLACED), "arrival").alias("new"), F.count("*").cast("int").alias("times"))
+    latest = incoming.groupBy("link_hash").agg(F.max_by(F.struct(*REPLACED), F.struct(F.col("arrival").isNotNull().alias("has"), "arrival", "heat", "title")).alias("new"), F.count("*").cast("int").alias("times"))
     s, i = stored.alias("s"), latest.alias("i")
     joined = s.join(i, F.col("s.link_hash") == F.col("i.link_hash"), "full_outer")
     new, old = F.col("i.times").isNotNull(), F.col("s.link_hash").isNotNull()
     pick = lambda name: F.when(new, F.col(f"i.new.{name}")).otherwise(F.col(f"s.{name}")).alias(name)
     count = F.coalesce("s.fetch_count", F.lit(0)) + F.coalesce("i.times", F.lit(0))
     flags = [count.cast("int").alias("fetch_count"), (~old).alias("is_new"), F.coalesce(new & old & (F.col("s.heat") != F.col("i.new.heat")), F.lit(False)).alias("heat_changed")]
-    merged = joined.select(F.coalesce("i.link_hash", "s.link_hash").alias("link_hash"), *map(pick, REPLACED), *flags)
-    return merged.join(merged_sidecars(stored, incoming), "link_hash", "left").select("link_hash", *REPLACED, "raw_data", "fetch_count", "is_new", "heat_changed")
+    merged = joined.select(F.coalesce("i.link_hash", "s.link_hash").alias("link_hash"), *map(pick, REPLACED), F.when(~new, F.col("s.raw_data")).alias("as_it_was"), *flags)
+    # Side-cars of links that come again are taken apart; all others are copied.
+    touched = merged_sidecars(stored.join(latest.select("link_hash"), "link_hash", "left_semi"), incoming)
+    raw = F.coalesce("as_it_was", "raw_data").alias("raw_data")
+    return merged.join(touched, "link_hash", "left").select("link_hash", *REPLACED, raw, "fetch_count", "is_new", "heat_changed")
 
 
 def existing(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -99,6 +105,8 @@ def unseen(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def backfill(current: DataFrame, stored: DataFrame, most: int) -> DataFrame:
-    """The feed and the latest stored papers that it lacks."""
-    papers = stored.where(F.col("type") == "paper").orderBy(F.desc("event_date"), "id").limit(most).join(current.select("link_hash"), "link_hash", "left_anti")
+    """The feed and those of the latest stored papers, of links to arxiv.org alone, that it lacks by their canonical link."""
+    papers = stored.where((F.col("type") == "paper") & F.col("link").contains("arxiv.org")).orderBy(F.desc("event_date"), F.desc("id")).limit(most)
+    known = current.select(canonical_link(F.col("link")).alias("_key"))
+    papers = papers.withColumns({"_key": canonical_link(F.col("link")), "link": canonical_link(F.col("link"))}).join(known, "_key", "left_anti").drop("_key")
     return current.unionByName(papers, allowMissingColumns=True)

@@ -78,7 +78,11 @@ def reused(fetches: DataFrame) -> DataFrame:
 
 
 def _metrics(log: DataFrame, now: float) -> DataFrame:
-    """Of rows (source, seq, at, seconds, ok, limited): mean of the last 5, success rate, failures in a row, rate limits and seconds since the last."""
+    """Of rows (source, seq, at, seconds, ok, limited): mean of the last 5, success rate, failures in a row, rate limits and seconds since the last.
+
+    Rows later than `now` do not count yet.
+    """
+    log = log.where(F.col("at") <= now)
     order = Window.partitionBy("source").orderBy(F.desc("seq"))
     rows = log.withColumn("n", F.row_number().over(order)).withColumn("good_after", F.sum(F.col("ok").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     per = rows.groupBy("source").agg(

@@ -1,20 +1,28 @@
 """Term analytics over a feed: weighted TF-IDF, NPMI bigrams, log-likelihood trends, tags and topic cards.
 
-All start from one token table: each item's title tokens three times, then those of its description.
+All of them are sums over terms: how often a term stands in an item, how much of it, and at what weight. `Terms` holds
+rows that are added up, be they the words of items or, as an item's weight decays alike on all items of a day, the kept
+sums of a day (`sources.stored`). Results show tokens with hyphens.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scores import half_up, item_weight
-from tidemark.functions.text import DEFAULT_TAG, TAG_RULES, infer_tags, tokens
+from tidemark.functions.text import DEFAULT_TAG, TAG_RULES, infer_tags, shown, tokens
 
 # What a topic's token may also be, besides an anchor, to be worth a card.
 STEMS = r"^m?llm|llm$|_llm|llm_|^rag$|^rag_|_rag$|^agent|agent$|_agent|^vlm|vlm$|_vlm|^(kv|lora|dpo|rlhf)(_|$)|_(kv|lora|dpo|rlhf)$"
-# Times that a title counts, least bigram count, least PMI, least log-likelihood of a trend.
-TITLE_TIMES, LEAST_COUNT, LEAST_PMI, LEAST_G2 = 3, 3, 0.8, 3.84
+# Times that a title counts, least bigram count, least PMI, least log-likelihood of a trend, least weight in a trend.
+TITLE_TIMES, LEAST_COUNT, LEAST_PMI, LEAST_G2, LEAST_WEIGHT = 3, 3, 0.8, 3.84, 1e-6
+# Kinds of items, and what each of them nominates for topics: trends, words, phrases.
+KINDS = ("paper", "repo", "news")
+TRENDS, WORDS, PHRASES = 30, 15, 10
 
 
 def tokenized(items: DataFrame, as_of: str, stop=(), concepts=None, lexicon=()) -> DataFrame:
@@ -27,68 +35,124 @@ def _sequence() -> Column:
     return F.concat(F.flatten(F.array_repeat("title_tokens", TITLE_TIMES)), "desc_tokens")
 
 
-def term_counts(tokened: DataFrame) -> DataFrame:
-    """id, term, n: occurrences, a title's three times; n_tokens of the item."""
-    size = TITLE_TIMES * F.size("title_tokens") + F.size("desc_tokens")
-    rows = tokened.select("id", "type", "weight", size.alias("n_tokens"), F.explode(F.concat(F.transform("title_tokens", lambda t: F.struct(t.alias("term"), F.lit(TITLE_TIMES).alias("n"))), F.transform("desc_tokens", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"))))).alias("t"))
-    return rows.groupBy("id", "type", "weight", "n_tokens", F.col("t.term").alias("term")).agg(F.sum("t.n").alias("n"))
-
-
-def tfidf(tokened: DataFrame, top_k: int) -> DataFrame:
-    """term, df, score: the sum of tf x idf x weight, scaled to 100 for the best."""
-    counts = term_counts(tokened)
-    total = tokened.agg(F.count("*").alias("items"))
-    by_term = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.col("n") / F.greatest("n_tokens", F.lit(1)) * F.col("weight")).alias("mass"))
-    scored = by_term.join(F.broadcast(total), how="cross").select("term", "df", (F.col("mass") * (F.log((F.col("items") + 1) / (F.col("df") + 1)) + 1)).alias("raw"))
-    top = scored.orderBy(F.desc(F.round("raw", 9)), "term").limit(top_k)
-    # The best stands among the top, so the scale needs no second pass over all terms.
-    return top.withColumn("score", half_up(F.col("raw") / F.max("raw").over(Window.partitionBy()) * 100, 1)).orderBy(F.desc(F.round("raw", 9)), "term").select("term", "df", "score")
+def _neighbours(seq: Column) -> Column:
+    """Pairs (a, b) of tokens that follow each other."""
+    n = F.greatest(F.size(seq) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(seq, 1, n).alias("a"), F.slice(seq, 2, n).alias("b"))
 
 
-def bigram_rows(tokened: DataFrame) -> DataFrame:
-    seq = tokened.select(_sequence().alias("s"))
-    return seq.select(F.explode(F.arrays_zip(F.slice("s", 1, F.greatest(F.size("s") - 1, F.lit(0))).alias("a"), F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))).alias("b"))).alias("p")).select("p.a", "p.b")
+def _top(rows: DataFrame, k: int, by: Sequence[str], *order: Column) -> DataFrame:
+    """The first k rows, of each group if there are groups."""
+    if not by:
+        return rows.orderBy(*order).limit(k)
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
 
 
-def npmi(tokened: DataFrame, top_k: int) -> DataFrame:
-    """a, b, n, score: neighbours in the token sequence by normalised pointwise mutual information."""
-    words = tokened.select(F.explode(_sequence()).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
-    pairs = bigram_rows(tokened).groupBy("a", "b").agg(F.count("*").alias("n"))
-    sizes = words.agg(F.sum("c").alias("all_words")).join(pairs.agg(F.sum("n").alias("all_pairs")), how="cross")
-    kept = pairs.where(F.col("n") >= LEAST_COUNT)
-    left, right = words.select(F.col("w").alias("a"), F.col("c").alias("ca")), words.select(F.col("w").alias("b"), F.col("c").alias("cb"))
-    joined = kept.join(left, "a").join(right, "b").join(F.broadcast(sizes), how="cross")
-    share = F.col("n") / F.col("all_pairs")
-    pmi = F.log(share / (F.col("ca") / F.col("all_words") * F.col("cb") / F.col("all_words")))
-    scored = joined.select("a", "b", "n", pmi.alias("pmi"), F.try_divide(100 * pmi, -F.log(share)).alias("raw")).where((F.col("pmi") >= LEAST_PMI) & F.col("raw").isNotNull())
-    return scored.orderBy(F.desc(F.round("raw", 9)), "a", "b").limit(top_k).select("a", "b", "n", half_up(F.col("raw"), 1).alias("score"))
+@dataclass(frozen=True)
+class Terms:
+    """Rows to add up.
 
+    `rows`: type, event_date, a, b (the second of two neighbours, null for single words), n (occurrences, a title's
+    three times), items (in how many it stands), mass (share of an item's tokens times its weight), heavy (occurrences
+    times weight). `totals`: type, event_date, items, weight, tokens, pairs.
+    """
 
-def _weighted(tokened: DataFrame, name: str) -> DataFrame:
-    return term_counts(tokened).groupBy("term").agg(F.sum(F.greatest("weight", F.lit(1e-6)) * F.col("n")).alias(name))
+    rows: DataFrame
+    totals: DataFrame
+
+    @staticmethod
+    def of(tokened: DataFrame, phrases: bool = False) -> Terms:
+        """One row for each occurrence and for each distinct word of an item; with `phrases` also for neighbours."""
+        none, weight, size = F.lit(None).cast("string"), F.greatest("weight", F.lit(LEAST_WEIGHT)), F.greatest(TITLE_TIMES * F.size("title_tokens") + F.size("desc_tokens"), F.lit(1))
+        entry = lambda words, n, items: F.transform(words, lambda t: F.struct(t.alias("a"), none.alias("b"), F.lit(n).cast("long").alias("n"), F.lit(items).cast("long").alias("items")))
+        parts = [entry(F.col("title_tokens"), TITLE_TIMES, 0), entry(F.col("desc_tokens"), 1, 0), entry(F.array_distinct(F.concat("title_tokens", "desc_tokens")), 0, 1)]
+        if phrases:
+            pairs = lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("items"))
+            parts.append(F.transform(_neighbours(_sequence()), pairs))
+        rows = tokened.select("type", "event_date", "weight", weight.alias("least"), size.alias("size"), F.inline(F.concat(*parts)))
+        rows = rows.select("type", "event_date", "a", "b", "n", "items", (F.col("n") / F.col("size") * F.col("weight")).alias("mass"), (F.col("n") * F.col("least")).alias("heavy"))
+        count = TITLE_TIMES * F.size("title_tokens") + F.size("desc_tokens")
+        totals = tokened.select("type", "event_date", F.lit(1).alias("items"), weight.alias("weight"), count.alias("tokens"), F.greatest(count - 1, F.lit(0)).alias("pairs"))
+        return Terms(rows, totals)
+
+    def where(self, condition: Column) -> Terms:
+        """Those of items of some types and days."""
+        return Terms(self.rows.where(condition), self.totals.where(condition))
+
+    def _with(self, rows: DataFrame, by: Sequence[str], *sums: Column) -> DataFrame:
+        """The rows with sums over all items, or over those of their group."""
+        total = self.totals.groupBy(*by).agg(*sums)
+        return rows.join(total, list(by)) if by else rows.join(F.broadcast(total), how="cross")
+
+    def words(self, k: int, by: Sequence[str] = ()) -> DataFrame:
+        """term, df, score: the sum of tf x idf x weight, scaled to 100 for the best; of each group `by`."""
+        sums = self.rows.where("b is null").groupBy(*by, "a").agg(F.sum("items").alias("df"), F.sum("mass").alias("mass"))
+        all_ = self._with(sums, by, F.sum("items").alias("all_items"))
+        scored = all_.select(*by, shown(F.col("a")).alias("term"), "df", (F.col("mass") * (F.log((F.col("all_items") + 1) / (F.col("df") + 1)) + 1)).alias("raw"))
+        order = (F.desc(F.round("raw", 9)), F.col("term"))
+        top = _top(scored, k, by, *order)
+        # The best stands among the top, so the scale needs no second pass over all terms.
+        best = half_up(F.col("raw") / F.max("raw").over(Window.partitionBy(*by)) * 100, 1)
+        return top.withColumn("score", best).orderBy(*by, *order).select(*by, "term", "df", "score")
+
+    def phrases(self, k: int, by: Sequence[str] = ()) -> DataFrame:
+        """a, b, n, score: neighbours by normalised pointwise mutual information; of each group `by`."""
+        # `single` is an aggregate so that no filter on it goes below: all three uses share one shuffle.
+        counts = self.rows.groupBy(*by, "a", "b").agg(F.sum("n").alias("n"), F.max(F.col("b").isNull()).alias("single")).where("n > 0")
+        kept = counts.where((~F.col("single")) & (F.col("n") >= LEAST_COUNT)).drop("single")
+        words = counts.where("single").drop("b", "single")
+        keys = list(by)
+        joined = kept.join(words.select(*by, "a", F.col("n").alias("ca")), [*keys, "a"]).join(words.select(*by, F.col("a").alias("b"), F.col("n").alias("cb")), [*keys, "b"])
+        joined = self._with(joined, by, F.sum("tokens").alias("all_words"), F.sum("pairs").alias("all_pairs"))
+        share = F.col("n") / F.col("all_pairs")
+        pmi = F.log(share / (F.col("ca") / F.col("all_words") * F.col("cb") / F.col("all_words")))
+        raw = F.try_divide(100 * pmi, -F.log(share))
+        scored = joined.select(*by, shown(F.col("a")).alias("a"), shown(F.col("b")).alias("b"), "n", pmi.alias("pmi"), raw.alias("raw")).where((F.col("pmi") >= LEAST_PMI) & F.col("raw").isNotNull())
+        return _top(scored, k, by, F.desc(F.round("raw", 9)), F.col("a"), F.col("b")).select(*by, "a", "b", "n", half_up(F.col("raw"), 1).alias("score"))
+
+    def trends(self, recent: Column, past: Column, k: int, by: Sequence[str] = ()) -> DataFrame:
+        """term, g2, trend, recent_count, historical_count, is_new: terms more frequent on the recent days than on the past ones.
+
+        By the log-likelihood ratio of weighted counts, in one aggregation over both windows; of each group `by`.
+        """
+        both = self.where(recent | past)
+        sums = lambda value: (F.sum(F.when(recent, F.col(value))), F.sum(F.when(past, F.col(value))))
+        now, then = sums("heavy")
+        counts = both.rows.where("b is null").groupBy(*by, "a").agg(F.coalesce(now, F.lit(0.0)).alias("o11"), F.coalesce(then, F.lit(0.0)).alias("o21")).where("o11 > 0")
+        r, h = (F.greatest(x, F.lit(LEAST_WEIGHT)) for x in sums("weight"))
+        there = [F.count(F.when(x, 1)) > 0 for x in (recent, past)]
+        # Without items on either side there is nothing to compare.
+        counts = both._with(counts, by, r.alias("r"), h.alias("h"), (there[0] & there[1]).alias("compared")).where("compared")
+        o11, o21, r, h = (F.col(x) for x in ("o11", "o21", "r", "h"))
+        n, col1 = r + h, o11 + o21
+        g2 = 2 * (_cell(o11, r * col1 / n) + _cell(r - o11, r * (n - col1) / n) + _cell(o21, h * col1 / n) + _cell(h - o21, h * (n - col1) / n))
+        is_new = o21 / h < 1e-9
+        trend = F.when(is_new, 999.0).otherwise(F.least(F.lit(999.0), half_up(F.when(o21 > 0, (o11 / r) / (o21 / h)), 1)))
+        scored = counts.where(o11 / r > o21 / h).select(*by, shown(F.col("a")).alias("term"), g2.alias("raw"), trend.alias("trend"), half_up(o11, 2).alias("recent_count"), half_up(o21, 2).alias("historical_count"), is_new.alias("is_new"))
+        top = _top(scored.where(F.col("raw") >= LEAST_G2), k, by, F.desc(F.round("raw", 9)), F.col("term"))
+        return top.select(*by, "term", half_up(F.col("raw"), 1).alias("g2"), "trend", "recent_count", "historical_count", "is_new")
 
 
 def _cell(o: Column, e: Column) -> Column:
     return F.when((o > 0) & (e > 0), o * F.log(o / e)).otherwise(0.0)
 
 
-def trending(recent: DataFrame, past: DataFrame, top_k: int) -> DataFrame:
-    """term, g2, trend: terms more frequent among recent items, by the log-likelihood ratio of weighted counts."""
-    totals = recent.agg(F.greatest(F.sum("weight"), F.lit(1e-6)).alias("r")).join(past.agg(F.greatest(F.sum("weight"), F.lit(1e-6)).alias("h")), how="cross").where("r is not null and h is not null")
-    both = _weighted(recent, "o11").join(_weighted(past, "o21"), "term", "left").join(F.broadcast(totals), how="cross").withColumn("o21", F.coalesce("o21", F.lit(0.0)))
-    o11, o21, r, h = (F.col(x) for x in ("o11", "o21", "r", "h"))
-    n, col1 = r + h, o11 + o21
-    g2 = 2 * (_cell(o11, r * col1 / n) + _cell(r - o11, r * (n - col1) / n) + _cell(o21, h * col1 / n) + _cell(h - o21, h * (n - col1) / n))
-    ratio = (o11 / r) / (o21 / h)
-    trend = F.when(o21 / h < 1e-9, 999.0).otherwise(F.least(F.lit(999.0), half_up(F.when(o21 > 0, ratio), 1)))
-    scored = both.where(o11 / r > o21 / h).select("term", g2.alias("raw"), trend.alias("trend")).where(F.col("raw") >= LEAST_G2)
-    return scored.orderBy(F.desc(F.round("raw", 9)), "term").limit(top_k).select("term", half_up(F.col("raw"), 2).alias("g2"), "trend")
+def tfidf(tokened: DataFrame, top_k: int) -> DataFrame:
+    return Terms.of(tokened).words(top_k)
+
+
+def npmi(tokened: DataFrame, top_k: int) -> DataFrame:
+    return Terms.of(tokened, phrases=True).phrases(top_k)
+
+
+def trending(tokened: DataFrame, recent: Column, past: Column, top_k: int) -> DataFrame:
+    return Terms.of(tokened).trends(recent, past, top_k)
 
 
 def keyword_counts(tokened: DataFrame, top_k: int) -> DataFrame:
     """term, n: plain counts over title and description."""
     rows = tokened.select(F.explode(F.concat("title_tokens", "desc_tokens")).alias("term"))
-    return rows.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(top_k)
+    return rows.groupBy("term").agg(F.count("*").alias("n")).select(shown(F.col("term")).alias("term"), "n").orderBy(F.desc("n"), "term").limit(top_k)
 
 
 def tag_degree(items: DataFrame, rules=TAG_RULES, default: str = DEFAULT_TAG, top_k: int = 20) -> DataFrame:
@@ -108,48 +172,57 @@ def term_tokens(term: Column, stop=(), concepts=None, lexicon=()) -> Column:
     return F.slice(tokens(term, stop, concepts, lexicon), 1, 2)
 
 
-def nominations(recent: DataFrame, past: DataFrame, anchors: list[str], stems: str = STEMS, kinds=("paper", "repo", "news"), top_g2: int = 30, top_words: int = 12, top_phrases: int = 10) -> DataFrame:
-    """term, kind (token or phrase), type, strength: what each type of item nominates, terms of high value only."""
-    parts = []
-    for kind in kinds:
-        r, p = recent.where(F.col("type") == kind), past.where(F.col("type") == kind)
-        parts += [
-            trending(r, p, top_g2).select("term", F.lit("token").alias("kind"), F.lit(kind).alias("type"), F.col("g2").alias("strength")),
-            tfidf(r, top_words).select("term", F.lit("token").alias("kind"), F.lit(kind).alias("type"), F.col("score").alias("strength")),
-            npmi(r, top_phrases).select(F.concat_ws(" ", "a", "b").alias("term"), F.lit("phrase").alias("kind"), F.lit(kind).alias("type"), F.col("score").alias("strength")),
-        ]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.where(high_value(F.split("term", " "), anchors, stems)).groupBy("term", "type").agg(F.min("kind").alias("kind"), F.max("strength").alias("strength"))
+def nominations(found: Terms, recent: Column, past: Column, anchors: list[str], stems: str = STEMS, spelled=term_tokens, trends: int = TRENDS, words: int = WORDS, phrases: int = PHRASES) -> DataFrame:
+    """What each type of item nominates, terms of high value only.
+
+    term, key (its tokens), kind (token or phrase), type, strength, and trend, recent and hist where it is on the rise,
+    else 1, 0 and 0. `spelled` gives a term's tokens.
+    """
+    of, by = found.where(F.col("type").isin(*KINDS)), ["type"]
+    now = of.where(recent)
+    row = lambda kind, strength, *more: ("type", "term", F.lit(kind).alias("kind"), strength.alias("strength"), *more)
+    rising = of.trends(recent, past, trends, by).select(*row("token", F.col("g2"), "trend", F.col("recent_count").alias("recent"), F.col("historical_count").alias("hist")))
+    common = now.words(words, by).select(*row("token", F.col("score")))
+    paired = now.phrases(phrases, by).withColumn("term", F.concat_ws(" ", "a", "b")).select(*row("phrase", F.col("score")))
+    every = rising.unionByName(common, allowMissingColumns=True).unionByName(paired, allowMissingColumns=True)
+    every = every.withColumn("tokens", spelled(F.col("term"))).where(high_value(F.col("tokens"), anchors, stems)).withColumn("key", F.concat_ws(" ", "tokens"))
+    signal = lambda name, default: F.coalesce(F.max(name), F.lit(default)).alias(name)
+    return every.groupBy("term", "key", "type").agg(F.min("kind").alias("kind"), F.max("strength").alias("strength"), signal("trend", 1.0), signal("recent", 0.0), signal("hist", 0.0))
 
 
 def topic_rank(nominated: DataFrame, top_k: int) -> DataFrame:
-    """term, score: 1.8 paper + 1.2 repo + 0.8 news, and a bonus for terms that several types nominate."""
+    """term, key, kind, score: 1.8 paper + 1.2 repo + 0.8 news, and a bonus for terms that several types nominate."""
     of = lambda kind: F.coalesce(F.max(F.when(F.col("type") == kind, F.col("strength"))), F.lit(0.0))
-    wide = nominated.groupBy("term").agg(of("paper").alias("paper"), of("repo").alias("repo"), of("news").alias("news"))
+    wide = nominated.groupBy("term", "key").agg(F.min("kind").alias("kind"), of("paper").alias("paper"), of("repo").alias("repo"), of("news").alias("news"))
     p, r, n = (F.col(x) > 0 for x in ("paper", "repo", "news"))
     bonus = F.when(p & r, 80).otherwise(0) + F.when(p & n, 35).otherwise(0) + F.when(r & n, 20).otherwise(0) + F.when(p & r & n, 25).otherwise(0)
     score = 1.8 * F.col("paper") + 1.2 * F.col("repo") + 0.8 * F.col("news") + bonus
-    return wide.select("term", half_up(score, 2).alias("score")).orderBy(F.desc("score"), "term").limit(top_k)
+    ranked = wide.withColumn("raw", score).orderBy(F.desc(F.round("raw", 9)), "term").limit(top_k)
+    return ranked.select("term", "key", "kind", half_up(F.col("raw"), 1).alias("score"), "raw")
 
 
 def topic_evidence(ranked: DataFrame, tokened: DataFrame, each: int) -> DataFrame:
-    """term, type, id: each term's hottest items of every type that hold it as a token or as neighbouring tokens."""
+    """key, type, id: each term's hottest items of every type that hold it as a token or as neighbouring tokens.
+
+    `ranked` has a few rows (it is a top list). Items are tested for its keys before their words become rows.
+    """
     seq = _sequence()
-    pairs = F.transform(F.arrays_zip(F.slice(seq, 1, F.greatest(F.size(seq) - 1, F.lit(0))).alias("a"), F.slice(seq, 2, F.greatest(F.size(seq) - 1, F.lit(0))).alias("b")), lambda p: F.concat_ws(" ", p["a"], p["b"]))
-    held = tokened.select("id", "type", "heat", "event_date", F.explode(F.array_distinct(F.concat(seq, pairs))).alias("term"))
-    order = Window.partitionBy("term", "type").orderBy(F.desc("heat"), F.desc("event_date"), "id")
-    return held.join(F.broadcast(ranked.select("term")), "term").withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("term", "type", "id")
+    held = tokened.where(F.col("type").isin(*KINDS)).select("id", "type", "heat", "event_date", F.explode(F.array_distinct(F.concat(seq, F.transform(_neighbours(seq), lambda p: F.concat_ws(" ", p["a"], p["b"]))))).alias("key"))
+    order = Window.partitionBy("key", "type").orderBy(F.desc("heat"), F.desc("event_date"), "id")
+    return held.join(F.broadcast(ranked.select("key").distinct()), "key").withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("key", "type", "id")
 
 
 def topic_cards(nominated: DataFrame, recent: DataFrame, top_k: int, each: int = 3) -> DataFrame:
-    """place, term, score, type, id: the best terms with evidence and each type's items that bear them out.
+    """place, term, kind, score, type, g2, trend, recent, hist, id: the best terms with evidence and each type's items that bear them out.
 
+    g2, trend, recent and hist are the signals of the type; where it did not nominate the term they are 0, 1, 0 and 0.
     Only the first 3 x top_k terms are looked up; those that no item holds are dropped.
     """
     ranked = topic_rank(nominated, 3 * top_k)
     found = topic_evidence(ranked, recent, each)
-    held = ranked.join(F.broadcast(found.select("term").distinct()), "term", "left_semi").orderBy(F.desc("score"), "term").limit(top_k)
-    placed = held.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.desc("score"), "term")))
-    return placed.join(found, "term").select("place", "term", "score", "type", "id")
+    held = ranked.join(F.broadcast(found.select("key").distinct()), "key", "left_semi").orderBy(F.desc(F.round("raw", 9)), "term").limit(top_k)
+    placed = held.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.desc(F.round("raw", 9)), "term")))
+    signals = nominated.select("term", "type", half_up(F.col("strength"), 2).alias("g2"), half_up(F.col("trend"), 2).alias("trend"), half_up(F.col("recent"), 2).alias("recent"), half_up(F.col("hist"), 2).alias("hist"))
+    rows = placed.join(found, "key").join(signals, ["term", "type"], "left")
+    none = lambda name, value: F.coalesce(name, F.lit(value)).alias(name)
+    return rows.select("place", "term", "kind", "score", "type", none("g2", 0.0), none("trend", 1.0), none("recent", 0.0), none("hist", 0.0), "id")

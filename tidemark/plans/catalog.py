@@ -9,6 +9,7 @@ from tidemark.functions import links, scores, text
 from tidemark.operators import entities, feed, runs, taxonomy, terms
 from tidemark.plans.registry import QUERIES, SQL, query
 from tidemark.sources.articles import AS_OF, articles
+from tidemark.sources.stored import Stored
 from tidemark.streaming import feed as streams
 
 # Lexicons of these queries: frequent words of the test tables. Real ones are parameters of the operators.
@@ -45,6 +46,13 @@ def past_of(items: DataFrame, days: int = COMPARE, recent: int = RECENT) -> Data
     return items.where((F.col("event_date") >= F.date_sub(end, days)) & (F.col("event_date") < F.date_sub(end, recent)))
 
 
+def _days(recent: int = RECENT, compare: int = COMPARE) -> tuple:
+    """Conditions for the recent days and for those that they are compared with."""
+    end, day = F.lit(AS_OF).cast("date"), F.col("event_date")
+    return day >= F.date_sub(end, recent), (day >= F.date_sub(end, compare)) & (day < F.date_sub(end, recent))
+
+
+
 def _tokened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.tokenized(articles(spark, sf_dir), AS_OF, STOP, CONCEPTS, COMPOUNDS)
 
@@ -52,9 +60,13 @@ def _tokened(spark: SparkSession, sf_dir: str) -> DataFrame:
 # SQL parts ---------------------------------------------------------------------------------------------------------
 
 _W, _NW = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
-_ART = """articles AS (SELECT doc_id AS id, substr(split_part(text, chr(10), 1), 1, 80) AS title, text AS "desc",
+def _padded(x: str) -> str:
+    return f"lpad(CAST({x} AS VARCHAR), CAST(greatest(length(CAST({x} AS VARCHAR)), 5) AS INTEGER), '0')"
+
+
+_ART = f"""articles AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, text AS "desc",
  CASE doc_id % 3 WHEN 0 THEN 'paper' WHEN 1 THEN 'repo' ELSE 'news' END AS type, CAST(DATE '2024-01-01' + CAST(doc_id % 31 AS INTEGER) AS DATE) AS event_date,
- source AS venue, CAST(1 + n_chars % 999 AS INTEGER) AS heat, CASE WHEN doc_id % 7 >= 3 THEN '2401.' || lpad(CAST(doc_id // 4 AS VARCHAR), 5, '0') END AS arxiv_id FROM documents)"""
+ source AS venue, CAST(1 + n_chars % 999 AS INTEGER) AS heat, CASE WHEN doc_id % 7 >= 3 THEN '2401.' || {_padded("doc_id // 4")} END AS arxiv_id FROM documents)"""
 
 
 def _list(values) -> str:
@@ -86,29 +98,32 @@ counts AS MATERIALIZED (SELECT id, type, event_date, weight, n_tokens, term, cou
 _RECENT, _PAST = "event_date >= DATE '2024-01-24'", "event_date >= DATE '2024-01-01' AND event_date < DATE '2024-01-24'"
 
 
+_SHOWN = "replace({}, '_', '-')"
+
+
 def _tfidf_sql(where: str, k: int) -> str:
     return f"""(SELECT term, df, {_half("raw / max(raw) OVER () * 100", 1)} AS score, raw FROM
- (SELECT term, count(*) AS df, sum(n / greatest(n_tokens, 1) * weight) * (ln(((SELECT count(*) FROM seq WHERE {where}) + 1.0) / (count(*) + 1)) + 1) AS raw FROM counts WHERE {where} GROUP BY term)
+ (SELECT {_SHOWN.format("term")} AS term, count(*) AS df, sum(n / greatest(n_tokens, 1) * weight) * (ln(((SELECT count(*) FROM seq WHERE {where}) + 1.0) / (count(*) + 1)) + 1) AS raw FROM counts WHERE {where} GROUP BY counts.term)
  ORDER BY round(raw, 9) DESC, term LIMIT {k})"""
 
 
 def _npmi_sql(where: str, k: int) -> str:
-    return f"""(SELECT a, b, n, {_half("100 * pmi / -ln(pb)", 1)} AS score FROM
+    return f"""(SELECT {_SHOWN.format("a")} AS a, {_SHOWN.format("b")} AS b, n, {_half("100 * pmi / -ln(pb)", 1)} AS score FROM
  (SELECT a, b, n, n / np AS pb, ln((n / np) / ((wa.c / nw) * (wb.c / nw))) AS pmi FROM
   (SELECT p.a AS a, p.b AS b, count(*)::DOUBLE AS n FROM (SELECT unnest(list_transform(range(1, len(s)), lambda i: {{'a': s[i], 'b': s[i + 1]}})) AS p FROM seq WHERE {where}) GROUP BY ALL) pairs
   JOIN (SELECT term, count(*)::DOUBLE AS c FROM word WHERE {where} GROUP BY term) wa ON wa.term = a JOIN (SELECT term, count(*)::DOUBLE AS c FROM word WHERE {where} GROUP BY term) wb ON wb.term = b,
-  (SELECT sum(len(s) - 1)::DOUBLE AS np FROM seq WHERE len(s) > 1 AND {where}), (SELECT count(*)::DOUBLE AS nw FROM word WHERE {where}) WHERE n >= 3)
- WHERE pmi >= 0.8 AND pb < 1 ORDER BY round(100 * pmi / -ln(pb), 9) DESC, a, b LIMIT {k})"""
+  (SELECT sum(len(s) - 1)::DOUBLE AS np FROM seq WHERE len(s) > 1 AND {where}), (SELECT count(*)::DOUBLE AS nw FROM word WHERE {where}) WHERE n >= 3) found
+ WHERE pmi >= 0.8 AND pb < 1 ORDER BY round(100 * pmi / -ln(pb), 9) DESC, replace(found.a, '_', '-'), replace(found.b, '_', '-') LIMIT {k})"""
 
 
 def _g2_sql(recent: str, past: str, k: int) -> str:
     cell = lambda o, e: f"CASE WHEN {o} > 0 AND {e} > 0 THEN ({o}) * ln(({o}) / ({e})) ELSE 0 END"
     g2 = f"2 * ({cell('o11', 'r * (o11 + o21) / (r + h)')} + {cell('(r - o11)', 'r * (r + h - o11 - o21) / (r + h)')} + {cell('o21', 'h * (o11 + o21) / (r + h)')} + {cell('(h - o21)', 'h * (r + h - o11 - o21) / (r + h)')})"
-    return f"""(SELECT term, {_half("raw", 2)} AS g2, trend FROM (SELECT term, {g2} AS raw, CASE WHEN o21 / h < 1e-9 THEN 999.0 ELSE least(999.0, {_half("(o11 / r) / (o21 / h)", 1)}) END AS trend FROM
+    return f"""(SELECT {_SHOWN.format("term")} AS term, {_half("raw", 1)} AS g2, trend, {_half("o11", 2)} AS recent_count, {_half("o21", 2)} AS historical_count, is_new FROM (SELECT term, o11, o21, {g2} AS raw, o21 / h < 1e-9 AS is_new, CASE WHEN o21 / h < 1e-9 THEN 999.0 ELSE least(999.0, {_half("(o11 / r) / (o21 / h)", 1)}) END AS trend FROM
  (SELECT a.term AS term, a.o AS o11, coalesce(b.o, 0) AS o21, r, h FROM (SELECT term, sum(greatest(weight, 1e-6) * n) AS o FROM counts WHERE {recent} GROUP BY term) a
   LEFT JOIN (SELECT term, sum(greatest(weight, 1e-6) * n) AS o FROM counts WHERE {past} GROUP BY term) b ON a.term = b.term,
-  (SELECT greatest(sum(weight), 1e-6) AS r FROM seq WHERE {recent}), (SELECT greatest(sum(weight), 1e-6) AS h FROM seq WHERE {past}))
- WHERE o11 / r > o21 / h) WHERE raw >= 3.84 ORDER BY round(raw, 9) DESC, term LIMIT {k})"""
+  (SELECT greatest(sum(greatest(weight, 1e-6)), 1e-6) AS r FROM seq WHERE {recent}), (SELECT greatest(sum(greatest(weight, 1e-6)), 1e-6) AS h FROM seq WHERE {past}))
+ WHERE o11 / r > o21 / h) q WHERE raw >= 3.84 ORDER BY round(raw, 9) DESC, replace(q.term, '_', '-') LIMIT {k})"""
 
 
 # Terms -------------------------------------------------------------------------------------------------------------
@@ -126,11 +141,10 @@ def phrases_npmi(spark, sf_dir):
 
 @query(f"WITH {_TOK} SELECT * FROM {_g2_sql(_RECENT, _PAST, 40)}")
 def trending_g2(spark, sf_dir):
-    rows = _tokened(spark, sf_dir)
-    return terms.trending(recent_of(rows), past_of(rows), 40)
+    return terms.trending(_tokened(spark, sf_dir), *_days(), 40)
 
 
-@query(f"WITH {_TOK} SELECT term, count(*) AS n FROM (SELECT unnest(list_concat(tt, dt)) AS term FROM tok) GROUP BY term ORDER BY n DESC, term LIMIT 50")
+@query(f"WITH {_TOK} SELECT replace(t, '_', '-') AS term, count(*) AS n FROM (SELECT unnest(list_concat(tt, dt)) AS t FROM tok) GROUP BY t ORDER BY n DESC, term LIMIT 50")
 def keyword_counts(spark, sf_dir):
     return terms.keyword_counts(_tokened(spark, sf_dir), 50)
 
@@ -159,35 +173,69 @@ def tag_degree(spark, sf_dir):
     return terms.tag_degree(articles(spark, sf_dir), TAGS, "none")
 
 
-_NOMINATED = "nominated AS MATERIALIZED (SELECT term, type, min(kind) AS kind, max(strength) AS strength FROM (" + " UNION ALL ".join(
-    f"SELECT term, 'token' AS kind, '{t}' AS type, g2 AS strength FROM {_g2_sql(f'type = {t!r} AND ' + _RECENT, f'type = {t!r} AND ' + _PAST, 30)} UNION ALL SELECT term, 'token', '{t}', score FROM {_tfidf_sql(f'type = {t!r} AND ' + _RECENT, 12)} "
-    f"UNION ALL SELECT a || ' ' || b, 'phrase', '{t}', score FROM {_npmi_sql(f'type = {t!r} AND ' + _RECENT, 10)}"
-    for t in ("paper", "repo", "news")
-) + f") WHERE len(list_filter(string_split(term, ' '), lambda x: list_contains({_list(ANCHORS)}, x))) > 0 GROUP BY term, type)"
-_RANKED = f"""wide AS (SELECT term, coalesce(max(CASE WHEN type = 'paper' THEN strength END), 0) AS p, coalesce(max(CASE WHEN type = 'repo' THEN strength END), 0) AS r, coalesce(max(CASE WHEN type = 'news' THEN strength END), 0) AS n FROM nominated GROUP BY term),
-ranked AS (SELECT term, {_half("1.8 * p + 1.2 * r + 0.8 * n + CASE WHEN p > 0 AND r > 0 THEN 80 ELSE 0 END + CASE WHEN p > 0 AND n > 0 THEN 35 ELSE 0 END + CASE WHEN r > 0 AND n > 0 THEN 20 ELSE 0 END + CASE WHEN p > 0 AND r > 0 AND n > 0 THEN 25 ELSE 0 END", 2)} AS score FROM wide ORDER BY score DESC, term LIMIT 12)"""
+def _nominated_sql(stems: str | None = None) -> str:
+    none = "NULL::DOUBLE AS trend, NULL::DOUBLE AS recent, NULL::DOUBLE AS hist"
+    parts = []
+    for t in terms.KINDS:
+        now, then = (f"type = '{t}' AND {w}" for w in (_RECENT, _PAST))
+        parts += [
+            f"SELECT term, 'token' AS kind, '{t}' AS type, g2 AS strength, trend, recent_count AS recent, historical_count AS hist FROM {_g2_sql(now, then, 30)}",
+            f"SELECT term, 'token', '{t}', score, {none} FROM {_tfidf_sql(now, 15)}",
+            f"SELECT a || ' ' || b, 'phrase', '{t}', score, {none} FROM {_npmi_sql(now, 10)}",
+        ]
+    valued = f"list_contains({_list(ANCHORS)}, x)" + (f" OR regexp_matches(x, '{stems}')" if stems else "")
+    return f"""nominated AS MATERIALIZED (SELECT term, array_to_string(spelled, ' ') AS key, type, min(kind) AS kind, max(strength) AS strength, coalesce(max(trend), 1) AS trend, coalesce(max(recent), 0) AS recent, coalesce(max(hist), 0) AS hist
+ FROM (SELECT *, {_tok("term")}[1:2] AS spelled FROM ({" UNION ALL ".join(parts)})) WHERE len(list_filter(spelled, lambda x: {valued})) > 0 GROUP BY term, spelled, type)"""
+
+
+def _ranked_sql(k: int) -> str:
+    return f"""wide AS (SELECT term, key, min(kind) AS kind, coalesce(max(CASE WHEN type = 'paper' THEN strength END), 0) AS p, coalesce(max(CASE WHEN type = 'repo' THEN strength END), 0) AS r, coalesce(max(CASE WHEN type = 'news' THEN strength END), 0) AS n FROM nominated GROUP BY term, key),
+ranked AS (SELECT term, key, kind, raw, {_half("raw", 1)} AS score FROM (SELECT *, 1.8::DOUBLE * p + 1.2::DOUBLE * r + 0.8::DOUBLE * n + CASE WHEN p > 0 AND r > 0 THEN 80 ELSE 0 END + CASE WHEN p > 0 AND n > 0 THEN 35 ELSE 0 END + CASE WHEN r > 0 AND n > 0 THEN 20 ELSE 0 END + CASE WHEN p > 0 AND r > 0 AND n > 0 THEN 25 ELSE 0 END AS raw FROM wide) ORDER BY round(raw, 9) DESC, term LIMIT {k})"""
 
 
-def _nominated(spark, sf_dir):
-    rows = _tokened(spark, sf_dir).persist()
-    return rows, terms.nominations(recent_of(rows), past_of(rows), ANCHORS)
+#: Each of the best terms with its hottest items of every type.
+_HELD = f"""held AS (SELECT DISTINCT id, type, heat, event_date, unnest(list_concat(s, list_transform(range(1, len(s)), lambda i: s[i] || ' ' || s[i + 1]))) AS key FROM seq WHERE {_RECENT}),
+ev AS (SELECT key, type, id FROM (SELECT key, type, id, row_number() OVER (PARTITION BY key, type ORDER BY heat DESC, event_date DESC, id) AS k FROM held SEMI JOIN ranked USING (key)) WHERE k <= 3)"""
 
 
-@query(f"WITH {_TOK}, {_NOMINATED} SELECT term, type, kind, strength FROM nominated")
+def _topics(spark, sf_dir):
+    """The kept term sums of the documents, and what they nominate."""
+    kept = Stored.scratch(spark, articles(spark, sf_dir), STOP, CONCEPTS, COMPOUNDS)
+    return kept, terms.nominations(kept.terms(AS_OF), *_days(), ANCHORS, "$^", kept.spelled)
+
+
+@query(f"WITH {_TOK}, {_nominated_sql()} SELECT term, key, type, kind, strength, trend, recent, hist FROM nominated")
 def topic_nominations(spark, sf_dir):
-    return _nominated(spark, sf_dir)[1].select("term", "type", "kind", "strength")
+    return _topics(spark, sf_dir)[1].select("term", "key", "type", "kind", "strength", "trend", "recent", "hist")
 
 
-@query(f"WITH {_TOK}, {_NOMINATED}, {_RANKED} SELECT term, score FROM ranked")
+@query(f"WITH {_TOK}, {_nominated_sql()}, {_ranked_sql(12)} SELECT term, kind, score FROM ranked")
 def topic_rank(spark, sf_dir):
-    return terms.topic_rank(_nominated(spark, sf_dir)[1], 12)
+    return terms.topic_rank(_topics(spark, sf_dir)[1], 12).select("term", "kind", "score")
 
 
-@query(f"""WITH {_TOK}, {_NOMINATED}, {_RANKED}, held AS (SELECT DISTINCT id, type, heat, event_date, unnest(list_concat(s, list_transform(range(1, len(s)), lambda i: s[i] || ' ' || s[i + 1]))) AS term FROM seq WHERE {_RECENT})
-SELECT term, type, id FROM (SELECT term, type, id, row_number() OVER (PARTITION BY term, type ORDER BY heat DESC, event_date DESC, id) AS k FROM held SEMI JOIN ranked USING (term)) WHERE k <= 3""")
+@query(f"WITH {_TOK}, {_nominated_sql()}, {_ranked_sql(12)}, {_HELD} SELECT key, type, id FROM ev")
 def topic_evidence(spark, sf_dir):
-    rows, nominated = _nominated(spark, sf_dir)
-    return terms.topic_evidence(terms.topic_rank(nominated, 12), recent_of(rows), 3)
+    kept, nominated = _topics(spark, sf_dir)
+    return terms.topic_evidence(terms.topic_rank(nominated, 12), kept.tokens().where(_days()[0]), 3)
+
+
+@query(f"WITH {_TOK} SELECT event_date, type, term AS word, CAST(sum(n) AS BIGINT) AS n, count(*) AS items, {_half('sum(n / greatest(n_tokens, 1) * weight)', 6)} AS mass FROM counts GROUP BY event_date, type, term")
+def term_days(spark, sf_dir):
+    """The kept sums of every day, type and word, rescaled to the day of the analysis."""
+    rows = Stored.scratch(spark, articles(spark, sf_dir), STOP, CONCEPTS, COMPOUNDS).terms(AS_OF).rows.where("b is null")
+    return rows.select("event_date", "type", F.col("a").alias("word"), "n", "items", scores.half_up(F.col("mass"), 6).alias("mass"))
+
+
+@query(f"WITH {_TOK} SELECT term, df, score FROM {_tfidf_sql(_RECENT, 50)}")
+def stored_words(spark, sf_dir):
+    """A window's words, rolled up from kept sums of its days."""
+    return Stored.scratch(spark, articles(spark, sf_dir), STOP, CONCEPTS, COMPOUNDS).terms(AS_OF).where(_days()[0]).words(50)
+
+
+@query(f"WITH {_TOK} SELECT * FROM {_g2_sql(_RECENT, _PAST, 40)}")
+def stored_trends(spark, sf_dir):
+    return Stored.scratch(spark, articles(spark, sf_dir), STOP, CONCEPTS, COMPOUNDS).terms(AS_OF).trends(*_days(), 40)
 
 
 # Entities ----------------------------------------------------------------------------------------------------------
@@ -283,13 +331,14 @@ def cross_source_bonus(spark, sf_dir):
     return feed.cross_source_bonus(articles(spark, sf_dir)).select("id", "bonus", "new_heat")
 
 
-_HASHED = _ART + ", h AS (SELECT *, md5('https://x.example/' || id) AS link_hash FROM articles), s AS (SELECT *, 1 AS fetch_count FROM h), i AS (SELECT * REPLACE (CASE WHEN id % 5 < 2 THEN link_hash ELSE md5('https://x.example/new/' || id) END AS link_hash, CAST(heat + id % 2 + (id % 4) // 2 AS INTEGER) AS heat) FROM h)"
+_HASHED = _ART + ", h AS (SELECT *, CASE WHEN id % 4 = 0 THEN 'https://arxiv.org/abs/2405.' || id ELSE 'https://x.example/' || id END AS link, md5('https://x.example/' || id) AS link_hash FROM articles), s AS (SELECT *, 1 AS fetch_count FROM h), i AS (SELECT * REPLACE (CASE WHEN id % 5 < 2 THEN link_hash ELSE md5('https://x.example/new/' || id) END AS link_hash, CAST(heat + id % 2 + (id % 4) // 2 AS INTEGER) AS heat) FROM h)"
 
 
 def _two(spark, sf_dir):
     """All documents as stored, and all as incoming: two fifths of them under their stored link, the rest under a new one."""
     key = lambda at: F.md5(F.concat(F.lit(f"https://x.example/{at}"), F.col("id").cast("string")))
-    rows = articles(spark, sf_dir).withColumn("link_hash", key(""))
+    link = F.when(F.col("id") % 4 == 0, F.concat(F.lit("https://arxiv.org/abs/2405."), F.col("id").cast("string"))).otherwise(F.concat(F.lit("https://x.example/"), F.col("id").cast("string")))
+    rows = articles(spark, sf_dir).withColumns({"link": link, "link_hash": key("")})
     stored = rows.withColumn("fetch_count", F.lit(1))
     incoming = rows.withColumn("link_hash", F.when(F.col("id") % 5 < 2, F.col("link_hash")).otherwise(key("new/"))).withColumn("heat", (F.col("heat") + F.col("id") % 2 + F.floor(F.col("id") % 4 / 2)).cast("int"))
     return stored, incoming
@@ -308,14 +357,14 @@ def _upsert_parts(spark, sf_dir):
     return full(stored, "stored"), full(incoming, "first").withColumn("arrival", F.col("id")).unionByName(again)
 
 
-_AGAIN = "i.id % 7 = 0"
+_AGAIN, _STORED_RAW = "i.id % 7 = 0", _SIDECARS["stored"]
 
 
 @query(f"""WITH {_HASHED}, m AS (SELECT coalesce(i.link_hash, s.link_hash) AS link_hash, i.id IS NOT NULL AS new, s.id IS NOT NULL AS old, coalesce(i.id, s.id) AS id, i.heat + CASE WHEN {_AGAIN} THEN 5 ELSE 0 END AS ih, s.heat AS sh, coalesce(i.id % 7 = 0, false) AS again,
  coalesce(i.type, s.type) AS type, coalesce(i.title, s.title) AS title, coalesce(i."desc", s."desc") AS "desc", coalesce(i.event_date, s.event_date) AS event_date, coalesce(i.venue, s.venue) AS venue FROM s FULL JOIN i ON s.link_hash = i.link_hash),
  e AS (SELECT *, list_filter([CASE WHEN old AND id % 11 <> 0 AND id % 13 <> 0 THEN '"a":' || id % 5 END, CASE WHEN again THEN '"b":false' WHEN new AND id % 17 <> 0 THEN '"b":"i"' WHEN old AND id % 11 <> 0 AND id % 13 <> 0 THEN '"b":"s"' END,
  CASE WHEN new AND id % 17 <> 0 THEN '"c":[' || id % 4 || ']' END, CASE WHEN again THEN '"d":true' END], lambda x: x IS NOT NULL) AS raw FROM m)
-SELECT link_hash, type, title, md5("desc") AS desc_md5, event_date, venue, CAST(coalesce(ih, sh) AS INTEGER) AS heat, CASE WHEN again THEN 'again' ELSE array_to_string({_tags_sql("title || ' ' || " + '"desc"')}, ',') END AS tags, CASE WHEN len(raw) > 0 THEN '{{' || array_to_string(raw, ',') || '}}' END AS raw_data,
+SELECT link_hash, type, title, md5("desc") AS desc_md5, event_date, venue, CAST(coalesce(ih, sh) AS INTEGER) AS heat, CASE WHEN again THEN 'again' ELSE array_to_string({_tags_sql("title || ' ' || " + '"desc"')}, ',') END AS tags, CASE WHEN NOT new THEN {_STORED_RAW} WHEN len(raw) > 0 THEN '{{' || array_to_string(raw, ',') || '}}' END AS raw_data,
  CAST(CASE WHEN old THEN 1 ELSE 0 END + CASE WHEN new THEN 1 ELSE 0 END + CASE WHEN again THEN 1 ELSE 0 END AS INTEGER) AS fetch_count, NOT old AS is_new, coalesce(ih <> sh, false) AS heat_changed FROM e""")
 def upsert_merge(spark, sf_dir):
     merged = feed.upsert(*_upsert_parts(spark, sf_dir))
@@ -340,10 +389,12 @@ def unseen_links(spark, sf_dir):
     return feed.unseen(incoming, stored).select("id", "link_hash")
 
 
-@query(f"WITH {_HASHED} SELECT id, link_hash FROM i UNION ALL SELECT id, link_hash FROM (SELECT * FROM s WHERE type = 'paper' ORDER BY event_date DESC, id LIMIT 80) ANTI JOIN i USING (link_hash)")
+@query(f"WITH {_HASHED}, e AS (SELECT * FROM i WHERE id % 9 <> 0) SELECT id, link_hash FROM e UNION ALL SELECT id, link_hash FROM (SELECT * FROM s WHERE type = 'paper' AND link LIKE '%arxiv.org%' ORDER BY event_date DESC, id DESC LIMIT 80) ANTI JOIN e USING (link)")
 def paper_backfill(spark, sf_dir):
+    """The current feed has the same links in other spellings, but not those of every third paper."""
     stored, incoming = _two(spark, sf_dir)
-    return feed.backfill(incoming, stored, 80).select("id", "link_hash")
+    spelled = F.concat(F.regexp_replace("link", "arxiv.org/abs/(.*)", "arxiv.org/pdf/$1v2.pdf"), F.lit("?ref=x"))
+    return feed.backfill(incoming.where("id % 9 <> 0").withColumn("link", spelled), stored, 80).select("id", "link_hash")
 
 
 # Text and scores ---------------------------------------------------------------------------------------------------

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import lexicons
 from tidemark.functions.text import DEFAULT_TAG, TAG_RULES, infer_tags
 from tidemark.operators import digest, entities, feed, insights, runs, taxonomy, terms
+from tidemark.sources.stored import Stored
 
 # Kinds of items; most days, results, recent and compared days; days of word counts and of both windows.
 TYPES = ("paper", "news", "repo")
@@ -36,7 +37,8 @@ def _within(name: str, value: int, most: int, least: int = 1) -> int:
 class Engine:
     """Analyses of `items` as of a day. Rows with a null event_date lie in no window.
 
-    Items have id, title, desc, type, event_date, venue, heat and arxiv_id; lexicons are parameters.
+    Items have id, title, desc, type, event_date, venue, heat and arxiv_id; lexicons are parameters. `stored` are the
+    same items' kept tables, made with the same lexicons: trends and topics then read sums instead of texts.
     """
 
     items: DataFrame
@@ -50,6 +52,7 @@ class Engine:
     domains: Sequence[taxonomy.Domain] = ()
     tag_rules: Sequence[tuple[str, Sequence[str]]] = field(default_factory=lambda: TAG_RULES)
     default_tag: str = DEFAULT_TAG
+    stored: Stored | None = None
 
     # Windows
 
@@ -66,13 +69,18 @@ class Engine:
         start = F.date_sub(F.lit(self.as_of).cast("date"), _within("days", days, most))
         return self._typed(type).where(F.col("event_date") >= start)
 
-    def windows(self, recent: int, compared: int, type: str | None = None) -> tuple[DataFrame, DataFrame]:
-        """The recent items and those before them; a comparison that is no longer than the recent days is one day longer."""
+    def _days(self, recent: int, compared: int) -> tuple[Column, Column]:
+        """Whether an item is of the recent days, and whether of those before; the comparison is one day longer than them at least."""
         _within("recent_days", recent, MOST_RECENT)
         compared = max(_within("compare_days", compared, MOST_COMPARED), recent + 1)
-        day, past = F.lit(self.as_of).cast("date"), self._typed(type)
-        past = past.where((F.col("event_date") >= F.date_sub(day, compared)) & (F.col("event_date") < F.date_sub(day, recent)))
-        return self.recent(recent, type), past
+        at, day = F.col("event_date"), F.lit(self.as_of).cast("date")
+        return at >= F.date_sub(day, recent), (at >= F.date_sub(day, compared)) & (at < F.date_sub(day, recent))
+
+    def windows(self, recent: int, compared: int, type: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """The recent items and those before them."""
+        items = self._typed(type)
+        now, past = self._days(recent, compared)
+        return items.where(now), items.where(past)
 
     def _tokens(self, items: DataFrame) -> DataFrame:
         return terms.tokenized(items, self.as_of, self.stop, self.concepts, self.compounds)
@@ -87,21 +95,28 @@ class Engine:
 
     def feed(self, size: int = feed.FEED) -> DataFrame:
         """The feed with its room for papers, best first."""
-        return feed.paper_floor(self.items, size, min(size, feed.PAPERS))
+        return feed.paper_floor(self.items, size, min(feed.PAPERS, size // 2))
 
     def word_freq(self, days: int = WORD_DAYS, top_k: int = 50, type: str | None = None) -> DataFrame:
         """Words, phrases, tags, types and dates of a window (`insights.bundle`)."""
         rows = self.recent(days, type)
         return insights.bundle(rows, self._tokens(rows), _within("top_k", top_k, MOST_RESULTS), self.tag_rules, self.default_tag)
 
+    def _terms(self, items: DataFrame) -> terms.Terms:
+        """Sums of terms: those kept by day, if there are any, else of the items themselves."""
+        return self.stored.terms(self.as_of) if self.stored else terms.Terms.of(self._tokens(items))
+
     def trending(self, recent_days: int = RECENT_DAYS, compare_days: int = COMPARED_DAYS, top_k: int = 20, type: str | None = None) -> DataFrame:
-        now, past = self.windows(recent_days, compare_days, type)
-        return terms.trending(self._tokens(now), self._tokens(past), _within("top_k", top_k, MOST_RESULTS))
+        items, found = self._typed(type), self._days(recent_days, compare_days)
+        of = self._terms(items.where(found[0] | found[1]))
+        return (of.where(F.col("type") == type) if (type or "").strip() else of).trends(*found, _within("top_k", top_k, MOST_RESULTS))
 
     def topics(self, recent_days: int = RECENT_DAYS, compare_days: int = COMPARED_DAYS, top_k: int = 12, each: int = 3) -> DataFrame:
-        now, past = (self._tokens(x) for x in self.windows(recent_days, compare_days))
-        nominated = terms.nominations(now, past, list(self.anchors), self.stems, top_words=max(12, 15 // 2), top_phrases=10)
-        return terms.topic_cards(nominated, now, _within("top_k", top_k, MOST_RESULTS), each)
+        """Topic cards; where no sums are kept by day, the items of both windows are tokenised once into scratch tables."""
+        now, past = self._days(recent_days, compare_days)
+        kept = self.stored or Stored.scratch(self.items.sparkSession, self.items.where(now | past), self.stop, self.concepts, self.compounds)
+        nominated = terms.nominations(kept.terms(self.as_of), now, past, list(self.anchors), self.stems, kept.spelled)
+        return terms.topic_cards(nominated, kept.tokens().where(now), _within("top_k", top_k, MOST_RESULTS), each)
 
     def industry(self, days: int = WORD_DAYS, least: float = 3.0, type: str | None = None) -> DataFrame:
         """section (bucket, domain, type), name, n and average score of the items that score `least` or more."""
@@ -127,12 +142,12 @@ class Engine:
     def aggregate(self, days: int = WORD_DAYS, recent_days: int = RECENT_DAYS, top_k: int = 20) -> DataFrame:
         """section, rank, name, value: words, trends (of titles alone), entities, new entities and convergence at one look."""
         rows, (now, past) = self.recent(days), self.windows(recent_days, days)
-        titles = lambda x: self._tokens(x.withColumn("desc", F.lit("")))
+        titles = terms.Terms.of(self._tokens(self.items.withColumn("desc", F.lit(""))))
         found, before = (entities.extracted(x, list(self.lexicon)) for x in (now, past))
         section = lambda frame, name, label, value: insights._section(frame, name, F.col(label), F.col(value), F.desc(value), F.col(label)).withColumnRenamed("label", "name")
         parts = [
             section(terms.tfidf(self._tokens(rows), top_k), "word", "term", "score"),
-            section(terms.trending(titles(now), titles(past), top_k), "trend", "term", "g2"),
+            section(titles.trends(*self._days(recent_days, days), top_k), "trend", "term", "g2"),
             section(entities.momentum(found, before, top_k), "entity", "entity_id", "composite"),
             section(entities.emergence(found, before, top_k, 1), "emergence", "entity_id", "score"),
             section(entities.convergence(rows, 2, top_k), "convergence", "arxiv_id", "score"),

@@ -85,13 +85,10 @@ def engine_trending(spark, sf_dir):
     return engine(spark, sf_dir).trending(type="news")
 
 
-_NOMINATED = c._NOMINATED.replace("len(list_filter(string_split(term, ' '), lambda x: list_contains(" + c._list(c.ANCHORS) + ", x))) > 0", f"len(list_filter(string_split(term, ' '), lambda x: list_contains({c._list(c.ANCHORS)}, x) OR regexp_matches(x, '{STEMS}'))) > 0")
-
-
-@query(f"""WITH {c._TOK}, {_NOMINATED}, {c._RANKED.replace('LIMIT 12)', 'LIMIT 24)')}, held AS (SELECT DISTINCT id, type, heat, event_date, unnest(list_concat(s, list_transform(range(1, len(s)), lambda i: s[i] || ' ' || s[i + 1]))) AS term FROM seq WHERE {c._RECENT}),
-ev AS (SELECT term, type, id FROM (SELECT term, type, id, row_number() OVER (PARTITION BY term, type ORDER BY heat DESC, event_date DESC, id) AS k FROM held SEMI JOIN ranked USING (term)) WHERE k <= 3),
-placed AS (SELECT term, score, CAST(row_number() OVER (ORDER BY score DESC, term) AS INTEGER) AS place FROM ranked SEMI JOIN ev USING (term))
-SELECT place, term, score, type, id FROM placed JOIN ev USING (term) WHERE place <= 8""")
+@query(f"""WITH {c._TOK}, {c._nominated_sql(STEMS)}, {c._ranked_sql(24)}, {c._HELD},
+placed AS (SELECT term, key, kind, score, CAST(row_number() OVER (ORDER BY round(raw, 9) DESC, term) AS INTEGER) AS place FROM ranked SEMI JOIN ev USING (key))
+SELECT place, p.term, p.kind, score, ev.type, coalesce({c._half("strength", 2)}, 0) AS g2, coalesce({c._half("trend", 2)}, 1) AS trend, coalesce({c._half("recent", 2)}, 0) AS recent, coalesce({c._half("hist", 2)}, 0) AS hist, id
+FROM placed p JOIN ev USING (key) LEFT JOIN nominated n ON n.term = p.term AND n.type = ev.type WHERE place <= 8""")
 def topic_cards(spark, sf_dir):
     return engine(spark, sf_dir).topics(top_k=8)
 
@@ -120,7 +117,7 @@ _EMERGE = c.SQL["entity_emergence"].split(", now AS (", 1)[1]
 _CONVERGE = c._CARDS.replace("LIMIT 50", "LIMIT 20").replace("arxiv_id IS NOT NULL", "arxiv_id IS NOT NULL AND " + _ALL)
 
 
-@query(f"""WITH {c._TOK}, {c._ENT.split(', ', 1)[1] if False else c._ENT[len(c._ART) + 2:]}, {_CONVERGE},
+@query(f"""WITH {c._TOK}, {c._ENT[len(c._ART) + 2:]}, {_CONVERGE},
 tseq AS (SELECT id, type, event_date, weight, list_concat(list_concat(tt, tt), tt) AS s FROM tok), tcounts AS (SELECT id, type, event_date, weight, term, count(*) AS n FROM (SELECT id, type, event_date, weight, unnest(s) AS term FROM tseq) GROUP BY ALL),
 now AS ({c._GROUP}), v AS (SELECT now.*, {c._half("CASE WHEN coalesce(before, 0) > 0 THEN mentions / before ELSE least(5.0, 1.5 * mentions) END", 2)} AS velocity FROM now LEFT JOIN (SELECT entity_id, count(*)::DOUBLE AS before FROM ents WHERE {c._PAST} GROUP BY 1) USING (entity_id)),
 mo AS (SELECT entity_id, {c._half("ln(1 + heat_sum::DOUBLE) + 2 * ln(1 + mentions::DOUBLE) + 1.5 * velocity + 1.2 * CASE types WHEN 2 THEN 2.5 WHEN 3 THEN 5.0 ELSE 1.0 END", 2)} AS composite FROM v ORDER BY composite DESC, entity_id LIMIT 20),
@@ -299,7 +296,7 @@ def reused_items(spark, sf_dir):
 
 
 _NOW = 1706443200.0
-_METRICS = f"""m AS (SELECT user_id AS source, event_id AS seq, epoch(ts) AS sec, value / 10 AS seconds, event_id % 5 > 1 AS ok, event_id % 3 = 0 AS limited, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n, sum(CASE WHEN event_id % 5 > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id DESC) AS good_after FROM events),
+_METRICS = f"""m AS (SELECT user_id AS source, event_id AS seq, epoch(ts) AS sec, value / 10 AS seconds, event_id % 5 > 1 AS ok, event_id % 3 = 0 AS limited, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n, sum(CASE WHEN event_id % 5 > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id DESC) AS good_after FROM events WHERE floor(epoch(ts)) <= {_NOW}),
 p AS (SELECT source, avg(seconds) FILTER (n <= 5) AS mean, count(*) FILTER (ok) / least(count(*), 10) AS rate, count(*) FILTER (good_after = 0) AS failures, count(*) FILTER (limited) AS limits, {_NOW} - floor(max(sec) FILTER (limited)) AS since FROM m GROUP BY source)"""
 
 
@@ -323,6 +320,7 @@ def request_advice(spark, sf_dir):
 _PLAIN = "trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,]', ' ', 'g'), '\\s+', ' ', 'g'))"
 _CUT = lambda x, n=320: f"(CASE WHEN length({x}) > {n} THEN substr({x}, 1, {n}) || '…' ELSE {x} END)"
 _DAY = "strftime(DATE '2024-01-01' + CAST(doc_id % 31 AS INTEGER), '%Y-%m-%d')"
+_PADDED = c._padded("doc_id")
 _DOCS = f"d AS (SELECT doc_id, {_PLAIN} AS body, 'Title ' || doc_id AS title, {_DAY} AS day FROM documents)"
 
 
@@ -354,15 +352,15 @@ def _shown(items: DataFrame, *more: str) -> DataFrame:
     return items.select("link", "title", F.md5("desc").alias("desc_md5"), F.col("event_date").cast("string").alias("day"), "venue", "type", *more)
 
 
-@query(f"WITH {_DOCS} SELECT 'https://arxiv.org/abs/2401.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS link, title, md5({_CUT('body')}) AS desc_md5, day, CASE WHEN doc_id % 2 = 0 THEN 'cs.CL' ELSE 'arXiv' END AS venue, 'paper' AS type FROM d WHERE doc_id < 100000")
+@query(f"WITH {_DOCS} SELECT 'https://arxiv.org/abs/2401.' || {_PADDED} AS link, title, md5({_CUT('body')}) AS desc_md5, day, CASE WHEN doc_id % 2 = 0 THEN 'cs.CL' ELSE 'arXiv' END AS venue, 'paper' AS type FROM d")
 def source_arxiv(spark, sf_dir):
     number = F.col("doc_id")
     tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
     parts = [
-        tag("id", F.concat(F.lit("http://arxiv.org/abs/2401."), F.lpad(number.cast("string"), 5, "0"), F.lit("v2"))), tag("title", F.concat(F.lit(" "), "title")), tag("summary", F.col("body")),
+        tag("id", F.concat(F.lit("http://arxiv.org/abs/2401."), src.padded(number), F.lit("v2"))), tag("title", F.concat(F.lit(" "), "title")), tag("summary", F.col("body")),
         tag("published", F.concat("day", F.lit("T01:02:03Z"))), F.when(number % 2 == 0, '<arxiv:primary_category xmlns:arxiv="http://arxiv.org/schemas/atom" term="cs.CL"/>').otherwise(""),
     ]
-    at = _landed_files(_docs(spark, sf_dir).where("doc_id < 100000"), "arxiv", tag("entry", F.concat(*parts)), lambda items: tag("feed", F.array_join(items, "")))
+    at = _landed_files(_docs(spark, sf_dir), "arxiv", tag("entry", F.concat(*parts)), lambda items: tag("feed", F.array_join(items, "")))
     return _shown(src.read_arxiv(spark, at, most=None))
 
 
@@ -414,11 +412,11 @@ def source_lobsters(spark, sf_dir):
     return _shown(src.read_lobsters(spark, at, r"\bai\b|7", most=None, first=None), "lob_score", "lob_comments")
 
 
-@query(f"WITH {_DOCS} SELECT 'https://arxiv.org/abs/2402.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS link, title, md5({_CUT('CASE WHEN doc_id % 2 = 0 THEN ' + repr('AI ') + ' || body ELSE body END', 800)}) AS desc_md5, day, CASE WHEN doc_id % 3 = 0 THEN 'huggingface:org' ELSE 'huggingface:papers' END AS venue, 'paper' AS type, CAST(doc_id % 50 AS INTEGER) AS upvotes FROM d WHERE doc_id < 100000")
+@query(f"WITH {_DOCS} SELECT 'https://arxiv.org/abs/2402.' || {_PADDED} AS link, title, md5({_CUT('CASE WHEN doc_id % 2 = 0 THEN ' + repr('AI ') + ' || body ELSE body END', 800)}) AS desc_md5, day, CASE WHEN doc_id % 3 = 0 THEN 'huggingface:org' ELSE 'huggingface:papers' END AS venue, 'paper' AS type, CAST(doc_id % 50 AS INTEGER) AS upvotes FROM d")
 def source_daily_papers(spark, sf_dir):
     number = F.col("doc_id")
-    paper = F.struct(F.concat(F.lit("2402."), F.lpad(number.cast("string"), 5, "0")).alias("id"), F.col("title"), F.col("body").alias("summary"), F.when(number % 2 == 0, F.concat(F.lit("AI "), "body")).alias("ai_summary"), F.concat("day", F.lit("T00:00:00Z")).alias("publishedAt"), (number % 50).alias("upvotes"), F.when(number % 3 == 0, F.struct(F.lit("org").alias("name"))).alias("organization"))
-    at = _landed_json(_docs(spark, sf_dir).where("doc_id < 100000"), "papers", F.struct(paper.alias("paper")), lambda items: items)
+    paper = F.struct(F.concat(F.lit("2402."), src.padded(number)).alias("id"), F.col("title"), F.col("body").alias("summary"), F.when(number % 2 == 0, F.concat(F.lit("AI "), "body")).alias("ai_summary"), F.concat("day", F.lit("T00:00:00Z")).alias("publishedAt"), (number % 50).alias("upvotes"), F.when(number % 3 == 0, F.struct(F.lit("org").alias("name"))).alias("organization"))
+    at = _landed_json(_docs(spark, sf_dir), "papers", F.struct(paper.alias("paper")), lambda items: items)
     return _shown(src.read_daily_papers(spark, at, most=None), "upvotes")
 
 

@@ -12,18 +12,24 @@ AS_OF = "2024-01-31"
 ENGAGEMENT = ["upvotes", "hn_points", "hn_comments", "reddit_score", "reddit_comments", "lob_score", "lob_comments", "gh_stars", "gh_forks", "gh_open_issues"]
 
 
+def padded(number: Column) -> Column:
+    """An integer in five digits, or as many as it needs."""
+    s = number.cast("string")
+    return F.lpad(s, F.greatest(F.length(s), F.lit(5)), F.lit("0"))
+
+
 def articles_from_documents(docs: DataFrame) -> DataFrame:
-    """A deterministic feed made of `documents`, on which every analytical operator can run; `desc` is the whole text."""
+    """A deterministic feed made of `documents`, on which every analytical operator can run; `title` is the first line and `desc` the whole text."""
     number = F.col("doc_id")
     return docs.select(
         number.alias("id"),
-        F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80).alias("title"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.col("text").alias("desc"),
         F.element_at(F.array(F.lit("paper"), F.lit("repo"), F.lit("news")), (number % 3 + 1).cast("int")).alias("type"),
         F.date_add(F.lit("2024-01-01").cast("date"), (number % 31).cast("int")).alias("event_date"),
         F.col("source").alias("venue"),
         (1 + F.col("n_chars") % 999).cast("int").alias("heat"),
-        F.when(number % 7 >= 3, F.concat(F.lit("2401."), F.lpad(F.floor(number / 4).cast("string"), 5, "0"))).alias("arxiv_id"),
+        F.when(number % 7 >= 3, F.concat(F.lit("2401."), padded(F.floor(number / 4)))).alias("arxiv_id"),
     )
 
 
