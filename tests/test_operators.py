@@ -82,10 +82,10 @@ def test_bonus(spark):
 
 def test_momentum_without_past(spark):
     rows = spark.createDataFrame([(1, "paper", 10, "e", "c"), (2, "repo", 20, "e", "c")], "id long, type string, heat int, entity_id string, category string")
-    r = entities.momentum(rows, rows.limit(0), 5).first()
+    r = entities.momentum(rows, F.lit(True), F.lit(False), 5).first()
     assert (r["mentions"], r["types"], r["velocity"], r["trend"]) == (2, 2, 3.0, "rising")
     assert r["composite"] == pytest.approx(math.log1p(30) + 2 * math.log1p(2) + 4.5 + 3.0, abs=0.006)
-    assert entities.emergence(rows, rows.limit(0), 5).first()["is_new"]
+    assert entities.emergence(rows, F.lit(True), F.lit(False), 5).first()["is_new"]
 
 
 def test_npmi_of_one_bigram_does_not_fail(spark):

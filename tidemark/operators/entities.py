@@ -2,42 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scores import half_up
-from tidemark.functions.text import W
+from tidemark.operators.matching import matched
 
 
 def extracted(items: DataFrame, lexicon: list[tuple[str, str, str]]) -> DataFrame:
     """One row for each item and entity (entity_id, category) of which a surface form stands in the text as a whole word.
 
-    Forms of an entity are one alternation, tried only where one of them is a substring.
+    `lexicon` has rows of entity, category and form; forms are literal and case does not count. Ids are unique.
     """
+    entries = sorted({(e, c) for e, c, _ in lexicon})
+    numbers = {x: i for i, x in enumerate(entries)}
     text = F.concat_ws(" ", "title", "title", "title", "desc")
-    forms: dict[tuple[str, str], list[str]] = {}
-    for entity, category, form in lexicon:
-        forms.setdefault((entity, category), []).append(form)
-    low, found = F.lower(text), []
-    for (entity, category), many in forms.items():
-        guard = low.contains(many[0].lower())
-        for form in many[1:]:
-            guard = guard | low.contains(form.lower())
-        whole = text.rlike(f"(?iU)(?<!{W})(?:{'|'.join(many)})(?!{W})")
-        found.append(F.when(guard & whole, F.struct(F.lit(entity).alias("entity_id"), F.lit(category).alias("category"))))
-    return items.select("id", "type", "heat", "event_date", F.inline(F.array_compact(F.array(*found))))
+    rows = items.select("id", "type", "heat", "event_date", text.alias("_text"))
+    found = matched(rows, F.col("_text"), sorted({(numbers[e, c], f) for e, c, f in lexicon})).drop("_text").distinct()
+    known = items.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(entries)], "number int, entity_id string, category string")
+    return found.join(known, "number").select("id", "type", "heat", "event_date", "entity_id", "category")
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("entity_id", "category").agg(F.count("*").alias("mentions"), F.sum("heat").alias("heat_sum"), F.countDistinct("type").alias("types"))
+def _counted(found: DataFrame, recent: Column, past: Column) -> DataFrame:
+    """entity_id, category, mentions, heat_sum and types of the recent mentions, and how many there were before; one aggregation."""
+    now = lambda c: F.when(recent, c)
+    sums = [F.count(now(F.lit(1))).alias("mentions"), F.sum(now(F.col("heat"))).alias("heat_sum"), F.countDistinct(now(F.col("type"))).alias("types"), F.count(F.when(past, 1)).alias("before")]
+    return found.where(recent | past).groupBy("entity_id", "category").agg(*sums).where("mentions > 0")
 
 
-def momentum(recent: DataFrame, past: DataFrame, top_k: int, category: str | None = None) -> DataFrame:
+def momentum(found: DataFrame, recent: Column, past: Column, top_k: int, category: str | None = None) -> DataFrame:
     """Entities by heat, mentions, their change against the past, and the variety of their sources."""
-    now = _grouped(recent.where(F.col("category") == category) if category else recent)
-    joined = now.join(past.groupBy("entity_id").agg(F.count("*").alias("before")), "entity_id", "left")
+    joined = _counted(found.where(F.col("category") == category) if category else found, recent, past)
     m = F.col("mentions")
-    velocity = half_up(F.when(F.coalesce("before", F.lit(0)) > 0, m / F.col("before")).otherwise(F.least(F.lit(5.0), 1.5 * m)), 2)
+    velocity = half_up(F.when(F.col("before") > 0, m / F.col("before")).otherwise(F.least(F.lit(5.0), 1.5 * m)), 2)
     cross = F.when(F.col("types") == 2, 2.5).when(F.col("types") == 3, 5.0).otherwise(1.0)
     scored = joined.withColumn("velocity", velocity)
     composite = half_up(F.log1p(F.col("heat_sum").cast("double")) + 2 * F.log1p(m.cast("double")) + 1.5 * F.col("velocity") + 1.2 * cross, 2)
@@ -51,11 +48,9 @@ def evidence(recent: DataFrame, each: int = 3) -> DataFrame:
     return recent.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each).select("entity_id", "rank", "id", "heat")
 
 
-def emergence(recent: DataFrame, past: DataFrame, top_k: int, least: int = 2) -> DataFrame:
+def emergence(found: DataFrame, recent: Column, past: Column, top_k: int, least: int = 2) -> DataFrame:
     """Entities by mentions and heat, doubled where the past did not mention them."""
-    now = _grouped(recent).where(F.col("mentions") >= least)
-    seen = past.select("entity_id").distinct().withColumn("seen", F.lit(True))
-    joined = now.join(seen, "entity_id", "left").withColumn("is_new", F.col("seen").isNull())
+    joined = _counted(found, recent, past).where(F.col("mentions") >= least).withColumn("is_new", F.col("before") == 0)
     score = half_up(F.col("mentions") * F.log1p(F.col("heat_sum").cast("double")) * F.when(F.col("is_new"), 2).otherwise(1), 2)
     return joined.select("entity_id", "mentions", "heat_sum", "is_new", score.alias("score")).orderBy(F.desc("score"), "entity_id").limit(top_k)
 
@@ -78,4 +73,4 @@ def convergence_evidence(items: DataFrame, cards: DataFrame) -> DataFrame:
 
 def described(found: DataFrame, known: DataFrame) -> DataFrame:
     """Rows of entity ids with display and category from the lexicon's entities; ids that it lacks are dropped."""
-    return found.drop("category").join(F.broadcast(known.select("entity_id", "display", "category")), "entity_id")
+    return found.drop("category").join(known.select("entity_id", "display", "category"), "entity_id")

@@ -256,8 +256,7 @@ def entity_extract(spark, sf_dir):
 @query(f"""WITH {_ENT}, now AS ({_GROUP}), v AS (SELECT now.*, {_half("CASE WHEN coalesce(before, 0) > 0 THEN mentions / before ELSE least(5.0, 1.5 * mentions) END", 2)} AS velocity FROM now LEFT JOIN (SELECT entity_id, count(*)::DOUBLE AS before FROM ents WHERE {_PAST} GROUP BY 1) USING (entity_id))
 SELECT entity_id, category, mentions, heat_sum, types, velocity, {_half("ln(1 + heat_sum::DOUBLE) + 2 * ln(1 + mentions::DOUBLE) + 1.5 * velocity + 1.2 * CASE types WHEN 2 THEN 2.5 WHEN 3 THEN 5.0 ELSE 1.0 END", 2)} AS composite, CASE WHEN velocity >= 1.5 THEN 'rising' WHEN velocity < 0.7 THEN 'cooling' ELSE 'stable' END AS trend FROM v ORDER BY composite DESC, entity_id LIMIT 40""")
 def entity_momentum(spark, sf_dir):
-    rows = _ents(spark, sf_dir)
-    return entities.momentum(recent_of(rows), past_of(rows), 40)
+    return entities.momentum(_ents(spark, sf_dir), *_days(), 40)
 
 
 @query(f"WITH {_ENT} SELECT entity_id, CAST(rank AS INTEGER) AS rank, id, heat FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY heat DESC, id) AS rank FROM ents WHERE {_RECENT}) WHERE rank <= 3")
@@ -268,8 +267,7 @@ def entity_evidence(spark, sf_dir):
 @query(f"""WITH {_ENT}, now AS ({_GROUP}) SELECT entity_id, mentions, heat_sum, is_new, {_half("mentions * ln(1 + heat_sum::DOUBLE) * CASE WHEN is_new THEN 2 ELSE 1 END", 2)} AS score FROM
 (SELECT now.*, entity_id NOT IN (SELECT entity_id FROM ents WHERE {_PAST}) AS is_new FROM now WHERE mentions >= 2) ORDER BY score DESC, entity_id LIMIT 40""")
 def entity_emergence(spark, sf_dir):
-    rows = _ents(spark, sf_dir)
-    return entities.emergence(recent_of(rows), past_of(rows), 40)
+    return entities.emergence(_ents(spark, sf_dir), *_days(), 40)
 
 
 _CARDS = f"""cards AS (SELECT arxiv_id, types, items, total_heat, latest_date, anchor_id, {_half("3.0 * types + 0.8 * ln(1 + total_heat::DOUBLE) + CASE WHEN types >= 3 THEN 5 ELSE 0 END", 2)} AS score FROM
@@ -473,20 +471,22 @@ def heat_score(spark, sf_dir):
 
 _DOMAINS = []
 for _d in TAXONOMY:
-    _hits = " + ".join([f"CASE WHEN regexp_matches(lower(t), '(^|{_NW}){w}({_NW}|$)') THEN 1 ELSE 0 END" for w in _d.keywords] + [f"CASE WHEN regexp_matches(t, '(?i){p}') THEN 1 ELSE 0 END" for p in _d.patterns])
-    _DOMAINS.append(f"({_hits})")
-_RULES = f"""{_ART}, txt AS (SELECT id, type, heat, trim(title) || ' ' || trim(title) || ' ' || trim(title) || ' ' || trim("desc") AS t FROM articles), hit AS (SELECT id, type, heat, unnest([{", ".join(f"{{'domain': '{d.id}', 'place': {i}, 'weight': {d.weight}, 'hits': {h}}}" for i, (d, h) in enumerate(zip(TAXONOMY, _DOMAINS)))}]) AS x FROM txt),
-part AS (SELECT id, type, heat, x.domain AS domain, x.place AS place, x.hits AS hits, ln(1 + x.hits::DOUBLE) * x.weight::DOUBLE * 3.0 AS part FROM hit), raw AS (SELECT id, type, heat, sum(part) AS raw, CAST(sum(hits) AS INTEGER) AS hits, array_to_string(list(domain ORDER BY {_half("part", 2)} DESC, place) FILTER (hits > 0)[1:2], ',') AS top_domains FROM part GROUP BY ALL),
-scored AS MATERIALIZED (SELECT id, type, heat, hits, coalesce(top_domains, '') AS top_domains, CASE WHEN raw > 0 THEN {_half("10.0 / (1.0 + exp(-(raw - 4.5) / 2.5))", 1)} ELSE 0.0 END AS score FROM raw)"""
+    _hits = [f"CASE WHEN regexp_matches(lower(t), '(^|{_NW}){w}({_NW}|$)') THEN '{w}' END" for w in _d.keywords] + [f"CASE WHEN regexp_matches(t, '(?i){p}') THEN regexp_extract(t, '(?i){p}') END" for p in _d.patterns]
+    _DOMAINS.append(f"list_filter([{', '.join(_hits)}], lambda x: x IS NOT NULL)")
+_RULES = f"""{_ART}, txt AS (SELECT id, type, heat, trim(title) || ' ' || trim(title) || ' ' || trim(title) || ' ' || trim("desc") AS t FROM articles), hit AS (SELECT id, type, heat, unnest([{", ".join(f"{{'domain': '{d.id}', 'place': {i}, 'weight': {d.weight}, 'spans': {h}}}" for i, (d, h) in enumerate(zip(TAXONOMY, _DOMAINS)))}]) AS x FROM txt),
+part AS (SELECT id, type, heat, x.domain AS domain, x.place AS place, x.spans AS spans, len(x.spans) AS hits, ln(1 + len(x.spans)::DOUBLE) * x.weight::DOUBLE * 3.0 AS part FROM hit),
+raw AS (SELECT id, type, heat, sum(part) AS raw, CAST(sum(hits) AS INTEGER) AS hits, list(domain ORDER BY {_half("part", 2)} DESC, place) FILTER (hits > 0)[1:2] AS tops, flatten(list(spans[1:3] ORDER BY place) FILTER (hits > 0)) AS every FROM part GROUP BY id, type, heat),
+scored AS MATERIALIZED (SELECT id, type, heat, hits, coalesce(array_to_string(tops, ','), '') AS top_domains, coalesce(tops, []) AS tops, list_filter(every, lambda s, i: list_position(list_transform(every, lambda z: lower(z)), lower(s)) = i)[1:6] AS spans, CASE WHEN raw > 0 THEN {_half("10.0 / (1.0 + exp(-(raw - 4.5) / 2.5))", 1)} ELSE 0.0 END AS score FROM raw)"""
+_TOLD = """CASE WHEN score < 1 THEN '与 AI Agent 工程无明显相关性。' ELSE '与 AI Agent 工程 ' || CASE WHEN score >= 7 THEN '强相关' WHEN score >= 4 THEN '中度相关' ELSE '弱相关' END || '（score=' || score::VARCHAR || '）。 主要涉及：' || array_to_string(tops, '、') || '。 命中关键词：' || array_to_string(list_transform(spans[1:3], lambda x: '「' || x || '」'), '、') || '。' END"""
 
 
 def _scored(spark, sf_dir):
     return taxonomy.rule_score(articles(spark, sf_dir), TAXONOMY)
 
 
-@query(f"WITH {_RULES} SELECT id, score, hits, top_domains, CASE WHEN score < 1 THEN 'none' WHEN score >= 7 THEN 'strong' WHEN score >= 4 THEN 'medium' ELSE 'weak' END AS band FROM scored")
+@query(f"WITH {_RULES} SELECT id, score, hits, top_domains, CASE WHEN score < 1 THEN 'none' WHEN score >= 7 THEN 'strong' WHEN score >= 4 THEN 'medium' ELSE 'weak' END AS band, coalesce(array_to_string(spans, ','), '') AS spans, {_TOLD} AS rationale FROM scored")
 def rule_score(spark, sf_dir):
-    return _scored(spark, sf_dir).select("id", "score", "hits", F.array_join("top_domains", ",").alias("top_domains"), "band")
+    return _scored(spark, sf_dir).select("id", "score", "hits", F.array_join("top_domains", ",").alias("top_domains"), "band", F.array_join("spans", ",").alias("spans"), "rationale")
 
 
 @query(f"WITH {_RULES} SELECT CASE WHEN score >= 9 THEN '9+' WHEN score >= 7 THEN '7-9' WHEN score >= 5 THEN '5-7' WHEN score >= 3 THEN '3-5' ELSE '<3' END AS bucket, count(*) AS n FROM scored WHERE score >= 3 GROUP BY 1")

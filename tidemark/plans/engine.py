@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import lexicons
 from tidemark.functions.text import DEFAULT_TAG, TAG_RULES, infer_tags
-from tidemark.operators import digest, entities, feed, insights, runs, taxonomy, terms
+from tidemark.operators import digest, enrich, entities, feed, insights, runs, scoring, taxonomy, terms
 from tidemark.sources.stored import Stored
 
 # Kinds of items; most days, results, recent and compared days; days of word counts and of both windows.
@@ -94,8 +94,10 @@ class Engine:
         return runs.stats_by_type(self.items)
 
     def feed(self, size: int = feed.FEED) -> DataFrame:
-        """The feed with its room for papers, best first."""
-        return feed.paper_floor(self.items, size, min(feed.PAPERS, size // 2))
+        """The feed with its room for papers, best first: each link's best item, heat with its bonus where several sources agree."""
+        items = feed.cross_source_bonus(self.items).withColumn("heat", F.col("new_heat")).drop("bonus", "new_heat")
+        items = feed.keep_best(items) if "link" in items.columns else items
+        return feed.paper_floor(items.select(*self.items.columns), size, min(feed.PAPERS, size // 2))
 
     def word_freq(self, days: int = WORD_DAYS, top_k: int = 50, type: str | None = None) -> DataFrame:
         """Words, phrases, tags, types and dates of a window (`insights.bundle`)."""
@@ -129,27 +131,50 @@ class Engine:
         known = {c for _, c, _ in self.lexicon}
         if category and category not in known:
             raise ValueError(f"category must be one of {', '.join(sorted(known))}")
-        now, past = (entities.extracted(x, list(self.lexicon)) for x in self.windows(recent_days, compare_days))
-        return entities.momentum(now, past, _within("top_k", top_k, MOST_RESULTS), category)
+        now, past = self._days(recent_days, compare_days)
+        return entities.momentum(self._entities(now | past), now, past, _within("top_k", top_k, MOST_RESULTS), category)
+
+    def _entities(self, days: Column) -> DataFrame:
+        return entities.extracted(self.items.where(days), list(self.lexicon))
+
+    def entity_evidence(self, recent_days: int = RECENT_DAYS, each: int = 3) -> DataFrame:
+        """entity_id, rank, id, heat: the hottest recent items of every entity."""
+        return entities.evidence(self._entities(self._days(recent_days, recent_days + 1)[0]), each)
+
+    def convergence_evidence(self, days: int = WORD_DAYS, least_types: int = 2, top_k: int = 50) -> DataFrame:
+        """arxiv_id, type, id, heat: the hottest item of each type behind every convergence."""
+        rows = self.recent(days)
+        return entities.convergence_evidence(rows, entities.convergence(rows, least_types, _within("top_k", top_k, MOST_RESULTS)))
+
+    def health(self, last: DataFrame, now: str) -> DataFrame:
+        """The state of each source by its last success (source, last_ok)."""
+        return runs.health(last, now)
+
+    def structs(self, kept: DataFrame, answers: DataFrame) -> DataFrame:
+        """Fields of papers that have none kept yet, read from a model's answers."""
+        return scoring.extract_missing(self.items, kept, answers)
+
+    def to_enhance(self, most: int = enrich.MOST) -> DataFrame:
+        return enrich.to_enhance(self.items, most)
 
     def convergence(self, days: int = WORD_DAYS, least_types: int = 2, top_k: int = 50) -> DataFrame:
         return entities.convergence(self.recent(days), least_types, _within("top_k", top_k, MOST_RESULTS))
 
     def emergence(self, recent_days: int = RECENT_DAYS, compare_days: int = COMPARED_DAYS, top_k: int = 40, least: int = 2) -> DataFrame:
-        now, past = (entities.extracted(x, list(self.lexicon)) for x in self.windows(recent_days, compare_days))
-        return entities.emergence(now, past, _within("top_k", top_k, MOST_RESULTS), least)
+        now, past = self._days(recent_days, compare_days)
+        return entities.emergence(self._entities(now | past), now, past, _within("top_k", top_k, MOST_RESULTS), least)
 
     def aggregate(self, days: int = WORD_DAYS, recent_days: int = RECENT_DAYS, top_k: int = 20) -> DataFrame:
         """section, rank, name, value: words, trends (of titles alone), entities, new entities and convergence at one look."""
-        rows, (now, past) = self.recent(days), self.windows(recent_days, days)
+        rows, (now, past) = self.recent(days), self._days(recent_days, days)
         titles = terms.Terms.of(self._tokens(self.items.withColumn("desc", F.lit(""))))
-        found, before = (entities.extracted(x, list(self.lexicon)) for x in (now, past))
+        found = self._entities(now | past)
         section = lambda frame, name, label, value: insights._section(frame, name, F.col(label), F.col(value), F.desc(value), F.col(label)).withColumnRenamed("label", "name")
         parts = [
             section(terms.tfidf(self._tokens(rows), top_k), "word", "term", "score"),
-            section(titles.trends(*self._days(recent_days, days), top_k), "trend", "term", "g2"),
-            section(entities.momentum(found, before, top_k), "entity", "entity_id", "composite"),
-            section(entities.emergence(found, before, top_k, 1), "emergence", "entity_id", "score"),
+            section(titles.trends(now, past, top_k), "trend", "term", "g2"),
+            section(entities.momentum(found, now, past, top_k), "entity", "entity_id", "composite"),
+            section(entities.emergence(found, now, past, top_k, 1), "emergence", "entity_id", "score"),
             section(entities.convergence(rows, 2, top_k), "convergence", "arxiv_id", "score"),
         ]
         out = parts[0]
