@@ -22,12 +22,12 @@ def sorted_feed(items: DataFrame):
     return items.orderBy(F.desc("heat"), F.desc("event_date"), "id")
 
 
-def paper_floor(items: DataFrame, size: int = FEED, papers: int = PAPERS) -> DataFrame:
-    """At most `size` items: first others up to size - papers, then papers, then what is left, each by heat.
+def paper_floor(items: DataFrame, size: int = FEED, papers: int = PAPERS, tie: str = "id") -> DataFrame:
+    """At most `size` items: first others up to size - papers, then papers, then what is left, each by heat, the latest date and `tie`.
 
     Candidates beyond the first `size` of either class cannot enter, so both classes are cut before they are ranked.
     """
-    order = (F.desc("heat"), F.desc("event_date"), "id")
+    order = (F.desc("heat"), F.desc("event_date"), tie)
     is_paper = F.col("type").eqNullSafe("paper")
     rows = items.where(is_paper).orderBy(*order).limit(size).unionByName(items.where(~is_paper).orderBy(*order).limit(size))
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy(is_paper).orderBy(*order)))
@@ -38,14 +38,14 @@ def paper_floor(items: DataFrame, size: int = FEED, papers: int = PAPERS) -> Dat
 
 
 def cross_source_bonus(items: DataFrame) -> DataFrame:
-    """Adds bonus and new_heat: items of one paper id from two venues or more, else of one set of title words from three."""
+    """Adds bonus and new_heat: items of one paper id from two venues or more; of those without a paper id, items of one set of title words from three."""
     by_paper = items.where(F.col("arxiv_id").isNotNull()).groupBy("arxiv_id").agg(F.countDistinct("venue").alias("venues")).where("venues >= 2").select("arxiv_id", F.lit(True).alias("shared"))
     # Items without a paper id need no join, which would send them all to one task.
     named, unnamed = items.where(F.col("arxiv_id").isNotNull()), items.where(F.col("arxiv_id").isNull())
     rows = named.join(by_paper, "arxiv_id", "left").unionByName(unnamed.withColumn("shared", F.lit(None).cast("boolean"))).withColumn("words", title_keywords(F.col("title")))
-    title = rows.where(F.col("shared").isNull() & (F.size("words") >= 2)).groupBy("words").agg(F.count("*").alias("n"), F.countDistinct("venue").alias("venues"))
+    title = rows.where(F.col("arxiv_id").isNull() & (F.size("words") >= 2)).groupBy("words").agg(F.count("*").alias("n"), F.countDistinct("venue").alias("venues"))
     title = title.where("n >= 3 and venues >= 3").select("words", F.lit(True).alias("alike"))
-    bonus = F.when(F.col("shared"), PAPER_BONUS).when(F.col("alike"), TITLE_BONUS).otherwise(0)
+    bonus = F.when(F.col("shared"), PAPER_BONUS).when(F.col("arxiv_id").isNull() & F.col("alike"), TITLE_BONUS).otherwise(0)
     return rows.join(title, "words", "left").withColumn("bonus", bonus).withColumn("new_heat", F.least(F.lit(MOST_HEAT), F.col("heat") + F.col("bonus"))).drop("words", "shared", "alike")
 
 

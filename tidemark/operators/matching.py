@@ -36,9 +36,9 @@ def matched(rows: DataFrame, text: Column, forms: Sequence[tuple[int, str]], edg
     """
     kept = [(n, f.strip()) for n, f in forms if f.strip()]
     spark, most = rows.sparkSession, max((len(f) for _, f in kept), default=0) + 8
-    table = spark.createDataFrame(kept, "number int, form string").select("number", F.lower("form").alias("form"))
+    table = spark.createDataFrame(kept, "number int, _form string").select("number", F.lower("_form").alias("_form"))
     word = lambda c: c.rlike(f"^{W}$")
-    table = table.select("number", "form", F.regexp_extract("form", _FIRST, 0).alias("first"), F.length("form").alias("size"), word(F.substring("form", 1, 1)).alias("word_first"), word(F.substring("form", -1, 1)).alias("word_last"))
+    table = table.select("number", "_form", F.regexp_extract("_form", _FIRST, 0).alias("_key"), F.length("_form").alias("_size"), word(F.substring("_form", 1, 1)).alias("_opens"), word(F.substring("_form", -1, 1)).alias("_closes"))
     held = rows.withColumn("_low", F.lower(text))
     found = held.withColumns({"_at": F.explode(_starts(F.col("_low"), most)), "_inside": F.lit(False)})
     if edges and any(not (f[0].isalnum() or f[0] == "_") for _, f in kept):
@@ -46,8 +46,8 @@ def matched(rows: DataFrame, text: Column, forms: Sequence[tuple[int, str]], edg
     found = found.drop("_low").withColumn("_first", F.regexp_extract("_at", _FIRST, 0))
     if sum(len(f) + 64 for _, f in kept) <= most_bytes:
         table = F.broadcast(table)
-    after = F.substr("_at", F.col("size") + 1, F.lit(1))
+    after = F.substr("_at", F.col("_size") + 1, F.lit(1))
     touches = F.when(F.length(after) > 0, word(after)).otherwise(False)
-    ends = (touches != F.col("word_last")) if edges else ~touches
-    begins = (F.col("_inside") != F.col("word_first")) if edges else F.lit(True)
-    return found.join(table, (F.col("_first") == F.col("first")) & F.startswith("_at", "form") & begins & ends).select(*rows.columns, "number")
+    ends = (touches != F.col("_closes")) if edges else ~touches
+    begins = (F.col("_inside") != F.col("_opens")) if edges else F.lit(True)
+    return found.join(table, (F.col("_first") == F.col("_key")) & F.startswith("_at", "_form") & begins & ends).select(*rows.columns, "number")

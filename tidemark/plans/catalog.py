@@ -322,8 +322,8 @@ def paper_floor(spark, sf_dir):
 
 @query(f"""WITH {_ART}, w AS (SELECT *, list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z]{{3,}}'), lambda x: NOT list_contains({_list(text.TITLE_STOP)}, x)))) AS words FROM articles),
 p AS (SELECT arxiv_id FROM articles WHERE arxiv_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT venue) >= 2),
-k AS (SELECT words FROM w WHERE (arxiv_id IS NULL OR arxiv_id NOT IN (FROM p)) AND len(words) >= 2 GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT venue) >= 3),
-b AS (SELECT id, heat, CASE WHEN p.arxiv_id IS NOT NULL THEN 60 WHEN k.words IS NOT NULL THEN 30 ELSE 0 END AS bonus FROM w LEFT JOIN p ON w.arxiv_id = p.arxiv_id LEFT JOIN k ON w.words = k.words)
+k AS (SELECT words FROM w WHERE arxiv_id IS NULL AND len(words) >= 2 GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT venue) >= 3),
+b AS (SELECT id, heat, CASE WHEN p.arxiv_id IS NOT NULL THEN 60 WHEN w.arxiv_id IS NULL AND k.words IS NOT NULL THEN 30 ELSE 0 END AS bonus FROM w LEFT JOIN p ON w.arxiv_id = p.arxiv_id LEFT JOIN k ON w.words = k.words)
 SELECT id, CAST(bonus AS INTEGER) AS bonus, CAST(least(999, heat + bonus) AS INTEGER) AS new_heat FROM b""")
 def cross_source_bonus(spark, sf_dir):
     return feed.cross_source_bonus(articles(spark, sf_dir)).select("id", "bonus", "new_heat")
@@ -569,5 +569,5 @@ def stream_upsert(spark, sf_dir):
             F.md5(F.col("user_id").cast("string")).alias("link_hash"), F.col("event_type").alias("type"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("title"), F.lit("").alias("desc"), F.col("ts").cast("date").alias("event_date"),
             F.lit("events").alias("venue"), (F.col("event_id") % 500).cast("int").alias("heat"), F.array(F.col("event_type")).alias("tags"), F.col("props").alias("raw_data"), F.col("event_id").alias("arrival"),
         )
-        at = streams.upsert_stream(rows, table)
-    return spark.read.parquet(at).select("link_hash", "type", "heat", "fetch_count", text.sidecar(F.col("raw_data"), "k").alias("k"))
+        merged = streams.upsert_stream(rows, table, buckets=8)
+    return merged.read().select("link_hash", "type", "heat", "fetch_count", text.sidecar(F.col("raw_data"), "k").alias("k"))

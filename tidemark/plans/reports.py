@@ -11,7 +11,8 @@ from tidemark.plans import catalog as c
 from tidemark.plans.engine import Engine
 from tidemark.plans.registry import query
 from tidemark.sources import articles as src
-from tidemark.streaming.feed import _folder
+from tidemark.streaming.cycle import Cycle
+from tidemark.streaming.feed import _folder, ranges
 
 STEMS = "^over|ble$"
 
@@ -438,3 +439,74 @@ def changed_pages(spark, sf_dir):
     src.to_json_rows(pages.select("url", "etag", F.when(number % 2 == 0, "2024-01-30T00:00:00").otherwise("2024-01-02T00:00:00").alias("cached_at"))).write.text(at)
     fetched = pages.withColumns({"etag": F.when(number % 3 == 0, "new").otherwise(F.col("etag")), "last_modified": F.lit(None).cast("string")})
     return src.changed(fetched, src.read_etags(spark, at, "2024-01-31 00:00:00")).select("page_id", "url")
+
+
+# The collection cycle: four sources land in two goes; papers only come with the first ------------------------------------
+
+_ENDS = "(SELECT min(doc_id) AS a, CAST(ceil((max(doc_id) - min(doc_id) + 1) / 2.0) AS BIGINT) AS w FROM documents)"
+_HEADS = "CASE WHEN doc_id % 20 BETWEEN 1 AND 3 THEN 'Shared subject ' || repeat(chr(CAST(97 + (doc_id // 20) % 26 AS INTEGER)), 3) WHEN doc_id % 12 = 2 THEN 'On arXiv 2401.' || " + c._padded("doc_id - 2") + " ELSE 'Title ' || doc_id END"
+_LANDED = f"""{_DOCS}, g AS (SELECT *, (doc_id - a) // w AS go, {_HEADS} AS head FROM d, {_ENDS}),
+r AS (SELECT go, doc_id, CASE doc_id % 4 WHEN 0 THEN 'https://arxiv.org/abs/2401.' || {_PADDED} WHEN 1 THEN 'https://github.com/own/repo' || doc_id WHEN 2 THEN 'https://y.example/' || doc_id // 9 ELSE 'https://z.example/' || doc_id END AS link,
+ CASE WHEN doc_id % 4 = 0 THEN title ELSE head END AS title, {_CUT('body')} AS "desc", CAST(day AS DATE) AS event_date, CASE doc_id % 4 WHEN 0 THEN 'arXiv' WHEN 1 THEN 'GitHub' WHEN 2 THEN 'Hacker News' ELSE 'Reddit r/s' END AS venue, CASE doc_id % 4 WHEN 0 THEN 'paper' WHEN 1 THEN 'repo' ELSE 'news' END AS type
+ FROM g WHERE doc_id % 4 = 1 OR (doc_id % 4 = 0 AND go = 0) OR (doc_id % 4 = 2 AND (doc_id % 9 >= 4 OR doc_id % 11 >= 6)) OR (doc_id % 4 = 3 AND (doc_id % 9 >= 4 OR doc_id % 7 >= 4)) QUALIFY row_number() OVER (PARTITION BY go, link ORDER BY event_date DESC, title) = 1)"""
+
+
+def _heat_sql(x: str) -> str:
+    """What heat makes of these four sources."""
+    rec, topic = "greatest(0.1, exp(-date_diff('day', event_date, DATE '2024-01-31')::DOUBLE / 28.0))", c._topic_sql("lower(title || ' ' || \"desc\")")
+    return f"""CAST(greatest(1, least(999, trunc(CASE WHEN type = 'paper' THEN 138 + topic + trunc(185 * rec) WHEN venue = 'Hacker News' THEN 265 + least(240.0, 46 * ln(1 + (doc_id % 9)::DOUBLE) + 30 * ln(1 + (doc_id % 11)::DOUBLE)) + trunc(138 * rec) + least(24, topic // 4)
+ WHEN venue = 'Reddit r/s' THEN 228 + least(236.0, 44 * ln(1 + (doc_id % 9)::DOUBLE) + 27 * ln(1 + (doc_id % 7)::DOUBLE)) + trunc(128 * rec) + least(22, topic // 4) ELSE 198 + least(188.0, 86 * log10(greatest((doc_id % 900)::DOUBLE, 1.0) + 1)) + least(112.0, 42 * ln(1 + (doc_id % 90)::DOUBLE)) + least(58.0, 20 * ln(1 + (doc_id % 9)::DOUBLE)) + trunc(100 * rec) + least(24, topic // 4) END))) AS INTEGER) AS heat
+ FROM (SELECT *, {rec} AS rec, {topic} AS topic FROM {x})"""
+
+
+_CYCLE = rf"""{_LANDED}, n AS (SELECT *, coalesce(nullif(regexp_extract(link, 'arxiv\.org/(?:abs|pdf)/(\d{{4}}\.\d{{4,5}})', 1), ''), nullif(regexp_extract(title || ' ' || "desc", '(?i)arxiv:?\s*(\d{{4}}\.\d{{4,5}})', 1), '')) AS arxiv_id FROM r),
+h AS (SELECT *, {_heat_sql("n")}),
+w AS (SELECT *, list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z]{{3,}}'), lambda x: NOT list_contains({c._list(text.TITLE_STOP)}, x)))) AS words FROM h),
+p AS (SELECT go, arxiv_id FROM w WHERE arxiv_id IS NOT NULL GROUP BY ALL HAVING count(DISTINCT venue) >= 2),
+k AS (SELECT go, words FROM w WHERE arxiv_id IS NULL AND len(words) >= 2 GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT venue) >= 3),
+b AS (SELECT w.* REPLACE (CAST(least(999, heat + CASE WHEN p.arxiv_id IS NOT NULL THEN 60 WHEN w.arxiv_id IS NULL AND k.words IS NOT NULL THEN 30 ELSE 0 END) AS INTEGER) AS heat) FROM w LEFT JOIN p ON w.go = p.go AND w.arxiv_id = p.arxiv_id LEFT JOIN k ON w.go = k.go AND w.words = k.words),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY go, link ORDER BY heat DESC, event_date DESC) AS z FROM b) WHERE z = 1)"""
+
+
+def _floor_sql(rows: str) -> str:
+    return f"""(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY turn, heat DESC, event_date DESC, link) AS place FROM (SELECT *, CASE WHEN type <> 'paper' THEN CASE WHEN m <= 67 THEN 0 ELSE 2 END WHEN m <= 95 - (SELECT least(count(*), 67) FROM {rows} WHERE type <> 'paper') THEN 1 ELSE 2 END AS turn
+ FROM (SELECT *, row_number() OVER (PARTITION BY type = 'paper' ORDER BY heat DESC, event_date DESC, link) AS m FROM {rows}))) WHERE place <= 95)"""
+
+
+_ENTITY_LIST = "list_distinct(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(t), '(^|{c._NW}){f}({c._NW}|$)') THEN '{e}' END" for e, _, f in c.LEXICON) + "], lambda x: x IS NOT NULL))"
+
+
+@query(f"""WITH {_CYCLE}, f1 AS {_floor_sql("(SELECT * FROM u WHERE go = 0)")},
+old AS (SELECT * FROM (SELECT * FROM f1 WHERE type = 'paper' ORDER BY event_date DESC, link DESC LIMIT 112) WHERE link NOT IN (SELECT link FROM u WHERE go = 1) AND (SELECT count(*) FROM u WHERE go = 1 AND type = 'paper') < 28),
+f2in AS (SELECT link, type, title, "desc", event_date, venue, heat, arxiv_id FROM u WHERE go = 1 UNION ALL SELECT h.link, h.type, h.title, h."desc", h.event_date, h.venue, h.heat, h.arxiv_id FROM old JOIN h USING (doc_id)),
+f2 AS {_floor_sql("f2in")}
+SELECT link, type, heat, venue, event_date, arxiv_id, array_to_string(list_sort({_ENTITY_LIST}), ',') AS entities FROM (SELECT *, title || ' ' || title || ' ' || title || ' ' || "desc" AS t FROM f2)""")
+def collection_cycle(spark, sf_dir):
+    """The feed after the second of two goes, which brought no papers: those of the first fill it up."""
+    return _cycled(spark, sf_dir).feed().select("link", "type", "heat", "venue", "event_date", "arxiv_id", F.array_join("entities", ",").alias("entities"))
+
+
+def _cycled(spark, sf_dir) -> Cycle:
+    number, at = F.col("doc_id"), _folder(spark, "cycle")
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+    letter = F.repeat(F.char(97 + F.floor(number / 20) % 26), F.lit(3))
+    head = F.when((number % 20).between(1, 3), F.concat(F.lit("Shared subject "), letter)).when(number % 12 == 2, F.concat(F.lit("On arXiv 2401."), src.padded(number - 2))).otherwise(F.col("title"))
+    at_day = F.concat("day", F.lit("T00:00:00Z"))
+    paper = tag("entry", F.concat(tag("id", F.concat(F.lit("http://arxiv.org/abs/2401."), src.padded(number), F.lit("v1"))), tag("title", F.col("title")), tag("summary", F.col("body")), tag("published", at_day)))
+    repo = F.struct(head.alias("full_name"), F.concat(F.lit("https://github.com/Own/Repo"), number.cast("string")).alias("html_url"), F.col("body").alias("description"), at_day.alias("pushed_at"), (number % 900).alias("stargazers_count"), (number % 90).alias("forks_count"), (number % 9).alias("open_issues_count"))
+    story = F.struct(number.cast("string").alias("objectID"), head.alias("title"), F.concat(F.lit("https://y.example/"), F.floor(number / 9).cast("string"), F.lit("?ref=a")).alias("url"), F.col("body").alias("story_text"), at_day.alias("created_at"), (number % 9).alias("points"), (number % 11).alias("num_comments"))
+    post = F.struct(F.struct(head.alias("title"), F.concat(F.lit("https://z.example/"), number.cast("string"), F.lit("/")).alias("url"), F.lit("/r/p/").alias("permalink"), F.col("body").alias("selftext"), F.unix_timestamp(F.col("day").cast("timestamp")).cast("double").alias("created_utc"), (number % 9).alias("score"), (number % 7).alias("num_comments"), F.lit("s").alias("subreddit")).alias("data"))
+    made = {
+        "arxiv": (paper, lambda items: tag("feed", F.array_join(items, ""))), "github": (repo, lambda items: F.to_json(F.struct(items.alias("items")))),
+        "hacker_news": (story, lambda items: F.to_json(F.struct(items.alias("hits")))), "reddit": (post, lambda items: F.to_json(F.struct(F.struct(items.alias("children")).alias("data")))),
+    }
+    loaders = {"arxiv": src.read_arxiv, "github": src.read_github, "hacker_news": src.read_hacker_news, "reddit": src.read_reddit}
+    every = {name: (lambda s, paths, read=read: read(s, paths, most=None)) for name, read in loaders.items()}
+    made_of = Cycle(spark, f"{at}/landed", f"{at}/kept", every, src.AS_OF, c.LEXICON, c.TOPICS)
+    for go, rows in enumerate(ranges(_docs(spark, sf_dir), "doc_id", 2)):
+        for n, (name, (item, wrap)) in enumerate(made.items()):
+            some = rows.where((number % 4 == n) if go == 0 or n else F.lit(False))
+            whole = some.select("file", item.alias("item")).groupBy("file").agg(F.collect_list("item").alias("items"))
+            whole.select(wrap(F.col("items")).alias("value"), "file").write.partitionBy("file").text(f"{at}/landed/{name}/go{go}")
+        made_of.run()
+    return made_of

@@ -78,31 +78,14 @@ def deduplicated(events: DataFrame, keep: str = "7 days") -> DataFrame:
     return events.withWatermark("ts", keep).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def upsert_stream(incoming: DataFrame, folder: str) -> str:
-    """Merges each micro-batch of items (those of `operators.feed.upsert`) into a versioned table; returns the path of the last version.
-
-    A version is written beside the one that is read, never over it, so a batch that is run again gives the same.
-    """
+def upsert_stream(incoming: DataFrame, folder: str, buckets: int = 64):
+    """Merges each micro-batch of items (those of `operators.feed.upsert`) into a `table.KeyedTable`, and returns that."""
     from tidemark.operators.feed import REPLACED, upsert
+    from tidemark.streaming.table import KeyedTable
 
-    spark = incoming.sparkSession
     fields = {f.name: f.dataType for f in incoming.schema}
-    empty = ", ".join(["link_hash string", *(f"`{n}` {fields[n].simpleString()}" for n in REPLACED), "raw_data string, fetch_count int, is_new boolean, heat_changed boolean"])
-
-    def merge(batch: DataFrame, number: int) -> None:
-        stored = spark.createDataFrame([], empty) if number == 0 else spark.read.parquet(f"{folder}/v{number - 1}")
-        upsert(stored, batch).write.mode("overwrite").parquet(f"{folder}/v{number}")
-
-    query = incoming.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    schema = ", ".join(["link_hash string", *(f"`{n}` {fields[n].simpleString()}" for n in REPLACED), "raw_data string, fetch_count int, is_new boolean, heat_changed boolean"])
+    table = KeyedTable(incoming.sparkSession, f"{folder}/table", schema, buckets=buckets)
+    query = incoming.writeStream.foreachBatch(lambda batch, number: table.merge(batch, number, upsert) and None).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    version = _last_version(spark, folder)
-    if version is None:
-        spark.createDataFrame([], empty).write.mode("overwrite").parquet(f"{folder}/v0")
-    return f"{folder}/v{version or 0}"
-
-
-def _last_version(spark: SparkSession, folder: str) -> int | None:
-    """The last version that was written in full. A query's progress may lag behind what it has done."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v*/_SUCCESS")
-    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
-    return max((int(f.getPath().getParent().getName()[1:]) for f in found), default=None)
+    return table
