@@ -31,13 +31,15 @@ _TAG = re.compile(r"/?([a-z][a-z0-9:-]*)", re.I)
 _STOP = re.compile("[>\"']")
 #: Elements whose content is no markup, or not the page's.
 RAW = frozenset("script style noscript template textarea svg iframe title select button".split())
-_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+#: Those whose content runs to their end tag, whatever it holds; of the others the next tag of their name counts.
+TEXT_ONLY = frozenset(("script", "style"))
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>" if tag in TEXT_ONLY else rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 _ATTRIBUTE = {name: re.compile(rf"""(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I) for name in ("class", "id", "role")}
 _NAME = re.compile(r"[^a-z]+")
 #: Elements that hold other blocks.
-CONTAINERS = frozenset("html body main article section div td th tr tbody thead table ul ol li dl dd dt center blockquote figure details".split())
+CONTAINERS = frozenset("html body main article form section div td th tr tbody thead table ul ol li dl dd dt center blockquote figure details".split())
 #: Elements that never belong to the article.
-OUTSIDE = frozenset("head nav header footer aside form menu dialog fieldset object audio video canvas".split())
+OUTSIDE = frozenset("head nav header footer aside menu dialog fieldset object audio video canvas".split())
 #: Elements that end a block but hold no others.
 BREAKS = frozenset("p br hr h1 h2 h3 h4 h5 h6 pre address figcaption summary caption legend option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,6 +49,8 @@ MARKS = frozenset(
     "foot sidebar aside rail widget widgets notice notices cookie cookies consent gdpr alert popup modal newsletter subscribe subscription signup login form search share sharing social related "
     "recommended comment comments commentlist disqus replies reply respond pagination pager toolbar".split()
 )
+#: Those of them that no amount of text outvotes where every name of an element says so.
+FIRM = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr popup modal newsletter comment comments commentlist disqus replies reply respond".split())
 #: A name that begins so tells of the page's state, not of the element ("has-sidebar", "no-header").
 STATES = frozenset("has have no not with without is hide hides show shows".split())
 #: A name that ends so is the article's ("social-article"), unless one of these says that it only points to one.
@@ -61,25 +65,31 @@ def _values(attributes: str, name: str) -> list[str]:
     return [m[1] or m[2] or m[3] or "" for m in _ATTRIBUTE[name].finditer(attributes)]
 
 
-def _marks(attributes: str) -> bool:
-    """Whether a class, id or role says that the element is no part of the article."""
+def _marks(attributes: str) -> int:
+    """Whether a class, id or role says that the element is no part of the article: 0 no, 1 yes, 2 firmly, as all of them say so."""
+    marked, firm = False, True
     for kind in _ATTRIBUTE:
         for value in _values(attributes, kind):
             for name in value.lower().split():
                 parts = [x for x in _NAME.split(name) if x]
                 if parts and not MARKS.isdisjoint(parts) and parts[0] not in STATES and (parts[-1] not in HEADS or not POINTERS.isdisjoint(parts)):
-                    return True
-    return False
+                    marked, firm = True, firm and not FIRM.isdisjoint(parts)
+                elif parts:
+                    firm = False
+    return marked + (marked and firm)
 
 
 def tags(source: str) -> Iterator[tuple[int, int, str, str]]:
     """Start, end, name and attributes of every tag; name is "/x" for an end tag, empty for a comment, declaration or raw element.
 
+    A raw element that is not closed before the next of its kind, or not at all, is an ordinary one; so is what it
+    holds. An unclosed script or style takes the rest.
+
     One pass: a quoted value may hold ">", and a tag with an unclosed quote ends at its first ">". Quotes from which
     no end was found are remembered, so that no part of the source is searched again and again. What no ">" follows
     is text.
     """
-    last, dead, at = source.rfind(">"), set(), 0
+    last, dead, unclosed, at = source.rfind(">"), set(), set(), 0
     while True:
         at = source.find("<", at)
         if at < 0 or at > last and not source.startswith("<!--", at):
@@ -113,10 +123,15 @@ def tags(source: str) -> Iterator[tuple[int, int, str, str]]:
             name = m[1].lower()
             if source[at + 1] == "/":
                 yield at, end, "/" + name, ""
-            elif name in RAW:
-                closing = _RAW_END[name].search(source, end)
-                end = closing.end() if closing else len(source)
-                yield at, end, "", ""
+            elif name in RAW and not (name == "svg" and source[end - 2] == "/"):
+                closing = None if name in unclosed else _RAW_END[name].search(source, end)
+                if closing is None and name not in TEXT_ONLY:
+                    unclosed.add(name)
+                if closing is None and name in TEXT_ONLY or closing and (name in TEXT_ONLY or closing[1]):
+                    end = closing.end() if closing else len(source)
+                    yield at, end, "", ""
+                else:  # it has no end tag of its own: it ends with its parent
+                    yield at, end, name, source[m.end() : end - 1]
             else:
                 yield at, end, name, source[m.end() : end - 1]
         else:
@@ -128,8 +143,10 @@ class Page:
     """One reading of a page: its blocks of text with the containers that they lie in.
 
     A container's path is a hash of its parent's path and of its own tag and generalised classes: their letters, in
-    order. A container set aside for its class stays in if it holds main, or an article that is not itself set aside,
-    and does not hold comments.
+    order. A container is set aside for its class, id or role, as a form is, but stays in if it holds main, or an
+    article that is not itself set aside, and does not hold comments. On a page without either, content outvotes
+    marks: a container with more than half of the page's text outside links, not counting what lies in others that
+    are marked, stays in as well, unless all its names are of adverts, notices or comments.
     """
 
     def __init__(self, source: str):
@@ -137,8 +154,12 @@ class Page:
         self.tags: list[str] = []
         self.parents: list[int] = []
         self.away: list[bool] = []
+        self.firm: list[bool] = []
+        self.has_article = False
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
         self._read(source)
+        if not self.has_article:
+            self._outvote()
         for i, parent in enumerate(self.parents):
             self.away[i] |= parent >= 0 and self.away[parent]
         self.blocks = [b for b in self.blocks if b[0] < 0 or not self.away[b[0]]]
@@ -149,15 +170,35 @@ class Page:
         self.paths.append(xxhash.xxh3_128_hexdigest(f"{above}>{'.'.join([tag, *names])}"))
         self.tags.append(tag)
         self.parents.append(parent)
-        marked = "=" in attributes and _marks(attributes)
-        self.away.append(marked and tag not in KEPT)
+        marked = _marks(attributes) if "=" in attributes else 0
+        self.away.append((marked > 0 or tag == "form") and tag not in KEPT)
+        self.firm.append(marked == 2)
         if (tag == "main" or tag == "article" and not marked) and not comments:
+            self.has_article = True
             at = parent
             while at >= 0 and self.away[at]:
                 self.away[at] = False
                 at = self.parents[at]
         return len(self.paths) - 1
 
+    def _outvote(self) -> None:
+        """Takes marked containers back that hold most of the page's text outside links, with those around them."""
+        nearest, own, whole = [], [0] * len(self.tags), 0
+        for i, parent in enumerate(self.parents):
+            nearest.append(i if self.away[i] else nearest[parent] if parent >= 0 else -1)
+        for at, text, linked in self.blocks:
+            worth = max(0, len(text) - linked)
+            whole += worth
+            if at >= 0 and nearest[at] >= 0:
+                own[nearest[at]] += worth
+        if not own or 2 * max(own) <= whole:
+            return
+        at = own.index(max(own))
+        if not self.firm[at]:
+            while at >= 0:
+                self.away[at] = False
+                at = self.parents[at]
+
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int, bool, bool]] = []  # tag, container, whether it is outside the article, whether it holds comments
         held: Counter[str] = Counter()
@@ -209,6 +250,8 @@ class Page:
                         if stack[i][0] == tag:
                             leave(i)
                             break
+                elif tag in BREAKS and tag not in ("option", "legend") and stack and stack[-1][0] in RAW:
+                    leave(len(stack) - 1)  # the element was opened in the block that ends here
                 elif tag in CONTAINERS or tag in OUTSIDE or tag in BREAKS:
                     flush()
                 continue
@@ -225,14 +268,17 @@ class Page:
             if tag in VOID or attributes.endswith("/") and tag not in CONTAINERS:
                 continue
             if outside:
-                if block and tag not in BREAKS:
-                    enter(tag, tag in OUTSIDE)
-            elif tag in CONTAINERS:
+                if block and tag not in BREAKS or tag in RAW:
+                    enter(tag, tag in OUTSIDE or tag in RAW)
+            elif tag in RAW:
+                text.append(" ")
+                enter(tag, True)
+            elif tag in CONTAINERS or not block and "=" in attributes and _marks(attributes):
+                if not block:
+                    flush()
                 current = self._open(tag, attributes, current, comments > 0)
                 enter(tag, False, self.away[current] and "comment" in attributes.lower())
             elif tag in OUTSIDE or "=" in attributes and _marks(attributes):
-                if not block:
-                    text.append(" ")
                 enter(tag, True)
         if not outside:
             text.append(source[at:])
