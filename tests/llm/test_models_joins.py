@@ -180,6 +180,44 @@ def test_margins_are_the_nystroem_machine():
     assert toxicity.spans_of(["Ab-c d\ne i d i o t.", "", "x" * 30]) == [{"abc", "d", "e", "i", "o", "t", "idiot"}, set(), {"x" * 24, "x" * 18}]
 
 
+def test_training_folds_the_machine_into_one_weight_a_subsequence(monkeypatch):
+    """What a trained model says of a span is kernel x inverse root x machine + offset, worked out here from a plain kernel."""
+    r = random.Random(3)
+    words = ["".join(r.choice("aeioustrnlmd") for _ in range(r.randint(3, 8))) for _ in range(120)]
+    say = lambda *more: " ".join([r.choice(words) for _ in range(12)] + list(more))
+    rows = [(say("grobnik"), 1) for _ in range(40)] + [(say("flumpf"), 1) for _ in range(20)] + [(say(), 0) for _ in range(80)]
+    machines, marks = [], []
+    hinge, kernel = toxicity._squared_hinge, toxicity.kernel
+
+    def recorded(*a, **k):
+        machines.append(hinge(*a, **k))
+        return machines[-1]
+
+    def watched(spans, landmarks, *a):
+        if spans is landmarks:
+            marks.append(list(landmarks))
+        return kernel(spans, landmarks, *a)
+
+    monkeypatch.setattr(toxicity, "_squared_hinge", recorded)
+    monkeypatch.setattr(toxicity, "kernel", watched)
+    model = toxicity.train(rows)
+    (w, offset), landmarks = machines[-1], marks[-1]
+
+    def plain(a, b):
+        maps = []
+        for span in (a, b):
+            _, code, weight = toxicity.subsequences([span])
+            maps.append(dict(zip(code.tolist(), weight.tolist(), strict=True)))
+        return sum(v * maps[1].get(k, 0.0) for k, v in maps[0].items())
+
+    own = np.array([[plain(a, b) for b in landmarks] for a in landmarks])
+    values, vectors = np.linalg.eigh(own + 1e-6 * np.eye(len(landmarks)))
+    root = vectors @ np.diag(np.maximum(values, 1e-6) ** -0.5) @ vectors.T
+    spans = ["grobnik", "gro-bnik".replace("-", ""), "grxobnik", "flumpf", words[0], words[7], "zzz"]
+    want = np.array([[plain(s, m) for m in landmarks] for s in spans]) @ root @ w + offset
+    assert model.margins(spans) == pytest.approx(want, abs=2e-3) and want[0] > 0 > want[4]
+
+
 def test_one_mislabelled_text_does_not_hide_an_insult():
     r = random.Random(9)
     words = ["".join(r.choice("aeioustrnlmd") for _ in range(r.randint(3, 8))) for _ in range(200)]

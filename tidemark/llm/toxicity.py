@@ -29,6 +29,12 @@ from tidemark.llm.units import Rows, Runs, per_text, pieces_of, reads, small_bat
 FIT_ROWS, FIT_CHARS = 3000, 20_000
 #: Landmarks; clean spans that the machine starts from; rounds of adding the clean spans that it gets wrong.
 LANDMARKS, CLEAN_SPANS, ROUNDS = 160, 6000, 4
+#: Bounds of the fit's memory, in spans: sure positives, positives in all, frequent clean spans, and clean spans that a
+#: round adds. They bound what the machine is fitted on, the strongest first. Every span of the fitted rows is counted,
+#: and all clean ones are scored in the first round and the last, so that those that it gets wrong are found among all.
+SURE_SPANS, POSITIVE_SPANS, FREQUENT_SPANS, WRONG_SPANS = 1500, 2500, 400, 1500
+#: Sure positives of which disguised forms are shown; new landmarks of a round.
+DISGUISED, NEW_LANDMARKS = 60, 20
 #: Association with the label (log-likelihood ratio) from which a span counts as positive wherever it stands, and the
 #: share of toxic texts among those that hold it, were both labels as frequent, from which clean ones count as mislabelled.
 SURE, SHARE = 20.0, 0.9
@@ -217,18 +223,18 @@ def train(rows: list[tuple[str, int]]) -> Model | None:
     clean = sorted(df[0])
     if not witness or not clean:
         return None
-    frequent = [s for s, _ in df[0].most_common(400)]
+    frequent = [s for s, _ in df[0].most_common(FREQUENT_SPANS)]
     rng = np.random.default_rng(5)
     start = [clean[i] for i in rng.permutation(len(clean))[:CLEAN_SPANS]]
     sure = {s: g for s, n in df[1].items() if (g := _association(n, df[0][s], texts_of[1], texts_of[0])) >= SURE}
-    known = sorted(sure, key=lambda s: (-sure[s], s))[:1500]
+    known = sorted(sure, key=lambda s: (-sure[s], s))[:SURE_SPANS]
     # A span that toxic texts hold far more often stays positive, by its share, though a clean text or two hold it.
     share = {s: df[1][s] / (df[1][s] + df[0][s] * texts_of[1] / texts_of[0]) for s in known}
     trusted = {s for s in known if share[s] >= SHARE}
     trust = {s: share[s] * sure[s] / (sure[s] + 5 * SURE) for s in known}
     clean = [s for s in clean if s not in trusted]
     frequent, start = [s for s in frequent if s not in trusted], [s for s in start if s not in trusted]
-    positive = list(dict.fromkeys(known + [s for s, _ in sorted(witness.items(), key=lambda x: (-x[1], x[0]))]))[:2000]
+    positive = list(dict.fromkeys(known + [s for s, _ in sorted(witness.items(), key=lambda x: (-x[1], x[0]))]))[:POSITIVE_SPANS]
     landmarks = positive[: LANDMARKS // 2]
     negative = list(dict.fromkeys(frequent + start))
     landmarks = list(dict.fromkeys(landmarks + frequent[: LANDMARKS // 4] + start))[:LANDMARKS]
@@ -237,7 +243,7 @@ def train(rows: list[tuple[str, int]]) -> Model | None:
         own = kernel(landmarks, landmarks)
         values, vectors = np.linalg.eigh(own + 1e-6 * np.eye(len(landmarks)))
         root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-        seen = [(s, 1.0) for s in positive] + [(d, 0.5) for k, s in enumerate(known[:60]) if len(s) > 3 for d in _disguised(s, k + turn)]
+        seen = [(s, 1.0) for s in positive] + [(d, 0.5) for k, s in enumerate(known[:DISGUISED]) if len(s) > 3 for d in _disguised(s, k + turn)]
         seen = [(s, w * trust.get(s, 0.5)) for s, w in seen if s in trusted or df[0][s] == 0]
         x = kernel([s for s, _ in seen] + negative, landmarks) @ root
         y = np.array([1.0] * len(seen) + [-1.0] * len(negative))
@@ -252,13 +258,13 @@ def train(rows: list[tuple[str, int]]) -> Model | None:
         # In between only spans that the machine was not sure of are looked at again.
         watched = clean if turn in (0, ROUNDS - 1) else [s for s in clean if margins[s] > -0.9]
         margins |= dict(zip(watched, model.margins(watched).tolist(), strict=True))
-        worst = sorted((s for s in clean if margins[s] > -0.5), key=lambda s: (-margins[s], s))[:1500]
+        worst = sorted((s for s in clean if margins[s] > -0.5), key=lambda s: (-margins[s], s))[:WRONG_SPANS]
         negative = list(dict.fromkeys(negative + worst))
-        landmarks = list(dict.fromkeys(landmarks + worst[:20]))
+        landmarks = list(dict.fromkeys(landmarks + worst[:NEW_LANDMARKS]))
         toxic = [s for s in df[1] if s not in plain]
         margins |= dict(zip(toxic, model.margins(toxic).tolist(), strict=True))
         again = Counter(max(spans, key=lambda s: (margins[s] + 0.05 * min(odds[s], 5.0), s)) for spans, y in held if y and spans)
-        positive = list(dict.fromkeys(known + [s for s, n in sorted(again.items(), key=lambda x: (-x[1], x[0])) if odds[s] > 0 and (df[1][s] > 1 or margins[s] > 0)]))[:2500]
+        positive = list(dict.fromkeys(known + [s for s, n in sorted(again.items(), key=lambda x: (-x[1], x[0])) if odds[s] > 0 and (df[1][s] > 1 or margins[s] > 0)]))[:POSITIVE_SPANS]
     top = np.array([max((margins[s] for s in spans), default=offset - 1) for spans, _ in held])
     label = np.array([y for _, y in held], float)
     model.slope, model.shift = _curve(top, label)
