@@ -81,17 +81,17 @@ def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """
     incoming = incoming.where(F.col("link_hash").isNotNull())
     latest = incoming.groupBy("link_hash").agg(F.max_by(F.struct(*REPLACED), F.struct(F.col("arrival").isNotNull().alias("has"), "arrival", "heat", "title")).alias("new"), F.count("*").cast("int").alias("times"))
-    s, i = stored.alias("s"), latest.alias("i")
+    # Side-cars of links that come again are taken apart, all others copied. They meet the narrower side first, by the
+    # key that both are dealt by, so that no row is sent a second time.
+    touched = merged_sidecars(stored.join(incoming.select("link_hash"), "link_hash", "left_semi"), incoming)
+    s, i = stored.alias("s"), latest.join(touched, "link_hash", "left").alias("i")
     joined = s.join(i, F.col("s.link_hash") == F.col("i.link_hash"), "full_outer")
     new, old = F.col("i.times").isNotNull(), F.col("s.link_hash").isNotNull()
     pick = lambda name: F.when(new, F.col(f"i.new.{name}")).otherwise(F.col(f"s.{name}")).alias(name)
     count = F.coalesce("s.fetch_count", F.lit(0)) + F.coalesce("i.times", F.lit(0))
     flags = [count.cast("int").alias("fetch_count"), (~old).alias("is_new"), F.coalesce(new & old & (F.col("s.heat") != F.col("i.new.heat")), F.lit(False)).alias("heat_changed")]
-    merged = joined.select(F.coalesce("i.link_hash", "s.link_hash").alias("link_hash"), *map(pick, REPLACED), F.when(~new, F.col("s.raw_data")).alias("as_it_was"), *flags)
-    # Side-cars of links that come again are taken apart; all others are copied.
-    touched = merged_sidecars(stored.join(latest.select("link_hash"), "link_hash", "left_semi"), incoming)
-    raw = F.coalesce("as_it_was", "raw_data").alias("raw_data")
-    return merged.join(touched, "link_hash", "left").select("link_hash", *REPLACED, raw, "fetch_count", "is_new", "heat_changed")
+    raw = F.when(new, F.col("i.raw_data")).otherwise(F.col("s.raw_data")).alias("raw_data")
+    return joined.select(F.coalesce("i.link_hash", "s.link_hash").alias("link_hash"), *map(pick, REPLACED), raw, *flags)
 
 
 def existing(incoming: DataFrame, stored: DataFrame) -> DataFrame:
