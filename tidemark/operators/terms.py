@@ -172,18 +172,19 @@ def term_tokens(term: Column, stop=(), concepts=None, lexicon=()) -> Column:
     return F.slice(tokens(term, stop, concepts, lexicon), 1, 2)
 
 
-def nominations(found: Terms, recent: Column, past: Column, anchors: list[str], stems: str = STEMS, spelled=term_tokens, trends: int = TRENDS, words: int = WORDS, phrases: int = PHRASES) -> DataFrame:
+def nominations(found: Terms, recent: Column, past: Column, anchors: list[str], stems: str = STEMS, spelled=term_tokens, pairs: Terms | None = None, trends: int = TRENDS, words: int = WORDS, phrases: int = PHRASES) -> DataFrame:
     """What each type of item nominates, terms of high value only.
 
     term, key (its tokens), kind (token or phrase), type, strength, and trend, recent and hist where it is on the rise,
-    else 1, 0 and 0. `spelled` gives a term's tokens.
+    else 1, 0 and 0. `spelled` gives a term's tokens; `pairs` are the sums that phrases come from, if `found` has none.
     """
-    of, by = found.where(F.col("type").isin(*KINDS)), ["type"]
-    now = of.where(recent)
+    kinds, by = F.col("type").isin(*KINDS), ["type"]
+    of = found.where(kinds)
+    now, two = of.where(recent), (pairs or found).where(kinds & recent)
     row = lambda kind, strength, *more: ("type", "term", F.lit(kind).alias("kind"), strength.alias("strength"), *more)
     rising = of.trends(recent, past, trends, by).select(*row("token", F.col("g2"), "trend", F.col("recent_count").alias("recent"), F.col("historical_count").alias("hist")))
     common = now.words(words, by).select(*row("token", F.col("score")))
-    paired = now.phrases(phrases, by).withColumn("term", F.concat_ws(" ", "a", "b")).select(*row("phrase", F.col("score")))
+    paired = two.phrases(phrases, by).withColumn("term", F.concat_ws(" ", "a", "b")).select(*row("phrase", F.col("score")))
     every = rising.unionByName(common, allowMissingColumns=True).unionByName(paired, allowMissingColumns=True)
     every = every.withColumn("tokens", spelled(F.col("term"))).where(high_value(F.col("tokens"), anchors, stems)).withColumn("key", F.concat_ws(" ", "tokens"))
     signal = lambda name, default: F.coalesce(F.max(name), F.lit(default)).alias(name)

@@ -11,6 +11,7 @@ from tidemark.plans.registry import QUERIES, SQL, query
 from tidemark.sources.articles import AS_OF, articles
 from tidemark.sources.stored import Stored
 from tidemark.streaming import feed as streams
+from tidemark.streaming import keyed
 
 # Lexicons of these queries: frequent words of the test tables. Real ones are parameters of the operators.
 STOP = ["the", "of", "and", "to", "in", "is", "de", "la", "le", "les", "der", "die", "el", "que", "en"]
@@ -199,9 +200,10 @@ ev AS (SELECT key, type, id FROM (SELECT key, type, id, row_number() OVER (PARTI
 
 
 def _topics(spark, sf_dir):
-    """The kept term sums of the documents, and what they nominate."""
-    kept = Stored.scratch(spark, articles(spark, sf_dir), STOP, CONCEPTS, COMPOUNDS)
-    return kept, terms.nominations(kept.terms(AS_OF), *_days(), ANCHORS, "$^", kept.spelled)
+    """The kept tokens of the documents, and what they nominate."""
+    kept = Stored.scratch(spark, articles(spark, sf_dir), STOP, CONCEPTS, COMPOUNDS, sums=False)
+    found, pairs = terms.Terms.of(kept.weighed(AS_OF)), terms.Terms.of(kept.weighed(AS_OF).where(_days()[0]), phrases=True)
+    return kept, terms.nominations(found, *_days(), ANCHORS, "$^", kept.spelled, pairs)
 
 
 @query(f"WITH {_TOK}, {_nominated_sql()} SELECT term, key, type, kind, strength, trend, recent, hist FROM nominated")
@@ -571,3 +573,55 @@ def stream_upsert(spark, sf_dir):
         )
         merged = streams.upsert_stream(rows, table, buckets=8)
     return merged.read().select("link_hash", "type", "heat", "fetch_count", text.sidecar(F.col("raw_data"), "k").alias("k"))
+
+
+def _timed(spark, sf_dir) -> DataFrame:
+    events = _table(spark, sf_dir, "events")
+    ts = F.col("ts").cast("timestamp")
+    return events.withColumns({"ts": ts, "sec": F.floor(ts.cast("double")).cast("long")})
+
+
+_GAP = "INTERVAL 2 HOURS"
+
+
+@query(f"""WITH e AS (SELECT DISTINCT event_id, user_id, ts FROM events), g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + {_GAP} THEN 0 ELSE 1 END AS fresh FROM e), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM g)
+SELECT user_id, min(ts) AS begun, max(ts) AS ended, count(*) AS n FROM s GROUP BY user_id, run""")
+def stream_sessions(spark, sf_dir):
+    """Events in three goes by time. The second brings itself twice, the third brings the first go again, too late; a last row ends what is open."""
+    rows, at = _timed(spark, sf_dir), streams._folder(spark, "sessions")
+    goes = [g.select("event_id", "user_id", "ts") for g in streams.ranges(rows, "sec", 3)]
+    end = rows.agg(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), (F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).where("ts is not null")
+    for batch in (goes[0], goes[1].unionByName(goes[1]), goes[2].unionByName(goes[0]), end, end.withColumn("event_id", F.lit(-2).cast("long"))):
+        batch.write.mode("append").parquet(f"{at}/in")
+        found = streams.sessions(streams.files_stream(spark, f"{at}/in"), "2 hours")
+        found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{at}/out").where("user_id <> -1")
+
+
+@query("""WITH e AS (SELECT event_type AS cache, user_id::VARCHAR AS key, ts AS t, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'put' ELSE 'get' END AS op, 'v' || event_id AS value FROM events),
+p AS (SELECT *, max(CASE WHEN op = 'put' THEN {'t': t, 'seq': seq} END) OVER (PARTITION BY cache, key ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM e), q AS (SELECT *, coalesce(t <= last.t + INTERVAL 6 HOURS, false) AS alive FROM p)
+SELECT seq, op, CASE WHEN op = 'put' THEN CASE WHEN alive THEN 'renewed' ELSE 'kept' END WHEN alive THEN 'hit' ELSE 'miss' END AS outcome, CASE WHEN op = 'put' THEN value WHEN alive THEN 'v' || last.seq END AS value FROM q""")
+def stream_cache(spark, sf_dir):
+    """Puts and gets in three goes by time, in caches whose entries live for six hours and which have room for all of them."""
+    keyed.with_state(spark)
+    number, at = F.col("event_id"), streams._folder(spark, "cache")
+    columns = {"cache": F.col("event_type"), "key": F.col("user_id").cast("string"), "at": F.col("ts"), "seq": number, "op": F.when(number % 3 == 0, "put").otherwise("get"), "value": F.concat(F.lit("v"), number.cast("string"))}
+    for part in streams.ranges(_timed(spark, sf_dir), "sec", 3):
+        part.select(*(v.alias(k) for k, v in columns.items())).write.mode("append").parquet(f"{at}/in")
+        found = keyed.cached(streams.files_stream(spark, f"{at}/in"), most=1 << 40, life=6 * 3600)
+        found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(keyed.Cache.FOUND).parquet(f"{at}/out").select("seq", "op", "outcome", "value")
+
+
+@query(f"""WITH m AS (SELECT user_id AS source, event_id AS seq, epoch(ts) AS sec, value / 10 AS seconds, event_id % 5 > 1 AS ok, event_id % 3 = 0 AS limited, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n, sum(CASE WHEN event_id % 5 > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id DESC) AS good_after FROM events)
+SELECT source, max(seq) AS seq, {_half("avg(seconds) FILTER (n <= 5)", 4)} AS mean, {_half("count(*) FILTER (ok) / least(count(*), 10)", 4)} AS rate, count(*) FILTER (good_after = 0) AS failures, count(*) FILTER (limited) AS limits, count(*) AS tries FROM m GROUP BY source""")
+def stream_figures(spark, sf_dir):
+    """Every source's figures after the last of four goes, from state that holds twenty requests of each."""
+    keyed.with_state(spark)
+    number, at = F.col("event_id"), streams._folder(spark, "figures")
+    for part in streams.ranges(_timed(spark, sf_dir), "event_id", 4):
+        part.select(F.col("user_id").cast("string").alias("source"), number.alias("seq"), F.col("sec").alias("at"), (F.col("value") / 10).alias("seconds"), (number % 5 > 1).alias("ok"), (number % 3 == 0).alias("limited")).write.mode("append").parquet(f"{at}/in")
+        found = keyed.figures(streams.files_stream(spark, f"{at}/in"))
+        found.writeStream.outputMode("update").foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{at}/out/batch={n}")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.schema(keyed.Requests.FIGURES).parquet(f"{at}/out").groupBy("source").agg(F.max_by(F.struct("*"), "seq").alias("x")).select("x.*")
+    return last.select(F.col("source").cast("long").alias("source"), "seq", scores.half_up(F.col("mean"), 4).alias("mean"), scores.half_up(F.col("rate"), 4).alias("rate"), "failures", "limits", "tries")

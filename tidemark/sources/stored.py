@@ -33,12 +33,19 @@ class Stored:
     compounds: Sequence[tuple[str, str]] = ()
 
     @staticmethod
-    def scratch(spark: SparkSession, items: DataFrame, stop=(), concepts=None, compounds=()) -> Stored:
-        """Tokens and sums alone, of these items, in a new folder of the shared ones; the items are read once."""
+    def scratch(spark: SparkSession, items: DataFrame, stop=(), concepts=None, compounds=(), sums: bool = True) -> Stored:
+        """Tokens of these items, and with `sums` those of their words by day, in a new folder of the shared ones; the items are read once."""
         made = Stored(spark, _folder(spark, "terms"), stop, concepts or {}, compounds)
-        made.put(items, whole=False)
+        if sums:
+            made.put(items, whole=False, phrases=False)
+        else:
+            made._tokenized(items).write.parquet(f"{made.folder}/tokens")
         return made
 
+    def _tokenized(self, items: DataFrame) -> DataFrame:
+        found = terms.tokenized(items, "2000-01-01", self.stop, self.concepts, self.compounds)
+        return found.select("id", "type", "heat", "title_tokens", "desc_tokens", "event_date")
+
     def _write(self, rows: DataFrame, name: str, *order: str) -> None:
         # A day is in as few files as its size allows; one that is hot is split.
         rows.hint("rebalance", "event_date").sortWithinPartitions("event_date", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(f"{self.folder}/{name}")
@@ -46,8 +53,8 @@ class Stored:
     def _read(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
 
-    def put(self, items: DataFrame, whole: bool = True) -> None:
-        """Replaces the days that the items have by these items; with `whole` keeps the items as well.
+    def put(self, items: DataFrame, whole: bool = True, phrases: bool = True) -> None:
+        """Replaces the days that the items have by these items; with `whole` keeps the items as well, with `phrases` sums of neighbours.
 
         Items have id, type, title, desc, heat and event_date; undated ones are a day of their own.
         """
@@ -55,12 +62,11 @@ class Stored:
             self._write(items, "items", "type")
         day = "2000-01-01"
         fresh = item_weight(F.col("heat"), F.lit(day).cast("date"), F.col("type"), day)
-        tokened = terms.tokenized(items, day, self.stop, self.concepts, self.compounds)
-        self._write(tokened.select("id", "type", "heat", "title_tokens", "desc_tokens", "event_date"), "tokens", "type")
+        self._write(self._tokenized(items), "tokens", "type")
         # One row for each day that was put.
         days = [r[0] for r in items.select("event_date").distinct().collect()] if whole else None
         kept = self.tokens() if days is None else self.tokens().where(_among(days))
-        found = terms.Terms.of(kept.withColumn("weight", fresh), phrases=True)
+        found = terms.Terms.of(kept.withColumn("weight", fresh), phrases)
         sums = found.rows.groupBy("event_date", "type", "a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "items", "mass", "heavy")))
         self._write(sums.select("type", "a", "b", "n", "items", "mass", "heavy", "event_date"), "terms", "type", "a")
         totals = found.totals.groupBy("event_date", "type").agg(*(F.sum(c).alias(c) for c in ("items", "weight", "tokens", "pairs")))
@@ -72,6 +78,10 @@ class Stored:
     def tokens(self) -> DataFrame:
         return self._read("tokens", _TOKENS)
 
+    def weighed(self, as_of: str) -> DataFrame:
+        """The tokens with their items' weights on a day, for sums that are not kept."""
+        return self.tokens().withColumn("weight", item_weight(F.col("heat"), F.col("event_date"), F.col("type"), as_of))
+
     def terms(self, as_of: str) -> terms.Terms:
         """The sums at the weights of a day.
 

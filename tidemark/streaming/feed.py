@@ -78,6 +78,17 @@ def deduplicated(events: DataFrame, keep: str = "7 days") -> DataFrame:
     return events.withWatermark("ts", keep).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """user_id, begun, ended, n: runs of a user's events that lie less than a gap apart, in append mode.
+
+    An event that comes again counts once; one that comes later than the watermark, as a repeated one may, is left out.
+    A session is written once, when the watermark has passed its end.
+    """
+    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    runs = once.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.max("ts").alias("ended"))
+    return runs.select("user_id", F.col("w.start").alias("begun"), "ended", "n")
+
+
 def upsert_stream(incoming: DataFrame, folder: str, buckets: int = 64):
     """Merges each micro-batch of items (those of `operators.feed.upsert`) into a `table.KeyedTable`, and returns that."""
     from tidemark.operators.feed import REPLACED, upsert
