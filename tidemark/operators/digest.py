@@ -59,7 +59,9 @@ def digest(items: DataFrame, kept: DataFrame, as_of: str, writer: Callable[[str]
             yield batch[["material"]].assign(made=pd.Series(made, dtype=object))
 
     made = whole.mapInPandas(write, "material string, made string") if writer else whole.withColumn("made", F.lit(None).cast("string"))
-    one = key.join(F.broadcast(count), how="cross").join(F.broadcast(made), how="cross").join(F.broadcast(kept.withColumnsRenamed({"text": "old", "written": "old_written"})), "fingerprint", "left")
+    # Of all that was ever kept only this key's row is of use.
+    known = kept.join(F.broadcast(key), "fingerprint", "left_semi").withColumnsRenamed({"text": "old", "written": "old_written"})
+    one = key.join(F.broadcast(count), how="cross").join(F.broadcast(made), how="cross").join(known, "fingerprint", "left")
     good = F.coalesce(F.length(F.trim("made")) > LEAST, F.lit(False))
     text = F.coalesce("old", F.when(good, F.col("made")), F.concat(F.lit("Items: "), F.col("items").cast("string"), F.lit(". No writer is configured.")))
     return one.where("items > 0").select("fingerprint", text.alias("text"), F.coalesce("old_written", good).alias("written"), F.col("old").isNotNull().alias("cached"))

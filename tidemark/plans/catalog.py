@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import links, scores, text
-from tidemark.operators import entities, feed, runs, taxonomy, terms
+from tidemark.operators import bloom, entities, feed, runs, taxonomy, terms
 from tidemark.plans.registry import QUERIES, SQL, query
 from tidemark.sources.articles import AS_OF, articles
 from tidemark.sources.stored import Stored
@@ -389,6 +389,13 @@ def unseen_links(spark, sf_dir):
     return feed.unseen(incoming, stored).select("id", "link_hash")
 
 
+@query(f"WITH {_HASHED} SELECT id, link_hash FROM i ANTI JOIN s USING (link_hash)")
+def unseen_filtered(spark, sf_dir):
+    """The same behind a Bloom filter of the stored links: what it does not know needs no join."""
+    stored, incoming = _two(spark, sf_dir)
+    return bloom.unseen(incoming.select("id", "link_hash"), stored)
+
+
 @query(f"WITH {_HASHED}, e AS (SELECT * FROM i WHERE id % 9 <> 0) SELECT id, link_hash FROM e UNION ALL SELECT id, link_hash FROM (SELECT * FROM s WHERE type = 'paper' AND link LIKE '%arxiv.org%' ORDER BY event_date DESC, id DESC LIMIT 80) ANTI JOIN e USING (link)")
 def paper_backfill(spark, sf_dir):
     """The current feed has the same links in other spellings, but not those of every third paper."""

@@ -11,6 +11,7 @@ from tidemark.plans import catalog as c
 from tidemark.plans.engine import Engine
 from tidemark.plans.registry import query
 from tidemark.sources import articles as src
+from tidemark.sources import landed
 from tidemark.streaming.cycle import Cycle
 from tidemark.streaming.feed import _folder, ranges
 
@@ -441,6 +442,43 @@ def changed_pages(spark, sf_dir):
     return src.changed(fetched, src.read_etags(spark, at, "2024-01-31 00:00:00")).select("page_id", "url")
 
 
+_STORIES = f"WITH {_DOCS} SELECT doc_id, title, md5(body) AS body_md5, CAST(doc_id % 9 AS INTEGER) AS points FROM d"
+
+
+def _stories(spark, sf_dir, goes: int) -> tuple[str, list[DataFrame]]:
+    """A folder for files of stories, and the files' texts in so many goes; names rise with the goes."""
+    number = F.col("doc_id")
+    item = F.struct(number.cast("string").alias("objectID"), F.col("title"), F.col("body").alias("story_text"), (number % 9).alias("points"))
+    made = lambda rows: rows.select("file", item.alias("item")).groupBy("file").agg(F.to_json(F.struct(F.collect_list("item").alias("hits"))).alias("value")).select("value", F.lpad(F.col("file").cast("string"), 12, "0").alias("file"))
+    return _folder(spark, "stories"), [made(r) for r in ranges(_docs(spark, sf_dir), "file", goes)]
+
+
+def _read_stories(rows: DataFrame) -> DataFrame:
+    s = F.from_json("record", "objectID string, title string, story_text string, points int")
+    return rows.where("error is null").select(s.alias("s")).select(F.col("s.objectID").cast("long").alias("doc_id"), "s.title", F.md5("s.story_text").alias("body_md5"), "s.points")
+
+
+@query(_STORIES)
+def source_landed(spark, sf_dir):
+    """Files of stories by the data source that reads a partition a file."""
+    landed.register(spark)
+    at, goes = _stories(spark, sf_dir, 1)
+    goes[0].write.partitionBy("file").text(at)
+    return _read_stories(spark.read.format("landed_json").option("records", "hits").load(at))
+
+
+@query(_STORIES)
+def stream_landed(spark, sf_dir):
+    """The same files in two goes, read as a stream that runs on from its checkpoint."""
+    landed.register(spark)
+    at, goes = _stories(spark, sf_dir, 2)
+    for files in goes:
+        files.write.mode("append").partitionBy("file").text(f"{at}/in")
+        rows = _read_stories(spark.readStream.format("landed_json").option("records", "hits").load(f"{at}/in"))
+        rows.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{at}/out")
+
+
 # The collection cycle: four sources land in two goes; papers only come with the first ------------------------------------
 
 _ENDS = "(SELECT min(doc_id) AS a, CAST(ceil((max(doc_id) - min(doc_id) + 1) / 2.0) AS BIGINT) AS w FROM documents)"
