@@ -70,27 +70,39 @@ def source_state(log: DataFrame) -> DataFrame:
     return per.select("source", "cursor", "fetches", "errors", "last_count", "last_error", half_up(F.col("mean"), 1).alias("mean_ms"))
 
 
-def reused(fetches: DataFrame) -> DataFrame:
-    """Of rows (source, seq, changed, items): the items that each source shows after every fetch; one that has not changed shows the last ones again."""
-    order = Window.partitionBy("source").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("changed"), F.col("items")), ignorenulls=True).over(order)
-    return fetches.select("source", "seq", F.coalesce(last, F.lit(0)).alias("items"), (~F.col("changed") & last.isNotNull()).alias("used_cache"))
+def reused(fetches: DataFrame, block: int = 100_000) -> DataFrame:
+    """Of rows (source, seq, changed, items): the items that each source shows after every fetch; one that has not changed shows the last ones again.
+
+    A source's fetches are looked at in blocks of `block` numbers, which take over the last change of those before, so
+    that one that has most of the rows is spread.
+    """
+    rows = fetches.withColumn("_block", F.floor(F.col("seq") / block))
+    change = F.when(F.col("changed"), F.struct("items"))
+    here = Window.partitionBy("source", "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy("source", "_block").agg(F.max_by(change, F.when(F.col("changed"), F.col("seq"))).alias("_end"))
+    earlier = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    taken = ends.withColumn("_taken", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
+    known = rows.withColumn("_here", F.last(change, ignorenulls=True).over(here)).join(taken, ["source", "_block"])
+    last = F.coalesce("_here", "_taken")
+    return known.select("source", "seq", F.coalesce(last["items"], F.lit(0)).alias("items"), (~F.col("changed") & last.isNotNull()).alias("used_cache"))
 
 
 def _metrics(log: DataFrame, now: float) -> DataFrame:
     """Of rows (source, seq, at, seconds, ok, limited): mean of the last 5, success rate, failures in a row, rate limits and seconds since the last.
 
-    Rows later than `now` do not count yet.
+    Rows later than `now` do not count yet. Sums are made before a source's rows meet; of its last five each task sends
+    five at most.
     """
     log = log.where(F.col("at") <= now)
-    order = Window.partitionBy("source").orderBy(F.desc("seq"))
-    rows = log.withColumn("n", F.row_number().over(order)).withColumn("good_after", F.sum(F.col("ok").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    per = rows.groupBy("source").agg(
-        F.avg(F.when(F.col("n") <= 5, F.col("seconds"))).alias("mean"), F.sum(F.col("ok").cast("int")).alias("good"), F.count("*").alias("tries"),
-        F.sum((F.col("good_after") == 0).cast("int")).alias("failures"), F.sum(F.col("limited").cast("int")).alias("limits"), F.max(F.when(F.col("limited"), F.col("at"))).alias("limited_at"),
+    last = log.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("seq")))).where("n <= 5").groupBy("source").agg(F.avg("seconds").alias("mean"))
+    per = log.groupBy("source").agg(
+        F.sum(F.col("ok").cast("int")).alias("good"), F.count("*").alias("tries"), F.max(F.when(F.col("ok"), F.col("seq"))).alias("good_at"),
+        F.sum(F.col("limited").cast("int")).alias("limits"), F.max(F.when(F.col("limited"), F.col("at"))).alias("limited_at"),
     )
+    failed = log.where(~F.col("ok")).join(per.select("source", "good_at"), "source").where(F.col("good_at").isNull() | (F.col("seq") > F.col("good_at")))
+    per = per.join(last, "source").join(failed.groupBy("source").agg(F.count("*").alias("failures")), "source", "left")
     rate = F.col("good") / F.least("tries", F.lit(10))
-    return per.select("source", "mean", rate.alias("rate"), "failures", "limits", (F.lit(now) - F.col("limited_at")).alias("since"))
+    return per.select("source", "mean", rate.alias("rate"), F.coalesce("failures", F.lit(0)).alias("failures"), "limits", (F.lit(now) - F.col("limited_at")).alias("since"))
 
 
 def delays(log: DataFrame, now: float) -> DataFrame:
