@@ -36,6 +36,8 @@ SAMPLE, CENTRES, LIST, ROUNDS = 16_384, 1024, 512, 12
 TRIALS, RECALL = 128, 0.97
 #: Candidates of a shelf, which one task holds at a time, and queries that it answers at once.
 SHELF, ASKED = 8192, 512
+#: Bytes of the sample's vectors, and of a shelf's: wide vectors are fewer.
+SAMPLE_BYTES, SHELF_BYTES = 64 << 20, 16 << 20
 
 
 @dataclass
@@ -134,18 +136,18 @@ def _exact(classes: DataFrame, trials: list[bytes], k: int, kind: str, index: In
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("trial").orderBy(F.desc("score")))).where(F.col("n") <= k)
 
 
-def fit(classes: DataFrame, count: int, k: int, kind: str, recall: float = RECALL) -> Index:
-    """Centres from a bounded sample of the classes, and the fewest probes with which a sample of queries reaches the recall."""
-    sample = _sampled(classes, SAMPLE)
+def fit(classes: DataFrame, count: int, k: int, kind: str, recall: float = RECALL, width: int = 1) -> Index:
+    """Centres from a bounded sample of the classes, and the fewest probes with which a sample of queries reaches the recall; `width` is the widest vector's bytes."""
+    sample = _sampled(classes, max(64, min(SAMPLE, SAMPLE_BYTES // max(1, width))))
     index = Index({}, {})
     for _, raw in _by_length(sample):
         x = _unit(_vectors(raw, kind))
         index.centres[x.shape[1]] = _means(x, int(max(1, min(CENTRES, len(x), count * len(x) // max(1, len(sample)) // LIST))))
     trials = sample[:: max(1, len(sample) // TRIALS)]
-    width = np.dtype(kind).itemsize
+    size = np.dtype(kind).itemsize
     ranks: dict[int, list[int]] = {}
     for r in _exact(classes, trials, k, kind, index).select("trial", "rank").collect():
-        ranks.setdefault(len(trials[r["trial"]]) // width, []).append(r["rank"])
+        ranks.setdefault(len(trials[r["trial"]]) // size, []).append(r["rank"])
     for n in index.centres:
         found = np.sort(ranks.get(n, [0]))
         index.probes[n] = int(found[min(len(found) - 1, int(np.ceil(recall * len(found))))]) + 1
@@ -166,19 +168,19 @@ def _homes(classes: DataFrame, index: Index, kind: str) -> DataFrame:
     return classes.select("cls", "raw", "ids", "asks").mapInArrow(run, "cls binary, raw binary, ids array<long>, asks boolean, list long")
 
 
-def _shelves(sizes: dict[int, int]) -> dict[int, tuple[int, int]]:
+def _shelves(sizes: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
     """Each list's first shelf and how many shelves its rows are dealt to; small lists share one."""
-    out, shelf, room = {}, 0, SHELF
+    out, shelf, room = {}, 0, most
     for number in sorted(sizes):
         n = sizes[number]
-        if n > SHELF:
-            shelf += room < SHELF
-            times = -(-n // SHELF)
+        if n > most:
+            shelf += room < most
+            times = -(-n // most)
             out[number] = shelf, times
-            shelf, room = shelf + times, SHELF
+            shelf, room = shelf + times, most
             continue
         if n > room:
-            shelf, room = shelf + 1, SHELF
+            shelf, room = shelf + 1, most
         out[number] = shelf, 1
         room -= n
     return out
@@ -385,10 +387,12 @@ def nearest(vectors: DataFrame, query: Column, k: int = NEAREST, recall: float =
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null")
     signed = written(_digests(rows, kind).where("digest is not null").withColumnRenamed("digest", "cls"), "vectors")
     classes = written(_classes(signed, query, k), "classes")
-    index = fit(classes, classes.count(), k, kind, recall)
+    size = classes.agg(F.count("*").alias("n"), F.coalesce(F.max(F.octet_length("raw")), F.lit(1)).alias("width")).first()
+    index = fit(classes, size["n"], k, kind, recall, size["width"])
     homes = written(_homes(classes, index, kind), "homes")
     # One row for each list: at most CENTRES a length of vector.
-    shelves = _shelves({r["list"]: r["count"] for r in homes.groupBy("list").count().collect()})
+    room = max(64, min(SHELF, SHELF_BYTES // size["width"]))
+    shelves = _shelves({r["list"]: r["count"] for r in homes.groupBy("list").count().collect()}, room)
     kept = written(_dealt(homes, shelves), "shelves")
     none = {"lists": F.lit(None).cast("array<long>"), "limit": F.lit(None).cast("double")}
     near = written(_searched(kept.withColumns(none).repartition("shelf").sortWithinPartitions("shelf", "list"), k + 1, kind, True), "near")
