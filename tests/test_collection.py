@@ -168,6 +168,21 @@ def test_topics_nominate_fifteen_words(spark):
     assert got.count() == 15
 
 
+def test_engine_looks_behind_its_answers(spark):
+    rows = [(i, f"l{i}", kind, "zebra model", "an llm", day(d), venue, heat, paper) for i, (kind, d, venue, heat, paper) in enumerate([("paper", 30, "a", 5, "2401.1"), ("repo", 29, "b", 9, "2401.1"), ("news", 2, "c", 7, None)])]
+    e = Engine(spark.createDataFrame(rows, ITEM), "2024-01-31", lexicon=[("zebra", "animal", "zebra")])
+    assert [(r["entity_id"], r["rank"], r["id"]) for r in e.entity_evidence().collect()] == [("zebra", 1, 1), ("zebra", 2, 0)]
+    assert {(r["arxiv_id"], r["type"], r["id"]) for r in e.convergence_evidence().collect()} == {("2401.1", "paper", 0), ("2401.1", "repo", 1)}
+    # Both sources of the paper raise its items' heat in the feed.
+    assert [(r["id"], r["heat"]) for r in e.feed(4).orderBy("id").collect()] == [(0, 65), (1, 69), (2, 7)]
+    last = spark.createDataFrame([("a", datetime.datetime(2024, 1, 30, 12)), ("b", None)], "source string, last_ok timestamp")
+    assert {r["source"]: r["status"] for r in e.health(last, "2024-01-30 13:00:00").collect()} == {"a": "ok", "b": "unknown"}
+    answers = spark.createDataFrame([(0, '{"problem": "p", "novelty": 4}')], "id long, answer string")
+    got = e.structs(spark.createDataFrame([], "id long"), answers).collect()
+    assert [(r["id"], r["problem"], r["novelty"]) for r in got] == [(0, "p", 4)]
+    assert e.to_enhance(2).count() == 2
+
+
 # The keyed table and the cycle
 
 ROW = "link_hash string, n long"

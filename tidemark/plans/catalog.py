@@ -40,13 +40,6 @@ def recent_of(items: DataFrame, days: int = RECENT) -> DataFrame:
     return items.where(F.col("event_date") >= F.date_sub(F.lit(AS_OF).cast("date"), days))
 
 
-def past_of(items: DataFrame, days: int = COMPARE, recent: int = RECENT) -> DataFrame:
-    """Before the recent window; a comparison no longer than it is one day longer."""
-    days = days if days > recent else recent + 1
-    end = F.lit(AS_OF).cast("date")
-    return items.where((F.col("event_date") >= F.date_sub(end, days)) & (F.col("event_date") < F.date_sub(end, recent)))
-
-
 def _days(recent: int = RECENT, compare: int = COMPARE) -> tuple:
     """Conditions for the recent days and for those that they are compared with."""
     end, day = F.lit(AS_OF).cast("date"), F.col("event_date")

@@ -18,7 +18,11 @@ from tidemark.streaming.feed import remove
 
 @dataclass
 class KeyedTable:
-    """`schema` is DDL of the rows and holds `key`; the number of buckets must stay the same for the table's life."""
+    """`schema` is DDL of the rows and holds `key`.
+
+    The number of buckets must stay the same for the table's life: so many that one is cheap to write anew, a few
+    gigabytes, and that batches do not touch all of them.
+    """
 
     spark: SparkSession
     folder: str
@@ -67,7 +71,8 @@ class KeyedTable:
             merged = merge(self._rows({b: before[b] for b in touched if b in before}), batch)
             fields = [f.name for f in self.spark.createDataFrame([], self.schema).schema]
             rows = merged.select(*fields, bucket.alias("bucket"))
-            rows.repartition(min(len(touched), self.buckets), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/data/v{number}")
+            # A bucket is in as few files as its size allows; a large one is split.
+            rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/data/v{number}")
         after = before | {b: number for b in touched}
         self.spark.createDataFrame(list(after.items()), "bucket int, at int").coalesce(1).write.mode("overwrite").json(f"{self.folder}/manifest/v{number}")
         self._clean(number, after, before)
