@@ -177,6 +177,7 @@ def nominations(found: Terms, recent: Column, past: Column, anchors: list[str],
 
     term, key (its tokens), kind (token or phrase), type, strength, and trend, recent and hist where it is on the rise,
     else 1, 0 and 0. `spelled` gives a term's tokens; `pairs` are the sums that phrases come from, if `found` has none.
+    It is worked out at once, as cards read it several times: at most TRENDS + WORDS + PHRASES rows a kind.
     """
     kinds, by = F.col("type").isin(*KINDS), ["type"]
     of = found.where(kinds)
@@ -188,7 +189,8 @@ def nominations(found: Terms, recent: Column, past: Column, anchors: list[str],
     every = rising.unionByName(common, allowMissingColumns=True).unionByName(paired, allowMissingColumns=True)
     every = every.withColumn("tokens", spelled(F.col("term"))).where(high_value(F.col("tokens"), anchors, stems)).withColumn("key", F.concat_ws(" ", "tokens"))
     signal = lambda name, default: F.coalesce(F.max(name), F.lit(default)).alias(name)
-    return every.groupBy("term", "key", "type").agg(F.min("kind").alias("kind"), F.max("strength").alias("strength"), signal("trend", 1.0), signal("recent", 0.0), signal("hist", 0.0))
+    one = every.groupBy("term", "key", "type").agg(F.min("kind").alias("kind"), F.max("strength").alias("strength"), signal("trend", 1.0), signal("recent", 0.0), signal("hist", 0.0))
+    return one.sparkSession.createDataFrame(one.collect(), one.schema)
 
 
 def topic_rank(nominated: DataFrame, top_k: int) -> DataFrame:
