@@ -147,7 +147,7 @@ def test_upsert_in_order(spark):
     assert set(got) == {"a", "b", "c"}
     assert (got["a"]["title"], got["a"]["fetch_count"], got["a"]["is_new"], got["a"]["heat_changed"]) == ("late", 4, False, False)
     assert json.loads(got["a"]["raw_data"]) == {"x": {"y": 1}, "z": 'n"q', "w": [1]}
-    assert (got["b"]["title"], got["b"]["fetch_count"], got["b"]["raw_data"]) == ("kept", 1, None)
+    assert (got["b"]["title"], got["b"]["fetch_count"], got["b"]["raw_data"]) == ("kept", 1, "bad")  # nothing came for it: it stays as it is
     assert (got["c"]["fetch_count"], got["c"]["is_new"]) == (1, True)
 
 
@@ -169,7 +169,7 @@ def test_atom_and_topic_files(spark, tmp_path):
 
 
 def test_engine_bounds(spark):
-    engine = Engine(items(spark, [item(1, day=30), item(2, day=1)]), "2024-01-31")
+    engine = Engine(items(spark, [item(1, day=30), item(2, link="m", day=1)]), "2024-01-31")
     assert engine.recent(5).count() == 1 and engine.recent(30, " ").count() == 2
     assert [x.count() for x in engine.windows(7, 3)] == [1, 0] and [x.count() for x in engine.windows(7, 30)] == [1, 1]
     for wrong in (lambda: engine.recent(366), lambda: engine.word_freq(type="blog"), lambda: engine.word_freq(top_k=201), lambda: engine.windows(91, 100), lambda: engine.entities(category="x"), lambda: engine.trending(top_k=0)):
