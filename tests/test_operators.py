@@ -138,6 +138,13 @@ def test_references_as_the_standard_library_has_them(spark):
     assert one(spark, text.strip_html, "<p>a&nbsp;&#8364;\n b</p>") == "a € b"
 
 
+def test_references_that_were_cut_stay_where_only_closed_ones_count(spark):
+    """A page's title is cut within a reference, as on sf0.1."""
+    stripped = lambda x: one(spark, lambda c: text.strip_html(c, closed=True), x)
+    assert stripped("<p>unds&&&amp</p> &am <b>&lt;&amp;lt;&#39;&#x41;</b>&copy &copy;&bogus;") == "unds&&&amp &am <&lt;'A &copy ©&bogus;"
+    assert one(spark, text.strip_html, "<p>a &amp</p>") == "a &"
+
+
 def test_upsert_in_order(spark):
     schema = "link_hash string, type string, title string, desc string, event_date date, venue string, heat int, tags array<string>, raw_data string"
     row = lambda key, title, heat, raw, *more: (key, "news", title, "", None, "v", heat, ["t"], raw, *more)
