@@ -87,6 +87,15 @@ def test_filter_is_bounded(spark):
     assert len(few) == bloom.ROW_BITS // 8 and rows.where(~bloom.maybe(F.col("link_hash"), few, bloom.ROW_BITS, 1)).count() == 0
 
 
+def test_plans_do_not_hold_the_filter(spark):
+    """With a dozen copies of it in every plan a driver ran out of memory on half a million keys."""
+    stored = spark.range(200_000).select(F.md5(F.col("id").cast("string")).alias("link_hash"))
+    incoming = spark.range(190_000, 210_000).select("id", F.md5(F.col("id").cast("string")).alias("link_hash"))
+    got = bloom.unseen(incoming, stored)
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < bloom.size_of(200_000)[0] // 8
+    assert {r["id"] for r in got.collect()} == set(range(200_000, 210_000))
+
+
 # Answers
 
 
