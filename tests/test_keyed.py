@@ -56,6 +56,31 @@ def test_cache_expires_and_evicts_as_brute_force(spark, tmp_path):
     assert {o for o, _ in want.values()} == {"hit", "miss", "kept", "renewed"}
 
 
+def test_a_cache_with_room_for_all_is_dealt_to_parts(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(r.choice("ab"), f"k{r.randrange(40)}", START + datetime.timedelta(seconds=20 * i), i, r.choice(["put", "get"]), f"v{i}") for i in range(300)]
+    make = lambda s: keyed.cached(s, most=1 << 40, life=600)
+    got = drained(spark, make, str(tmp_path), [rows[:100], rows[100:200], rows[200:]], "cache string, key string, at timestamp, seq long, op string, value string", keyed.Cache.FOUND)
+    assert {x["seq"]: (x["outcome"], x["value"]) for x in got} == plain_cache(rows, 1 << 40, 600) and len(got) == len(rows)
+    plan = make(streams.files_stream(spark, f"{tmp_path}/in"))._jdf.queryExecution().analyzed().toString()
+    assert "xxhash64(key" in plan
+
+
+def test_a_put_does_not_look_at_all_entries():
+    """Forty thousand entries that stay: a put that copies them all takes minutes."""
+    import time
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    cache = keyed.Cache(most=1 << 40, life=10**6)
+    cache.entries, cache.handle = SimpleNamespace(iterator=lambda: [], updateValue=lambda k, v: None, removeKey=lambda k: None), SimpleNamespace(registerTimer=lambda t: None)
+    n = 40_000
+    rows = pd.DataFrame({"key": [f"k{i}" for i in range(n)], "at": pd.to_datetime(range(n), unit="s"), "seq": range(n), "op": "put", "value": "v"})
+    began = time.process_time()
+    assert sum(map(len, cache.handleInputRows(("a",), iter([rows]), None))) == n and time.process_time() - began < 10
+
+
 def test_figures_equal_those_of_the_whole_log_after_every_batch(spark, tmp_path):
     r = random.Random(5)
     log = [(r.choice("abc"), i, 1000 + i, round(r.uniform(0, 12), 3), r.random() < 0.6, r.random() < 0.2) for i in range(150)]

@@ -7,9 +7,11 @@ State is kept by Spark, one small value a key; a row that comes later than the w
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -17,6 +19,8 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 # Entries of a cache, seconds that one lives; requests of a source that are remembered, and of those the ones that its mean and its rate look at.
 MOST_ENTRIES, LIFE = 1000, 1800
 REMEMBERED, MEAN_OF, RATE_OF = 20, 5, 10
+#: From so many entries on a cache has room for all of them; the parts that such a cache is dealt to.
+UNBOUNDED, PARTS = 1 << 40, 64
 
 
 def with_state(spark: SparkSession) -> None:
@@ -52,18 +56,32 @@ class Cache(StatefulProcessor):
         if held:
             self.handle.registerTimer((min(at for _, at in held.values()) + self.life) // 1000 + 1)
 
+    @staticmethod
+    def _drop(held: dict[str, tuple], at: int, key: str) -> bool:
+        """Removes the entry that was put at that time, if it is still there."""
+        there = key in held and held[key][1] == at
+        if there:
+            del held[key]
+        return there
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         every = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable")
         before = {k: tuple(v) for (k,), v in self.entries.iterator()}
         held, out = dict(before), []
+        # Entries by age; those that were renewed or pushed out since are passed over.
+        old = [(t, k) for k, (_, t) in held.items()]
+        heapify(old)
         for name, at, seq, op, value in zip(every["key"], every["at"], every["seq"], every["op"], every["value"], strict=True):
             now = at.value // 1000
             if op == "put":
-                held = {k: v for k, v in held.items() if now <= v[1] + self.life}
+                while old and old[0][0] + self.life < now:
+                    self._drop(held, *heappop(old))
                 outcome = "renewed" if name in held else "kept"
                 if len(held) >= self.most:
-                    del held[min(held, key=lambda k: (held[k][1], k))]
+                    while not self._drop(held, *heappop(old)):
+                        pass
                 held[name] = value, now
+                heappush(old, (now, name))
             elif name in held and now <= held[name][1] + self.life:
                 outcome, value = "hit", held[name][0]
             else:
@@ -85,9 +103,14 @@ class Cache(StatefulProcessor):
 def cached(rows: DataFrame, late: str = "1 hour", most: int = MOST_ENTRIES, life: int = LIFE) -> DataFrame:
     """A stream of rows (cache, key, at, seq, op, value; op is put or get) with the outcome of each: Cache.FOUND.
 
-    Rows of one micro-batch are taken in order of at and seq; those of later batches come after them.
+    Rows of one micro-batch are taken in order of at and seq; those of later batches come after them. The entries of a
+    cache compete for its room, so it is one group; where there is room for all (`most` is UNBOUNDED), no entry depends
+    on another, and a cache is dealt to PARTS groups by its keys.
     """
-    return rows.withWatermark("at", late).groupBy("cache").transformWithStateInPandas(Cache(most, life), outputStructType=Cache.FOUND, outputMode="append", timeMode="EventTime")
+    timed, by = rows.withWatermark("at", late), ["cache"]
+    if most >= UNBOUNDED:
+        timed, by = timed.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS))), ["cache", "part"]
+    return timed.groupBy(*by).transformWithStateInPandas(Cache(most, life), outputStructType=Cache.FOUND, outputMode="append", timeMode="EventTime")
 
 
 class Requests(StatefulProcessor):
