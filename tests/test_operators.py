@@ -226,3 +226,38 @@ def test_kept_validators(spark, tmp_path):
     assert {r["url"] for r in kept.collect()} == {"a", "c"}
     seen = spark.createDataFrame([("a", "1", None), ("b", "2", None), ("c", None, "m"), ("d", None, None)], "url string, etag string, last_modified string")
     assert {r["url"] for r in src.changed(seen, kept).collect()} == {"b", "d"}
+
+
+def test_tokens_and_tags_are_worked_out_once(spark):
+    """No filter that the optimiser puts before an explode makes the tokens, the tags or the places of forms once more."""
+    from tidemark.operators import entities, terms
+
+    rows = spark.createDataFrame([(i, "a b c. " * i, "b c d " * i, "paper", "2024-01-30", 5) for i in range(1, 6)], "id long, title string, desc string, type string, day string, heat int")
+    rows = rows.withColumn("event_date", F.col("day").cast("date"))
+    found = terms.tokenized(rows, "2024-01-31")
+    ranked = spark.createDataFrame([("aa",)], "key string")
+    for frame in (terms.tfidf(found, 5), terms.npmi(found, 5), terms.keyword_counts(found, 5), terms.topic_evidence(ranked, found, 2), terms.tag_degree(rows), entities.extracted(rows, [("x", "y", "bb")])):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.split("\n") if "Filter" in x and ("regexp_extract_all" in x or "Contains" in x)]
+
+
+def test_phrases_take_their_totals_from_their_counts(spark):
+    from tidemark.operators import terms
+
+    rows = spark.createDataFrame([("paper", "ab cd", "ab cd ef ab cd"), ("news", "", "xx yy xx yy xx yy zz"), ("news", "", "")], "type string, title string, desc string").selectExpr("type", "title", "desc", "1L as id", "5 as heat", "date'2024-01-30' as event_date")
+    found = terms.Terms.of(terms.tokenized(rows, "2024-01-31"), phrases=True)
+    words = {k: sum(r[c] for r in found.totals.collect() if k in ("", r["type"])) for k in ("", "paper", "news") for c in ("tokens",)}
+    assert words == {"": 18, "paper": 11, "news": 7}
+    whole, split = {(r["a"], r["b"]): r for r in found.phrases(9).collect()}, {(r["type"], r["a"], r["b"]): r for r in found.phrases(9, ["type"]).collect()}
+    p = 5 / 16  # of sixteen neighbours five are these
+    import math
+
+    assert whole["ab", "cd"]["n"] == 5 and whole["ab", "cd"]["score"] == pytest.approx(100 * math.log(p / (5 / 18) ** 2) / -math.log(p), abs=0.051)
+    assert set(split) >= {("news", "xx", "yy")} and set(whole) >= {("xx", "yy")}
+
+
+def test_fixed_parts_of_patterns_change_no_result(spark):
+    words = ["an llm.", "ällm", "llms", "flash attn", "flashattn", "flash--attn", "multi\nagent", "multiagent", "inference", "ainference", "moe x", "12 3456", "", "quelque que"]
+    for pattern in [p for _, ps in text.TAG_RULES for p in ps] + [r"\bque\b", r"\d{4}"]:
+        got = spark.createDataFrame([(w,) for w in words], "x string").select(text.matches(F.col("x"), pattern), F.col("x").rlike(f"(?U){pattern}")).collect()
+        assert all(a == b for a, b in got), pattern

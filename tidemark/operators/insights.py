@@ -53,7 +53,7 @@ def insights(items: DataFrame, tokened: DataFrame, tags: Column, keywords: int =
     `tags` is each item's list of tags; ties go by name. Without items there are no rows.
     """
     venues = items.where(F.length("venue") > 0).groupBy("venue").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "venue").limit(VENUES)
-    counted = items.select(F.explode(tags).alias("tag")).where(F.length("tag") > 0).groupBy(F.lower("tag").alias("tag")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(TAGS)
+    counted = items.select(F.explode_outer(tags).alias("tag")).where(F.length("tag") > 0).groupBy(F.lower("tag").alias("tag")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(TAGS)
     parts = [
         _words(tokened, keywords, "keyword", True),
         _phrases(tokened, phrases, "phrase", True),

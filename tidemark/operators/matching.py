@@ -40,9 +40,10 @@ def matched(rows: DataFrame, text: Column, forms: Sequence[tuple[int, str]], edg
     word = lambda c: c.rlike(f"^{W}$")
     table = table.select("number", "_form", F.regexp_extract("_form", _FIRST, 0).alias("_key"), F.length("_form").alias("_size"), word(F.substring("_form", 1, 1)).alias("_opens"), word(F.substring("_form", -1, 1)).alias("_closes"))
     held = rows.withColumn("_low", F.lower(text))
-    found = held.withColumns({"_at": F.explode(_starts(F.col("_low"), most)), "_inside": F.lit(False)})
+    # Outer, as else the optimiser looks for the places once more to tell texts without any.
+    found = held.withColumns({"_at": F.explode_outer(_starts(F.col("_low"), most)), "_inside": F.lit(False)})
     if edges and any(not (f[0].isalnum() or f[0] == "_") for _, f in kept):
-        found = found.unionByName(held.withColumns({"_at": F.explode(_starts(F.col("_low"), most, True)), "_inside": F.lit(True)}))
+        found = found.unionByName(held.withColumns({"_at": F.explode_outer(_starts(F.col("_low"), most, True)), "_inside": F.lit(True)}))
     found = found.drop("_low").withColumn("_first", F.regexp_extract("_at", _FIRST, 0))
     if sum(len(f) + 64 for _, f in kept) <= most_bytes:
         table = F.broadcast(table)
