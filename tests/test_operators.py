@@ -261,3 +261,16 @@ def test_fixed_parts_of_patterns_change_no_result(spark):
     for pattern in [p for _, ps in text.TAG_RULES for p in ps] + [r"\bque\b", r"\d{4}"]:
         got = spark.createDataFrame([(w,) for w in words], "x string").select(text.matches(F.col("x"), pattern), F.col("x").rlike(f"(?U){pattern}")).collect()
         assert all(a == b for a, b in got), pattern
+
+
+def test_texts_without_references_stay_in_the_engine(spark):
+    """Python is sent null for them: whole texts in batches of ten thousand rows took its memory."""
+    rows = spark.createDataFrame([("a<b>c &lt; d",), ("none",), ("",), (None,)], "x string").select(text.strip_html(F.col("x")).alias("y"))
+    assert [r["y"] for r in rows.collect()] == ["a c < d", "none", "", ""]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "unescaped(CASE WHEN Contains(" in plan
+
+
+def test_a_text_is_lower_cased_once_for_all_tags(spark):
+    frame = spark.createDataFrame([("Some LLM and RAG",)], "x string").select(text.infer_tags(F.col("x")).alias("t"))
+    assert frame._jdf.queryExecution().analyzed().toString().count("lower(") == 1 and frame.first()["t"] == ["llm", "rag"]
