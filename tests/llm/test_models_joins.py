@@ -442,6 +442,28 @@ def test_search(spark, block):
     assert search.search(table, table.limit(0)).count() == 0 and search.search(table.limit(0), table.where("doc_id = 0")).count() == 0
 
 
+def test_search_reads_postings_of_rare_terms_alone(monkeypatch):
+    """Frequent terms' postings are added up by the table for all queries at once: few are read one by one, and results are exact."""
+    r, n, many = np.random.default_rng(4), 700, 3000
+    on = r.random((n, many)) < np.where(np.arange(many) < 60, 0.5, 0.004)
+    on[600:] = on[0]
+    sizes, terms = on.sum(1), np.nonzero(on)[1]
+    idf = np.log1p((n - on.sum(0) + 0.5) / (on.sum(0) + 0.5))
+    shard = search.Shard(np.arange(n) * 2, sizes, terms, r.integers(1, 4, len(terms)), sizes, idf, float(sizes.mean()))
+    full = np.zeros((n, many))
+    full[np.repeat(np.arange(n), np.diff(shard.stop)), shard.held] = shard.given
+    read, ranges = [], search.Shard._ranges
+    monkeypatch.setattr(search.Shard, "_ranges", staticmethod(lambda *x: read.append(len(y := ranges(*x))) or y))
+    queries = [np.flatnonzero(x) for x in on[:300]]
+    every = full @ on[:300].T
+    for least in (False, True):
+        ends = [float(np.sort(x)[-10]) if least else 0.0 for x in every.T]
+        for q, (ids, scores) in enumerate(shard.search(queries, ends, 10)):
+            best = sorted(zip((-every[:, q]).round(9).tolist(), shard.ids.tolist(), strict=True))[:10]
+            assert sorted(zip((-scores).round(9).tolist(), ids.tolist(), strict=True)) == best
+    assert sum(read) < 0.15 * 2 * sum(on.sum(0)[x].sum() for x in queries)
+
+
 @needs_data
 def test_search_query_equals_brute_force(spark):
     rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())

@@ -2,11 +2,12 @@
 
 Every document's terms are written once as a table; global statistics (documents, mean length, document frequencies)
 come from it, and each query carries those of its terms. Queries go in blocks of bounded size. For a block each task
-turns its documents into shards of an inverted index over blocks of neighbouring documents. Frequent terms whose
-maxima together lie below a query's threshold are set aside: what it seeks holds one of the others. A document's bound
-is what it gets from those and its block's maxima of the terms set aside; a block's is its best document's. The cursor moves over the blocks by falling bound; the next pivots are scored in full, which raises the
-threshold, and once a pivot's bound lies below it nothing behind can enter. The threshold carries over from shard to
-shard. Shards' best are merged exactly.
+turns its documents into shards of an inverted index over blocks of neighbouring documents, and takes a group of
+queries at a time. Postings of a query's rarer terms are added up; its frequent ones stand in a table, and bound a
+document by what it gets from the rarer ones and its block's maxima of the others. Blocks whose best bound lies below
+the query's threshold are passed over; in the others the table's rows are added up for all queries of the group that
+are left there, as a product of matrices in single precision. Its error is bounded, and what can be among the best is
+scored anew in full. The threshold rises, and carries over from shard to shard. Shards' best are merged exactly.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ from tidemark.llm.jaccard import word_hashes
 from tidemark.llm.units import pieces_of, small_batches, texts
 
 K, K1, B = 10, 1.2, 0.75
-#: Blocks of documents that a query looks at first; then eight times as many, and so on.
-FIRST_PIVOTS = 4
-#: Bytes of a shard's table of frequent terms; what sums in another order may differ by.
-DENSE_BYTES, SLACK = 32 << 20, 1e-7
+#: Queries that are looked for at a time.
+GROUP = 128
+#: A shard's frequent terms stand in one in so many documents; most of them, and bytes of their table.
+FREQUENT, MOST_FREQUENT, DENSE_BYTES = 16, 1024, 32 << 20
+#: What sums in another order, and sums of MOST_FREQUENT values in single precision, may differ by: in all, and by share.
+SLACK, SHARE = 1e-7, 1e-4
 #: Queries of a block, and their terms; documents of a shard, and their terms; documents of a block of postings.
-QUERIES, QUERY_TERMS, SHARD, SHARD_TERMS, BLOCK = 4096, 2_000_000, 8192, 2_500_000, 32
+QUERIES, QUERY_TERMS, SHARD, SHARD_TERMS, BLOCK = 4096, 2_000_000, 8192, 2_500_000, 128
 
 
 def _postings(docs: DataFrame) -> DataFrame:
@@ -55,7 +58,7 @@ def _postings(docs: DataFrame) -> DataFrame:
 class Shard:
     """An inverted index of some documents: postings by term, then document, with block maxima.
 
-    Postings of frequent terms also stand as rows of a table over all documents, within DENSE_BYTES.
+    Postings of frequent terms stand as rows of a table over all documents, within DENSE_BYTES.
     """
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, sizes: np.ndarray, idf: np.ndarray, mean: float):
@@ -75,16 +78,12 @@ class Shard:
         term, self.doc, self.impact = self.held[by], doc[by], self.given[by]
         self.first = np.searchsorted(term, np.arange(len(idf) + 1))
         frequency = np.diff(self.first)
-        self.top = np.zeros(len(idf))
-        some = np.flatnonzero(frequency)
-        if len(some):
-            self.top[some] = np.maximum.reduceat(self.impact, self.first[some])
         self.blocks = -(-n // BLOCK)
-        frequent = np.flatnonzero(frequency >= max(1, n // 8))
-        frequent = frequent[np.argsort(-frequency[frequent], kind="stable")][: max(1, DENSE_BYTES // (8 * max(1, n)))]
+        frequent = np.flatnonzero(frequency >= max(1, n // FREQUENT))
+        frequent = frequent[np.argsort(-frequency[frequent], kind="stable")][: max(1, min(MOST_FREQUENT, DENSE_BYTES // (4 * max(1, self.blocks * BLOCK))))]
         self.row = np.full(len(idf), -1, np.int32)
         self.row[frequent] = np.arange(len(frequent))
-        self.dense = np.zeros((len(frequent), self.blocks * BLOCK))
+        self.dense = np.zeros((len(frequent), self.blocks * BLOCK), np.float32)
         for i, t in enumerate(frequent.tolist()):
             part = slice(self.first[t], self.first[t + 1])
             self.dense[i, self.doc[part]] = self.impact[part]
@@ -103,39 +102,39 @@ class Shard:
         n = end - start
         return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
-    def search(self, query: np.ndarray, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of all documents that can be among the best k, given that k others score `threshold` or more."""
-        if not len(self.ids):
-            return self.ids[:0], np.zeros(0)
-        # Frequent terms whose maxima together stay below the threshold cannot bring a document in: it holds one of the others.
-        rising = query[np.argsort(self.top[query], kind="stable")]
-        weak = (np.cumsum(self.top[rising]) < threshold - SLACK) & (self.row[rising] >= 0)
-        strong, rows = rising[~weak], self.row[rising[weak]]
-        cuts = list(zip(self.first[strong].tolist(), self.first[strong + 1].tolist(), strict=True))
-        if not cuts:
-            return self.ids[:0], np.zeros(0)
-        part = np.bincount(np.concatenate([self.doc[i:j] for i, j in cuts]), np.concatenate([self.impact[i:j] for i, j in cuts]), self.blocks * BLOCK)
-        # The most that a document of each block can score, and the blocks that this leaves, best first.
-        bound = np.where(part > 0, part, -np.inf).reshape(self.blocks, BLOCK) + self.most[rows].sum(0)[:, None]
-        best = bound.max(1)
-        pivots = np.flatnonzero(best >= max(threshold - SLACK, 0.0))
-        pivots = pivots[np.argsort(-best[pivots], kind="stable")]
-        wanted = np.zeros(len(self.top), bool)
-        wanted[query] = True
-        ids, scores, cursor, step = self.ids[:0], np.zeros(0), 0, FIRST_PIVOTS
-        while cursor < len(pivots) and best[pivots[cursor]] >= threshold - SLACK:
-            live = pivots[cursor : cursor + step]
-            i, j = np.nonzero(bound[live] >= max(threshold - SLACK, 0.0))
-            docs = live[i] * BLOCK + j
-            near = part[docs] + self.dense[rows[:, None], docs].sum(0)
-            if len(near) > k:
-                threshold = max(threshold, float(np.partition(near, -k)[-k]) - SLACK)
-            docs = docs[near >= threshold - SLACK]
-            ids, scores = self._kept(np.concatenate([ids, self.ids[docs]]), np.concatenate([scores, self._scores(docs, wanted)]), k)
-            if len(ids) == k:
-                threshold = max(threshold, float(scores.min()))
-            cursor, step = cursor + step, 8 * step
-        return ids, scores
+    def search(self, queries: list[np.ndarray], thresholds: list[float], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For every query ids and scores of all documents that can be among the best k, given that k others score its threshold or more."""
+        for at in range(0, len(queries), GROUP):
+            yield from self._group(queries[at : at + GROUP], np.array(thresholds[at : at + GROUP], float), k)
+
+    def _group(self, queries: list[np.ndarray], thresholds: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n = self.blocks * BLOCK
+        least = lambda threshold: threshold * (1 - SHARE) - SLACK
+        near, asked = np.zeros((len(queries), n)), np.zeros((len(queries), len(self.dense)), np.float32)
+        for q, query in enumerate(queries):
+            row = self.row[query]
+            asked[q, row[row >= 0]] = 1
+            rare = query[row < 0]
+            at = self._ranges(self.first[rare], self.first[rare + 1])
+            near[q] = np.bincount(self.doc[at], self.impact[at], n)
+        # The most that a document of each block can score: blocks below the threshold are passed over.
+        live = near.reshape(len(queries), self.blocks, BLOCK).max(2, initial=0.0) + asked @ self.most >= least(thresholds)[:, None]
+        for b in range(self.blocks):
+            on, part = np.flatnonzero(live[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+            if len(on):
+                near[on, part] += asked[on] @ self.dense[:, part]
+        wanted = np.zeros(len(self.row), bool)
+        for q, query in enumerate(queries):
+            blocks = np.flatnonzero(live[q])
+            score = near[q].reshape(self.blocks, BLOCK)[blocks].ravel()
+            threshold = thresholds[q]
+            if len(score) > k:
+                threshold = max(threshold, least(float(np.partition(score, -k)[-k])))
+            found = np.flatnonzero((score >= least(threshold)) & (score > 0))
+            docs = blocks[found // BLOCK] * BLOCK + found % BLOCK
+            wanted[query] = True
+            yield self._kept(self.ids[docs], self._scores(docs, wanted), k)
+            wanted[query] = False
 
     def _scores(self, docs: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """Scores in full, added up in order of term: equal documents have equal scores."""
@@ -160,21 +159,22 @@ def _best(postings: DataFrame, block, mean: float, k: int) -> DataFrame:
         kept = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
         waiting: list[pa.RecordBatch] = []
 
-        def flush() -> None:
-            t = pa.Table.from_batches(waiting).combine_chunks()
-            waiting.clear()
+        def built(t: pa.Table) -> Shard:
             held, counts = t["terms"].combine_chunks(), t["counts"].combine_chunks()
             sizes = np.diff(held.offsets.to_numpy())
             words = held.flatten().to_numpy()
             terms = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
             on = vocabulary[terms] == words
             doc = np.repeat(np.arange(len(sizes)), sizes)[on]
-            shard = Shard(t["id"].to_numpy(), t["length"].to_numpy(), terms[on], counts.flatten().to_numpy()[on], np.bincount(doc, minlength=len(sizes)), idf, mean)
-            for q, (_, asked) in enumerate(queries):
-                ids, scores = kept[q]
-                new = shard.search(asked, float(scores[-1]) if len(ids) >= k else 0.0, k)
+            return Shard(t["id"].to_numpy(), t["length"].to_numpy(), terms[on], counts.flatten().to_numpy()[on], np.bincount(doc, minlength=len(sizes)), idf, mean)
+
+        def flush() -> None:
+            shard = built(pa.Table.from_batches(waiting).combine_chunks())
+            waiting.clear()
+            least = [float(scores[-1]) if len(ids) >= k else 0.0 for ids, scores in kept]
+            for q, new in enumerate(shard.search([asked for _, asked in queries], least, k)):
                 if len(new[0]):
-                    ids, scores = np.concatenate([ids, new[0]]), np.concatenate([scores, new[1]])
+                    ids, scores = (np.concatenate(x) for x in zip(kept[q], new, strict=True))
                     order = np.lexsort((ids, -scores))[:k]
                     kept[q] = ids[order], scores[order]
 
