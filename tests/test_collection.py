@@ -130,6 +130,25 @@ def test_rolled_up_days_equal_the_items(spark, tmp_path):
     assert {r["term"] for r in b.topics().collect()} >= {"llm"} and "kv-cache" in {r["term"] for r in b.word_freq().withColumnRenamed("label", "term").collect()}
 
 
+def test_topics_take_tokens_apart_once(spark):
+    """What cards are made of is summed by type and window in one pass; evidence makes a row of a key's words alone."""
+    items = feed_items(spark, [0, 3, 10, 20, 24, 25, 30])
+    recent, past = F.col("event_date") >= F.lit("2024-01-24").cast("date"), F.col("event_date") < F.lit("2024-01-24").cast("date")
+    kept = Stored.scratch(spark, items, ["the"])
+    sums = kept.by_window("2024-01-31", recent, past)
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan(sums.rows) + plan(sums.totals)
+    assert sums.rows.where("b is not null").agg(F.min("n")).first()[0] >= terms.LEAST_COUNT and not sums.rows.where(F.col("b").isNotNull() & past).count()
+    direct = terms.Terms.of(terms.tokenized(items, "2024-01-31", ["the"]), phrases=True)
+    found, want = (rows_of(terms.nominations(x, recent, past, ["llm", "agent", "rag"], "$^")) for x in (sums, direct))
+    assert found == want and found
+    ranked = spark.createDataFrame([("llm",), ("kv_cache model",), ("none such",)], "key string")
+    evidence = terms.topic_evidence(ranked, kept.tokens().where(recent), 2)
+    assert {r["key"] for r in evidence.collect()} == {"llm", "kv_cache model"}
+    assert "Join" not in plan(evidence) and terms.topic_evidence(ranked.limit(0), kept.tokens(), 2).count() == 0
+    kept.discard()
+
+
 def test_a_day_that_is_put_again_changes_its_partitions_alone(spark, tmp_path):
     kept = Stored(spark, str(tmp_path), ["the"])
     kept.put(feed_items(spark, [3, 10, 20]))

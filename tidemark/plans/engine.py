@@ -116,14 +116,11 @@ class Engine:
     def topics(self, recent_days: int = RECENT_DAYS, compare_days: int = COMPARED_DAYS, top_k: int = 12, each: int = 3) -> DataFrame:
         """Topic cards; where no sums are kept by day, the items of both windows are tokenised once into a scratch table."""
         now, past = self._days(recent_days, compare_days)
-        kept, pairs = self.stored, None
+        kept = self.stored
         if kept is None:
-            kept = Stored.scratch(self.items.sparkSession, self.items.where(now | past), self.stop, self.concepts, self.compounds, sums=False)
-            found = terms.Terms.of(kept.weighed(self.as_of))
-            pairs = terms.Terms.of(kept.weighed(self.as_of).where(now), phrases=True)
-        else:
-            found = kept.terms(self.as_of)
-        nominated = terms.nominations(found, now, past, list(self.anchors), self.stems, kept.spelled, pairs)
+            kept = Stored.scratch(self.items.sparkSession, self.items.where(now | past), self.stop, self.concepts, self.compounds)
+        found = kept.terms(self.as_of) if self.stored else kept.by_window(self.as_of, now, past)
+        nominated = terms.nominations(found, now, past, list(self.anchors), self.stems, kept.spelled)
         return terms.topic_cards(nominated, kept.tokens().where(now), _within("top_k", top_k, MOST_RESULTS), each)
 
     def industry(self, days: int = WORD_DAYS, least: float = 3.0, type: str | None = None) -> DataFrame:

@@ -33,15 +33,28 @@ class Stored:
     compounds: Sequence[tuple[str, str]] = ()
 
     @staticmethod
-    def scratch(spark: SparkSession, items: DataFrame, stop=(), concepts=None, compounds=(), sums: bool = True) -> Stored:
-        """Tokens of these items, and with `sums` those of their words by day, in a new folder of the shared ones; the items are read once."""
+    def scratch(spark: SparkSession, items: DataFrame, stop=(), concepts=None, compounds=()) -> Stored:
+        """Tokens of these items in a new folder of the shared ones; the items are read once, and their days are not dealt to partitions."""
         made = Stored(spark, _folder(spark, "terms"), stop, concepts or {}, compounds)
-        if sums:
-            made.put(items, whole=False, phrases=False)
-        else:
-            made._tokenized(items).write.parquet(f"{made.folder}/tokens")
+        made._tokenized(items).write.parquet(f"{made.folder}/tokens")
         return made
 
+    def by_day(self) -> Stored:
+        """With sums of every day's words, as `put` keeps them, of all tokens that are there; `terms` reads them."""
+        rows, totals = self._sums(self.tokens(), False)
+        rows.write.parquet(f"{self.folder}/terms")
+        totals.write.parquet(f"{self.folder}/totals")
+        return self
+
+    def by_window(self, as_of: str, recent: Column, past: Column) -> terms.Terms:
+        """Sums of both windows' words and of the recent one's phrases at the weights of a day, written down: the tokens are taken apart once."""
+        found = terms.Terms.of(self.weighed(as_of).where(recent | past), phrases=recent).summed(recent, past, phrases=recent)
+        kept = []
+        for name, rows in (("rows", found.rows), ("totals", found.totals)):
+            rows.write.parquet(f"{self.folder}/windows/{name}")
+            kept.append(self.spark.read.schema(rows.schema).parquet(f"{self.folder}/windows/{name}"))
+        return terms.Terms(*kept)
+
     def _tokenized(self, items: DataFrame) -> DataFrame:
         found = terms.tokenized(items, "2000-01-01", self.stop, self.concepts, self.compounds)
         return found.select("id", "type", "heat", "title_tokens", "desc_tokens", "event_date")
@@ -60,17 +73,22 @@ class Stored:
         """
         if whole:
             self._write(items, "items", "type")
-        day = "2000-01-01"
-        fresh = item_weight(F.col("heat"), F.lit(day).cast("date"), F.col("type"), day)
         self._write(self._tokenized(items), "tokens", "type")
         # One row for each day that was put.
         days = [r[0] for r in items.select("event_date").distinct().collect()] if whole else None
-        kept = self.tokens() if days is None else self.tokens().where(_among(days))
+        rows, totals = self._sums(self.tokens() if days is None else self.tokens().where(_among(days)), phrases)
+        self._write(rows, "terms", "type", "a")
+        self._write(totals, "totals")
+
+    @staticmethod
+    def _sums(kept: DataFrame, phrases: bool) -> tuple[DataFrame, DataFrame]:
+        """Of every day and type, at the weights of the day itself."""
+        day = "2000-01-01"
+        fresh = item_weight(F.col("heat"), F.lit(day).cast("date"), F.col("type"), day)
         found = terms.Terms.of(kept.withColumn("weight", fresh), phrases)
         sums = found.rows.groupBy("event_date", "type", "a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "items", "mass", "heavy")))
-        self._write(sums.select("type", "a", "b", "n", "items", "mass", "heavy", "event_date"), "terms", "type", "a")
         totals = found.totals.groupBy("event_date", "type").agg(*(F.sum(c).alias(c) for c in ("items", "weight", "tokens", "pairs")))
-        self._write(totals.select("type", "items", "weight", "tokens", "pairs", "event_date"), "totals")
+        return sums.select("type", "a", "b", "n", "items", "mass", "heavy", "event_date"), totals.select("type", "items", "weight", "tokens", "pairs", "event_date")
 
     def items(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/items")
