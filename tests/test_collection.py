@@ -130,6 +130,16 @@ def test_rolled_up_days_equal_the_items(spark, tmp_path):
     assert {r["term"] for r in b.topics().collect()} >= {"llm"} and "kv-cache" in {r["term"] for r in b.word_freq().withColumnRenamed("label", "term").collect()}
 
 
+def test_upsert_sends_no_table_through_the_driver(spark):
+    """Stored and incoming rows of a few megabytes would be broadcast, batch for batch, by way of the driver."""
+    schema = "link_hash string, type string, title string, desc string, event_date date, venue string, heat int, tags array<string>, raw_data string"
+    rows = spark.createDataFrame([("a", "news", "t", "d", None, "v", 1, ["x"], '{"k": 1}')], schema)
+    out = feed.upsert(rows.withColumn("fetch_count", F.lit(1)), rows.withColumn("arrival", F.lit(1)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 3
+    assert [(r["fetch_count"], r["is_new"]) for r in out.collect()] == [(2, False)]
+
+
 def test_topics_take_tokens_apart_once(spark):
     """What cards are made of is summed by type and window in one pass; evidence makes a row of a key's words alone."""
     items = feed_items(spark, [0, 3, 10, 20, 24, 25, 30])

@@ -82,10 +82,10 @@ def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     incoming = incoming.where(F.col("link_hash").isNotNull())
     latest = incoming.groupBy("link_hash").agg(F.max_by(F.struct(*REPLACED), F.struct(F.col("arrival").isNotNull().alias("has"), "arrival", "heat", "title")).alias("new"), F.count("*").cast("int").alias("times"))
     # Side-cars of links that come again are taken apart, all others copied. They meet the narrower side first, by the
-    # key that both are dealt by, so that no row is sent a second time.
-    touched = merged_sidecars(stored.join(incoming.select("link_hash"), "link_hash", "left_semi"), incoming)
-    s, i = stored.alias("s"), latest.join(touched, "link_hash", "left").alias("i")
-    joined = s.join(i, F.col("s.link_hash") == F.col("i.link_hash"), "full_outer")
+    # key that both are dealt by, so that no row is sent a second time; merged, as broadcasts would pass through the driver.
+    touched = merged_sidecars(stored.join(incoming.select("link_hash").hint("merge"), "link_hash", "left_semi"), incoming)
+    s, i = stored.alias("s"), latest.join(touched.hint("merge"), "link_hash", "left").alias("i")
+    joined = s.join(i.hint("merge"), F.col("s.link_hash") == F.col("i.link_hash"), "full_outer")
     new, old = F.col("i.times").isNotNull(), F.col("s.link_hash").isNotNull()
     pick = lambda name: F.when(new, F.col(f"i.new.{name}")).otherwise(F.col(f"s.{name}")).alias(name)
     count = F.coalesce("s.fetch_count", F.lit(0)) + F.coalesce("i.times", F.lit(0))
