@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import lexicons
 from tidemark.operators import feed, matching, taxonomy, terms
+from tidemark.plans import reports
 from tidemark.plans.engine import Engine
 from tidemark.sources import articles as src
 from tidemark.sources.stored import Stored
+from tidemark.streaming import feed as streams
 from tidemark.streaming.cycle import Cycle
 from tidemark.streaming.table import KeyedTable
 
@@ -300,5 +302,23 @@ def test_cycle_runs_a_failed_batch_again(spark, tmp_path, monkeypatch):
     assert b.table.versions() == [0, 1]
 
 
+def test_a_go_is_one_batch_whatever_its_files(spark, tmp_path, monkeypatch):
+    """SQL ranks a go as a whole: split at so many files a batch, items of one go would not meet."""
+    odd = "a\tb  c\u00a0d\u2003e,f.g \U0001f600 h\n\n<i>&amp; É_x "
+    rows = [(25 * i, f"{odd * 3}{i}", "en", "s", 9) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    made = {r["doc_id"]: r["body"] for r in reports._docs(spark, str(tmp_path)).collect()}
+    assert made == {i: re.sub(r"\s+", " ", re.sub("[^A-Za-z0-9 .,]", " ", text)).strip(" ") for i, text, *_ in rows}
+    assert "GreaterThanOrEqual(doc_id,1488)" in streams.ranges(reports._docs(spark, str(tmp_path)), "doc_id", 2)[1]._jdf.queryExecution().executedPlan().toString()
+    default = Cycle.__init__.__defaults__
+    monkeypatch.setattr(Cycle.__init__, "__defaults__", default[:-2] + (1,) + default[-1:])
+    cycle = reports._cycled(spark, str(tmp_path))
+    assert cycle.table.versions() == [0, 1]
+    # Files lie in one folder for each source and go, which is listed at once.
+    files = glob.glob(f"{cycle.landed.removeprefix('file:')}/**/part-*", recursive=True)
+    assert len(files) == 4 * 3 + 3 * 3 and len({os.path.dirname(f) for f in files}) == 7
+    assert sum(r["items"] for r in cycle.runs().where("run = 0").collect()) > 20
+
+
 def test_shipped_anchors_are_one_token_each(spark):
     assert all(re.fullmatch(terms.STEMS, x) or "_" in x or x.isalpha() for x in lexicons.ANCHORS)

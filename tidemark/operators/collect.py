@@ -30,7 +30,8 @@ def prepared(items: DataFrame, as_of: str, lexicon: Sequence[tuple[str, str, str
     rows = items.withColumn("link", F.explode(F.array(link))).where(F.length("link") > 0).withColumn("arxiv_id", arxiv_id(F.col("link"), words))
     rows = rows.withColumn("gh_full_name", F.when(F.col("venue") == "GitHub", F.col("title"))).withColumn("heat", heat(as_of, topics))
     rows = rows.withColumn("id", F.xxhash64("link", "venue", "title", "desc", "event_date", *ENGAGEMENT)).drop("gh_full_name").dropDuplicates(["id"])
-    found = entities.extracted(rows, list(lexicon)).groupBy("id").agg(F.array_sort(F.collect_set("entity_id")).alias("entities"))
+    # Heat is not worked out a second time for this branch, which has no use for it.
+    found = entities.extracted(rows.withColumn("heat", F.lit(None).cast("int")), list(lexicon)).groupBy("id").agg(F.array_sort(F.collect_set("entity_id")).alias("entities"))
     return rows.join(found, "id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
 
 
