@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,50 @@ def test_figures_equal_those_of_the_whole_log_after_every_batch(spark, tmp_path)
             assert (None if x["limited_at"] is None else 10_000 - x["limited_at"]) == w["since"]
 
 
+def test_a_group_of_figures_holds_many_sources():
+    """One call for a share of the sources, and one value of state read and written for each source of the batch."""
+    calls, state = [], {}
+
+    class Held:
+        def getMapState(self, *_):
+            return self
+
+        def getValue(self, key):
+            calls.append("get")
+            return state.get(key)
+
+        def updateValue(self, key, value):
+            calls.append("put")
+            state[key] = value
+
+    requests, r, log, got = keyed.Requests(), random.Random(8), [], {}
+    requests.init(Held())
+    for batch in range(3):
+        rows = [(r.choice([None, *(f"s{i}" for i in range(40))]), 1000 * batch + i, r.randint(0, 99), round(r.uniform(0, 9), 3), r.random() < 0.5, r.random() < 0.1) for i in range(600)]
+        log += rows
+        r.shuffle(rows)
+        frame = pd.DataFrame(rows, columns=["source", "seq", "at", "seconds", "ok", "limited"])
+        calls.clear()
+        out = pd.concat(requests.handleInputRows((7,), iter([frame[:250], frame[250:]]), None))
+        assert len(calls) == 2 * len(out) == 2 * len({x[0] for x in rows})
+        got |= {x[0]: x[1:] for x in out.astype(object).where(out.notna(), None).itertuples(index=False, name=None)}
+    for source in {x[0] for x in log}:
+        mine = sorted(x[1:] for x in log if x[0] == source)
+        failures = next((i for i, x in enumerate(reversed(mine)) if x[3]), len(mine))
+        some, hits = [x[2] for x in mine[-5:]], [x[1] for x in mine if x[4]]
+        assert got[source] == (mine[-1][0], sum(some) / len(some), sum(x[3] for x in mine) / min(len(mine), 10), failures, len(hits), max(hits, default=None), len(mine))
+        assert state[(source,)][0] == [x[0] for x in mine[-20:]]
+
+
+def test_figures_of_a_source_without_a_name(spark, tmp_path):
+    rows = [(n, i, i, 1.0, i % 2 == 0, False) for n in (None, "a") for i in range(3)]
+    for go in (0, 3):
+        spark.createDataFrame([(n, i + go, *x) for n, i, *x in rows], "source string, seq long, at long, seconds double, ok boolean, limited boolean").write.mode("append").parquet(f"{tmp_path}/in")
+        made = keyed.figures(streams.files_stream(spark, f"{tmp_path}/in"), 4)
+        made.writeStream.outputMode("update").foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert {(x["source"], x["seq"], x["tries"]) for x in spark.read.parquet(f"{tmp_path}/out").collect()} == {(None, 5, 6), ("a", 5, 6)}
+
+
 def test_later_requests_do_not_count_yet(spark):
     log = spark.createDataFrame([("a", 1, 50, 1.0, True, True), ("a", 2, 500, 99.0, False, True)], "source string, seq long, at long, seconds double, ok boolean, limited boolean")
     assert [(r["source"], r["delay"]) for r in runs.delays(log, 80).collect()] == [("a", 1.3)]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ MOST_ENTRIES, LIFE = 1000, 1800
 REMEMBERED, MEAN_OF, RATE_OF = 20, 5, 10
 #: From so many entries on a cache has room for all of them; the parts that such a cache is dealt to.
 UNBOUNDED, PARTS = 1 << 40, 64
+#: The groups that sources are dealt to; one holds a batch's rows of its sources at once.
+SHARES = 256
 
 
 def with_state(spark: SparkSession) -> None:
@@ -114,34 +117,50 @@ def cached(rows: DataFrame, late: str = "1 hour", most: int = MOST_ENTRIES, life
 
 
 class Requests(StatefulProcessor):
-    """The last requests of one source and its failures in a row; says after every batch what `operators.runs` says of the whole log."""
+    """The last requests of each source and its failures in a row; says after every batch what `operators.runs` says of the whole log.
+
+    A group holds a share of the sources, as a call for every source costs far more than what is worked out for it. The
+    state is one value for each source; a batch reads and writes those of its own sources alone.
+    """
 
     FIGURES = "source string, seq long, mean double, rate double, failures long, limits long, limited_at long, tries long"
+    STATE = "seqs array<long>, seconds array<double>, oks array<boolean>, tries long, good long, failures long, limits long, limited_at long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getListState("last", "seq long, seconds double, ok boolean")
-        self.sums = handle.getValueState("sums", "tries long, good long, failures long, limits long, limited_at long")
+        self.sources = handle.getMapState("sources", "source string", self.STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        every = pd.concat(list(rows)).sort_values("seq")
-        last = [tuple(x) for x in self.last.get()]
-        tries, good, failures, limits, limited_at = tuple(self.sums.get()) if self.sums.exists() else (0, 0, 0, 0, None)
-        for seq, at, seconds, ok, limited in zip(every["seq"], every["at"], every["seconds"], every["ok"], every["limited"], strict=True):
-            last.append((int(seq), float(seconds), bool(ok)))
-            tries, good, failures = tries + 1, good + bool(ok), 0 if ok else failures + 1
-            if limited:
-                limits, limited_at = limits + 1, max(int(at), limited_at if limited_at is not None else int(at))
-        last = last[-REMEMBERED:]
-        self.last.put(last)
-        self.sums.update((tries, good, failures, limits, limited_at))
-        some = [s for _, s, _ in last[-MEAN_OF:]]
-        row = (key[0], last[-1][0], sum(some) / len(some), good / min(tries, RATE_OF), failures, limits, limited_at, tries)
-        yield pd.DataFrame([row], columns=["source", "seq", "mean", "rate", "failures", "limits", "limited_at", "tries"]).astype({"limited_at": "Int64"})
+        every = pd.concat(list(rows))
+        codes, names = pd.factorize(every["source"], use_na_sentinel=False)
+        order = np.lexsort((every["seq"], codes))
+        seq, at, seconds = (every[n].to_numpy()[order] for n in ("seq", "at", "seconds"))
+        ok, limited = (every[n].eq(True).to_numpy(bool)[order] for n in ("ok", "limited"))
+        ends, out, begin = np.cumsum(np.bincount(codes, minlength=len(names))), [], 0
+        for name, end in zip(names, ends.tolist(), strict=True):
+            name, mine = None if pd.isna(name) else name, slice(begin, end)
+            begin = end
+            held = self.sources.getValue((name,))
+            seqs, took, oks, tries, good, failures, limits, limited_at = ([], [], [], 0, 0, 0, 0, None) if held is None else tuple(held)
+            n, right, hit = mine.stop - mine.start, np.flatnonzero(ok[mine]), at[mine][limited[mine]]
+            failures = int(n - 1 - right[-1]) if len(right) else failures + n
+            tries, good, limits = tries + n, good + len(right), limits + len(hit)
+            if len(hit):
+                limited_at = max(int(hit.max()), limited_at if limited_at is not None else int(hit.max()))
+            last = slice(max(begin - REMEMBERED, mine.start), end)
+            seqs, took, oks = ((list(x) + y[last].tolist())[-REMEMBERED:] for x, y in ((seqs, seq), (took, seconds), (oks, ok)))
+            self.sources.updateValue((name,), (seqs, took, oks, tries, good, failures, limits, limited_at))
+            some = took[-MEAN_OF:]
+            out.append((name, seqs[-1], sum(some) / len(some), good / min(tries, RATE_OF), failures, limits, limited_at, tries))
+        yield pd.DataFrame(out, columns=["source", "seq", "mean", "rate", "failures", "limits", "limited_at", "tries"]).astype({"limited_at": "Int64"})
 
     def close(self) -> None:
         pass
 
 
-def figures(log: DataFrame) -> DataFrame:
-    """A stream of log rows (source, seq, at, seconds, ok, limited), seq rising from batch to batch, as a stream of Requests.FIGURES: one row for each source of a batch."""
-    return log.groupBy("source").transformWithStateInPandas(Requests(), outputStructType=Requests.FIGURES, outputMode="update", timeMode="None")
+def figures(log: DataFrame, parts: int = SHARES) -> DataFrame:
+    """A stream of log rows (source, seq, at, seconds, ok, limited), seq rising from batch to batch, as a stream of Requests.FIGURES: one row for each source of a batch.
+
+    Sources are dealt to `parts` groups by a hash; the number must stay the same for a checkpoint's life.
+    """
+    dealt = log.withColumn("part", F.pmod(F.xxhash64("source"), F.lit(parts)))
+    return dealt.groupBy("part").transformWithStateInPandas(Requests(), outputStructType=Requests.FIGURES, outputMode="update", timeMode="None")
